@@ -1,6 +1,10 @@
 """Queries of this subpackage, and the SQL that gives the same rows where SQL can express it."""
 
+from govlake.llm.op2_sentencepiece import op2_sentencepiece
+from govlake.llm.op5_token_counts import op5_token_counts
 from govlake.llm.op6_minhash import op6_minhash
+from govlake.llm.op7_repair import op7_repair
+from govlake.llm.op10_substrings import op10_substrings
 
-QUERIES = {f.__name__: f for f in (op6_minhash,)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_token_counts, op6_minhash, op7_repair, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {}
