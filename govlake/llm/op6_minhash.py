@@ -130,11 +130,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        bucket is in one component or has been compared; only links leave a block.
 
     Null and empty texts have n_shingles 0, are linked with nothing and kept. Rows that repeat an id
-    give one result each. Ties go to the smallest id. Other columns of docs aren't touched. A pair of
+    give one result each. A row with a null id is linked with nothing and kept. Ties go to the smallest id. Other columns of docs aren't touched. A pair of
     similarity s shares no bucket with probability (1 - s**rows)**bands: 2.5e-7 at 0.75.
     """
     drawn = saved(sketches(docs, id_col, text_col, bands, rows), "sketches")
-    full = drawn.where("n_shingles > 0")
+    full = drawn.where("n_shingles > 0 and id is not null")
     groups = saved(full.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
     reps = full.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     entries = reps.select("id", F.explode("bands").alias("key"))
@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spokes = saved(entries.join(hubs, "key").select("id", "hub").distinct(), "spokes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     wanted = spokes.select("id").distinct()
-    sets = saved(sets_of(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
+    sets = saved(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])), "sets")
     pairs = spokes.where("id <> hub").join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other")), "hub")
     both = F.size(F.array_intersect("shingles", "other"))
     first = saved(pairs.where(_is_link(both, F.size("shingles"), F.size("other"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "stars")
@@ -163,13 +163,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = groups.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     classes = classes.where("copies > 1 or component_id <> rep").select("k1", "k2", "component_id")
     out = drawn.select("id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    component = F.when(F.expr("n_shingles > 0 and id is not null"), F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the smallest id of each component; of rows that repeat an id one stays. Columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(id_col)
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(id_col).hint("merge")
     return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(docs.columns)
 
 
