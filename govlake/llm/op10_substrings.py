@@ -14,7 +14,9 @@ WINDOW = 35
 #: Perfect difference covers (fixed values): each residue modulo the period is a difference of two members.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 WHOLE, ALL = -1, -2
-_ROWS = "key long, tag int, id long, pos int, many int"
+#: place holds 32 bits more of the hash, the position and how often the key is known to occur (1, or 2 for more).
+_ROWS = "key long, id long, place long"
+_POSITIONS = (1 << 30) - 1
 
 
 def period_of(window: int) -> int:
@@ -35,7 +37,8 @@ def _gathered(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     own = mix64(key ^ mix64(ids.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)) + np.arange(len(key), dtype=U))
     many = np.where(size[group] > 1, 2, many).astype(np.int32)
     key = np.where(again, own, key).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(tag), pa.array(ids), pa.array(pos), pa.array(many)], ["key", "tag", "id", "pos", "many"])
+    place = (tag.astype(np.int64) << 32) | ((pos.astype(np.int64) - ALL) << 2) | many
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(place)], ["key", "id", "place"])
 
 
 def _anchors(window: int):
@@ -126,9 +129,10 @@ def _without(window: int):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose key occurs elsewhere; least is the smallest id there."""
-    same = W.partitionBy("key", "tag")
-    return rows.withColumn("n", F.sum("many").over(same)).withColumn("least", F.min("id").over(same)).where("n > 1")
+    """(id, pos, least) of rows whose hash occurs elsewhere; least is the smallest id there."""
+    same = W.partitionBy("key", F.shiftright("place", 32))
+    counted = rows.withColumn("n", F.sum(F.col("place").bitwiseAND(F.lit(3))).over(same)).withColumn("least", F.min("id").over(same)).where("n > 1")
+    return counted.select("id", (F.shiftright("place", 2).bitwiseAND(F.lit(_POSITIONS)) + ALL).cast("int").alias("pos"), "least")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
