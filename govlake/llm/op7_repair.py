@@ -17,11 +17,11 @@ from govlake.llm.segments import SPACE
 from govlake.llm.store import saved
 
 END_ID = 2
-BLOCK_IDS = 1 << 22
+BLOCK_IDS = 1 << 20
 #: Symbols are 16-bit numbers: the vocabulary's ids, then the rules.
 SYMBOLS = 1 << 16
-ROUNDS, PER_ROUND, LEAST = 6, 2560, 16
-_BUCKETS = 20
+ROUNDS, PER_ROUND, LEAST = 4, 3072, 16
+_BUCKETS = 17
 
 #: One row is one shard: rule k replaces the pair (left[k], right[k]) and stands for length[k] ids.
 SHARD = "part int, block int, first_rule int, n_ids long, doc_ids array<long>, counts binary, offsets binary, pairs binary, lengths binary, symbols binary"
