@@ -6,11 +6,12 @@ from govlake.llm import op8_benchmark as benchmark
 from govlake.llm.op1_lines import op1_lines
 from govlake.llm.op2_sentencepiece import op2_sentencepiece
 from govlake.llm.op3_warc import op3_warc
+from govlake.llm.op4_quality_rules import op4_quality_rules
 from govlake.llm.op5_token_counts import op5_token_counts
 from govlake.llm.op6_minhash import op6_minhash
 from govlake.llm.op7_repair import op7_repair
 from govlake.llm.op8_benchmark import op8_benchmark
 from govlake.llm.op10_substrings import op10_substrings
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_sentencepiece, op3_warc, op5_token_counts, op6_minhash, op7_repair, op8_benchmark, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_sentencepiece, op3_warc, op4_quality_rules, op5_token_counts, op6_minhash, op7_repair, op8_benchmark, op10_substrings)}
 ORACLE_SQL = {"op1_lines": lines.SQL, "op3_warc": warc.SQL, "op8_benchmark": benchmark.SQL}
