@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import cache, lru_cache
 
 import numpy as np
@@ -25,6 +26,7 @@ def vocabulary_path(name: str) -> str:
 
 @cache
 def tokenizer(path: str):
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads in a worker, beside those of other tasks
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -42,7 +44,7 @@ def added_tokens(path: str) -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def worker_cache(path: str, limit: int = 1 << 20) -> SegmentCache:
+def worker_cache(path: str, limit: int = 1 << 19) -> SegmentCache:
     own = tokenizer(path)
     mark = own.encode("\n", add_special_tokens=False).ids
     return SegmentCache(lambda texts: [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)], mark[0], limit)

@@ -17,7 +17,7 @@ from govlake.llm.segments import SPACE
 from govlake.llm.store import saved
 
 END_ID = 2
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 #: Symbols are 16-bit numbers: the vocabulary's ids, then the rules.
 SYMBOLS = 1 << 16
 ROUNDS, PER_ROUND, LEAST = 4, 3072, 16
@@ -116,7 +116,7 @@ def _shards(path: str, end_id: int, kinds, block_ids: int):
         cache, own = worker_cache(path), tokenizer(path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for lo, hi, data, at in chunks(batch.column(1)):
+            for lo, hi, data, at in chunks(batch.column(1), 1 << 19):
                 points, begin, end, hashes, row = pieces(data, at, kinds.value)
                 slots = cache.slots(hashes, points, begin, end, kinds.value[points[end - 1]] == SPACE)
                 flat, n = cache.ids(slots), np.diff(np.concatenate([[0], np.cumsum(cache.length[slots])])[row])

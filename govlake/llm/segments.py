@@ -49,7 +49,7 @@ class Table:
         if 2 * (self.n + len(hashes)) > len(self.keys):
             full = self.slots >= 0
             keys, old = self.keys[full], self.slots[full]
-            size = 1 << int(4 * (self.n + len(hashes))).bit_length()
+            size = 1 << int(2 * (self.n + len(hashes))).bit_length()
             self.keys, self.slots = np.zeros(size, U), np.full(size, -1, np.int32)
             self._put(keys, old)
         self._put(hashes, slots)
@@ -78,13 +78,13 @@ class SegmentCache:
     token may hold a line end and anything else, and `mark` is the line end's id.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], mark: int, limit: int = 1 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], mark: int, limit: int = 1 << 19):
         self.encode, self.mark, self.limit = encode, mark, limit
         self.clear()
 
     def clear(self) -> None:
         self.table, self.used, self.n = Table(), 0, 0
-        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _store(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         slots = self.table.add(hashes)
