@@ -130,8 +130,9 @@ def _without(window: int):
 
 def _repeated(rows: DataFrame) -> DataFrame:
     """(id, pos, least) of rows whose hash occurs elsewhere; least is the smallest id there."""
-    same = W.partitionBy("key", F.shiftright("place", 32))
-    counted = rows.withColumn("n", F.sum(F.col("place").bitwiseAND(F.lit(3))).over(same)).withColumn("least", F.min("id").over(same)).where("n > 1")
+    same = W.partitionBy("key", "tag")
+    told = rows.select("key", F.shiftright("place", 32).alias("tag"), "id", "place")
+    counted = told.select("id", "place", F.sum(F.col("place").bitwiseAND(F.lit(3))).over(same).alias("n"), F.min("id").over(same).alias("least")).where("n > 1")
     return counted.select("id", (F.shiftright("place", 2).bitwiseAND(F.lit(_POSITIONS)) + ALL).cast("int").alias("pos"), "least")
 
 
