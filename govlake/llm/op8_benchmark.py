@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from govlake.llm.native import bound, window_hashes, word_hashes, words_of
+
 SHINGLE = 5
 PERCENT = 75
 #: Rows of benchmark shingles up to which they are broadcast (about 100 bytes each); beyond, they are shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def words_of(text: Column) -> Column:
-    """Words between ASCII spaces, A-Z as a-z."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lower, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def lower_words(text: Column) -> Column:
+    return words_of(F.lower(text))
 
 
-def windows(words: Column, size: int, of) -> Column:
-    """of(words i .. i + size - 1) for every i; words is evaluated once."""
-    one = F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: of(F.slice(w, i, size)))))
-    return F.coalesce(one[0], F.array())
+def windows(words: Column, size: int) -> Column:
+    """The `size` words from each word on, joined by a space."""
+    one = lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " ")))
+    return F.coalesce(bound(words, one), F.array().cast("array<string>"))
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -30,11 +32,17 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, n, size, shingle): distinct shingles of each item; one with fewer than SHINGLE words is one shingle of `size` words."""
-    w = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
-    whole = F.array(F.array_join("words", " "))
-    sets = w.select("item_id", F.least(F.size("words"), F.lit(SHINGLE)).alias("size"), F.when(F.size("words") < SHINGLE, whole).otherwise(F.array_distinct(windows(F.col("words"), SHINGLE, lambda x: F.array_join(x, " ")))).alias("set"))
-    return sets.select("item_id", F.size("set").alias("n"), "size", F.explode("set").alias("shingle"))
+    """(item_id, n, size, shingle, hash): distinct shingles of each item; one with fewer than SHINGLE words is one shingle of `size` words."""
+    w = items.select(F.col(id_col).alias("item_id"), lower_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+
+    def pairs(size: int) -> Column:
+        hashes = bound(word_hashes(F.col("words")), lambda h: window_hashes(h, size))
+        return F.array_distinct(F.arrays_zip(windows(F.col("words"), size).alias("shingle"), hashes.alias("hash")))
+
+    size = F.least(F.size("words"), F.lit(SHINGLE))
+    sets = F.coalesce(*[F.when(size == k, pairs(k)) for k in range(1, SHINGLE + 1)])
+    rows = w.select("item_id", size.alias("size"), sets.alias("set"))
+    return rows.select("item_id", F.size("set").alias("n"), "size", F.explode("set").alias("s")).select("item_id", "n", "size", "s.shingle", "s.hash")
 
 
 def sketch(shingles: DataFrame) -> DataFrame:
@@ -46,7 +54,7 @@ def sketch(shingles: DataFrame) -> DataFrame:
     upper = F.pow(F.lit(2), F.floor(F.log2("n")) + 1).cast("int")
     m = F.floor(upper * (100 - PERCENT) / 100).cast("int") + 1
     rank = F.row_number().over(W.partitionBy("item_id").orderBy("hash"))
-    hashed = shingles.select("item_id", "n", "size", F.xxhash64("shingle").alias("hash"), m.alias("m"))
+    hashed = shingles.select("item_id", "n", "size", "hash", m.alias("m"))
     return hashed.withColumn("rank", rank).where("rank <= m").select("item_id", "n", "size", "hash")
 
 
@@ -59,22 +67,19 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """
     shingles = item_shingles(items, item_col, item_text).distinct()
     sizes = [r[0] for r in shingles.select("size").distinct().collect()]  # at most SHINGLE numbers
-    sketches = bounded(sketch(shingles))
+    sketches = sketch(shingles)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "")
 
-    def tagged(size: int, of, name: str):
-        return lambda words: F.struct(F.lit(size).alias("size"), of(words).alias(name))
-
-    def exploded(rows: DataFrame, of, name: str) -> DataFrame:
-        split = rows.select("id", words_of(F.col("text")).alias("words"))
-        all_ = [windows(F.col("words"), s, tagged(s, of, name)) for s in sizes]
-        return split.select("id", F.explode(F.array_distinct(F.concat(*all_)) if name == "shingle" else F.concat(*all_)).alias("s")).select("id", "s.*")
+    def hashes_of(size: int):
+        return lambda h: window_hashes(h, size)
 
     if not sizes:
         return texts.select("id", F.lit(None).cast(dict(items.dtypes)[item_col]).alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("n")).where("false")
-    found = exploded(texts, lambda x: F.xxhash64(F.array_join(x, " ")), "hash").join(sketches, ["size", "hash"]).select("id").distinct()
+    hashed = [texts.select("id", F.explode(bound(word_hashes(lower_words(F.col("text"))), hashes_of(k))).alias("hash")).join(bounded(sketches.where(F.col("size") == k)), "hash").select("id") for k in sizes]
+    found = reduce(DataFrame.unionByName, hashed).distinct()
     near = texts.join(found.hint("merge"), "id", "left_semi")
-    hits = exploded(near, lambda x: F.array_join(x, " "), "shingle").join(bounded(shingles), ["size", "shingle"])
+    strings = [near.select("id", F.explode(F.array_distinct(windows(lower_words(F.col("text")), k))).alias("shingle")).join(bounded(shingles.where(F.col("size") == k)), "shingle") for k in sizes]
+    hits = reduce(DataFrame.unionByName, strings)
     counted = hits.groupBy("id", "item_id", "n").agg(F.count_distinct("shingle").alias("hits"))
     return counted.where(100 * F.col("hits") >= PERCENT * F.col("n")).select("id", "item_id", "hits", "n")
 
@@ -92,7 +97,7 @@ def op8_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "first_item", F.round(F.coalesce("containment", F.lit(0.0)), 6).alias("containment"), F.col("n_items").isNull().alias("kept"))
 
 
-_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 SQL = rf"""
 WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 s AS (SELECT item_id, len(x) AS n, least(k, {SHINGLE}) AS size, unnest(x) AS shingle FROM (SELECT item_id, len(w) AS k, CASE WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
