@@ -7,22 +7,15 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govlake.llm.native import bound, window_hashes, word_hashes, words_of
+
 BUCKETS = 1 << 14
 #: Mean log-likelihood ratio of a text's n-grams below which it's rejected.
 THRESHOLD = -0.1
 #: Part of the raw corpus in the trusted multinomial, so that an n-gram that no trusted text has costs at most log(1 / MIX).
 MIX = 0.2
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
-_BLANKS, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-
-
-def bound(value: Column, of) -> Column:
-    """of(value), with value evaluated once."""
-    return F.transform(F.array(value), of)[0]
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -44,18 +37,18 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(bound(pairs, covered))
 
-    hashes = bound(words, lambda w: F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))))
+    hashes = bound(word_hashes(words), lambda h: window_hashes(h, window))
     return F.coalesce(bound(hashes, of), F.lit(0)).cast("long")
 
 
 def base_rules(text: Column) -> dict[str, Column]:
     """The plain rules' columns; a null text counts as an empty one."""
     full = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(full, "\n"), lambda line: F.translate(line, _BLANKS, "") != "")
+    lines = F.filter(F.split(full, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words_of(text)).cast("long"),
-        "word_chars": F.length(F.translate(full, _BLANKS, "")).cast("long"),
-        "n_symbols": (F.length(full) - F.length(F.translate(full, _SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join(words_of(text), "")).cast("long"),
+        "n_symbols": F.regexp_count(full, F.lit(_SYMBOLS)).cast("long"),
         "n_dup_lines": bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words_of(text)),
     }
@@ -63,9 +56,8 @@ def base_rules(text: Column) -> dict[str, Column]:
 
 def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of a text's words and word pairs."""
-    ones = lambda w: F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    twos = lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-    return bound(words_of(text), lambda w: F.concat(ones(w), F.filter(F.when(F.size(w) > 1, twos(w)).otherwise(F.array().cast("array<int>")), lambda x: x.isNotNull())))
+    of = lambda hashes: F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+    return bound(word_hashes(words_of(text)), lambda h: F.concat(of(h), of(window_hashes(h, 2))))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
