@@ -62,7 +62,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(id, item_id, hits, n): documents that hold at least PERCENT of the n distinct shingles of an item.
 
     Every shingle of every document is looked up among the items' sketches; documents with a hit are then
-    compared shingle by shingle with the items, as strings. No item and no document is missed. Null and empty
+    compared shingle by shingle with the items, as strings. Shingles are made by explode_outer, for which
+    Spark doesn't add a filter that would make them a second time, and before the join. No item and no document is missed. Null and empty
     texts hold nothing; items without words match nothing. Repeated ids are one document; repeated items count once.
     """
     shingles = item_shingles(items, item_col, item_text).distinct()
@@ -75,10 +76,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     if not sizes:
         return texts.select("id", F.lit(None).cast(dict(items.dtypes)[item_col]).alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("n")).where("false")
-    hashed = [texts.select("id", F.explode(bound(word_hashes(lower_words(F.col("text"))), hashes_of(k))).alias("hash")).join(bounded(sketches.where(F.col("size") == k)), "hash").select("id") for k in sizes]
+    hashed = [texts.select("id", F.explode_outer(bound(word_hashes(lower_words(F.col("text"))), hashes_of(k))).alias("hash")).join(bounded(sketches.where(F.col("size") == k)), "hash").select("id") for k in sizes]
     found = reduce(DataFrame.unionByName, hashed).distinct()
     near = texts.join(found.hint("merge"), "id", "left_semi")
-    strings = [near.select("id", F.explode(F.array_distinct(windows(lower_words(F.col("text")), k))).alias("shingle")).join(bounded(shingles.where(F.col("size") == k)), "shingle") for k in sizes]
+    strings = [near.select("id", F.explode_outer(F.array_distinct(windows(lower_words(F.col("text")), k))).alias("shingle")).join(bounded(shingles.where(F.col("size") == k)), "shingle") for k in sizes]
     hits = reduce(DataFrame.unionByName, strings)
     counted = hits.groupBy("id", "item_id", "n").agg(F.count_distinct("shingle").alias("hits"))
     return counted.where(100 * F.col("hits") >= PERCENT * F.col("n")).select("id", "item_id", "hits", "n")
