@@ -67,7 +67,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     """
     marks = trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("t")).where("id is not null").distinct().hint("merge")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id", "left")
-    grams = rows.select("t", F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    grams = rows.select("t", F.explode_outer(ngram_buckets(F.col("text"), buckets)).alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("t").alias("good"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "good"])
     one = every.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "good"))).alias("all"), F.sum("raw").alias("raw"), F.sum("good").alias("good"))
