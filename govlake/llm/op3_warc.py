@@ -122,7 +122,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
             above = {len(pairs) - 2: [F.lit(""), F.lit(""), F.lit(0)], len(pairs) - 3: [F.col("bucket"), F.lit(""), F.lit(0)]}.get(level, [F.col("bucket"), F.col("file"), F.floor(F.col("idx") / FAN)])
             a, b = (x.withColumns(dict(zip(("b_", "f_", "i_"), above, strict=True))).join(wrong, ["b_", "f_", "i_"], "left_semi") for x in (a, b))
         both = a.select(*key, F.col("hash").alias("hash_a")).join(b.select(*key, F.col("hash").alias("hash_b")), key, "full")
-        differ = both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        differ = saved(both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))), "differ")  # else plans double with each level
         wrong = differ.select(F.col("bucket").alias("b_"), F.col("file").alias("f_"), F.col("idx").alias("i_"))
         if level == 0:
             found = differ
