@@ -14,9 +14,10 @@ WINDOW = 35
 #: Perfect difference covers (fixed values): each residue modulo the period is a difference of two members.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 WHOLE, ALL = -1, -2
-#: place holds 32 bits more of the hash, the position and how often the key is known to occur (1, or 2 for more).
-_ROWS = "key long, id long, place long"
-_POSITIONS = (1 << 30) - 1
+#: place holds, from the low end, 16 bits more of the hash, a bit for keys known to occur twice, and the position. The
+#: columns stand in this order so that what a row shares with the row before lies together and packs well.
+_ROWS = "key long, place long, id long"
+_TAG, _TWICE, _POSITION = (1 << 16) - 1, 1 << 16, 17
 
 
 def period_of(window: int) -> int:
@@ -37,8 +38,8 @@ def _gathered(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     own = mix64(key ^ mix64(ids.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)) + np.arange(len(key), dtype=U))
     many = np.where(size[group] > 1, 2, many).astype(np.int32)
     key = np.where(again, own, key).view(np.int64)
-    place = (tag.astype(np.int64) << 32) | ((pos.astype(np.int64) - ALL) << 2) | many
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(place)], ["key", "id", "place"])
+    place = ((pos.astype(np.int64) - ALL) << _POSITION) | np.where(many > 1, _TWICE, 0) | (tag.astype(np.int64) & _TAG)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), pa.array(ids)], ["key", "place", "id"])
 
 
 def _anchors(window: int):
@@ -92,7 +93,7 @@ def _candidates(window: int):
                 of = of[here]
                 pos = (here - w.first[of]).astype(np.int32)
                 known = copy[lo:hi][of] == 1
-                parts.append((w.windows(window)[here], (w.windows(window, 7)[here] >> U(32)).astype(np.uint32).view(np.int32), ids[lo:hi][of], np.where(known, WHOLE, pos).astype(np.int32), np.where(known, 2, 1).astype(np.int32)))
+                parts.append((w.windows(window)[here], (w.windows(window, 7)[here] >> U(48)).astype(np.int32), ids[lo:hi][of], np.where(known, WHOLE, pos).astype(np.int32), np.where(known, 2, 1).astype(np.int32)))
             yield _gathered(parts)
 
     return run
@@ -128,12 +129,24 @@ def _without(window: int):
     return run
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(id, pos, least) of rows whose hash occurs elsewhere; least is the smallest id there."""
-    same = W.partitionBy("key", "tag")
-    told = rows.select("key", F.shiftright("place", 32).alias("tag"), "id", "place")
-    counted = told.select("id", "place", F.sum(F.col("place").bitwiseAND(F.lit(3))).over(same).alias("n"), F.min("id").over(same).alias("least")).where("n > 1")
-    return counted.select("id", (F.shiftright("place", 2).bitwiseAND(F.lit(_POSITIONS)) + ALL).cast("int").alias("pos"), "least")
+def _repeated(rows: DataFrame, tagged: bool = True) -> DataFrame:
+    """(id, pos, least) of rows whose hash occurs elsewhere; least is the smallest id there.
+
+    Window functions take bare columns, as Spark would send expressions along in the shuffle. Keys under which
+    tags differ, a 64-bit collision, are looked at again by tag.
+    """
+    place, has = F.col("place"), lambda c, bit: F.col(c).bitwiseAND(F.lit(bit))
+    same = W.partitionBy("key")
+    told = rows.select("key", "place", "id", F.count("*").over(same).alias("n"), F.bit_or("place").over(same).alias("any"), F.bit_and("place").over(same).alias("all"), F.min("id").over(same).alias("least"))
+    more = told.where((F.col("n") > 1) | (has("any", _TWICE) > 0))
+    if not tagged:
+        return more.select("id", (F.shiftright(place, _POSITION) + ALL).cast("int").alias("pos"), "least")
+    alike = has("any", _TAG) == has("all", _TAG)
+    by_tag = W.partitionBy("key", "tag")
+    mixed = more.where(~alike).select("key", "place", "id", has("place", _TAG).alias("tag"))
+    mixed = mixed.select("place", "id", F.count("*").over(by_tag).alias("n"), F.bit_or("place").over(by_tag).alias("any"), F.min("id").over(by_tag).alias("least"))
+    sure = more.where(alike).select("id", "place", "least").unionByName(mixed.where((F.col("n") > 1) | (has("any", _TWICE) > 0)).select("id", "place", "least"))
+    return sure.select("id", (F.shiftright(place, _POSITION) + ALL).cast("int").alias("pos"), "least")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -141,7 +154,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Windows of `window - period + 1` words are hashed at the positions whose index modulo the period is in
     a difference cover. Two equal windows of `window` words, wherever they start, hold such an anchor at
-    the same offset, so windows without a repeated anchor are unique. The others are hashed whole (96
+    the same offset, so windows without a repeated anchor are unique. The others are hashed whole (80
     bits) and counted. Texts that equal another from end to end lose all words and only one of them
     gives windows.
 
@@ -152,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own, text = F.col(id_col).cast("long"), F.col(text_col)
     texts = docs.select(F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text"), own.alias("own"))
-    anchors = _repeated(texts.select("id", "text").mapInArrow(_anchors(window), _ROWS))
+    anchors = _repeated(texts.select("id", "text").mapInArrow(_anchors(window), _ROWS), tagged=False)
     copy = F.max(F.when(F.col("pos") == WHOLE, F.when(F.col("id") == F.col("least"), 1).otherwise(2)).otherwise(0))
     places = anchors.groupBy("id").agg(copy.alias("copy"), F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"))
     windows = _repeated(texts.join(places, "id").select("id", "text", "copy", "places", "own").mapInArrow(_candidates(window), _ROWS))
