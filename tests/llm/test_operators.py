@@ -171,7 +171,9 @@ def test_segments_cut_like_the_library():
 
 
 def test_shards(spark, table, encoded, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     op7_repair.write_shards(table, block_ids=1500).write.parquet(str(tmp_path / "ids"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     shards = spark.read.parquet(str(tmp_path / "ids"))
     assert shards.count() > 1
     out = op7_repair.with_start(op7_repair.checksums(op7_repair.read_shards(shards)), shards).collect()
