@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 from govlake.llm.arrays import U, chunks, list_array, words
 
 #: Bounds of the rows that the driver fits on: labelled documents, and unlabelled ones for pseudo-labels.
-LABELLED, POOL = 4000, 4000
-WORD_BITS = 12
+LABELLED, POOL = 3000, 2000
+WORD_BITS = 11
 PLACES = 64  # hashed places of source and language
 ROUNDS, PER_ROUND, CONFIDENT = 5, 200, 0.95
 HOLD_OUT = 4  # one of so many labelled rows is left for calibration
 #: Share of held-out good documents that the threshold may reject.
-GOOD_LOST = 0.002
+GOOD_LOST = 0.0005
 
 _SHAPES = 9
 META = 2 * PLACES + _SHAPES
@@ -76,15 +76,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 80) -> np.ndarray:
     """Weights and bias of a logistic regression, both classes weighing the same, by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w = look = np.zeros(x.shape[1])
-    rate = 4 / max(1e-9, float((share[:, None] * x**2).sum()))
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
+    y = y.astype(np.float32)  # one type throughout, else every product copies x
+    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
+    w = look = np.zeros(x.shape[1], np.float32)
+    rate = np.float32(4 / max(1e-9, float(share @ np.einsum("ij,ij->i", x, x))))
+    penalty = np.float32(penalty)
     for k in range(steps):
         step = look - rate * (x.T @ (share * (sigmoid(x @ look) - y)) + penalty * look)
-        look, w = step + k / (k + 3) * (step - w), step
+        look, w = step + np.float32(k / (k + 3)) * (step - w), step
     return w
 
 
