@@ -84,14 +84,18 @@ def _spend(s, sf):
     return v.spend_vs_value(e, _ranges(s, sf).where("key = 'total'").select(F.col("project").alias("run_id"), F.col("low").alias("hours_low"), F.col("high").alias("hours_high")))
 
 
-CHECKS = {
-    "short": F.length("text") < 200,
-    "no_link": ~F.col("text").contains("http"),
-    "no_number": ~F.col("text").rlike("[0-9]"),
-    "one_line": ~F.col("text").contains("\n"),
-    "vague": F.lower("text").rlike("improve|consider|ensure") & ~F.lower("text").rlike("table|column|file"),
-    "dangling": F.lower("text").rlike("see above|the report"),
-}
+def _checks():
+    text = F.col("text")
+    low = F.lower(text)
+    return {
+        "short": F.length(text) < 200,
+        "no_link": ~text.contains("http"),
+        "no_number": ~text.rlike("[0-9]"),
+        "one_line": ~text.contains("\n"),
+        "vague": low.rlike("improve|consider|ensure") & ~low.rlike("table|column|file"),
+        "dangling": low.rlike("see above|the report"),
+    }
+
 
 QUERIES = {
     "g1_derive_profile": lambda s, sf: g.derive_profile(_hits(s, sf), assets(s, sf)),
@@ -100,7 +104,7 @@ QUERIES = {
     "g4_reconcile": lambda s, sf: g.reconcile(*_adversary(s, sf)),
     "g5_complete_adjudications": lambda s, sf: g.complete_adjudications(_obligations(s, sf), _answers(s, sf)),
     "g6_build_gaps": lambda s, sf: g.build_gaps(g.complete_adjudications(_obligations(s, sf), _answers(s, sf)), _obligations(s, sf)),
-    "g7_validate_gaps": lambda s, sf: g.validate_gaps(table(s, sf, "documents"), CHECKS, "doc_id"),
+    "g7_validate_gaps": lambda s, sf: g.validate_gaps(table(s, sf, "documents"), _checks(), "doc_id"),
     "g8_merge_gaps": lambda s, sf: g.merge_gaps(table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), "text", F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("severity")), F.lower(F.left("text", F.lit(80)))),
     "g9_remediation_order": lambda s, sf: g.remediation_order(*_nodes(s, sf)),
     "g10_commit_batches": lambda s, sf: g.commit_batches(table(s, sf, "documents").withColumn("severity", F.when(F.col("doc_id") % 50 == 0, "critical").otherwise("low")), F.col("text")),
