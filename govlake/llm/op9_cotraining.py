@@ -8,22 +8,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.arrays import U, chunks, list_array, words
+from govlake.llm.store import saved
 
-#: Bounds of the rows that the driver fits on: labelled documents, and unlabelled ones for pseudo-labels.
-LABELLED, POOL = 3000, 2000
-WORD_BITS = 11
+#: Bound of the labelled rows that the driver fits on.
+LABELLED = 3000
+WORD_BITS = 12
 PLACES = 64  # hashed places of source and language
 ROUNDS, PER_ROUND, CONFIDENT = 5, 200, 0.95
 HOLD_OUT = 4  # one of so many labelled rows is left for calibration
-#: Share of held-out good documents that the threshold may reject.
-GOOD_LOST = 0.0005
+#: The threshold has the least GOOD_COST * (share of held-out good rows rejected) + (share of held-out bad rows kept).
+GOOD_COST = 4
 
 _SHAPES = 9
 META = 2 * PLACES + _SHAPES
-_FEATURES = "id long, places array<int>, weights array<float>, meta array<float>"
+_FEATURES = "id long, places array<int>, counts array<int>, meta array<float>, key long"
 
 
 def _shape(data: np.ndarray, at: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
@@ -40,36 +42,37 @@ def _place(value: str | None) -> int:
 
 
 def view_rows(text: pa.Array, source: list, lang: list):
-    """(first row, last row, row of each word place, places, weights, metadata) chunk by chunk.
-
-    The text view is the log count of each hashed word, scaled to length 1 per row.
-    """
+    """(first row, last row, row of each word place, places, counts, metadata) chunk by chunk."""
     for lo, hi, data, at in chunks(text):
         w = words(data, at, lower=True)
         row = np.repeat(np.arange(hi - lo), w.counts)
         both, n = np.unique((row << WORD_BITS) | (w.hash >> U(64 - WORD_BITS)).astype(np.int64), return_counts=True)
-        row, place, weight = both >> WORD_BITS, both & ((1 << WORD_BITS) - 1), np.log1p(n)
-        norm = np.sqrt(np.bincount(row, weight**2, hi - lo))
-        weight = (weight / norm[row]).astype(np.float32)
+        row, place = both >> WORD_BITS, both & ((1 << WORD_BITS) - 1)
         meta = np.zeros((hi - lo, META), np.float32)
         meta[np.arange(hi - lo), [_place(x) for x in source[lo:hi]]] = 1
         meta[np.arange(hi - lo), [PLACES + _place(x) for x in lang[lo:hi]]] = 1
         meta[:, 2 * PLACES :] = _shape(data, at, w.counts, np.bincount(row, minlength=hi - lo))
-        yield lo, hi, row, place, weight, meta
+        yield lo, hi, row, place, n, meta
+
+
+def word_weights(row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+    """The text view: the log count of each hashed word, scaled to length 1 per row."""
+    weight = np.log1p(n)
+    return (weight / np.sqrt(np.bincount(row, weight**2, rows))[row]).astype(np.float32)
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """_FEATURES for rows (id, text, source, lang)."""
+    """_FEATURES for rows (id, text, source, lang). Rows of equal text, source and language have equal keys."""
 
     def run(batches):
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, hi, row, place, weight, meta in view_rows(batch.column(1), source, lang):
-                n = np.bincount(row, minlength=hi - lo)
-                columns = [batch.column(0).slice(lo, hi - lo), list_array(place.astype(np.int32), n, pa.int32()), list_array(weight, n, pa.float32()), list_array(meta.ravel(), np.full(hi - lo, META), pa.float32())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "places", "weights", "meta"])
+            for lo, hi, row, place, n, meta in view_rows(batch.column(1), source, lang):
+                size = np.bincount(row, minlength=hi - lo)
+                columns = [batch.column(0).slice(lo, hi - lo), list_array(place.astype(np.int32), size, pa.int32()), list_array(n.astype(np.int32), size, pa.int32()), list_array(meta.ravel(), np.full(hi - lo, META), pa.float32()), batch.column(4).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "places", "counts", "meta", "key"])
 
-    return rows.mapInArrow(run, _FEATURES)
+    return rows.withColumn("key", F.xxhash64("text", "source", "lang")).mapInArrow(run, _FEATURES)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -78,14 +81,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 80) -> np.ndarray:
     """Weights and bias of a logistic regression, both classes weighing the same, by accelerated gradient descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32)
-    y = y.astype(np.float32)  # one type throughout, else every product copies x
+    x, y = np.asarray(x, np.float32), y.astype(np.float32)  # one type throughout, else every product copies x
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-    w = look = np.zeros(x.shape[1], np.float32)
-    rate = np.float32(4 / max(1e-9, float(share @ np.einsum("ij,ij->i", x, x))))
+    w = look = np.zeros(x.shape[1] + 1, np.float32)
+    rate = np.float32(4 / max(1e-9, float(share @ (np.einsum("ij,ij->i", x, x) + 1))))
     penalty = np.float32(penalty)
     for k in range(steps):
-        step = look - rate * (x.T @ (share * (sigmoid(x @ look) - y)) + penalty * look)
+        off = share * (sigmoid(apply(x, look)) - y)
+        step = look - rate * (np.append(x.T @ off, off.sum()) + penalty * look)
         look, w = step + np.float32(k / (k + 3)) * (step - w), step
     return w
 
@@ -107,20 +110,63 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid((a + b) / 2)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], held: np.ndarray, rounds: int = ROUNDS) -> Model:
+class Pool:
+    """All unlabelled rows. Their features stand in the shared folder, are scored there on executors in each round, and only the surest reach the driver."""
+
+    def __init__(self, rows: DataFrame, known: DataFrame):
+        """rows: _FEATURES, read more than once; known: the ids that have a label."""
+        self.rows, self.known = rows, known
+
+    def surest(self, weights: list[np.ndarray], used: list[np.ndarray], most: int = PER_ROUND) -> list[tuple]:
+        """(view, label, keys, features of the other view): the `most` rows of each label of which a view is surest, CONFIDENT at least.
+
+        used[i]: keys that view i was given before. Equal rows count once; rows that are equally sure come in the order of their keys.
+        """
+        sent = self.rows.sparkSession.sparkContext.broadcast((weights, used))
+
+        def run(batches):
+            weights, used = sent.value
+            for batch in batches:
+                logits = _logits(batch, weights)
+                for i in (0, 1):
+                    free = ~np.isin(batch.column("key").to_numpy(), used[1 - i])
+                    for label in (1, 0):
+                        sure = sigmoid(logits[i] if label else -logits[i])
+                        at = np.flatnonzero(free & (sure >= CONFIDENT))
+                        take = batch.select(["id", "key"]).take(pa.array(at))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * i + label, np.int32)), *take.columns, pa.array(sure[at].astype(np.float64))], ["kind", "id", "key", "sure"])
+
+        scored = self.rows.select("id", "places", "counts", "meta", "key").mapInArrow(run, "kind int, id long, key long, sure double")
+        scored = scored.join(self.known.select("id").hint("merge"), "id", "left_anti").groupBy("kind", "key").agg(F.max("sure").alias("sure"))
+        nth = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("sure"), "key"))
+        best = scored.withColumn("nth", nth).where(F.col("nth") <= most).select("kind", "key").toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
+        kind, keys = best["kind"].to_numpy(), best["key"].to_numpy()
+        wanted = self.rows.sparkSession.createDataFrame([(x,) for x in {*keys.tolist()}], "key long")  # 4 * most rows at most
+        table = self.rows.join(F.broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]).select("places", "counts", "meta", "key").toArrow().sort_by("key")
+        at, views = table["key"].to_numpy(), _dense(table)
+        sent.destroy()
+        return [(k // 2, k % 2, keys[kind == k], views[1 - k // 2][np.searchsorted(at, keys[kind == k])]) for k in range(4)]
+
+
+def least_cost(good: np.ndarray, bad: np.ndarray, good_cost: float = GOOD_COST) -> float:
+    """The threshold of least good_cost * (share of good below it) + (share of bad not below it), in the middle between two scores; the lowest of equal ones."""
+    scores = np.unique(np.concatenate([good, bad]))
+    cuts = np.concatenate([[scores[0] / 2], (scores[1:] + scores[:-1]) / 2, [(scores[-1] + 1) / 2]])
+    lost = np.searchsorted(np.sort(good), cuts) / len(good)
+    kept = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
+    return float(cuts[np.argmin(good_cost * lost + kept)])
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool, held: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Fits both views. In each round each view labels the pool's rows of which it's most sure for the other one,
     up to PER_ROUND of either class; `held` rows calibrate the views (Platt) and set the threshold."""
     sets = [[v[~held], y[~held]] for v in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
+    used = [np.zeros(0, np.int64) for _ in views]
     weights = [fit_logistic(*s) for s in sets]
-    for _ in range(rounds if len(pool[0]) else 0):
-        for i in (0, 1):
-            p = sigmoid(apply(pool[i], weights[i]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                best = best[free[1 - i][best] & (sure[best] >= CONFIDENT)][:PER_ROUND]
-                free[1 - i][best] = False
-                sets[1 - i] = [np.vstack([sets[1 - i][0], pool[1 - i][best]]), np.concatenate([sets[1 - i][1], np.full(len(best), label)])]
+    for _ in range(rounds):
+        for i, label, keys, x in pool.surest(weights, used):
+            used[1 - i] = np.concatenate([used[1 - i], keys])
+            sets[1 - i] = [np.vstack([sets[1 - i][0], x]), np.concatenate([sets[1 - i][1], np.full(len(x), float(label))])]
         weights = [fit_logistic(*s) for s in sets]
     scale = []
     for v, w in zip(views, weights, strict=True):
@@ -129,40 +175,52 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
         slope, shift = fit_logistic((z / spread)[:, None], y[held], penalty=1e-3, steps=400)
         scale.append((slope / spread, shift))
     model = Model(*weights, np.array(scale), 0.5)
-    good = model.combined(*(apply(v[held & (y > 0)], w) for v, w in zip(views, weights, strict=True)))[2]
-    model.threshold = float(min(0.5, np.quantile(good, GOOD_LOST) * 0.98))
+    score = model.combined(*(apply(v[held], w) for v, w in zip(views, weights, strict=True)))[2]
+    model.threshold = least_cost(score[y[held] > 0], score[y[held] == 0])
     return model
 
 
+def _words(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, weight) of the word places of _FEATURES."""
+    places, counts = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["places"], batch["counts"]))
+    row = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+    return row, places.flatten().to_numpy(), word_weights(row, counts.flatten().to_numpy(), len(places))
+
+
+def _meta(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    meta = batch["meta"].combine_chunks() if isinstance(batch["meta"], pa.ChunkedArray) else batch["meta"]
+    return meta.flatten().to_numpy().reshape(-1, META)
+
+
+def _logits(batch: pa.RecordBatch, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    row, place, weight = _words(batch)
+    text = np.bincount(row, weight * weights[0][:-1][place], batch.num_rows) + weights[0][-1]
+    return text, apply(_meta(batch), weights[1])
+
+
 def _dense(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    places, weights, meta = (table[c].combine_chunks() for c in ("places", "weights", "meta"))
     text = np.zeros((len(table), 1 << WORD_BITS), np.float32)
-    at = np.repeat(np.arange(len(table)), np.diff(places.offsets.to_numpy()))
-    text[at, places.flatten().to_numpy()] = weights.flatten().to_numpy()
-    return text, meta.flatten().to_numpy().reshape(-1, META)
+    row, place, weight = _words(table)
+    text[row, place] = weight
+    return text, _meta(table)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Fits on at most `labelled` labelled rows and `pool` unlabelled ones, picked by the hash of their ids; None if a class has fewer than 8 rows."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED) -> Model | None:
+    """Fits on at most `labelled` labelled rows, picked by the hash of their ids, and on the surest of all unlabelled ones; None if a class has fewer than 8 rows."""
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(labelled).toArrow().to_pydict()
     y_of = dict(zip(picked["id"], picked["y"], strict=True))
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
-    others = ids.join(known.select("id"), "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(pool).toArrow()["id"].to_pylist()
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in [*y_of, *others]], "id long")  # labelled + pool rows at most
-    rows = _inputs(docs, id_col).join(F.broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
-    table = features(rows).toArrow().sort_by("id")
-    found = table["id"].to_pylist()
-    has = np.array([x in y_of for x in found], bool)
-    y = np.array([float(y_of[x] > 0) for x in found if x in y_of])
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in y_of], "id long")  # labelled rows at most
+    rows = saved(features(_inputs(docs, id_col)), "features")
+    table = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("places", "counts", "meta"), "key").alias("x")).select("id", "x.*").toArrow().sort_by("id")
+    y = np.array([float(y_of[x] > 0) for x in table["id"].to_pylist()])
     if min(y.sum(), (1 - y).sum()) < 8:
         return None
-    text, meta = _dense(table)
     # Held-out rows alternate within each class.
     held = np.zeros(len(y), bool)
     for c in (0.0, 1.0):
         held[np.flatnonzero(y == c)[::HOLD_OUT]] = True
-    return co_train((text[has], meta[has]), y, (text[~has], meta[~has]), held)
+    return co_train(_dense(table), y, Pool(rows, known), held)
 
 
 def _inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -185,8 +243,8 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Da
         m = sent.value
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, hi, row, place, weight, meta in view_rows(batch.column(1), source, lang):
-                text = np.bincount(row, weight * m.text[:-1][place], hi - lo) + m.text[-1]
+            for lo, hi, row, place, n, meta in view_rows(batch.column(1), source, lang):
+                text = np.bincount(row, word_weights(row, n, hi - lo) * m.text[:-1][place], hi - lo) + m.text[-1]
                 scores = m.combined(text, apply(meta, m.meta))
                 kept = scores[2] >= m.threshold
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(np.round(s, 6).astype(np.float64)) for s in scores], pa.array(kept)], ["id", "text_score", "meta_score", "score", "kept"])

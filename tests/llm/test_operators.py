@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -269,6 +270,36 @@ def test_classifier_on_held_out_labels(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.3
 
 
+def test_classifier_picks_from_all_unlabelled_rows(spark):
+    r = np.random.default_rng(3)
+    texts = [f"w{i} " + " ".join(["good"] * int(a) + ["bad"] * int(b)) for i, (a, b) in enumerate(r.integers(0, 30, (2600, 2)))]
+    rows = frame(spark, [*enumerate(texts), (2600, texts[0])])
+    table = op9_cotraining.features(op9_cotraining._inputs(rows)).toArrow()
+    known = spark.createDataFrame([(i, 1) for i in range(0, 2601, 13)], "id long, y int")
+    text, meta = op9_cotraining._dense(table)
+    weights = [r.normal(0, 9, text.shape[1] + 1).astype(np.float32), r.normal(0, 2, meta.shape[1] + 1).astype(np.float32)]
+    keys, ids = table["key"].to_numpy(), table["id"].to_numpy()
+    pool = op9_cotraining.Pool(spark.createDataFrame(table).repartition(5), known)
+    used = [keys[40:45], keys[:0]]
+    for view, label, got, x in pool.surest(weights, used, most=7):
+        z = op9_cotraining.apply((text, meta)[view], weights[view]) * (1 if label else -1)
+        free = {k: s for k, i, s in zip(keys, ids, z, strict=True) if i % 13 and k not in used[1 - view] and op9_cotraining.sigmoid(s) >= op9_cotraining.CONFIDENT}
+        assert len(got) == len({*got}) == min(7, len(free)) and {*got} <= {*free}
+        assert sorted(round(float(op9_cotraining.sigmoid(free[k])), 4) for k in got) == sorted(round(float(op9_cotraining.sigmoid(s)), 4) for s in sorted(free.values())[-len(got) :] if len(got))
+        assert all(np.allclose(v, (text, meta)[1 - view][list(keys).index(k)]) for v, k in zip(x, got, strict=True))
+
+
+def test_threshold_is_not_set_by_one_good_row():
+    view = np.array([[1.0]] * 60 + [[-1.1]] + [[-1.0]] * 30, np.float32)
+    y = np.array([1.0] * 61 + [0.0] * 30)
+    y[60] = 1.0  # a row that looks worse than all bad ones
+    held = np.ones(91, bool)
+    held[[0, 90]] = False
+    model = op9_cotraining.co_train((view, view), y, SimpleNamespace(surest=lambda *_: []), held)
+    score = model.combined(*(op9_cotraining.apply(view, w) for w in (model.text, model.meta)))[2]
+    assert (score[:60] >= model.threshold).all() and (score[60:] < model.threshold).all()
+
+
 def test_classifier_without_labels(spark, table):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert op9_cotraining.train(table, labels) is None
