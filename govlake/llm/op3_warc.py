@@ -79,37 +79,66 @@ def leaves(records: DataFrame) -> DataFrame:
     return hashed.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), "key", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", "hash")
 
 
-def parents(nodes: DataFrame, keys: list, order: str) -> DataFrame:
-    """Nodes over those with equal keys: hash of the children's ranges and hashes in order. A node has at most FAN children but for the file tiers."""
-    part = F.concat_ws(":", F.col(order).cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), "hash")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), part.alias("p")))), lambda x: x.p), "|")
+def _place(key: str = "key") -> Column:
+    """Where a record hangs in the tree: its key, whatever stands before it; a null key is at 0."""
+    return F.coalesce(F.col(key), F.lit(0))
+
+
+def _up(idx: Column) -> Column:
+    """The place of the node above: floor(idx / FAN) without a detour by doubles."""
+    return F.shiftright(idx, FAN.bit_length() - 1)
+
+
+def parents(nodes: DataFrame, keys: list, *order: str) -> DataFrame:
+    """Nodes over those with equal keys: hash of the children's places, lengths and hashes in order. Offsets aren't hashed, so a record that is lost changes no node beside its own."""
+    part = F.concat_ws(":", *[F.col(x).cast("string") for x in order], (F.col("end") - F.col("start")).cast("string"), "hash")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, part.alias("p")))), lambda x: x.p), "|")
     return nodes.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(joined, 256).alias("hash"))
 
 
 def tree(rows: DataFrame, depth: int) -> list[DataFrame]:
-    """Levels of nodes (bucket, file, idx, start, end, hash), from the leaves to the root of all files.
+    """Levels of nodes (bucket, file, idx, start, end, hash), from those over records to the root of all files.
 
-    Level k > 0 joins FAN neighbours of level k - 1 within a file, so each node covers an unbroken range of
-    offsets. Above the file roots stand 256 buckets of file names and one root.
+    The first level joins the records of a file whose keys lie in the same range of FAN, each further one FAN
+    neighbours, so each node covers an unbroken range of offsets, and the same keys in every replica. Above
+    them stand the files, 256 buckets of file names and one root.
     """
-    bucket = F.substring(F.sha2("file", 256), 1, 2)
-    levels = [rows.select(bucket.alias("bucket"), "file", F.col("seq").alias("idx"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")]
-    for _ in range(depth):
-        up = levels[-1].withColumn("up", F.floor(F.col("idx") / FAN))
-        levels.append(parents(up, ["bucket", "file", "up"], "idx").withColumnRenamed("up", "idx"))
-    levels.append(parents(levels[-1], ["bucket"], "file").select("bucket", F.lit("").alias("file"), F.lit(0).cast("long").alias("idx"), "start", "end", "hash"))
-    levels.append(parents(levels[-1], [], "bucket").select(F.lit("").alias("bucket"), F.lit("").alias("file"), F.lit(0).cast("long").alias("idx"), "start", "end", "hash"))
+    bucket, none, zero = F.substring(F.sha2("file", 256), 1, 2), F.lit("").alias("file"), F.lit(0).cast("long").alias("idx")
+    level = rows.select(bucket.alias("bucket"), "file", _place().alias("idx"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")
+    levels = []
+    for k in range(depth):
+        up = level.withColumn("up", _up(F.col("idx")))
+        level = parents(up, ["bucket", "file", "up"], *(["idx", "hash"] if k == 0 else ["idx"])).withColumnRenamed("up", "idx")
+        levels.append(level)
+    levels.append(parents(level, ["bucket", "file"], "idx").select("bucket", "file", zero, "start", "end", "hash"))
+    levels.append(parents(levels[-1], ["bucket"], "file").select("bucket", none, zero, "start", "end", "hash"))
+    levels.append(parents(levels[-1], [], "bucket").select(F.lit("").alias("bucket"), none, zero, "start", "end", "hash"))
     return levels
 
 
+def _record_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Records of two sides that have no equal record of their key on the other: (file, seq, key, offset, length, hash_a, hash_b)."""
+    same = ["file", "place", "empty", "hash", "nth"]
+    sides = []
+    for x in (a, b):
+        nth = F.row_number().over(W.partitionBy("file", "key", "hash").orderBy("seq"))
+        sides.append(x.withColumns({"place": _place(), "empty": F.col("key").isNull(), "nth": nth}))
+    mine = [x.join(y.select(*same), same, "left_anti") for x, y in (sides, sides[::-1])]
+    pair = F.row_number().over(W.partitionBy("file", "key").orderBy("seq"))
+    mine = [x.select("file", "place", "empty", pair.alias("nth"), F.struct("seq", "key", "offset", "length").alias(f"at_{n}"), F.col("hash").alias(f"hash_{n}")) for x, n in zip(mine, "ab", strict=True)]
+    return mine[0].join(mine[1], ["file", "place", "empty", "nth"], "full").select("file", F.coalesce("at_a", "at_b").alias("at"), "hash_a", "hash_b").select("file", "at.*", "hash_a", "hash_b")
+
+
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """(file, seq, key, offset, length, hash_a, hash_b, status) of the records in which two replicas (file, key, record) differ.
 
-    Both trees are compared from the roots down: a level is looked at only below nodes that differ above. status is
-    changed, missing (not in the second) or extra. Equal replicas, two empty ones included, give no row.
+    Both trees are compared from the roots down: a level is looked at only below nodes that differ above. Below the last
+    ones records are matched by their keys; of those that repeat a key equal ones first, the others in their order.
+    status is changed, missing (not in the second) or extra; an extra record's place is that in the second.
+    Equal replicas, two empty ones included, give no row.
     """
     rows = [saved(leaves(x), "leaves") for x in (first, second)]
-    most = max((x.agg(F.max("seq")).first()[0] or 0) for x in rows)
+    most = max((x.groupBy("file").agg((F.max(_place()) - F.min(_place())).alias("n")).agg(F.max("n")).first()[0] or 0) for x in rows)
     depth = 1
     while FAN**depth <= most:
         depth += 1
@@ -119,17 +148,15 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     for level in range(len(pairs) - 1, -1, -1):
         a, b = pairs[level]
         if wrong is not None:
-            above = {len(pairs) - 2: [F.lit(""), F.lit(""), F.lit(0)], len(pairs) - 3: [F.col("bucket"), F.lit(""), F.lit(0)]}.get(level, [F.col("bucket"), F.col("file"), F.floor(F.col("idx") / FAN)])
+            above = {depth + 1: [F.lit(""), F.lit(""), F.lit(0)], depth: [F.col("bucket"), F.lit(""), F.lit(0)], depth - 1: [F.col("bucket"), F.col("file"), F.lit(0)]}.get(level, [F.col("bucket"), F.col("file"), _up(F.col("idx"))])
             a, b = (x.withColumns(dict(zip(("b_", "f_", "i_"), above, strict=True))).join(wrong, ["b_", "f_", "i_"], "left_semi") for x in (a, b))
         both = a.select(*key, F.col("hash").alias("hash_a")).join(b.select(*key, F.col("hash").alias("hash_b")), key, "full")
         differ = saved(both.where(~F.col("hash_a").eqNullSafe(F.col("hash_b"))), "differ")  # else plans double with each level
         wrong = differ.select(F.col("bucket").alias("b_"), F.col("file").alias("f_"), F.col("idx").alias("i_"))
-        if level == 0:
-            found = differ
-    places = [x.select("file", F.col("seq").alias("idx"), F.struct("key", "offset", "length").alias(n)) for x, n in zip(rows, ("a", "b"), strict=True)]
-    out = found.join(places[0], ["file", "idx"], "left").join(places[1], ["file", "idx"], "left")
+    below = wrong.select(F.col("f_").alias("file"), "i_")
+    out = _record_differences(*(x.withColumn("i_", _up(_place())).join(below, ["file", "i_"], "left_semi").drop("i_") for x in rows))
     status = F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "extra").otherwise("changed")
-    return out.select("file", F.col("idx").alias("seq"), F.coalesce("a", "b").alias("at"), "hash_a", "hash_b", status.alias("status")).select("file", "seq", "at.*", "hash_a", "hash_b", "status")
+    return out.withColumn("status", status)
 
 
 def damaged(records: DataFrame, every: int = 97) -> DataFrame:

@@ -238,6 +238,18 @@ def test_warc_round_trip_and_audit(spark, tmp_path):
     assert op3_warc.audit(records.limit(0), records.limit(0)).count() == 0
 
 
+def test_audit_finds_records_lost_and_gained_in_mid_file(spark):
+    schema = "file string, key long, record string"
+    kept = [("f", k, f"record {k}") for k in range(0, 900, 3)] + [("g", k, f"record {k}") for k in range(-40, 40)] + [("g", None, "no key"), ("g", 5, "record 5 again"), ("h", 1, "only in one")]
+    lost = {("f", 300, "record 300"), ("f", 603, "record 603"), ("g", -17, "record -17"), ("g", 5, "record 5"), ("h", 1, "only in one")}
+    other = [x for x in kept if x not in lost and x[1] != 450] + [("f", 450, "much longer than it was"), ("f", 301, "new"), ("g", None, "no key"), ("i", 2**40, "far")]
+    found = op3_warc.audit(spark.createDataFrame(kept, schema), spark.createDataFrame(other, schema))
+    want = {("f", 450, "changed"), ("f", 301, "extra"), ("g", None, "extra"), ("i", 2**40, "extra")} | {(f, k, "missing") for f, k, _ in lost}
+    rows = found.collect()
+    assert {(r.file, r.key, r.status) for r in rows} == want and len(rows) == len(want)
+    assert next(r for r in rows if r.key == 300).seq == 100
+
+
 def test_lines(spark):
     docs = [(i, f"head\nbody {i}\n  foot \n\n") for i in range(1, 7)] + [(8, None), (9, ""), (10, "foot")]
     done = {r.page.doc_id: r for r in op1_lines.without_boilerplate(frame(spark, docs), ratio=0.4).collect()}
