@@ -23,6 +23,8 @@ HOLD_OUT = 4  # one of so many labelled rows is left for calibration
 #: The threshold has the least GOOD_COST * (share of held-out good rows rejected) + (share of held-out bad rows kept).
 GOOD_COST = 4
 
+SLICE = 512  # rows scored at once, so that a task's memory doesn't grow with Arrow's batches
+
 _SHAPES = 9
 META = 2 * PLACES + _SHAPES
 _FEATURES = "id long, places array<int>, counts array<int>, meta array<float>, key long"
@@ -126,7 +128,7 @@ class Pool:
 
         def run(batches):
             weights, used = sent.value
-            for batch in batches:
+            for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
                 logits = _logits(batch, weights)
                 for i in (0, 1):
                     free = ~np.isin(batch.column("key").to_numpy(), used[1 - i])
