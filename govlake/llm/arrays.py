@@ -74,6 +74,11 @@ class Words:
         start = np.arange(len(self.hash))
         return spans(sums, start, start + np.minimum(size, self.room()))
 
+    def heads(self, size: int, lower: bool = False) -> np.ndarray:
+        """Hash of the first `size` bytes of each word, other than that of a whole word."""
+        sums = prefix((_LOWER_CODES if lower else _CODES)[self.data])
+        return mix64(spans(sums, self.start, np.minimum(self.start + size, self.end)) + U(size))
+
     def room(self) -> np.ndarray:
         """Number of words from each word to the end of its row, itself included."""
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.hash))

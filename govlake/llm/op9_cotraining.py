@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import U, chunks, list_array, words
+from govlake.llm.arrays import U, chunks, list_array, ragged, words
 from govlake.llm.store import saved
 
 #: Bound of the labelled rows that the driver fits on.
-LABELLED = 3000
-WORD_BITS = 12
+LABELLED = 4000
+WORD_BITS = 16
+STEMS = (4, 6)  # a word also counts by its first bytes, as inflected forms share them
 PLACES = 64  # hashed places of source and language
 ROUNDS, PER_ROUND, CONFIDENT = 5, 200, 0.95
+PSEUDO = 0.1  # pseudo-labelled rows of a class weigh at most so much of its labelled ones together
 HOLD_OUT = 4  # one of so many labelled rows is left for calibration
 #: The threshold has the least GOOD_COST * (share of held-out good rows rejected) + (share of held-out bad rows kept).
-GOOD_COST = 4
+GOOD_COST = 10
 
 SLICE = 512  # rows scored at once, so that a task's memory doesn't grow with Arrow's batches
 
@@ -43,24 +46,43 @@ def _place(value: str | None) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % PLACES
 
 
+@dataclass
+class Rows:
+    """Both views of some rows: hashed words and stems with their counts, row after row, and metadata."""
+
+    sizes: np.ndarray  # number of places of each row
+    places: np.ndarray
+    counts: np.ndarray
+    meta: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Rows:
+        at = ragged((np.cumsum(self.sizes) - self.sizes)[rows], self.sizes[rows])
+        return Rows(self.sizes[rows], self.places[at], self.counts[at], self.meta[rows])
+
+    @staticmethod
+    def joined(parts: list[Rows]) -> Rows:
+        return Rows(*(np.concatenate(x) for x in zip(*((p.sizes, p.places, p.counts, p.meta) for p in parts), strict=True)))
+
+    @staticmethod
+    def of(batch: pa.RecordBatch | pa.Table) -> Rows:
+        """From columns of _FEATURES."""
+        places, counts, meta = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["places"], batch["counts"], batch["meta"]))
+        return Rows(np.diff(places.offsets.to_numpy()).astype(np.int64), places.flatten().to_numpy(), counts.flatten().to_numpy(), meta.flatten().to_numpy().reshape(-1, META))
+
+
 def view_rows(text: pa.Array, source: list, lang: list):
-    """(first row, last row, row of each word place, places, counts, metadata) chunk by chunk."""
+    """(first row, row after the last, Rows) chunk by chunk."""
     for lo, hi, data, at in chunks(text):
         w = words(data, at, lower=True)
-        row = np.repeat(np.arange(hi - lo), w.counts)
-        both, n = np.unique((row << WORD_BITS) | (w.hash >> U(64 - WORD_BITS)).astype(np.int64), return_counts=True)
-        row, place = both >> WORD_BITS, both & ((1 << WORD_BITS) - 1)
+        hashes = np.concatenate([w.hash, *[w.heads(k, lower=True) for k in STEMS]])
+        row = np.tile(np.repeat(np.arange(hi - lo), w.counts), 1 + len(STEMS))
+        both, n = np.unique((row << WORD_BITS) | (hashes >> U(64 - WORD_BITS)).astype(np.int64), return_counts=True)
+        sizes = np.bincount(both >> WORD_BITS, minlength=hi - lo)
         meta = np.zeros((hi - lo, META), np.float32)
         meta[np.arange(hi - lo), [_place(x) for x in source[lo:hi]]] = 1
         meta[np.arange(hi - lo), [PLACES + _place(x) for x in lang[lo:hi]]] = 1
-        meta[:, 2 * PLACES :] = _shape(data, at, w.counts, np.bincount(row, minlength=hi - lo))
-        yield lo, hi, row, place, n, meta
-
-
-def word_weights(row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
-    """The text view: the log count of each hashed word, scaled to length 1 per row."""
-    weight = np.log1p(n)
-    return (weight / np.sqrt(np.bincount(row, weight**2, rows))[row]).astype(np.float32)
+        meta[:, 2 * PLACES :] = _shape(data, at, w.counts, sizes)
+        yield lo, hi, Rows(sizes, (both & ((1 << WORD_BITS) - 1)).astype(np.int32), n.astype(np.int32), meta)
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -69,9 +91,8 @@ def features(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, hi, row, place, n, meta in view_rows(batch.column(1), source, lang):
-                size = np.bincount(row, minlength=hi - lo)
-                columns = [batch.column(0).slice(lo, hi - lo), list_array(place.astype(np.int32), size, pa.int32()), list_array(n.astype(np.int32), size, pa.int32()), list_array(meta.ravel(), np.full(hi - lo, META), pa.float32()), batch.column(4).slice(lo, hi - lo)]
+            for lo, hi, r in view_rows(batch.column(1), source, lang):
+                columns = [batch.column(0).slice(lo, hi - lo), list_array(r.places, r.sizes, pa.int32()), list_array(r.counts, r.sizes, pa.int32()), list_array(r.meta.ravel(), np.full(hi - lo, META), pa.float32()), batch.column(4).slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "places", "counts", "meta", "key"])
 
     return rows.withColumn("key", F.xxhash64("text", "source", "lang")).mapInArrow(run, _FEATURES)
@@ -81,22 +102,70 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 80) -> np.ndarray:
-    """Weights and bias of a logistic regression, both classes weighing the same, by accelerated gradient descent."""
-    x, y = np.asarray(x, np.float32), y.astype(np.float32)  # one type throughout, else every product copies x
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-    w = look = np.zeros(x.shape[1] + 1, np.float32)
-    rate = np.float32(4 / max(1e-9, float(share @ (np.einsum("ij,ij->i", x, x) + 1))))
-    penalty = np.float32(penalty)
+def apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return x @ w[:-1] + w[-1]
+
+
+def _sums(values: np.ndarray, at: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Sums of runs of values that begin at `at`; run i is entry which[i] of n, the others are 0."""
+    out = np.zeros(n, np.float32)
+    if len(at):
+        out[which] = np.add.reduceat(values, at)
+    return out
+
+
+def _descend(times: Callable, back: Callable, squares: np.ndarray, y: np.ndarray, weigh: np.ndarray, width: int, penalty: float, steps: int) -> np.ndarray:
+    """Weights and bias of a logistic regression, both classes weighing the same, by accelerated gradient descent.
+
+    times(w): the rows' products with weights; back(x): the columns' products with a number per row; squares: of the rows'
+    lengths; weigh: the rows' shares of their class.
+    """
+    y = y.astype(np.float32)  # one type throughout
+    share = (weigh / np.where(y > 0, max(1e-9, 2 * weigh[y > 0].sum()), max(1e-9, 2 * weigh[y == 0].sum()))).astype(np.float32)
+    w = look = np.zeros(width + 1, np.float32)
+    rate, penalty = np.float32(4 / max(1e-9, float(share @ (squares + 1)))), np.float32(penalty)
     for k in range(steps):
-        off = share * (sigmoid(apply(x, look)) - y)
-        step = look - rate * (np.append(x.T @ off, off.sum()) + penalty * look)
+        off = share * (sigmoid(times(look[:-1]) + look[-1]) - y)
+        step = look - rate * (np.append(back(off), off.sum()) + penalty * look)
         look, w = step + np.float32(k / (k + 3)) * (step - w), step
     return w
 
 
-def apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+def fit_dense(x: np.ndarray, y: np.ndarray, weigh: np.ndarray | None = None, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
+    x = np.asarray(x, np.float32)
+    weigh = np.ones(len(y)) if weigh is None else weigh
+    return _descend(lambda w: x @ w, lambda off: x.T @ off, np.einsum("ij,ij->i", x, x), y, weigh, x.shape[1], penalty, steps)
+
+
+def fit_text(rows: Rows, y: np.ndarray, weigh: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
+    """Weights of the text view's places, and bias. Places are scaled by how much commoner they are in one class (naive Bayes
+    ratio), so that a few telling words outweigh a text's many others."""
+    width, n = 1 << WORD_BITS, len(y)
+    row = np.repeat(np.arange(n, dtype=np.int32), rows.sizes)
+    held = np.bincount(rows.places, minlength=width)
+    good, bad = (np.bincount(rows.places, (weigh * c)[row], width) + 1 for c in (y, 1 - y))
+    lean = np.log(good / max(1, weigh @ y) / (bad / max(1, weigh @ (1 - y)))).astype(np.float32)
+    value = text_values(rows) * lean[rows.places]
+    order = np.argsort(rows.places, kind="stable")
+    turned, turned_row = value[order], row[order]
+    full = np.flatnonzero(rows.sizes)
+    at, used = (np.cumsum(rows.sizes) - rows.sizes)[full], np.flatnonzero(held)
+    at_place = (np.cumsum(held) - held)[used]
+    del order, row
+    w = _descend(lambda w: _sums(value * w[rows.places], at, full, n), lambda off: _sums(turned * off[turned_row], at_place, used, width), _sums(value * value, at, full, n), y, weigh, width, penalty, steps)
+    return np.append(w[:-1] * lean, w[-1]).astype(np.float32)
+
+
+def text_values(rows: Rows) -> np.ndarray:
+    """What each place adds: its log count over the fourth root of the row's number of places."""
+    return (np.log1p(rows.counts) / np.repeat(np.maximum(rows.sizes, 1) ** 0.25, rows.sizes)).astype(np.float32)
+
+
+def logits(rows: Rows, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's logit by either view."""
+    row = np.repeat(np.arange(len(rows.sizes)), rows.sizes)
+    text = np.bincount(row, text_values(rows) * weights[0][:-1][rows.places], len(rows.sizes)) + weights[0][-1]
+    return text, apply(rows.meta, weights[1])
 
 
 @dataclass
@@ -107,9 +176,9 @@ class Model:
     threshold: float
 
     def combined(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Calibrated probabilities of the views, and of the mean of their logits."""
-        a, b = (self.scale[i, 0] * z + self.scale[i, 1] for i, z in enumerate((text, meta)))
-        return sigmoid(a), sigmoid(b), sigmoid((a + b) / 2)
+        """Calibrated probabilities of the views' logits, and the lower of both: what one view rejects the other can't excuse."""
+        a, b = (sigmoid(self.scale[i, 0] * z + self.scale[i, 1]) for i, z in enumerate((text, meta)))
+        return a, b, np.minimum(a, b)
 
 
 class Pool:
@@ -119,8 +188,8 @@ class Pool:
         """rows: _FEATURES, read more than once; known: the ids that have a label."""
         self.rows, self.known = rows, known
 
-    def surest(self, weights: list[np.ndarray], used: list[np.ndarray], most: int = PER_ROUND) -> list[tuple]:
-        """(view, label, keys, features of the other view): the `most` rows of each label of which a view is surest, CONFIDENT at least.
+    def surest(self, weights: list[np.ndarray], used: list[np.ndarray], most: int = PER_ROUND) -> list[tuple[int, int, np.ndarray, Rows]]:
+        """(view, label, keys, rows): the `most` rows of each label of which a view is surest, CONFIDENT at least.
 
         used[i]: keys that view i was given before. Equal rows count once; rows that are equally sure come in the order of their keys.
         """
@@ -129,11 +198,11 @@ class Pool:
         def run(batches):
             weights, used = sent.value
             for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
-                logits = _logits(batch, weights)
+                told = logits(Rows.of(batch), weights)
                 for i in (0, 1):
                     free = ~np.isin(batch.column("key").to_numpy(), used[1 - i])
                     for label in (1, 0):
-                        sure = sigmoid(logits[i] if label else -logits[i])
+                        sure = sigmoid(told[i] if label else -told[i])
                         at = np.flatnonzero(free & (sure >= CONFIDENT))
                         take = batch.select(["id", "key"]).take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * i + label, np.int32)), *take.columns, pa.array(sure[at].astype(np.float64))], ["kind", "id", "key", "sure"])
@@ -145,9 +214,9 @@ class Pool:
         kind, keys = best["kind"].to_numpy(), best["key"].to_numpy()
         wanted = self.rows.sparkSession.createDataFrame([(x,) for x in {*keys.tolist()}], "key long")  # 4 * most rows at most
         table = self.rows.join(F.broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]).select("places", "counts", "meta", "key").toArrow().sort_by("key")
-        at, views = table["key"].to_numpy(), _dense(table)
+        at, found = table["key"].to_numpy(), Rows.of(table)
         sent.destroy()
-        return [(k // 2, k % 2, keys[kind == k], views[1 - k // 2][np.searchsorted(at, keys[kind == k])]) for k in range(4)]
+        return [(k // 2, k % 2, keys[kind == k], found.take(np.searchsorted(at, keys[kind == k]))) for k in range(4)]
 
 
 def least_cost(good: np.ndarray, bad: np.ndarray, good_cost: float = GOOD_COST) -> float:
@@ -159,82 +228,85 @@ def least_cost(good: np.ndarray, bad: np.ndarray, good_cost: float = GOOD_COST)
     return float(cuts[np.argmin(good_cost * lost + kept)])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool, held: np.ndarray, rounds: int = ROUNDS) -> Model:
+def _trust(y: np.ndarray, n: int) -> np.ndarray:
+    """1 for the n labelled rows; the pseudo-labelled rows behind them weigh less where they'd outweigh PSEUDO of their class's labelled ones."""
+    weigh = np.ones(len(y))
+    for c in (0.0, 1.0):
+        rest = n + np.flatnonzero(y[n:] == c)
+        weigh[rest] = min(1.0, PSEUDO * (y[:n] == c).sum() / max(1, len(rest)))
+    return weigh
+
+
+def co_train(rows: Rows, y: np.ndarray, pool: Pool, held: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Fits both views. In each round each view labels the pool's rows of which it's most sure for the other one,
     up to PER_ROUND of either class; `held` rows calibrate the views (Platt) and set the threshold."""
-    sets = [[v[~held], y[~held]] for v in views]
-    used = [np.zeros(0, np.int64) for _ in views]
-    weights = [fit_logistic(*s) for s in sets]
+    fit = (fit_text, lambda r, *rest: fit_dense(r.meta, *rest))
+    sets = [[rows.take(np.flatnonzero(~held)), y[~held]] for _ in fit]
+    n = len(sets[0][1])
+    used = [np.zeros(0, np.int64) for _ in fit]
+    weights = [f(*s, np.ones(n)) for f, s in zip(fit, sets, strict=True)]
     for _ in range(rounds):
         for i, label, keys, x in pool.surest(weights, used):
             used[1 - i] = np.concatenate([used[1 - i], keys])
-            sets[1 - i] = [np.vstack([sets[1 - i][0], x]), np.concatenate([sets[1 - i][1], np.full(len(x), float(label))])]
-        weights = [fit_logistic(*s) for s in sets]
+            sets[1 - i] = [Rows.joined([sets[1 - i][0], x]), np.concatenate([sets[1 - i][1], np.full(len(keys), float(label))])]
+        weights = [f(*s, _trust(s[1], n)) for f, s in zip(fit, sets, strict=True)]
+    told = logits(rows.take(np.flatnonzero(held)), weights)
     scale = []
-    for v, w in zip(views, weights, strict=True):
-        z = apply(v[held], w)
+    for z in told:
         spread = z.std() or 1.0
-        slope, shift = fit_logistic((z / spread)[:, None], y[held], penalty=1e-3, steps=400)
+        slope, shift = fit_dense((z / spread)[:, None], y[held], None, 1e-3, 400)
         scale.append((slope / spread, shift))
     model = Model(*weights, np.array(scale), 0.5)
-    score = model.combined(*(apply(v[held], w) for v, w in zip(views, weights, strict=True)))[2]
+    score = model.combined(*told)[2]
     model.threshold = least_cost(score[y[held] > 0], score[y[held] == 0])
     return model
 
 
-def _words(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, weight) of the word places of _FEATURES."""
-    places, counts = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["places"], batch["counts"]))
-    row = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
-    return row, places.flatten().to_numpy(), word_weights(row, counts.flatten().to_numpy(), len(places))
-
-
-def _meta(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    meta = batch["meta"].combine_chunks() if isinstance(batch["meta"], pa.ChunkedArray) else batch["meta"]
-    return meta.flatten().to_numpy().reshape(-1, META)
-
-
-def _logits(batch: pa.RecordBatch, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    row, place, weight = _words(batch)
-    text = np.bincount(row, weight * weights[0][:-1][place], batch.num_rows) + weights[0][-1]
-    return text, apply(_meta(batch), weights[1])
-
-
-def _dense(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    text = np.zeros((len(table), 1 << WORD_BITS), np.float32)
-    row, place, weight = _words(table)
-    text[row, place] = weight
-    return text, _meta(table)
+def good_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
+    """(id, y): y is 1 for rows of quality that aren't toxic. Without a toxic column nothing is toxic, a null toxic flag is no
+    flag; other rows without quality are unlabelled, and of rows that repeat an id the worst counts."""
+    bad = F.coalesce(F.col(toxic_col) > 0, F.lit(False)) if toxic_col in labels.columns else F.lit(False)
+    known = labels.select(F.col(id_col).cast("long").alias("id"), ((F.col(label_col) > 0) & ~bad).cast("int").alias("y"))
+    return known.where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED) -> Model | None:
     """Fits on at most `labelled` labelled rows, picked by the hash of their ids, and on the surest of all unlabelled ones; None if a class has fewer than 8 rows."""
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+    known = good_rows(labels, id_col, label_col)
     picked = known.orderBy(F.xxhash64("id"), "id").limit(labelled).toArrow().to_pydict()
     y_of = dict(zip(picked["id"], picked["y"], strict=True))
     wanted = docs.sparkSession.createDataFrame([(x,) for x in y_of], "id long")  # labelled rows at most
     rows = saved(features(_inputs(docs, id_col)), "features")
     table = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("places", "counts", "meta"), "key").alias("x")).select("id", "x.*").toArrow().sort_by("id")
-    y = np.array([float(y_of[x] > 0) for x in table["id"].to_pylist()])
+    y, found = np.array([float(y_of[x] > 0) for x in table["id"].to_pylist()]), Rows.of(table)
+    del table
     if min(y.sum(), (1 - y).sum()) < 8:
         return None
     # Held-out rows alternate within each class.
     held = np.zeros(len(y), bool)
     for c in (0.0, 1.0):
         held[np.flatnonzero(y == c)[::HOLD_OUT]] = True
-    return co_train(_dense(table), y, Pool(rows, known), held)
+    return co_train(found, y, Pool(rows, known), held)
 
 
-def _inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    columns = [F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")]
+def _inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", cast: str | None = "long") -> DataFrame:
+    own = F.col(id_col).cast(cast) if cast else F.col(id_col)
+    columns = [own.alias("id"), F.col(text_col).alias("text")]
     return docs.select(*columns, F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
 
 
+def _scored(model: Model, text: pa.Array, source: pa.Array, lang: pa.Array):
+    """(first row, row after the last, the three scores, kept) of a batch's rows, chunk by chunk."""
+    for lo, hi, rows in view_rows(text, source.to_pylist(), lang.to_pylist()):
+        scores = model.combined(*logits(rows, [model.text, model.meta]))
+        yield lo, hi, scores, scores[2] >= model.threshold
+
+
 def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
     """(id_col, text_score, meta_score, score, kept) per row of docs.
 
     Without a model (too few labels) scores are null and all rows are kept. Null texts, sources and languages count as
-    empty ones. Repeated rows are scored each; equal rows get equal scores.
+    empty ones. Repeated rows are scored each; equal rows get equal scores. Ids keep their type.
     """
     if model is None:
         nothing = F.lit(None).cast("double")
@@ -242,24 +314,31 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Da
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = sent.value
         for batch in batches:
-            source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, hi, row, place, n, meta in view_rows(batch.column(1), source, lang):
-                text = np.bincount(row, word_weights(row, n, hi - lo) * m.text[:-1][place], hi - lo) + m.text[-1]
-                scores = m.combined(text, apply(meta, m.meta))
-                kept = scores[2] >= m.threshold
+            for lo, hi, scores, kept in _scored(sent.value, *batch.columns[1:4]):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(np.round(s, 6).astype(np.float64)) for s in scores], pa.array(kept)], ["id", "text_score", "meta_score", "score", "kept"])
 
-    return _inputs(docs, id_col).mapInArrow(run, "id long, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return _inputs(docs, id_col, cast=None).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows that the classifier rejects. Each row is judged where it stands, so nothing is joined, and rows
+    with null or repeated ids are judged by their own texts."""
+    model = train(docs, labels, id_col)
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            views = [batch.column(c) for c in (text_col, source_col, lang_col)]
+            for lo, hi, _, kept in _scored(sent.value, views[0], *(c.cast(pa.string()) for c in views[1:])):
+                yield batch.slice(lo, hi - lo).filter(pa.array(kept))
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that the classifier rejects."""
-    gone = classify(docs, train(docs, labels, id_col), id_col).where("not kept").select(id_col).distinct().hint("merge")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views' calibrated probabilities, the combined score and the verdict for every row of documents, fitted on labels."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return classify(docs, train(docs, labels))
