@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from functools import cache, lru_cache
 
@@ -29,7 +30,20 @@ def tokenizer(path: str):
     os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads in a worker, beside those of other tasks
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    return own
+
+
+@cache
+def by_pieces(path: str) -> bool:
+    """Whether the vocabulary cuts texts as `pretokens` does and nothing else changes them; texts of others are encoded whole."""
+    own = tokenizer(path)
+    cut = json.loads(own.pre_tokenizer.__getstate__()) if own.pre_tokenizer else {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    line = own.encode("\n", add_special_tokens=False).ids
+    return bool(plain and own.normalizer is None and len(line) == 1 and own.encode("a\nb\n", add_special_tokens=False).ids.count(line[0]) == 2)
 
 
 @cache
@@ -64,6 +78,12 @@ def pieces(data: np.ndarray, at: np.ndarray, kinds: np.ndarray):
     return points, begin, end, hashes, np.searchsorted(begin, rows)
 
 
+def encoded_whole(path: str, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ids of each row's text, by the library."""
+    texts = [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def frequent_table(docs: DataFrame, id_col: str, text_col: str, path: str, kinds, size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> tuple[Table, np.ndarray]:
     """Hash table of the `size` most frequent pre-tokens of `sample_rows` documents, and their lengths in tokens.
 
@@ -85,18 +105,23 @@ def frequent_table(docs: DataFrame, id_col: str, text_col: str, path: str, kinds
     table = Table()
     table.add(best["hash"].to_numpy().view(np.uint64))
     lengths = [len(e.ids) for e in tokenizer(path).encode_batch_fast(best["piece"].to_pylist(), add_special_tokens=False)]
-    return table, np.array(lengths, np.uint16)
+    return table, np.array(lengths, np.int64)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, table_size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id_col, n_bytes, n_tokens) per row of docs, as the tokenizers library counts with the byte-level vocabulary at `path`.
+    """(id_col, n_bytes, n_tokens) per row of docs, as the tokenizers library counts with the vocabulary at `path`.
 
     Every task looks up the pre-tokens of its texts in a broadcast table of at most table_size entries; those it
     lacks go to the worker's own bounded cache, and from there in batches to the library. Texts that hold
-    an added token's string go to the library whole. Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each.
+    an added token's string go to the library whole, as do all texts where the vocabulary cuts in another way than at the
+    byte-level pattern. Null and empty texts have 0 bytes and 0 tokens; repeated rows are counted each; a null id stays null.
     """
     path = path or vocabulary_path("byte_bpe_50k.json")
     context = docs.sparkSession.sparkContext
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = "id long, n_bytes long, n_tokens long"
+    if not by_pieces(path):
+        return rows.mapInArrow(_whole_counts(path), schema).withColumnRenamed("id", id_col)
     kinds = context.broadcast(classes())
     frequent = context.broadcast(frequent_table(docs, id_col, text_col, path, kinds, table_size, sample_rows))
 
@@ -121,10 +146,20 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             empty = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_bytes or empty)), pa.array(np.concatenate(n_tokens or empty))], ["id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _whole_counts(path: str):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, at in chunks(batch.column(1)):
+                n = np.array([len(x) for x in encoded_whole(path, data, at)], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(n)], ["id", "n_bytes", "n_tokens"])
+
+    return run
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, tokens and whether they exceed LIMIT for every row of documents; a null text counts as an empty one."""
     counts = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -72,7 +72,8 @@ NEWLINE = 10
 
 
 class SegmentCache:
-    """A worker's ids of the segments met so far; emptied when it holds `limit` segments, so its memory is bounded.
+    """A worker's ids of the segments met so far. When it holds `limit` segments it keeps those met again since the last time
+    that happened, or none if they are more than half of them, so its memory is bounded.
 
     encode gives the ids of each text of a list. Segments not met are encoded in long texts, parted by line ends; no
     token may hold a line end and anything else, and `mark` is the line end's id.
@@ -84,14 +85,24 @@ class SegmentCache:
 
     def clear(self) -> None:
         self.table, self.used, self.n = Table(), 0, 0
-        self.flat, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.flat, self.start, self.length, self.again = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
+
+    def thin(self) -> None:
+        kept = np.flatnonzero(self.again[: self.n])
+        full = np.flatnonzero(self.table.slots >= 0)
+        hashes = np.zeros(self.n, U)
+        hashes[self.table.slots[full]] = self.table.keys[full]
+        hashes, flat, lengths = hashes[kept], self.ids(kept), self.length[kept].copy()
+        self.clear()
+        if len(kept) <= self.limit // 2:
+            self._store(hashes, flat, lengths)
 
     def _store(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         slots = self.table.add(hashes)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + len(lengths) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.again))
         self.flat[self.used : self.used + len(flat)] = flat
         self.start[slots], self.length[slots] = self.used + np.cumsum(lengths) - lengths, lengths
         self.used, self.n = self.used + len(flat), self.n + len(lengths)
@@ -113,9 +124,10 @@ class SegmentCache:
     def slots(self, hashes: np.ndarray, points: np.ndarray, begin: np.ndarray, end: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """The slot of each segment points[begin:end]; those that a line end beside them would change are encoded alone."""
         if self.n > self.limit:
-            self.clear()
+            self.thin()
         out = self.table.find(hashes)
         missing = np.flatnonzero(out < 0)
+        self.again[out[out >= 0] if len(missing) else out] = True
         if len(missing):
             new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             at = missing[first]
