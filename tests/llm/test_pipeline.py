@@ -6,7 +6,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_each_stage_on_its_own_input(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: int(r.quality == 1 and r.toxic == 0) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     items = [brute.shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for n, (name, stage) in enumerate(p.STAGES):
         before = {r.doc_id: r.text for r in docs.collect()}
