@@ -8,10 +8,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.arrays import U, chunks, list_array, mix64, words
-from govlake.llm.store import components, saved
+from govlake.llm.store import bounded, components, saved
 
 SHINGLE = 5
 PERCENT = 75
@@ -94,13 +95,13 @@ def _is_link(both, a, b, percent: int):
 
 
 def links_in_block(table: pa.Table, percent: int = PERCENT) -> pa.Table:
-    """Links between the left and the right rows of one block that aren't in the same component yet."""
+    """Links between the components of the left and the right rows of one block."""
     rows = {c: table.column(c).combine_chunks() for c in table.column_names}
     left = rows["left"].to_numpy(zero_copy_only=False)
-    ids, component = rows["id"].to_numpy(), rows["component"].to_numpy()
+    component = rows["component"].to_numpy()
     at, flat = rows["shingles"].offsets.to_numpy(), rows["shingles"].values.to_numpy()
     right = np.flatnonzero(~left)
-    a, b = [], []
+    pairs = set()
     if len(right) and left.any():
         sizes = np.diff(at)
         members = np.concatenate([flat[at[i] : at[i + 1]] for i in right])
@@ -112,10 +113,9 @@ def links_in_block(table: pa.Table, percent: int = PERCENT) -> pa.Table:
             mark = np.zeros(len(vocabulary), np.int64)
             mark[where[vocabulary[where] == own]] = 1
             both = np.add.reduceat(mark[place], begin)
-            for j in right[_is_link(both, len(own), sizes[right], percent) & (component[right] != component[i])]:
-                a.append(ids[i])
-                b.append(ids[j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            linked = _is_link(both, len(own), sizes[right], percent) & (component[right] != component[i])
+            pairs.update((int(component[i]), int(x)) for x in np.unique(component[right[linked]]))
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -124,29 +124,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Every text gives its circulant MinHash signature, cut into `bands` keys; equal sets collapse to
        the smallest id, so copies are never paired.
     2. In each bucket of a band every set is paired with the bucket's smallest id only. Pairs are
-       confirmed on the full sets; components follow.
+       confirmed on the full sets, a hub's sets in parts of BLOCK; components follow.
     3. Sets that share such a smallest id but fell into different components are compared in blocks of
        BLOCK x BLOCK sets, all but the largest component against all. So every pair that shares a
-       bucket is in one component or has been compared; only links leave a block.
+       bucket is in one component or has been compared; only links between components leave a block.
 
     Null and empty texts have n_shingles 0, are linked with nothing and kept. Rows that repeat an id
-    give one result each. A row with a null id is linked with nothing and kept. Ties go to the smallest id. Other columns of docs aren't touched. A pair of
+    give one result each; if their texts differ the id is one document, linked wherever one of its texts is.
+    A row with a null id is linked with nothing and kept. Ties go to the smallest id. Other columns of docs aren't touched. A pair of
     similarity s shares no bucket with probability (1 - s**rows)**bands: 2.5e-7 at 0.75.
     """
     drawn = saved(sketches(docs, id_col, text_col, bands, rows), "sketches")
     full = drawn.where("n_shingles > 0 and id is not null")
     groups = saved(full.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "groups")
-    reps = full.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    several = saved(full.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b").select("id"), "several")
+    reps = full.join(groups.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"], "left_semi").dropDuplicates(["id", "k1", "k2"])
     entries = reps.select("id", F.explode("bands").alias("key"))
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
     spokes = saved(entries.join(hubs, "key").select("id", "hub").distinct(), "spokes")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    wanted = spokes.select("id").distinct()
-    sets = saved(sets_of(texts.join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])), "sets")
-    pairs = spokes.where("id <> hub").join(sets, "id").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other")), "hub")
+    wanted = saved(spokes.select("id").distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(wanted), "id", "left_semi")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
+    sets = saved(sets_of(texts), "sets")
+    parts = spokes.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    ends = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other")).join(parts, "hub").select("hub", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = spokes.where("id <> hub").join(parts, "hub").select("id", "hub", part).join(sets, "id").join(ends, ["hub", "part"])
     both = F.size(F.array_intersect("shingles", "other"))
-    first = saved(pairs.where(_is_link(both, F.size("shingles"), F.size("other"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")), "stars")
-    known = components(first).withColumnRenamed("node", "id")
+    stars = pairs.where(_is_link(both, F.size("shingles"), F.size("other"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    if not several.isEmpty():
+        shared = full.join(several, "id", "left_semi").join(groups, ["k1", "k2"]).groupBy("id").agg(F.collect_set("rep").alias("reps"))
+        stars = stars.unionByName(shared.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")))
+    known = saved(components(stars).withColumnRenamed("node", "id"), "known")
     placed = saved(spokes.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
 
     counts = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
@@ -155,11 +164,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_ = placed.join(apart, "hub").join(sets, "id")
     block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     numbers = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    right = rows_.select("hub", numbers.alias("i"), block.alias("j"), F.lit(False).alias("left"), "id", "component", "shingles")
-    left = rows_.where("component <> main").select("hub", block.alias("i"), numbers.alias("j"), F.lit(True).alias("left"), "id", "component", "shingles")
-    more = saved(left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(lambda t: links_in_block(t, percent), "a long, b long"), "links")
-
-    found = components(first.unionByName(more)).withColumnRenamed("node", "rep")
+    right = rows_.select("hub", numbers.alias("i"), block.alias("j"), F.lit(False).alias("left"), "component", "shingles")
+    left = rows_.where("component <> main").select("hub", block.alias("i"), numbers.alias("j"), F.lit(True).alias("left"), "component", "shingles")
+    more = saved(left.unionByName(right).groupBy("hub", "i", "j").applyInArrow(lambda t: links_in_block(t, percent), "a long, b long"), "more")
+
+    found = known.select(F.col("id").alias("rep"), "component")
+    if not more.isEmpty():  # links between components, each named by its smallest id
+        last = components(more).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        nodes = groups.select("rep").distinct().join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        found = nodes.join(last, "component", "left").select("rep", F.coalesce("joined", "component").alias("component"))
     classes = groups.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     classes = classes.where("copies > 1 or component_id <> rep").select("k1", "k2", "component_id")
     out = drawn.select("id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
@@ -168,10 +181,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest id of each component; of rows that repeat an id one stays. Columns stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(id_col).hint("merge")
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col]).select(docs.columns)
+    """docs without all but the smallest id of each component. Of rows that repeat an id the one of the smallest text stays; rows
+    without an id all stay. Columns stay as they are."""
+    gone = saved(near_duplicates(docs, id_col, text_col).where("not kept").select(id_col).distinct(), "gone")
+    nth = F.row_number().over(W.partitionBy(id_col).orderBy(text_col))
+    named = docs.where(F.col(id_col).isNotNull()).join(gone.hint("merge"), id_col, "left_anti")
+    first = named.withColumn("__nth", nth).where("__nth = 1").select(docs.columns)
+    return first.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every row of documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
