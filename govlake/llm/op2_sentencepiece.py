@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import chunks, list_array, ragged
+from govlake.llm.arrays import chunks, list_array
 from govlake.llm.op5_token_counts import vocabulary_path
-from govlake.llm.segments import NEWLINE, SegmentCache, decoded, segment_hashes
+from govlake.llm.segments import SegmentCache, decoded, segment_hashes
 
+CACHE = 1 << 19
 MARK = "▁"
 # Kinds of pieces and models in the model file.
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
@@ -75,11 +77,9 @@ def read_model(path: str) -> Model:
     )
 
 
-def build_tokenizer(model: Model, normalise: bool = True):
-    """The tokenizers library's counterpart of a model: normaliser, space mark, scores or merges, byte fallback, decoder.
-
-    normalise=False leaves the normaliser out, for text that is normalised and marked already.
-    """
+def build_tokenizer(model: Model):
+    """The tokenizers library's counterpart of a model: normaliser, space mark, scores or merges, byte fallback, decoder."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")  # the library's threads in a worker, beside those of other tasks
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     index = {p: i for i, p in enumerate(model.pieces)}
@@ -96,12 +96,15 @@ def build_tokenizer(model: Model, normalise: bool = True):
     if model.remove_extra_whitespaces:
         steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     steps += [normalizers.Prepend(MARK)] if model.add_dummy_prefix else []
-    if normalise:
-        own.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
+    own.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
     own.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else [])])
     return own
 
 
+#: Flags of a segment or text: the reference library gives other ids; decoding the ids doesn't give the text.
+DIFFERS, CHANGED = 1, 2
+
+
 class Codec:
     """A worker's backend for one model, with the library that made the model beside it for the parity check."""
 
@@ -109,58 +112,52 @@ class Codec:
         import sentencepiece
 
         self.model = read_model(path)
-        self.backend, self.whole = build_tokenizer(self.model, normalise=False), build_tokenizer(self.model)
+        self.backend = build_tokenizer(self.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.mark = self.reference.piece_to_id("<0x0A>")
-        pieces = [p.encode() for p in (p.replace(MARK, " ") for p in self.model.pieces)]
-        pieces = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else p for p, k in zip(pieces, self.model.kinds, strict=True)]
-        self.piece_length = np.array([len(p) for p in pieces])
-        self.piece_start = np.cumsum(self.piece_length) - self.piece_length
-        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
-        self.differ = 0
-        self.cache = SegmentCache(self.encode, self.mark, limit)
-        #: Segments may be encoded apart if no piece but a byte holds a line end, or a mark behind anything else.
-        self.parts = self.model.byte_fallback and self.model.model_type == BPE and not self.model.charsmap and not self.model.remove_extra_whitespaces and self.model.add_dummy_prefix and not any("\n" in p or MARK in p.lstrip(MARK) for p in self.model.pieces)
+        self.cache = SegmentCache(self.encode, -1, limit)
+        m = self.model
+        #: Texts may be encoded in parts if no piece holds a mark behind anything else and the normaliser only marks spaces.
+        self.parts = m.byte_fallback and m.model_type == BPE and not m.charsmap and not m.remove_extra_whitespaces and m.add_dummy_prefix and not any(MARK in p.lstrip(MARK) for p in m.pieces)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids by the backend, in its threads; where the reference's differ they count and replace them."""
-        found = [np.array(e.ids, np.uint32) for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
-        # The reference puts a mark before a text. It stands alone before a line end; a text of one line end has it, too.
-        for i, ids in enumerate(self.reference.encode(["\n" + t for t in texts], num_threads=1)):
-            own = np.array(ids[2:], np.uint32)
-            if len(own) != len(found[i]) or (own != found[i]).any():
-                self.differ += 1
-                found[i] = own
-        return found
-
-    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes that the ids stand for, one after another, and their lengths."""
-        lengths = self.piece_length[ids]
-        return self.piece_bytes[ragged(self.piece_start[ids], lengths)], lengths
+        """Flags, then the backend's ids, of each text. Normalised, encoded and decoded in batches by the backend's threads, and held against the reference."""
+        found = [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        back = self.backend.decode_batch(found, skip_special_tokens=False)
+        wanted = self.reference.encode(texts, num_threads=1)
+        return [np.array([DIFFERS * (ids != want) + CHANGED * (text != again), *ids], np.uint32) for ids, want, text, again in zip(found, wanted, texts, back, strict=True)]
 
 
 @lru_cache(maxsize=1)
-def codec(path: str, limit: int = 1 << 20) -> Codec:
+def codec(path: str, limit: int = CACHE) -> Codec:
     return Codec(path, limit)
 
 
-def _with_mark(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with spaces as marks and a mark before each text that isn't empty; the rows' offsets."""
-    _, points, rows = decoded(data, at)
-    full = rows[:-1][np.diff(rows) > 0]
-    points = np.insert(np.where(points == 32, ord(MARK), points).astype(np.uint32), full, ord(MARK))
-    return points, rows + np.concatenate([[0], np.cumsum(np.diff(rows) > 0)])
-
+def _segments(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of each text's segments: cut before runs of spaces, whose first space isn't part, as the normaliser puts a mark there.
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, cache_limit: int = 1 << 20) -> DataFrame:
+    A text's first segment has no space cut off, and spaces at its end belong to what stands before; the text "" has no segment.
+    A mark in the text itself counts as a space, as both become the same pieces.
+    """
+    gap = (points == 32) | (points == ord(MARK))
+    cut = np.flatnonzero(gap[1:] & ~gap[:-1]) + 1
+    solid = np.append(np.flatnonzero(~gap), len(points))
+    heads = rows[:-1][np.diff(rows) > 0]
+    cut = cut[solid[np.searchsorted(solid, cut)] < rows[np.searchsorted(rows, cut, "right")]]
+    cut = np.setdiff1d(cut, heads, assume_unique=True)
+    begin = np.concatenate([heads, cut])
+    order = np.argsort(begin, kind="stable")
+    begin = begin[order]
+    return begin + (order >= len(heads)), np.append(begin[1:], len(points))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, cache_limit: int = CACHE) -> DataFrame:
     """(id_col, n_tokens, ids, round_trip, parity) per row of docs, for the model file at `path`.
 
-    A text's segments (cut before runs of the space mark and at line ends, where no piece crosses) are
-    encoded in batches by the backend's threads, each distinct one once per worker and checked against the
-    reference library there. Models whose pieces cross such borders, or with a character map, encode whole texts.
-    round_trip: decoding the ids gives the text. parity: backend and reference agreed on
-    everything that this worker had encoded; where they differ, ids are the reference's.
-    Null and empty texts have no ids. Repeated rows are encoded each.
+    Where no piece of the model holds a space but at its start, a text's ids are those of its segments, cut before runs of
+    spaces; each distinct segment is normalised, encoded and decoded once per worker by the backend, and compared with
+    the reference library. Other models' texts are encoded whole. ids are the backend's.
+    round_trip: decoding gives the text, in every part. parity: the reference library has the same ids, in every part;
+    both depend on the row's text alone. Null and empty texts have no ids. Repeated rows are encoded each.
     """
     path = path or vocabulary_path("piece_bpe_32k.model")
 
@@ -169,29 +166,25 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for batch in batches:
             for lo, hi, data, at in chunks(batch.column(1)):
                 if own.parts:
-                    points, rows = _with_mark(data, at)
-                    begin = np.zeros(len(points), bool)
-                    mark, line = points == ord(MARK), points == NEWLINE
-                    begin[1:] = (mark[1:] & ~mark[:-1]) | line[1:] | line[:-1]
-                    begin[rows[:-1][np.diff(rows) > 0]] = True
-                    begin = np.flatnonzero(begin)
-                    end, hashes = segment_hashes(points, begin)
-                    slots = own.cache.slots(hashes, points, begin, end, points[begin] == NEWLINE)
-                    ids = own.cache.ids(slots)
-                    n = np.diff(np.concatenate([[0], np.cumsum(own.cache.length[slots])])[np.searchsorted(begin, rows)])
+                    _, points, rows = decoded(data, at)
+                    begin, end = _segments(points, rows)
+                    of = np.searchsorted(begin, rows[:-1], "left")
+                    hashes = segment_hashes(points, begin, end)
+                    slots = own.cache.slots(hashes, points, begin, end, np.ones(len(begin), bool))
+                    flat, size = own.cache.ids(slots), own.cache.length[slots].astype(np.int64)
+                    first, marks = np.cumsum(size) - size, np.searchsorted(np.flatnonzero(points == ord(MARK)), rows)
                 else:
-                    texts = [data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)]
-                    found = [np.array(e.ids, np.uint32) for e in own.whole.encode_batch_fast(texts, add_special_tokens=False)]
-                    for i, ids in enumerate(own.reference.encode(texts, num_threads=1)):
-                        if found[i].tolist() != ids:
-                            own.differ += 1
-                            found[i] = np.array(ids, np.uint32)
-                    ids, n = np.concatenate(found), np.array([len(x) for x in found])
-                back, lengths = own.bytes_of(ids)
-                cut = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n)])]
-                same = [bool(np.array_equal(back[a + (n_ > 0) * own.model.add_dummy_prefix : b], data[c:d])) for a, b, c, d, n_ in zip(cut[:-1], cut[1:], at[:-1], at[1:], n, strict=True)]
-                lists = list_array(ids.astype(np.int32), n, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), lists, pa.array(same), pa.array([own.differ == 0] * (hi - lo))], ["id", "n_tokens", "ids", "round_trip", "parity"])
+                    found = own.encode([data[a:b].tobytes().decode() for a, b in zip(at[:-1], at[1:], strict=True)])
+                    flat, size = np.concatenate(found), np.array([len(x) for x in found])
+                    first, of, marks = np.cumsum(size) - size, np.arange(hi - lo), np.zeros(hi - lo + 1, np.int64)
+                of = np.append(of, len(size))
+                flags, inner = flat[first], np.ones(len(flat), bool)
+                inner[first] = False
+                n = np.diff(np.concatenate([[0], np.cumsum(size - 1)])[of])
+                wrong = [np.diff(np.concatenate([[0], np.cumsum((flags & bit) > 0)])[of]) for bit in (CHANGED, DIFFERS)]
+                wrong[0] += np.diff(marks)  # a mark comes back as a space
+                lists = list_array(flat[inner].astype(np.int32), n, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), lists, *[pa.array(w == 0) for w in wrong]], ["id", "n_tokens", "ids", "round_trip", "parity"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -199,18 +192,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """(id_col, text) per row of encoded. Null and empty lists give an empty text; bytes that aren't UTF-8 give U+FFFD."""
+    """(id_col, text) per row of encoded, by the backend's decoder in batches. Null and empty lists give an empty text; bytes that aren't UTF-8 give U+FFFD."""
     path = path or vocabulary_path("piece_bpe_32k.model")
 
     def run(batches):
         own = codec(path)
         for batch in batches:
-            lists = batch.column(1)
-            at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                text = own.bytes_of(ids[a:b])[0].tobytes()
-                texts.append(text[own.model.add_dummy_prefix and text[:1] == b" " :].decode(errors="replace"))
+            texts = own.backend.decode_batch(batch.column(1).to_pylist(), skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
@@ -218,4 +206,5 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every row of documents, whether they decode to its text, and whether both libraries agree on it."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from govlake.llm.native import bound, window_hashes, word_hashes, words_of
+from govlake.llm.store import bounded, saved
 
 BUCKETS = 1 << 14
 #: Mean log-likelihood ratio of a text's n-grams below which it's rejected.
@@ -65,7 +66,7 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 
     trusted holds ids. Every n-gram of every document counts. The array has `buckets` numbers whatever the corpus.
     """
-    marks = trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("t")).where("id is not null").distinct().hint("merge")
+    marks = bounded(saved(trusted.select(F.col(id_col).alias("id"), F.lit(1).alias("t")).where("id is not null").distinct(), "trusted"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id", "left")
     grams = rows.select("t", F.explode_outer(ngram_buckets(F.col("text"), buckets)).alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("t").alias("good"))
@@ -98,5 +99,6 @@ def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base columns, score and verdict of every document; trusted are the labelled ones of quality that aren't toxic."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality(docs, labels.where("quality = 1 and toxic = 0")).withColumn("score", F.round("score", 9))

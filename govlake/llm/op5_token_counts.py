@@ -74,7 +74,8 @@ def pieces(data: np.ndarray, at: np.ndarray, kinds: np.ndarray):
     """(code points, begins, ends, hashes, each row's first segment and the number of segments) of a chunk."""
     _, points, rows = decoded(data, at)
     begin = pretokens(points, rows, kinds)
-    end, hashes = segment_hashes(points, begin)
+    end = np.append(begin[1:], len(points))
+    hashes = segment_hashes(points, begin, end)
     return points, begin, end, hashes, np.searchsorted(begin, rows)
 
 

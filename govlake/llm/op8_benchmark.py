@@ -9,12 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.native import bound, window_hashes, word_hashes, words_of
+from govlake.llm.store import bounded, saved
 
 SHINGLE = 5
 PERCENT = 75
-#: Rows of benchmark shingles up to which they are broadcast (about 100 bytes each); beyond, they are shuffled.
-BROADCAST_ROWS = 500_000
-
 
 def lower_words(text: Column) -> Column:
     return words_of(F.lower(text))
@@ -26,11 +24,6 @@ def windows(words: Column, size: int) -> Column:
     return F.coalesce(bound(words, one), F.array().cast("array<string>"))
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, n, size, shingle, hash): distinct shingles of each item; one with fewer than SHINGLE words is one shingle of `size` words."""
     w = items.select(F.col(id_col).alias("item_id"), lower_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
@@ -59,42 +52,45 @@ def sketch(shingles: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, hits, n): documents that hold at least PERCENT of the n distinct shingles of an item.
+    """(id, at, item_id, hits, n): rows that hold at least PERCENT of the n distinct shingles of an item.
 
-    Every shingle of every document is looked up among the items' sketches; documents with a hit are then
+    A row is known by its id and `at`, a hash of its text, so rows with null or repeated ids are judged by their own texts;
+    rows of equal ids and texts are one. Every shingle of every document is looked up among the items' sketches; documents with a hit are then
     compared shingle by shingle with the items, as strings. Shingles are made by explode_outer, for which
     Spark doesn't add a filter that would make them a second time, and before the join. No item and no document is missed. Null and empty
-    texts hold nothing; items without words match nothing. Repeated ids are one document; repeated items count once.
+    texts hold nothing; items without words match nothing. Repeated items count once; an item with a null id has the id null.
     """
-    shingles = item_shingles(items, item_col, item_text).distinct()
+    shingles = saved(item_shingles(items, item_col, item_text).distinct(), "shingles")
     sizes = [r[0] for r in shingles.select("size").distinct().collect()]  # at most SHINGLE numbers
-    sketches = sketch(shingles)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "")
+    sketches = saved(sketch(shingles), "item-sketches")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("at"), F.col(text_col).alias("text")).where(F.col("text") != "")
 
     def hashes_of(size: int):
         return lambda h: window_hashes(h, size)
 
     if not sizes:
-        return texts.select("id", F.lit(None).cast(dict(items.dtypes)[item_col]).alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("n")).where("false")
-    hashed = [texts.select("id", F.explode_outer(bound(word_hashes(lower_words(F.col("text"))), hashes_of(k))).alias("hash")).join(bounded(sketches.where(F.col("size") == k)), "hash").select("id") for k in sizes]
-    found = reduce(DataFrame.unionByName, hashed).distinct()
-    near = texts.join(found.hint("merge"), "id", "left_semi")
-    strings = [near.select("id", F.explode_outer(F.array_distinct(windows(lower_words(F.col("text")), k))).alias("shingle")).join(bounded(shingles.where(F.col("size") == k)), "shingle") for k in sizes]
+        return texts.select("id", "at", F.lit(None).cast(dict(items.dtypes)[item_col]).alias("item_id"), F.lit(0).cast("long").alias("hits"), F.lit(0).alias("n")).where("false")
+    hashed = [texts.select("id", "at", F.explode_outer(bound(word_hashes(lower_words(F.col("text"))), hashes_of(k))).alias("hash")).join(bounded(sketches.where(F.col("size") == k)), "hash").select("id", "at") for k in sizes]
+    found = bounded(saved(reduce(DataFrame.unionByName, hashed).distinct(), "candidates"))
+    same = texts["id"].eqNullSafe(found["id"]) & (texts["at"] == found["at"])
+    near = texts.join(found, same, "left_semi")
+    strings = [near.select("id", "at", F.explode_outer(F.array_distinct(windows(lower_words(F.col("text")), k))).alias("shingle")).join(bounded(shingles.where(F.col("size") == k)), "shingle") for k in sizes]
     hits = reduce(DataFrame.unionByName, strings)
-    counted = hits.groupBy("id", "item_id", "n").agg(F.count_distinct("shingle").alias("hits"))
-    return counted.where(100 * F.col("hits") >= PERCENT * F.col("n")).select("id", "item_id", "hits", "n")
+    counted = hits.groupBy("id", "at", "item_id", "n").agg(F.count_distinct("shingle").alias("hits"))
+    return counted.where(100 * F.col("hits") >= PERCENT * F.col("n")).select("id", "at", "item_id", "hits", "n")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold an item."""
-    gone = leaks(docs, items, id_col, text_col).select(F.col("id").alias(id_col)).distinct().hint("merge")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """docs without the rows that hold an item, those without an id included."""
+    gone = bounded(saved(leaks(docs, items, id_col, text_col).select("id", "at").distinct(), "leaks"))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(docs[text_col]) == gone["at"]), "left_anti")
 
 
 def op8_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items held, the first of them, the highest containment and the verdict for every document."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = leaks(docs, items).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"), F.max(F.col("hits") / F.col("n")).alias("containment"))
-    out = docs.select("doc_id").join(found, "doc_id", "left")
+    out = docs.select("doc_id").join(bounded(saved(found, "found")), "doc_id", "left")
     return out.select("doc_id", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), "first_item", F.round(F.coalesce("containment", F.lit(0.0)), 6).alias("containment"), F.col("n_items").isNull().alias("kept"))
 
 

@@ -208,7 +208,5 @@ def pretokens(points: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.nda
     return np.flatnonzero(begin)
 
 
-def segment_hashes(points: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, hashes) of the segments that begin at `begin` and fill the chunk."""
-    end = np.append(begin[1:], len(points))
-    return end, spans(point_sums(points), begin, end)
+def segment_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return spans(point_sums(points), begin, end)
