@@ -269,16 +269,53 @@ def test_cache_keeps_what_is_met_again():
     assert sum(" met\n" in c for c in calls) == 1
 
 
-def test_sentencepiece(table, docs):
+def test_sentencepiece(spark, table, docs):
     import sentencepiece
 
     own = sentencepiece.SentencePieceProcessor(model_file=op5_token_counts.vocabulary_path("piece_bpe_32k.model"))
-    coded = op2_sentencepiece.encode(table).cache()
+    r = random.Random(6)
+    more = [(1000 + i, "".join(r.choice(["a", "the", "é", " ", "  ", "\n", "\t", ".", "▁", "中", "1"]) for _ in range(r.randint(1, 14)))) for i in range(400)]
+    more += [(2000, " "), (2001, "   "), (2002, "a "), (2003, " a  "), (2004, "x" * 30_000), (2005, "\n"), (2006, " \n ")]
+    coded = op2_sentencepiece.encode(table.unionByName(frame(spark, more))).cache()
     got = {r.doc_id: r for r in coded.collect()}
     texts = {r.doc_id: r.text for r in op2_sentencepiece.decode(coded).collect()}
-    for i, t in docs:
-        assert got[i].ids == own.encode(t or "") and got[i].n_tokens == len(got[i].ids)
-        assert got[i].round_trip and texts[i] == (t or "")
+    for i, t in docs + more:
+        assert got[i].ids == own.encode(t or "") and got[i].n_tokens == len(got[i].ids) and got[i].parity, repr(t)
+        assert got[i].round_trip == ("▁" not in (t or "")) and (texts[i] == (t or "")) == got[i].round_trip, repr(t)
+
+
+def _field(number, value):
+    """A protobuf field: bytes, text, a float or a number."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_unigram_model_with_normaliser_options(spark, tmp_path):
+    """A hand-made unigram model; its texts are encoded whole. Rows that the libraries disagree on are told row by row."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", -9.0, 6) for i in range(256)]]
+    pieces += [(p, s, 1) for p, s in [("▁", -2.0), ("▁the", -3.0), ("th", -3.5), ("e", -3.0), ("t", -4.0), ("h", -4.0), ("▁ca", -3.3), ("cat", -4.1), ("c", -5.0), ("a", -4.5), ("s", -4.2), ("ts▁", -1.0)]]
+    for squeeze in (0, 1):
+        trainer, normaliser = _field(3, 1) + _field(35, 1), _field(3, 1) + _field(4, squeeze) + _field(5, 1)
+        path = tmp_path / f"own{squeeze}.model"
+        path.write_bytes(b"".join(_field(1, _field(1, p) + _field(2, s) + _field(3, k)) for p, s, k in pieces) + _field(2, trainer) + _field(3, normaliser))
+        own = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        model = op2_sentencepiece.read_model(str(path))
+        assert model.model_type == op2_sentencepiece.UNIGRAM and model.scores[-1] == -1.0 and not op2_sentencepiece.Codec(str(path), 10).parts
+        docs = [(0, "the cats the cat"), (1, "  the  cats "), (2, "é zz"), (3, ""), (4, None), (5, "cats cats")]
+        coded = op2_sentencepiece.encode(frame(spark, docs), path=str(path)).collect()
+        for r in coded:
+            text = dict(docs)[r.doc_id] or ""
+            assert r.parity == (r.ids == own.encode(text)) and r.round_trip == (own.decode(r.ids) == text)
+        assert sum(r.parity for r in coded) == len(docs)
 
 
 def test_rebuilt_tokenizer_agrees_on_whole_texts(docs):
@@ -320,12 +357,44 @@ def test_audit_finds_records_lost_and_gained_in_mid_file(spark):
 
 def test_lines(spark):
     docs = [(i, f"head\nbody {i}\n  foot \n\n") for i in range(1, 7)] + [(8, None), (9, ""), (10, "foot")]
-    done = {r.page.doc_id: r for r in op1_lines.without_boilerplate(frame(spark, docs), ratio=0.4).collect()}
-    assert done[1].text == "body 1\n\n" and done[1].n_dropped == 2 and done[1].n_lines == 5
-    assert done[8].text is None and done[8].n_lines == 0 and done[9].text == "" and done[10].text == ""
+    for most in (100, 0):  # broadcast and shuffled
+        done = {r.page.doc_id: r for r in op1_lines.without_boilerplate(frame(spark, docs), ratio=0.4, broadcast_lines=most).collect()}
+        assert done[1].text == "body 1\n\n" and done[1].n_dropped == 2 and done[1].n_lines == 5
+        assert done[8].text is None and done[8].n_lines == 0 and done[9].text == "" and done[10].text == ""
     assert op1_lines.drop_boilerplate(frame(spark, docs)).columns == frame(spark, docs).columns
 
 
+def test_lines_against_a_plain_version(spark):
+    """Hosts of 1 to 40 pages, null hosts, ids and texts, repeated rows; both ways of the join."""
+    r = random.Random(9)
+    docs = []
+    for k, host in enumerate([None, "", "a", "b", "c"]):
+        for i in range([1, 4, 9, 23, 40][k]):
+            lines = [r.choice(["  top ", "foot\t", "", "menu", f"own {k} {i}"]) for _ in range(r.randint(0, 6))]
+            docs.append((None if r.random() < 0.1 else 100 * k + i, r.choice(["\n".join(lines)] * 9 + [None]), host))
+    docs += docs[20:24]
+    table = spark.createDataFrame([(i, t, h, "x") for i, t, h in docs], "doc_id long, text string, source string, key string")
+    pages = [(h or "", {x.strip(" \t\r\x0b\x0c") for x in (t or "").split("\n")} - {""}) for _, t, h in docs]
+    bad = set()
+    for host in {h for h, _ in pages}:
+        own = [x for h, x in pages if h == host]
+        bad |= {(host, x) for x in set().union(*own) if sum(x in y for y in own) > 0.3 * len(own)}
+    want = sorted((str(i), str(None if t is None else "\n".join(x for x in t.split("\n") if (h or "", x.strip(" \t\r\x0b\x0c")) not in bad))) for i, t, h in docs)
+    for most in (10**6, 0):
+        got = op1_lines.without_boilerplate(table, ratio=0.3, broadcast_lines=most).collect()
+        assert sorted((str(x.page.doc_id), str(x.text)) for x in got) == want
+
+
+def test_one_id_with_several_texts(spark):
+    """Such an id is one document: linked wherever one of its texts is. Dropping keeps the row of its smallest text."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (3, a + " x"), (9, b), (7, "alone " * 6), (None, a), (None, a)]
+    got = {(r.doc_id, r.component_id) for r in op6_minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {(5, 3), (3, 3), (9, 3), (7, 7), (None, None)}
+    kept = op6_minhash.drop_near_duplicates(frame(spark, [*rows, (3, "z")]))
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, a), (0, a), (3, a + " x"), (7, "alone " * 6)])
+
+
 def test_leaks(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdef") for _ in range(6))
@@ -335,10 +404,12 @@ def test_leaks(spark):
     w = items[0][1].split()
     docs += [(30, f"{filler(50)} {' '.join(w[:33])} {filler(50)}"), (31, f"{filler(50)} {' '.join(w[:28])} {filler(50)}"), (30, "repeated id")]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, hash string")
+    docs += [(None, "x " + items[1][1]), (None, "nothing")]
     got = {(x.id, x.item_id) for x in op8_benchmark.leaks(frame(spark, docs), bench).collect()}
-    assert got == {(i, i) for i in range(5)} | {(30, 0)}
+    assert got == {(i, i) for i in range(5)} | {(30, 0), (None, 1)}
     assert op8_benchmark.leaks(frame(spark, docs), bench.limit(0)).count() == 0
-    assert {x.doc_id for x in op8_benchmark.drop_leaks(frame(spark, docs), bench).collect()} == {20, 21, 22, 31}
+    assert {x.doc_id for x in op8_benchmark.drop_leaks(frame(spark, docs), bench).collect()} == {20, 21, 22, 30, 31, None}
+    assert {x.text for x in op8_benchmark.drop_leaks(frame(spark, docs), bench).where("doc_id is null or doc_id = 30").collect()} == {"nothing", "repeated id"}
 
 
 def test_classifier_on_held_out_labels(spark):
