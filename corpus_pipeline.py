@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are boilerplate of their source."""
-    return drop_boilerplate(docs)
+    """All documents, without lines that are boilerplate of their source; a line of a single document repeats nothing."""
+    return drop_boilerplate(docs, min_pages=2)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
