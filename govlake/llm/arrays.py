@@ -8,7 +8,7 @@ than the six ASCII spaces. Hashes of words and of runs of words come from prefix
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,17 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
+_state: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a Python worker keeps from task to task. Only the last one asked for stays, so that the caches of operators that follow each other don't add up."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

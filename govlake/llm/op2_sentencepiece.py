@@ -6,18 +6,17 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import chunks, list_array
+from govlake.llm.arrays import chunks, list_array, worker_state
 from govlake.llm.op5_token_counts import vocabulary_path
 from govlake.llm.segments import SegmentCache, decoded, segment_hashes
 
-CACHE = 1 << 19
+CACHE = 1 << 18
 MARK = "▁"
 # Kinds of pieces and models in the model file.
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
@@ -127,9 +126,8 @@ class Codec:
         return [np.array([DIFFERS * (ids != want) + CHANGED * (text != again), *ids], np.uint32) for ids, want, text, again in zip(found, wanted, texts, back, strict=True)]
 
 
-@lru_cache(maxsize=1)
 def codec(path: str, limit: int = CACHE) -> Codec:
-    return Codec(path, limit)
+    return worker_state(("codec", path, limit), lambda: Codec(path, limit))
 
 
 def _segments(points: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

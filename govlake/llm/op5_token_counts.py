@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import chunks
+from govlake.llm.arrays import chunks, worker_state
 from govlake.llm.segments import SPACE, SegmentCache, Table, code_point_classes, decoded, pretokens, segment_hashes
 
 TABLE_SIZE = 1 << 16
@@ -57,11 +57,13 @@ def added_tokens(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
-@lru_cache(maxsize=2)
 def worker_cache(path: str, limit: int = 1 << 19) -> SegmentCache:
-    own = tokenizer(path)
-    mark = own.encode("\n", add_special_tokens=False).ids
-    return SegmentCache(lambda texts: [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)], mark[0], limit)
+    def make() -> SegmentCache:
+        own = tokenizer(path)
+        mark = own.encode("\n", add_special_tokens=False).ids
+        return SegmentCache(lambda texts: [np.array(e.ids, np.uint32) for e in own.encode_batch_fast(texts, add_special_tokens=False)], mark[0], limit)
+
+    return worker_state(("segments", path, limit), make)
 
 
 def rows_with(data: np.ndarray, at: np.ndarray, strings: list[str]) -> list[int]:

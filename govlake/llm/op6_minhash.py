@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import U, chunks, list_array, mix64, words
+from govlake.llm.arrays import U, chunks, list_array, mix64, words, worker_state
 from govlake.llm.store import bounded, components, saved
 
 SHINGLE = 5
@@ -21,9 +20,12 @@ PLACES = 1 << 22
 BLOCK = 512
 
 
-@cache
 def _second_permutation(coordinates: int) -> np.ndarray:
     """Rows i of a view: the second permutation of PLACES numbers, shifted circularly by 0 .. coordinates-1, at place i."""
+    return worker_state(("permutation", coordinates), lambda: _shifts(coordinates))
+
+
+def _shifts(coordinates: int) -> np.ndarray:
     pi = np.argsort(mix64(np.arange(PLACES, dtype=U) + U(0x51ED270B)), kind="stable").astype(np.uint32)
     ring = np.concatenate([pi, pi[: coordinates - 1]])
     return np.lib.stride_tricks.sliding_window_view(ring, coordinates)

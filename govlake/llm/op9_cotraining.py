@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import U, chunks, list_array, ragged, words
+from govlake.llm.arrays import U, chunks, list_array, ragged, words, worker_state
 from govlake.llm.store import saved
 
 #: Bound of the labelled rows that the driver fits on.
@@ -30,7 +30,8 @@ SLICE = 512  # rows scored at once, so that a task's memory doesn't grow with Ar
 
 _SHAPES = 9
 META = 2 * PLACES + _SHAPES
-_FEATURES = "id long, places array<int>, counts array<int>, meta array<float>, key long"
+#: words: place and count in 16 bits each (counts from 65,535 on are alike); meta: places of source and language, then the shape.
+_FEATURES = "id long, words array<int>, meta array<float>, key long"
 
 
 def _shape(data: np.ndarray, at: np.ndarray, counts: np.ndarray, distinct: np.ndarray) -> np.ndarray:
@@ -66,13 +67,26 @@ class Rows:
     @staticmethod
     def of(batch: pa.RecordBatch | pa.Table) -> Rows:
         """From columns of _FEATURES."""
-        places, counts, meta = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["places"], batch["counts"], batch["meta"]))
-        return Rows(np.diff(places.offsets.to_numpy()).astype(np.int64), places.flatten().to_numpy(), counts.flatten().to_numpy(), meta.flatten().to_numpy().reshape(-1, META))
+        packed, meta = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (batch["words"], batch["meta"]))
+        both, some = packed.flatten().to_numpy().view(np.uint32), meta.flatten().to_numpy().reshape(-1, 2 + _SHAPES)
+        full = np.zeros((len(some), META), np.float32)
+        for k in (0, 1):
+            full[np.arange(len(some)), k * PLACES + some[:, k].astype(int)] = 1
+        full[:, 2 * PLACES :] = some[:, 2:]
+        return Rows(np.diff(packed.offsets.to_numpy()).astype(np.int64), (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32), full)
+
+    def columns(self) -> list[pa.Array]:
+        """words and meta of _FEATURES."""
+        packed = (self.places.astype(np.uint32) << 16 | self.counts.astype(np.uint32)).view(np.int32)
+        hot = [self.meta[:, k * PLACES : (k + 1) * PLACES].argmax(axis=1) for k in (0, 1)]
+        meta = np.column_stack([*hot, self.meta[:, 2 * PLACES :]]).astype(np.float32)
+        return [list_array(packed, self.sizes, pa.int32()), list_array(meta.ravel(), np.full(len(meta), 2 + _SHAPES), pa.float32())]
 
 
 def view_rows(text: pa.Array, source: list, lang: list):
     """(first row, row after the last, Rows) chunk by chunk."""
-    for lo, hi, data, at in chunks(text):
+    worker_state("co-training", lambda: None)
+    for lo, hi, data, at in chunks(text, 1 << 19):
         w = words(data, at, lower=True)
         hashes = np.concatenate([w.hash, *[w.heads(k, lower=True) for k in STEMS]])
         row = np.tile(np.repeat(np.arange(hi - lo), w.counts), 1 + len(STEMS))
@@ -82,7 +96,7 @@ def view_rows(text: pa.Array, source: list, lang: list):
         meta[np.arange(hi - lo), [_place(x) for x in source[lo:hi]]] = 1
         meta[np.arange(hi - lo), [PLACES + _place(x) for x in lang[lo:hi]]] = 1
         meta[:, 2 * PLACES :] = _shape(data, at, w.counts, sizes)
-        yield lo, hi, Rows(sizes, (both & ((1 << WORD_BITS) - 1)).astype(np.int32), n.astype(np.int32), meta)
+        yield lo, hi, Rows(sizes, (both & ((1 << WORD_BITS) - 1)).astype(np.int32), np.minimum(n, 0xFFFF).astype(np.int32), meta)
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -92,8 +106,8 @@ def features(rows: DataFrame) -> DataFrame:
         for batch in batches:
             source, lang = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi, r in view_rows(batch.column(1), source, lang):
-                columns = [batch.column(0).slice(lo, hi - lo), list_array(r.places, r.sizes, pa.int32()), list_array(r.counts, r.sizes, pa.int32()), list_array(r.meta.ravel(), np.full(hi - lo, META), pa.float32()), batch.column(4).slice(lo, hi - lo)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "places", "counts", "meta", "key"])
+                columns = [batch.column(0).slice(lo, hi - lo), *r.columns(), batch.column(4).slice(lo, hi - lo)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "words", "meta", "key"])
 
     return rows.withColumn("key", F.xxhash64("text", "source", "lang")).mapInArrow(run, _FEATURES)
 
@@ -207,13 +221,13 @@ class Pool:
                         take = batch.select(["id", "key"]).take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * i + label, np.int32)), *take.columns, pa.array(sure[at].astype(np.float64))], ["kind", "id", "key", "sure"])
 
-        scored = self.rows.select("id", "places", "counts", "meta", "key").mapInArrow(run, "kind int, id long, key long, sure double")
+        scored = self.rows.select("id", "words", "meta", "key").mapInArrow(run, "kind int, id long, key long, sure double")
         scored = scored.join(self.known.select("id").hint("merge"), "id", "left_anti").groupBy("kind", "key").agg(F.max("sure").alias("sure"))
         nth = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("sure"), "key"))
         best = scored.withColumn("nth", nth).where(F.col("nth") <= most).select("kind", "key").toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
         kind, keys = best["kind"].to_numpy(), best["key"].to_numpy()
         wanted = self.rows.sparkSession.createDataFrame([(x,) for x in {*keys.tolist()}], "key long")  # 4 * most rows at most
-        table = self.rows.join(F.broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]).select("places", "counts", "meta", "key").toArrow().sort_by("key")
+        table = self.rows.join(F.broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]).select("words", "meta", "key").toArrow().sort_by("key")
         at, found = table["key"].to_numpy(), Rows.of(table)
         sent.destroy()
         return [(k // 2, k % 2, keys[kind == k], found.take(np.searchsorted(at, keys[kind == k]))) for k in range(4)]
@@ -277,7 +291,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     y_of = dict(zip(picked["id"], picked["y"], strict=True))
     wanted = docs.sparkSession.createDataFrame([(x,) for x in y_of], "id long")  # labelled rows at most
     rows = saved(features(_inputs(docs, id_col)), "features")
-    table = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("places", "counts", "meta"), "key").alias("x")).select("id", "x.*").toArrow().sort_by("id")
+    table = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("words", "meta"), "key").alias("x")).select("id", "x.*").toArrow().sort_by("id")
     y, found = np.array([float(y_of[x] > 0) for x in table["id"].to_pylist()]), Rows.of(table)
     del table
     if min(y.sum(), (1 - y).sum()) < 8:

@@ -136,8 +136,12 @@ class SegmentCache:
             if plain.any():
                 slots[plain] = self._store(new[plain], *self._encoded(points, begin[at[plain]], end[at[plain]]))
             if not plain.all():
-                found = self.encode([points[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin[at[~plain]], end[at[~plain]], strict=True)])
-                slots[~plain] = self._store(new[~plain], np.concatenate(found), np.array([len(x) for x in found]))
+                apart, parts = np.flatnonzero(~plain), []
+                for i in range(0, len(apart), 8192):
+                    some = at[apart[i : i + 8192]]
+                    found = self.encode([points[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin[some], end[some], strict=True)])
+                    parts.append(self._store(new[apart[i : i + 8192]], np.concatenate(found), np.array([len(x) for x in found])))
+                slots[apart] = np.concatenate(parts)
             out[missing] = slots[back]
         return out
 
