@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.arrays import U, chunks, mix64, prefix, spans, words
+from govlake.llm.store import small_batches
 
 WINDOW = 35
 #: Perfect difference covers (fixed values): each residue modulo the period is a difference of two members.
@@ -164,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     such rows are told apart by a hash of their text. Other columns aren't read.
     """
     own, text = F.col(id_col).cast("long"), F.col(text_col)
-    texts = docs.select(F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text"), own.alias("own"))
+    texts = small_batches(docs).select(F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text"), own.alias("own"))
     anchors = _repeated(texts.select("id", "text").mapInArrow(_anchors(window), _ROWS), tagged=False)
     copy = F.max(F.when(F.col("pos") == WHOLE, F.when(F.col("id") == F.col("least"), 1).otherwise(2)).otherwise(0))
     places = anchors.groupBy("id").agg(copy.alias("copy"), F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"))

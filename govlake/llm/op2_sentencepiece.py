@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from govlake.llm.arrays import chunks, list_array, worker_state
 from govlake.llm.op5_token_counts import vocabulary_path
 from govlake.llm.segments import SegmentCache, decoded, segment_hashes
+from govlake.llm.store import small_batches
 
 CACHE = 1 << 18
 MARK = "▁"
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 lists = list_array(flat[inner].astype(np.int32), n, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), lists, *[pa.array(w == 0) for w in wrong]], ["id", "n_tokens", "ids", "round_trip", "parity"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     return rows.mapInArrow(run, f"id {kind}, n_tokens int, ids array<int>, round_trip boolean, parity boolean").withColumnRenamed("id", id_col)
 

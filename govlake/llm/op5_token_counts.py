@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from govlake.llm.arrays import chunks, worker_state
 from govlake.llm.segments import SPACE, SegmentCache, Table, code_point_classes, decoded, pretokens, segment_hashes
+from govlake.llm.store import small_batches
 
 TABLE_SIZE = 1 << 16
 SAMPLE_ROWS = 2048
@@ -121,7 +122,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or vocabulary_path("byte_bpe_50k.json")
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n_bytes long, n_tokens long"
     if not by_pieces(path):
         return rows.mapInArrow(_whole_counts(path), schema).withColumnRenamed("id", id_col)

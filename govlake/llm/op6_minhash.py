@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.arrays import U, chunks, list_array, mix64, words, worker_state
-from govlake.llm.store import bounded, components, saved
+from govlake.llm.store import bounded, components, saved, small_batches
 
 SHINGLE = 5
 PERCENT = 75
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), list_array(flat, lengths, pa.int64())], ["id", "n_shingles", "k1", "k2", "bands"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kept = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from govlake.llm.arrays import chunks, list_array, ragged
 from govlake.llm.op5_token_counts import added_tokens, by_pieces, classes, encoded_whole, pieces, rows_with, tokenizer, vocabulary_path, worker_cache
 from govlake.llm.segments import SPACE
-from govlake.llm.store import saved
+from govlake.llm.store import saved, small_batches
 
 END_ID = 2
 BLOCK_IDS = 1 << 19
@@ -223,7 +223,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     path = path or vocabulary_path("byte_bpe_50k.json")
     kinds = docs.sparkSession.sparkContext.broadcast(classes())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_shards(path, end_id, kinds, block_ids), SHARD)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.arrays import U, chunks, list_array, ragged, words, worker_state
-from govlake.llm.store import saved
+from govlake.llm.store import saved, small_batches
 
 #: Bound of the labelled rows that the driver fits on.
 LABELLED = 4000
@@ -306,7 +306,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 def _inputs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", cast: str | None = "long") -> DataFrame:
     own = F.col(id_col).cast(cast) if cast else F.col(id_col)
     columns = [own.alias("id"), F.col(text_col).alias("text")]
-    return docs.select(*columns, F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
+    return small_batches(docs).select(*columns, F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
 
 
 def _scored(model: Model, text: pa.Array, source: pa.Array, lang: pa.Array):

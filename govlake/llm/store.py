@@ -23,6 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, with the session's Arrow batches at most `rows` rows long: a batch of whole texts stands in the executor's and the worker's memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_ = int(df.sparkSession.conf.get(name))
+    if not 0 < set_ <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read from there: lost executors don't cause it to be made again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
