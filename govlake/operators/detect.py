@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from govlake.functions.rules import ENTROPY_SHAPE, detected, host_of, mask, suppression
 
 
-def hits(assets: DataFrame) -> DataFrame:
-    """(path, rule, kind, severity, value, nth): every raw hit of every rule, one pass over each text."""
-    return assets.select("path", F.explode(detected(F.col("content"))).alias("h")).select("path", "h.*")
+#: What an asset must hold for its telephone numbers to count; the word border binds to the first alone. Fixed value.
+PHONE_WORDS = r"\bphone|tel|mobile|msisdn"
+
+
+def hits(assets: DataFrame, kinds: tuple[str, ...] = ("secret", "personal")) -> DataFrame:
+    """(path, rule, kind, severity, value, pos, line): every raw hit of the rules of some kinds, one pass over each text.
+
+    pos counts the characters before a hit, line counts from 1. Null and empty texts have no hit; rows that repeat a path are searched each.
+    """
+    return assets.select("path", F.explode(detected(F.col("content"), kinds)).alias("h")).select("path", "h.*")
 
 
 def suppress_hits(found: DataFrame) -> DataFrame:
@@ -20,26 +29,30 @@ def suppress_hits(found: DataFrame) -> DataFrame:
 
 
 def suppressed_counts(found: DataFrame) -> DataFrame:
+    """(reason, n) of the hits that suppress_hits leaves out, by the first class that matches."""
     return found.select(suppression(F.col("value")).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def snippet_hash(path: Column, rule: Column, nth: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws(":", path, rule, nth.cast("string")), 256), 1, 12)
+def snippet_hash(path: Column, rule: Column, pos: Column) -> Column:
+    """Names a hit without its value."""
+    return F.substring(F.sha2(F.concat_ws(":", path, rule, pos.cast("string")), 256), 1, 12)
 
 
 def _findings(found: DataFrame, kind: str, severity: Column) -> DataFrame:
     rows = suppress_hits(found).where(F.col("kind") == kind)
-    return rows.select("path", "rule", severity.alias("severity"), "nth", snippet_hash(F.col("path"), F.col("rule"), F.col("nth")).alias("snippet_hash"))
+    return rows.select("path", "rule", severity.alias("severity"), "line", snippet_hash(F.col("path"), F.col("rule"), F.col("pos")).alias("snippet_hash"))
 
 
 def scan_secrets(assets: DataFrame) -> DataFrame:
     """One finding per secret: critical if its rule is, else high."""
-    return _findings(hits(assets), "secret", F.when(F.col("severity") == "critical", "critical").otherwise("high"))
+    return _findings(hits(assets, ("secret",)), "secret", F.when(F.col("severity") == "critical", "critical").otherwise("high"))
 
 
 def scan_pii(assets: DataFrame) -> DataFrame:
-    """One finding per personal value: high if its rule is critical, else medium."""
-    return _findings(hits(assets), "personal", F.when(F.col("severity") == "critical", "high").otherwise("medium"))
+    """One finding per personal value: high if its rule is critical, else medium. Telephone numbers count only in assets that speak of them."""
+    named = F.lower("content").rlike(PHONE_WORDS)
+    found = assets.select("path", named.alias("named"), F.explode(detected(F.col("content"), ("personal",))).alias("h")).select("path", "named", "h.*")
+    return _findings(found.where((F.col("rule") != "phone_e164") | F.col("named")), "personal", F.when(F.col("severity") == "critical", "high").otherwise("medium"))
 
 
 def scan_cards(assets: DataFrame) -> DataFrame:
@@ -60,17 +73,15 @@ def scan_entropy(assets: DataFrame, min_bits: float = 3.0) -> DataFrame:
     return bits.where(F.col("bits") >= min_bits).select("token", "bits", "n")
 
 
-def context_gate(found: DataFrame, assets: DataFrame, rule: str = "phone_e164", words: str = "phone|tel|mobile|msisdn") -> DataFrame:
+def context_gate(found: DataFrame, assets: DataFrame, rule: str = "phone_e164", words: str = PHONE_WORDS) -> DataFrame:
     """Hits of a rule only where the asset mentions one of the words; other rules' hits stay."""
     named = assets.where(F.lower("content").rlike(words)).select("path")
     return found.where(F.col("rule") != rule).unionByName(found.where(F.col("rule") == rule).join(named, "path", "left_semi"))
 
 
-def locate_hits(found: DataFrame, assets: DataFrame) -> DataFrame:
-    """(path, rule, nth, line, excerpt): the line of the value's first place, and a masked excerpt."""
-    rows = found.join(assets.select("path", "content"), "path")
-    before = F.substring("content", F.lit(1), F.instr("content", F.col("value")) - 1)
-    return rows.select("path", "rule", "nth", (F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).cast("long").alias("line"), mask(F.col("value")).alias("excerpt"))
+def locate_hits(found: DataFrame) -> DataFrame:
+    """(path, rule, pos, line, excerpt): where each hit itself stands, and a masked excerpt that never shows the value."""
+    return found.select("path", "rule", "pos", "line", mask(F.col("value")).alias("excerpt"))
 
 
 def dedupe_history(versions: DataFrame, key_cols: list, order_col: str) -> DataFrame:
@@ -94,7 +105,7 @@ def classify_symbols(assets: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def classify_columns(columns: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(table, column, category) of text columns whose name is a special category's term; columns: table, column, type."""
-    special = lexicon.where("special").select(F.col("term").alias("name"), "category")
+    special = lexicon.where("special").select(F.col("term").alias("name"), "category").distinct()
     text = columns.where("type = 'string'").withColumn("name", F.lower(F.regexp_replace("column", "^[a-z]_", "")))
     return text.join(special, "name").select("table", "column", "category")
 
@@ -181,7 +192,7 @@ def version_parts(version: Column) -> Column:
 
 def dependency_vulns(components: DataFrame, advisories: DataFrame) -> DataFrame:
     """Components below the fixed version of an advisory (ecosystem, package, fixed, advisory, severity). Versions compare as zero-padded integer arrays; * is skipped."""
-    pair = components.where("version <> '*'").join(F.broadcast(advisories), ["ecosystem", "package"])
+    pair = components.where("version <> '*'").join(advisories, ["ecosystem", "package"])
     pad = lambda c: F.slice(F.concat(version_parts(F.col(c)), F.array_repeat(F.lit(0), 6)), 1, 6)
     return pair.where(pad("version") < pad("fixed")).select("component", "version", "advisory", "severity")
 
@@ -203,7 +214,7 @@ def artifact_presence(assets: DataFrame, specs: list[tuple[str, str, str]], proj
 
 def detect_stack(components: DataFrame, signatures: DataFrame, project: str = "project") -> DataFrame:
     """(project, stack): sorted frameworks of a project by its components' names; signatures: package, framework."""
-    found = components.join(F.broadcast(signatures), "package").groupBy(project)
+    found = components.join(signatures, "package").groupBy(project)
     return found.agg(F.array_join(F.sort_array(F.collect_set("framework")), ",").alias("stack"))
 
 
@@ -212,17 +223,37 @@ def corpus_profile(assets: DataFrame, language: str = "lang") -> DataFrame:
     return assets.groupBy(language).agg(F.count("*").alias("files"), F.sum(F.size(F.split("content", "\n"))).alias("lines"), F.sum(F.length("content")).alias("chars"))
 
 
-def snapshot_fingerprint(assets: DataFrame, buckets: int = 256) -> DataFrame:
-    """One hash of all (path, size), whatever the partitioning: hashes of buckets first, so no list grows with the corpus's whole."""
-    line = F.concat_ws(":", "path", F.octet_length("content").cast("string"))
-    parts = assets.select(line.alias("l"), F.substring(F.sha2("path", 256), 1, 2).alias("b"))
-    hashed = parts.groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256).alias("h"))
-    return hashed.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x.h), "\n"), 256).alias("root_hash"), F.count("*").alias("buckets"))
+def snapshot_fingerprint(assets: DataFrame, width: int = 8) -> DataFrame:
+    """(root_hash, assets): one hash of all (path, size), whatever the partitioning; a null content has size -1.
+
+    Each line is hashed and the hashes' `width` pieces of 32 bits are summed, so partial sums meet in the map tasks and
+    no list of lines is ever made. The sums, and the number of lines, are hashed once more. Repeated rows count each.
+    """
+    line = F.concat_ws(":", F.coalesce("path", F.lit("")), F.coalesce(F.octet_length("content"), F.lit(-1)).cast("string"))
+    hashed = assets.select(F.sha2(line, 256).alias("h"))
+    pieces = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in range(width)]
+    return hashed.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *pieces), 256).alias("root_hash"), F.count("*").alias("assets"))
+
+
+def _leaves(kind: T.DataType, name: str) -> list[tuple[str, Callable[[Column], Column]]]:
+    """(name, value -> array of strings) of the string leaves of a type, within structs, arrays and maps, keys included."""
+    if isinstance(kind, T.StringType):
+        return [(name, lambda v: F.array(v))]
+    if isinstance(kind, T.StructType):
+        return [(n, lambda v, f=f, get=get: get(v[f.name])) for f in kind.fields for n, get in _leaves(f.dataType, f"{name}.{f.name}")]
+    if isinstance(kind, T.ArrayType):
+        return [(n, lambda v, get=get: F.flatten(F.transform(v, lambda e: get(e)))) for n, get in _leaves(kind.elementType, name)]
+    if isinstance(kind, T.MapType):
+        parts = ((T.ArrayType(kind.keyType), ".key", F.map_keys), (T.ArrayType(kind.valueType), ".value", F.map_values))
+        return [(n, lambda v, get=get, of=of: get(of(v))) for part, suffix, of in parts for n, get in _leaves(part, name + suffix)]
+    return []
 
 
 def assert_clean(df: DataFrame) -> DataFrame:
-    """(column, kind, n): hits in every string column of a table; no row if it's clean."""
-    columns = [c for c, kind in df.dtypes if kind == "string"]
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("content")) for c in columns])).alias("x")).select("x.*")
+    """(column, kind, n): hits in every string leaf of a table, nested ones and map keys included; no row if it's clean."""
+    leaves = [(n, get(F.col(f"`{f.name}`"))) for f in df.schema.fields for n, get in _leaves(f.dataType, f.name)]
+    if not leaves:
+        return df.sparkSession.createDataFrame([], "column string, kind string, n long")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), c.alias("texts")) for n, c in leaves])).alias("x")).select("x.column", F.explode("x.texts").alias("content"))
     found = cells.select("column", F.explode(detected(F.col("content"))).alias("h")).select("column", "h.kind", "h.value")
     return suppress_hits(found).groupBy("column", "kind").agg(F.count("*").alias("n"))

@@ -41,7 +41,7 @@ QUERIES = {
     "d4_scan_entropy": lambda s, sf: d.scan_entropy(assets(s, sf)),
     "d5_suppress_hits": lambda s, sf: d.suppressed_counts(d.hits(assets(s, sf))),
     "d6_context_gate": lambda s, sf: d.context_gate(_found(s, sf), assets(s, sf), words="the|und").groupBy("rule").agg(F.count("*").alias("n")),
-    "d7_locate_hits": lambda s, sf: d.locate_hits(_found(s, sf), assets(s, sf)),
+    "d7_locate_hits": lambda s, sf: d.locate_hits(_found(s, sf)),
     "d8_dedupe_history": lambda s, sf: d.dedupe_history(assets(s, sf), ["lang", "project"], "doc_id"),
     "d9_classify_symbols": lambda s, sf: d.classify_symbols(assets(s, sf), F.broadcast(rows(s, LEXICON, "category string, special boolean, term string, ord int"))),
     "d10_classify_columns": lambda s, sf: d.classify_columns(d.catalog_columns({t: table(s, sf, t) for t in ("customer", "supplier", "part", "orders", "nation", "documents")}), rows(s, LEXICON, "category string, special boolean, term string, ord int")),
@@ -61,21 +61,22 @@ QUERIES = {
 }
 
 H = f"WITH {ASSETS}, h AS ({hits_sql()}), k AS (SELECT * FROM h WHERE NOT ({SUPPRESSED_SQL}))"
-_HASH = "left(sha256(path || ':' || rule || ':' || nth), 12) AS snippet_hash"
+_HASH = "left(sha256(path || ':' || rule || ':' || pos), 12) AS snippet_hash"
+_PHONE = r"(rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), '\bphone|tel|mobile|msisdn')))"
 _SNAKE = r"lower(regexp_replace(regexp_replace(content, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[-.]', '_', 'g'))"
 _PARTS = "(list_concat(list_transform(string_split({c}, '.'), lambda x: CAST(x AS INT)), [0, 0, 0, 0, 0, 0]))[1:6]"
 _LEX = sql_values(LEXICON, "category, special, term, ord")
 
 SQL = {
-    "d1_scan_secrets": f"{H} SELECT path, rule, CASE WHEN severity = 'critical' THEN 'critical' ELSE 'high' END AS severity, nth, {_HASH} FROM k WHERE kind = 'secret'",
-    "d2_scan_pii": f"{H} SELECT path, rule, CASE WHEN severity = 'critical' THEN 'high' ELSE 'medium' END AS severity, nth, {_HASH} FROM k WHERE kind = 'personal'",
+    "d1_scan_secrets": f"{H} SELECT path, rule, CASE WHEN severity = 'critical' THEN 'critical' ELSE 'high' END AS severity, line, {_HASH} FROM k WHERE kind = 'secret'",
+    "d2_scan_pii": f"{H} SELECT path, rule, CASE WHEN severity = 'critical' THEN 'high' ELSE 'medium' END AS severity, line, {_HASH} FROM k WHERE kind = 'personal' AND {_PHONE}",
     "d3_scan_cards": f"WITH {ASSETS}, r AS (SELECT path, unnest(list_filter(regexp_extract_all(content, '[0-9]+'), lambda x: length(x) BETWEEN 13 AND 19)) AS digits FROM a) SELECT path, digits, {LUHN.format(v='digits')} AS valid FROM r",
     "d4_scan_entropy": f"""WITH {ASSETS}, t AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, {quoted(ENTROPY_SHAPE)})) AS token FROM a) GROUP BY 1),
       c AS (SELECT token, n, unnest(string_split(token, '')) AS ch FROM t), g AS (SELECT token, n, ch, count(*) AS k FROM c GROUP BY ALL),
       b AS (SELECT token, n, round(sum(-(k / length(token)) * log2(k / length(token))), 6) AS bits FROM g GROUP BY token, n) SELECT token, bits, n FROM b WHERE bits >= 3.0""",
     "d5_suppress_hits": f"{H} SELECT reason, count(*) AS n FROM (SELECT {REASON_SQL} AS reason FROM h) WHERE reason IS NOT NULL GROUP BY 1",
     "d6_context_gate": f"{H} SELECT rule, count(*) AS n FROM k WHERE rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), 'the|und')) GROUP BY rule",
-    "d7_locate_hits": f"{H} SELECT path, rule, nth, length(b) - length(replace(b, chr(10), '')) + 1 AS line, left(value, 4) || '…' AS excerpt FROM (SELECT k.*, left(content, instr(content, value) - 1) AS b FROM k JOIN a USING (path))",
+    "d7_locate_hits": f"{H} SELECT path, rule, pos, line, left(value, 4) || '…' AS excerpt FROM k",
     "d8_dedupe_history": f"""WITH {ASSETS}, h AS ({hits_sql(key='lang, project, doc_id')}), m AS (SELECT lang, project, max(doc_id) AS newest FROM a GROUP BY ALL)
       SELECT lang, project, rule, left(value, 4) || '…' AS excerpt, count(*) AS n, max(doc_id) < any_value(newest) AS history_only FROM h JOIN m USING (lang, project) GROUP BY 1, 2, 3, 4""",
     "d9_classify_symbols": f"""WITH {ASSETS}, w AS (SELECT path, unnest(list_distinct(regexp_extract_all({_SNAKE}, '[a-z0-9_]+'))) AS term FROM a)
@@ -99,8 +100,7 @@ SQL = {
     "d20_artifact_presence": f"WITH {ASSETS}, x AS (" + " UNION ALL ".join(f"SELECT project, '{n}' AS artifact, bool_or(regexp_matches(path, {quoted(glob_regex(g))})) AS present, '{v}' AS severity FROM a GROUP BY project" for n, g, v in SPECS) + ") SELECT project, artifact, present, CASE WHEN NOT present THEN severity END AS severity FROM x",
     "d21_detect_stack": f"SELECT l_suppkey AS project, array_to_string(list_sort(list(DISTINCT framework)), ',') AS stack FROM lineitem JOIN part ON l_partkey = p_partkey JOIN {sql_values(SIGNATURES, 'package, framework')} ON p_brand = package GROUP BY 1",
     "d22_corpus_profile": f"WITH {ASSETS} SELECT lang, count(*) AS files, sum(len(string_split(content, chr(10)))) AS lines, sum(length(content)) AS chars FROM a GROUP BY lang",
-    "d23_snapshot_fingerprint": f"""WITH {ASSETS}, b AS (SELECT left(sha256(path), 2) AS b, sha256(string_agg(path || ':' || strlen(content), chr(10) ORDER BY path || ':' || strlen(content))) AS h FROM a GROUP BY 1)
-      SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS root_hash, count(*) AS buckets FROM b""",
+    "d23_snapshot_fingerprint": f"WITH {ASSETS}, h AS (SELECT sha256(path || ':' || strlen(content)) AS h FROM a) SELECT sha256(concat_ws(',', count(*), " + ", ".join(f"sum(CAST('0x' || h[{8 * k + 1}:{8 * k + 8}] AS BIGINT))" for k in range(8)) + ")) AS root_hash, count(*) AS assets FROM h",
     "d24_assert_clean": f"""WITH {ASSETS}, c AS (SELECT 'path' AS "column", path AS content FROM a UNION ALL SELECT 'content', content FROM a UNION ALL SELECT 'project', project FROM a),
       h AS ({hits_sql('c', '"column"')}) SELECT "column", kind, count(*) AS n FROM h WHERE NOT ({SUPPRESSED_SQL}) GROUP BY 1, 2""",
 }

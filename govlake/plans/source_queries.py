@@ -74,8 +74,9 @@ SQL = {
     "s3_latest_run": "SELECT user_id % 7 AS project, event_id AS run_id, ts FROM events WHERE event_type <> 'error' AND event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, event_id DESC) = 1",
     "s6_changed_since": f"WITH {ASSETS} SELECT path FROM a WHERE doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR doc_id % 7 = 0)",
     "s7_export_manifest": f"WITH {ASSETS} SELECT path, sha256(content) AS sha256, strlen(content) AS bytes FROM a",
-    "s8_export_findings": f"""{_H}, x AS (SELECT 'evidence/' || rule AS rule_id, CASE WHEN kind = 'secret' OR severity = 'critical' THEN 'error' ELSE 'warning' END AS level, path AS uri, nth AS line FROM k)
-      SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY uri, line) = 1 AS first FROM x""",
+    "s8_export_findings": f"""{_H}, x AS (SELECT 'evidence/' || rule AS rule_id, CASE WHEN kind = 'secret' OR severity = 'critical' THEN 'error' ELSE 'warning' END AS level, path AS uri, line, left(sha256(path || ':' || rule || ':' || pos), 12) AS snippet_hash FROM k
+      WHERE rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), '\\bphone|tel|mobile|msisdn')))
+      SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY uri, line, snippet_hash) = 1 AS first FROM x""",
     "t1_stream_gate": _GATE[: _GATE.index("q AS (")].replace(", s AS (SELECT conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS payload FROM conversations GROUP BY conv_id)", "")
     + "q AS (SELECT conv_id * 1000 + turn AS payload_id, path, url, '[' || role || ']' || chr(10) || text || chr(10) || left(content, 500) AS payload FROM conversations JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id)"
     + _GATE[_GATE.index(",\n      h AS (") :],

@@ -41,10 +41,11 @@ def hits_sql(source: str = "a", key: str = "path", content: str = "content") ->
     """Raw hits of every rule over `source`."""
     parts = []
     for rule, kind, severity, pattern in DETECTORS:
-        found = f"regexp_extract_all({content}, {quoted(pattern)})"
-        if rule == "card_number":
-            found = f"list_filter({found}, lambda x: length(x) BETWEEN 13 AND 19 AND {LUHN.format(v='x')})"
-        parts.append(f"SELECT {key}, '{rule}' AS rule, '{kind}' AS kind, '{severity}' AS severity, unnest(f) AS value, unnest(range(len(f))) AS nth FROM (SELECT {key}, {found} AS f FROM {source})")
+        # A hit stands behind the texts between the hits before it, and those hits.
+        before = "array_to_string(g[1:k], '') || array_to_string(f[1:k - 1], '')"
+        own = f"WHERE length(f[k]) BETWEEN 13 AND 19 AND {LUHN.format(v='f[k]')}" if rule == "card_number" else ""
+        rows = f"SELECT {key}, f, g, unnest(range(1, len(f) + 1)) AS k FROM (SELECT {key}, regexp_extract_all({content}, {quoted(pattern)}) AS f, string_split_regex({content}, {quoted(pattern)}) AS g FROM {source})"
+        parts.append(f"SELECT {key}, '{rule}' AS rule, '{kind}' AS kind, '{severity}' AS severity, f[k] AS value, length({before}) AS pos, length({before}) - length(replace({before}, chr(10), '')) + 1 AS line FROM ({rows}) {own}")
     return " UNION ALL ".join(parts)
 
 

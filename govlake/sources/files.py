@@ -25,6 +25,7 @@ def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude:
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
+    """Adds rows to a ledger of JSON lines."""
     df.write.mode("append").json(path)
 
 
@@ -34,6 +35,7 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_artifact(df: DataFrame, path: str) -> None:
+    """Adds a run's rows to a store with one folder per run_id."""
     df.write.mode("append").partitionBy("run_id").parquet(path)
 
 
@@ -76,11 +78,13 @@ def export_manifest(files: DataFrame) -> DataFrame:
 
 
 def export_findings(found: DataFrame) -> DataFrame:
-    """(rule_id, level, uri, line, first): code-scanning rows; info and low findings and artifacts stay out; first marks the row that defines its rule."""
+    """(rule_id, level, uri, line, snippet_hash, first): code-scanning rows; info and low findings and artifacts stay out; first marks the row that
+    defines its rule, that of the smallest place. line is the finding's own."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
-    rows = found.where(~F.col("severity").isin("info", "low")).select(F.concat(F.lit("evidence/"), "rule").alias("rule_id"), level.alias("level"), F.col("path").alias("uri"), F.col("nth").alias("line"))
-    nth = F.row_number().over(W.partitionBy("rule_id").orderBy("uri", "line"))
-    return rows.withColumn("first", nth == 1)
+    rows = found.where(~F.col("severity").isin("info", "low")).select(F.concat(F.lit("evidence/"), "rule").alias("rule_id"), level.alias("level"), F.col("path").alias("uri"), "line", "snippet_hash")
+    place = F.struct("uri", "line", "snippet_hash")
+    heads = rows.groupBy("rule_id").agg(F.min(place).alias("head"))  # one row per rule, of which there are few
+    return rows.join(heads, "rule_id").withColumn("first", place == F.col("head")).drop("head")
 
 
 def purl(ecosystem: Column, name: Column, version: Column) -> Column:
