@@ -122,6 +122,18 @@ def glob_regex(glob: str) -> str:
     return "^" + ("(?:.*/)?" if "/" not in glob else "") + out + "$"
 
 
+def window_hashes(words: Column, size: int) -> Column:
+    """64-bit hash of each `size` neighbours of an array of strings, which is evaluated once; empty where it has fewer."""
+
+    def of(h: Column) -> Column:
+        joined = h
+        for k in range(1, size):
+            joined = F.zip_with(joined, F.slice(h, F.lit(k + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return F.slice(joined, F.lit(1), F.greatest(F.size(h) - (size - 1), F.lit(0)))
+
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of)[0]
+
+
 def any_glob(path: Column, globs) -> Column:
     return path.rlike("|".join(glob_regex(g) for g in globs)) if globs else F.lit(False)
 

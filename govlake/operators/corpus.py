@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlake.functions.rules import host_of, slug
+from govlake.functions.folders import bounded
+from govlake.functions.rules import host_of, slug, window_hashes
 
 
 def plan_queries(profiles: DataFrame, packs: DataFrame, facets: DataFrame) -> DataFrame:
@@ -13,7 +16,9 @@ def plan_queries(profiles: DataFrame, packs: DataFrame, facets: DataFrame) -> Da
 
     profiles: project, pack, trigger; packs: pack, framework, hints; facets: facet, trigger (null: always).
     """
-    asked = profiles.join(F.broadcast(facets.withColumnRenamed("trigger", "needs")), F.col("needs").isNull() | (F.col("needs") == F.col("trigger")))
+    needs = facets.withColumnRenamed("trigger", "needs")
+    always = profiles.withColumn("all", F.lit(1)).join(needs.where("needs is null").select(F.lit(1).alias("all"), "facet"), "all").drop("all")
+    asked = always.unionByName(profiles.join(needs.where("needs is not null"), F.col("needs") == F.col("trigger")).drop("needs"))
     both = asked.join(packs, "pack").where(~F.col("framework") | F.array_contains("hints", F.col("facet")))
     return both.select("project", "pack", "facet").distinct()
 
@@ -23,7 +28,7 @@ def mark_primary(citations: DataFrame, authorities: DataFrame) -> DataFrame:
     parts = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     hosts = citations.withColumn("host", host_of(F.col("url")))
-    good = hosts.select("host").distinct().select("host", F.explode(suffixes).alias("domain")).join(F.broadcast(authorities), "domain", "left_semi").select("host", F.lit(True).alias("p")).distinct()
+    good = hosts.select("host").distinct().select("host", F.explode(suffixes).alias("domain")).join(authorities, "domain", "left_semi").select("host", F.lit(True).alias("p")).distinct()
     return hosts.join(good, "host", "left").select("id", "url", F.coalesce("p", F.lit(False)).alias("primary"))
 
 
@@ -58,31 +63,62 @@ def apply_verification(obligations: DataFrame, verdicts: DataFrame) -> DataFrame
 
 
 def plain_page(html: Column) -> Column:
-    """A page's text: no scripts, styles and tags, four entities resolved, blanks collapsed, lower case."""
-    text = F.regexp_replace(F.regexp_replace(html, "<(script|style)[^>]*>[^<]*</(script|style)>", " "), "<[^>]*>", " ")
-    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    """A page's text: no scripts, styles and tags, entities resolved, blanks collapsed, lower case."""
+    text = F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)\\b.*?</(script|style)>", " "), "<[^>]+>", " ")
+    for entity, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(mark))
-    return F.lower(F.trim(F.regexp_replace(text, "[ \t\r\n]+", " ")))
+    return collapsed(text)
 
 
 def collapsed(text: Column) -> Column:
+    """Runs of blanks as one, none at the ends, lower case."""
     return F.lower(F.trim(F.regexp_replace(text, "[ \t\r\n]+", " ")))
 
 
-def verify_quotes(quotes: DataFrame, sources: DataFrame, shingle: int = 6) -> DataFrame:
+#: Characters that a quote must have, and of the pieces by which quotes of one or two words are looked up.
+QUOTE, PIECE = 24, 12
+
+
+def _needles(quotes: DataFrame) -> DataFrame:
+    """(item_id, needle): each quote, and the third to eighth of its words of more than three letters if it has six of them."""
+    q = quotes.select("item_id", collapsed(F.col("text")).alias("quote")).where(F.length("quote") >= QUOTE)
+    long = F.filter(F.split("quote", " "), lambda w: F.length(w) > 3)
+    run = F.when(F.size(long) >= 6, F.array_join(F.slice(long, 3, 6), " "))
+    return q.select("item_id", F.explode(F.array_compact(F.array("quote", run))).alias("needle")).distinct()
+
+
+def _keyed(needles: DataFrame, shingle: int) -> DataFrame:
+    """needles with size and key: the hash of `size` words that stand whole in any text with the needle, as none of them is its
+    first or last; size 0 and a piece of characters for needles of one or two words."""
+    w = F.split("needle", " ")
+    size = F.greatest(F.lit(0), F.least(F.lit(shingle), F.size(w) - 2))
+    words = F.coalesce(*[F.when(size == k, window_hashes(F.slice(w, 2, k), k)[0]) for k in range(1, shingle + 1)])
+    return needles.select("item_id", "needle", size.alias("size"), F.coalesce(words, F.xxhash64(F.left("needle", F.lit(PIECE)))).alias("key"))
+
+
+def verify_quotes(quotes: DataFrame, sources: DataFrame, shingle: int = 6, pages: bool = False) -> DataFrame:
     """(item_id, n_sources): how many sources hold each quote of 24 characters or more; null for shorter ones, which can't be checked.
 
-    Each quote is looked up by one shingle of its words; a source that has it is then searched for the whole quote.
+    A source holds a quote if it has its text, or the third to eighth of the quote's words of more than three letters, wherever they begin or
+    end, blanks collapsed and in lower case; with pages, sources are HTML. Sources are looked up by hashes of words or characters
+    that a holder must have, and only those found are searched. Null texts hold nothing; rows that repeat a source_id are
+    one source with several texts; of rows that repeat an item_id any may be found.
     """
-    q = quotes.select("item_id", collapsed(F.col("text")).alias("quote")).withColumn("w", F.split("quote", " "))
-    long = q.where((F.length("quote") >= 24) & (F.size("w") > shingle + 1)).withColumn("key", F.array_join(F.slice("w", 2, shingle), " "))
-    words = F.split("body", " ")
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (shingle - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, shingle), " ")))
-    bodies = sources.select("source_id", collapsed(F.col("text")).alias("body"))
-    near = bodies.select("source_id", F.explode_outer(windows).alias("key")).join(F.broadcast(long.select("item_id", "key")), "key").select("source_id", "item_id").distinct()
-    found = near.join(bodies, "source_id").join(long.select("item_id", "quote"), "item_id").where(F.contains("body", "quote"))
-    counts = found.groupBy("item_id").agg(F.count("*").alias("n"))
-    return q.join(counts, "item_id", "left").select("item_id", F.when((F.length("quote") >= 24) & (F.size("w") > shingle + 1), F.coalesce("n", F.lit(0).cast("long"))).alias("n_sources"))
+    needles = _keyed(_needles(quotes), shingle)
+    body = plain_page(F.col("text")) if pages else collapsed(F.col("text"))
+    bodies = sources.select("source_id", body.alias("body")).where("body <> ''")
+    near = []
+    for k in [r[0] for r in needles.select("size").distinct().collect()]:  # at most shingle + 1 numbers
+        starts = F.sequence(F.lit(1), F.greatest(F.length("body") - (PIECE - 1), F.lit(1)))
+        keys = window_hashes(F.split("body", " "), k) if k else F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("body"), i, F.lit(PIECE))))
+        own = bounded(needles.where(F.col("size") == k).select("item_id", "key"))
+        near.append(bodies.select("source_id", F.explode_outer(F.array_distinct(keys)).alias("key")).join(own, "key").select("source_id", "item_id"))
+    out = quotes.select("item_id", F.coalesce(F.length(collapsed(F.col("text"))) >= QUOTE, F.lit(False)).alias("long")).groupBy("item_id").agg(F.bool_or("long").alias("long"))
+    if not near:
+        return out.select("item_id", F.lit(None).cast("long").alias("n_sources"))
+    found = reduce(DataFrame.unionByName, near).distinct().join(bodies, "source_id").join(needles.select("item_id", "needle"), "item_id").where(F.contains("body", "needle"))
+    counts = found.groupBy("item_id").agg(F.count_distinct("source_id").alias("n"))
+    return out.join(counts, "item_id", "left").select("item_id", F.when(F.col("long"), F.coalesce("n", F.lit(0).cast("long"))).alias("n_sources"))
 
 
 def merge_obligations(rows: DataFrame, key: Column) -> DataFrame:
@@ -105,6 +141,7 @@ def corpus_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def exclusion_summary(excluded: DataFrame) -> DataFrame:
+    """(reason, n, first_id) of what was left out."""
     return excluded.groupBy("reason").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 

@@ -14,11 +14,15 @@ PRICE_IN, PRICE_OUT = 3.0, 15.0
 
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls (call_id, model, tokens_in, tokens_out, reported, cached) with cost: cached calls are free, a vendor's
-    own figure of 0 or more wins, a model without a price takes that of *."""
-    p = prices.select("model", F.col("price_in").alias("i"), F.col("price_out").alias("o"))
-    other = prices.where("model = '*'").select(F.col("price_in").alias("di"), F.col("price_out").alias("do"))
-    joined = calls.join(F.broadcast(p), "model", "left").join(F.broadcast(other))
-    counted = F.col("tokens_in") / 1e6 * F.coalesce("i", "di") + F.col("tokens_out") / 1e6 * F.coalesce("o", "do")
+    own figure of 0 or more wins, a model without a price takes that of *, or the fallback price where * has none.
+
+    Of several prices of a model the highest holds, so no call is lost or doubled.
+    """
+    p = prices.groupBy("model").agg(F.max("price_in").alias("i"), F.max("price_out").alias("o"))
+    other = p.where("model = '*'").first()
+    di, do = (other.i, other.o) if other else (PRICE_IN, PRICE_OUT)
+    joined = calls.join(p, "model", "left")
+    counted = F.col("tokens_in") / 1e6 * F.coalesce("i", F.lit(di)) + F.col("tokens_out") / 1e6 * F.coalesce("o", F.lit(do))
     cost = F.when(F.col("cached"), 0.0).when(F.col("reported") >= 0, F.col("reported")).otherwise(counted)
     return joined.select("call_id", "model", F.round(cost, 9).alias("cost"))
 
@@ -32,10 +36,10 @@ def project_spend(assets: DataFrame, project: str = "project") -> DataFrame:
 
 def enforce_budget(calls: DataFrame, cap: float, order: str = "ts") -> DataFrame:
     """calls with spent_before and refused: in time order per (run_id, seat) a call is refused from the first on that would
-    exceed the cap; cached calls cost nothing and are never refused."""
+    exceed the cap; cached calls cost nothing and are never refused. A cap of 0 or less is none."""
     seat = W.partitionBy("run_id", "seat").orderBy(order, "call_id")
     before = F.coalesce(F.sum(F.when(F.col("cached"), 0.0).otherwise(F.col("cost"))).over(seat.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    breach = ~F.col("cached") & (F.col("spent_before") + F.col("cost") > cap)
+    breach = ~F.col("cached") & (F.col("spent_before") + F.col("cost") > (cap if cap > 0 else float("inf")))
     over = F.max(breach.cast("int")).over(seat.rowsBetween(W.unboundedPreceding, W.currentRow)) == 1
     return calls.withColumn("spent_before", F.round(before, 6)).withColumn("refused", over & ~F.col("cached"))
 
@@ -60,6 +64,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_days: float) -> Data
 
 
 def cache_stats(cache: DataFrame, value: str, created: str, as_of: Column) -> DataFrame:
+    """(entries, bytes, oldest_days) of a cache; an empty one has no bytes and no age."""
     return cache.agg(F.count("*").alias("entries"), F.sum(F.octet_length(value)).alias("bytes"), F.round(F.max((F.unix_micros(as_of) - F.unix_micros(F.col(created).cast("timestamp"))) / 8.64e10), 6).alias("oldest_days"))
 
 

@@ -34,19 +34,27 @@ def _misconfig(spark, sf):
     return d.scan_misconfig(pages, rules)
 
 
+def _with_examples(spark, sf):
+    """Assets with a documentation address, an environment reference, a placeholder or a sender that takes no reply behind their text."""
+    a, k = assets(spark, sf), F.col("doc_id") % 5
+    more = F.when(k == 0, F.concat(F.lit(" u"), F.col("doc_id").cast("string"), F.lit("@example.com"))).when(k == 1, ' token = "process.env.TOKEN_OF_APP"').when(k == 2, ' secret: "YOUR_SECRET_STANDS_HERE"').when(k == 3, " noreply@corp.org").otherwise("")
+    return a.withColumn("content", F.concat("content", more))
+
+
 QUERIES = {
+    "d16_schema_protection": lambda s, sf: d.schema_protection(table(s, sf, "part").select(F.concat(F.lit("db/"), F.col("p_partkey").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("CREATE TABLE t"), F.col("p_partkey").cast("string"), F.lit(" (x int);"), F.when(F.col("p_size") % 3 > 0, "\nALTER TABLE t ENABLE  ROW LEVEL SECURITY;").otherwise(""), F.when(F.col("p_size") % 3 == 2, "\ncreate policy p;").otherwise("")).alias("content"))),
     "d1_scan_secrets": lambda s, sf: d.scan_secrets(assets(s, sf)),
     "d2_scan_pii": lambda s, sf: d.scan_pii(assets(s, sf)),
     "d3_scan_cards": lambda s, sf: d.scan_cards(assets(s, sf)),
     "d4_scan_entropy": lambda s, sf: d.scan_entropy(assets(s, sf)),
-    "d5_suppress_hits": lambda s, sf: d.suppressed_counts(d.hits(assets(s, sf))),
+    "d5_suppress_hits": lambda s, sf: d.suppressed_counts(d.hits(_with_examples(s, sf))),
     "d6_context_gate": lambda s, sf: d.context_gate(_found(s, sf), assets(s, sf), words="the|und").groupBy("rule").agg(F.count("*").alias("n")),
     "d7_locate_hits": lambda s, sf: d.locate_hits(_found(s, sf)),
     "d8_dedupe_history": lambda s, sf: d.dedupe_history(assets(s, sf), ["lang", "project"], "doc_id"),
     "d9_classify_symbols": lambda s, sf: d.classify_symbols(assets(s, sf), F.broadcast(rows(s, LEXICON, "category string, special boolean, term string, ord int"))),
     "d10_classify_columns": lambda s, sf: d.classify_columns(d.catalog_columns({t: table(s, sf, t) for t in ("customer", "supplier", "part", "orders", "nation", "documents")}), rows(s, LEXICON, "category string, special boolean, term string, ord int")),
     "d11_scan_signals": lambda s, sf: d.scan_signals(assets(s, sf), SIGNALS),
-    "d12_pii_in_sink": lambda s, sf: d.pii_in_sink(_found(s, sf), assets(s, sf), "reserved", SPECIAL),
+    "d12_pii_in_sink": lambda s, sf: d.pii_in_sink(_found(s, sf), assets(s, sf), "the", SPECIAL),
     "d13_vendor_calls": lambda s, sf: d.vendor_calls(_found(s, sf), assets(s, sf), "with|mit"),
     "d14_outbound_hosts": lambda s, sf: d.outbound_hosts(table(s, sf, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("html")), "page_id", "html", IGNORED_HOSTS),
     "d15_scan_misconfig": _misconfig,
@@ -65,6 +73,8 @@ _HASH = "left(sha256(path || ':' || rule || ':' || pos), 12) AS snippet_hash"
 _PHONE = r"(rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), '\bphone|tel|mobile|msisdn')))"
 _SNAKE = r"lower(regexp_replace(regexp_replace(content, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[-.]', '_', 'g'))"
 _PARTS = "(list_concat(list_transform(string_split({c}, '.'), lambda x: CAST(x AS INT)), [0, 0, 0, 0, 0, 0]))[1:6]"
+_MORE = """CASE doc_id % 5 WHEN 0 THEN ' u' || doc_id || '@example.com' WHEN 1 THEN ' token = "process.env.TOKEN_OF_APP"' WHEN 2 THEN ' secret: "YOUR_SECRET_STANDS_HERE"' WHEN 3 THEN ' noreply@corp.org' ELSE '' END"""
+_EXAMPLES = ASSETS.replace("text AS content", f"text || {_MORE} AS content")
 _LEX = sql_values(LEXICON, "category, special, term, ord")
 
 SQL = {
@@ -74,7 +84,10 @@ SQL = {
     "d4_scan_entropy": f"""WITH {ASSETS}, t AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, {quoted(ENTROPY_SHAPE)})) AS token FROM a) GROUP BY 1),
       c AS (SELECT token, n, unnest(string_split(token, '')) AS ch FROM t), g AS (SELECT token, n, ch, count(*) AS k FROM c GROUP BY ALL),
       b AS (SELECT token, n, round(sum(-(k / length(token)) * log2(k / length(token))), 6) AS bits FROM g GROUP BY token, n) SELECT token, bits, n FROM b WHERE bits >= 3.0""",
-    "d5_suppress_hits": f"{H} SELECT reason, count(*) AS n FROM (SELECT {REASON_SQL} AS reason FROM h) WHERE reason IS NOT NULL GROUP BY 1",
+    "d10_classify_columns": f"""WITH l AS (SELECT DISTINCT category, term FROM {_LEX} WHERE special) SELECT table_name AS "table", column_name AS "column", category FROM information_schema.columns JOIN l ON term = regexp_replace(lower(column_name), '^[a-z]_', '')
+      WHERE table_name IN ('customer', 'supplier', 'part', 'orders', 'nation', 'documents') AND data_type = 'VARCHAR'""",
+    "d16_schema_protection": "SELECT 'db/' || p_partkey || '.sql' AS path, CASE p_size % 3 WHEN 0 THEN 'rls_absent' ELSE 'rls_without_policy' END AS rule, CASE p_size % 3 WHEN 0 THEN 'high' ELSE 'medium' END AS severity FROM part WHERE p_size % 3 < 2",
+    "d5_suppress_hits": f"""WITH {_EXAMPLES}, h AS ({hits_sql()}) SELECT reason, count(*) AS n FROM (SELECT {REASON_SQL} AS reason FROM h) WHERE reason IS NOT NULL GROUP BY 1""",
     "d6_context_gate": f"{H} SELECT rule, count(*) AS n FROM k WHERE rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), 'the|und')) GROUP BY rule",
     "d7_locate_hits": f"{H} SELECT path, rule, pos, line, left(value, 4) || '…' AS excerpt FROM k",
     "d8_dedupe_history": f"""WITH {ASSETS}, h AS ({hits_sql(key='lang, project, doc_id')}), m AS (SELECT lang, project, max(doc_id) AS newest FROM a GROUP BY ALL)
@@ -83,7 +96,7 @@ SQL = {
       SELECT path, category, special, arg_min(term, ord) AS term, CASE WHEN special THEN 'high' ELSE 'medium' END AS severity FROM w JOIN (SELECT * FROM {_LEX}) USING (term) WHERE length(term) <= 48 GROUP BY path, category, special""",
     "d11_scan_signals": f"WITH {ASSETS} " + " UNION ALL ".join(f"SELECT path, '{n}' AS signal, instr(lower(content), regexp_extract(lower(content), '{p}')) AS pos FROM a WHERE regexp_matches(lower(content), '{p}')" for n, p in SIGNALS.items()),
     "d12_pii_in_sink": f"""{H}, p AS (SELECT path, list_sort(list(DISTINCT rule)) AS rules FROM k WHERE kind = 'personal' GROUP BY path)
-      SELECT path, CASE WHEN list_has_any(rules, {SPECIAL}) THEN 'high' ELSE 'medium' END AS severity, array_to_string(rules[1:3], ',') AS rules FROM p WHERE path IN (SELECT path FROM a WHERE contains(content, 'reserved'))""",
+      SELECT path, CASE WHEN list_has_any(rules, {SPECIAL}) THEN 'high' ELSE 'medium' END AS severity, array_to_string(rules[1:3], ',') AS rules FROM p WHERE path IN (SELECT path FROM a WHERE contains(content, 'the'))""",
     "d13_vendor_calls": f"""{H}, p AS (SELECT path, count(DISTINCT rule) AS n_rules FROM k WHERE kind = 'personal' GROUP BY path)
       SELECT path, coalesce(n_rules, 0) AS n_rules, CASE WHEN n_rules > 0 THEN 'high' ELSE 'info' END AS severity FROM a LEFT JOIN p USING (path) WHERE regexp_matches(content, 'with|mit')""",
     "d14_outbound_hosts": rf"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html), 'https?://[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS url FROM pages),

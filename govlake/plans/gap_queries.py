@@ -55,7 +55,7 @@ def _answers(s, sf):
 
 
 def _obligations(s, sf):
-    return table(s, sf, "documents").where("doc_id % 10 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 1, "low").when(F.col("doc_id") % 5 == 2, "grave").alias("given"), (F.col("doc_id") % 4 == 0).alias("criminal"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("maximum"))
+    return table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 1, "low").when(F.col("doc_id") % 5 == 2, "grave").alias("given"), (F.col("doc_id") % 4 == 0).alias("criminal"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("maximum"))
 
 
 def _nodes(s, sf):
@@ -105,7 +105,7 @@ QUERIES = {
     "g5_complete_adjudications": lambda s, sf: g.complete_adjudications(_obligations(s, sf), _answers(s, sf)),
     "g6_build_gaps": lambda s, sf: g.build_gaps(g.complete_adjudications(_obligations(s, sf), _answers(s, sf)), _obligations(s, sf)),
     "g7_validate_gaps": lambda s, sf: g.validate_gaps(table(s, sf, "documents"), _checks(), "doc_id"),
-    "g8_merge_gaps": lambda s, sf: g.merge_gaps(table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), "text", F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("severity")), F.lower(F.left("text", F.lit(80)))),
+    "g8_merge_gaps": lambda s, sf: g.merge_gaps(table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), "text", F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("severity")), F.sha2(F.lower(F.trim("text")), 256)),
     "g9_remediation_order": lambda s, sf: g.remediation_order(*_nodes(s, sf)),
     "g10_commit_batches": lambda s, sf: g.commit_batches(table(s, sf, "documents").withColumn("severity", F.when(F.col("doc_id") % 50 == 0, "critical").otherwise("low")), F.col("text")),
     "g11_exposure_ledger": lambda s, sf: g.exposure_ledger(_orders(s, sf)),
@@ -127,7 +127,7 @@ QUERIES = {
 _S = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in _SEV.items()) + " ELSE 'info' END"
 _O = f"o AS (SELECT o_orderkey AS id, o_custkey AS project, n_name AS region, {_S} AS severity, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS maximum, 'EUR' AS currency, o_orderkey % 17 AS file, o_orderstatus = 'O' AS pre_launch FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 _E = "e AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS run, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' ELSE 'medium' END AS severity FROM events)"
-_OB = "b AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 1 THEN 'low' WHEN doc_id % 5 = 2 THEN 'grave' END AS given, doc_id % 4 = 0 AS criminal, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS maximum FROM documents WHERE doc_id % 10 <> 0)"
+_OB = "b AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 1 THEN 'low' WHEN doc_id % 5 = 2 THEN 'grave' END AS given, doc_id % 4 = 0 AS criminal, CASE WHEN doc_id % 3 = 0 THEN n_chars END AS maximum FROM documents)"
 _AD = "j AS (SELECT b.id, CASE WHEN l.doc_id IS NULL THEN 'indeterminate' WHEN toxic = 1 THEN 'unsatisfied' WHEN quality = 1 THEN 'satisfied' ELSE 'partial' END AS status, CASE WHEN l.doc_id IS NULL THEN 0 ELSE least(1.0, greatest(0.0, (l.doc_id % 14) / 10 - 0.1)) END AS confidence FROM b LEFT JOIN labels l ON l.doc_id = b.id)"
 _R = f"{_O}, n AS (SELECT project, count(*) AS gaps, count(*) FILTER (severity = 'critical') AS critical FROM o GROUP BY project), c AS (SELECT project, 'gaps' AS key, gaps AS n FROM n UNION ALL SELECT project, 'critical', critical FROM n), r AS (SELECT project, key, n * low / divisor AS low, n * high / divisor AS high, source IS NULL AS unsourced FROM c JOIN (SELECT * FROM {sql_values(BANDS, 'key, low, high, divisor, source')}) USING (key)), t AS (SELECT project, 'total' AS key, sum(low) AS low, sum(high) AS high, bool_or(unsourced) AS unsourced FROM r GROUP BY project)"
 _CHECKS = {"short": "length(text) < 200", "no_link": "NOT contains(text, 'http')", "no_number": "NOT regexp_matches(text, '[0-9]')", "one_line": "NOT contains(text, chr(10))", "vague": "regexp_matches(lower(text), 'improve|consider|ensure') AND NOT regexp_matches(lower(text), 'table|column|file')", "dangling": "regexp_matches(lower(text), 'see above|the report')"}
@@ -145,7 +145,11 @@ SQL = {
     "g6_build_gaps": f"""WITH {_OB}, {_AD} SELECT id, CASE WHEN given = 'low' THEN 'low' WHEN criminal THEN 'critical' WHEN maximum IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
       concat_ws(',', CASE WHEN given = 'low' THEN 'given' END, CASE WHEN criminal THEN 'criminal' END, CASE WHEN maximum IS NOT NULL THEN 'maximum' END) AS basis, CAST(maximum AS DECIMAL(18,2)) AS maximum FROM j JOIN b USING (id) WHERE status IN ('partial', 'unsatisfied')""",
     "g7_validate_gaps": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {q} THEN '{n}' END" for n, q in _CHECKS.items()) + ") AS problems, " + " + ".join(f"CAST({q} AS INT)" for q in _CHECKS.values()) + " AS n FROM documents",
-    "g8_merge_gaps": "WITH m AS (SELECT source AS project, lower(left(text, 80)) AS key, min(doc_id) AS first_id, count(*) AS n, min(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 3 END) AS rank FROM documents GROUP BY 1, 2) SELECT *, 'GAP-' || lpad(CAST(row_number() OVER (PARTITION BY project ORDER BY rank, first_id) AS VARCHAR), 6, '0') AS gap FROM m",
+    "g8_merge_gaps": "WITH m AS (SELECT source AS project, sha256(lower(trim(text))) AS key, min(doc_id) AS first_id, count(*) AS n, min(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 3 END) AS rank FROM documents GROUP BY 1, 2) SELECT *, 'GAP-' || lpad(CAST(row_number() OVER (PARTITION BY project ORDER BY rank, first_id) AS VARCHAR), 6, '0') AS gap FROM m",
+    "g9_remediation_order": """WITH RECURSIVE c AS (SELECT count(*) AS c FROM part), p AS (SELECT p_partkey AS id, p_partkey // 2 AS needs FROM part UNION SELECT * FROM (VALUES (11, 13), (13, 17), (17, 11))),
+      e AS (SELECT DISTINCT id, needs FROM p WHERE id <> needs AND id IN (SELECT p_partkey FROM part) AND needs IN (SELECT p_partkey FROM part)),
+      w AS (SELECT id, needs AS at, 1 AS n FROM e UNION SELECT w.id, e.needs, n + 1 FROM w JOIN e ON e.id = w.at WHERE n < (SELECT c FROM c))
+      SELECT p_partkey AS id, CASE WHEN coalesce(max(n), 0) < any_value(c) THEN coalesce(max(n), 0) END AS level FROM part CROSS JOIN c LEFT JOIN w ON w.id = p_partkey GROUP BY 1""",
     "g10_commit_batches": "SELECT CASE WHEN doc_id % 50 = 0 THEN 'critical' WHEN regexp_matches(lower(text), 'schema|table|column') THEN 'schema' WHEN regexp_matches(lower(text), 'token|secret|key') THEN 'security' WHEN regexp_matches(lower(text), 'licen[cs]e|rights|copyright') THEN 'documentation' ELSE 'other' END AS batch, count(*) AS n FROM documents GROUP BY 1",
     "g11_exposure_ledger": f"WITH {_O} SELECT region, currency, CASE WHEN maximum IS NOT NULL THEN 'quantified' WHEN severity IN ('critical', 'high') THEN 'qualitative' ELSE 'unknown' END AS bucket, count(*) AS n, max(maximum) AS highest FROM o GROUP BY 1, 2, 3",
     "g12_filter_gaps": f"WITH {_O} SELECT * FROM o WHERE severity IN ('critical', 'high') AND region = 'NATION_3' AND id % 4 <> 0",

@@ -33,8 +33,8 @@ def _lookup(s, sf):
 
 def _split(s, sf):
     d = table(s, sf, "documents")
-    before = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "text")
-    after = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), F.concat("text", F.when(F.col("doc_id") % 7 == 0, "!").otherwise("")).alias("text"))
+    before = d.select(F.col("doc_id").alias("id"), "text")
+    after = d.select(F.when(F.col("doc_id") % 5 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("id"), F.concat("text", F.when(F.col("doc_id") % 7 == 0, "!").otherwise("")).alias("text"))
     return before, after
 
 
@@ -76,7 +76,7 @@ QUERIES = {
     "c4_trap_gate": lambda s, sf: c.trap_gate(table(s, sf, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), (F.col("event_type") == "error").alias("failed")), ["user_id", "day"], "failed").select("event_id", "exclusion"),
     "c5_apply_verification": lambda s, sf: c.apply_verification(table(s, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 11 / 10).alias("confidence")), _verdicts(s, sf)),
     "c6_verify_quotes": lambda s, sf: c.verify_quotes(table(s, sf, "benchmark"), table(s, sf, "documents").select(F.col("doc_id").alias("source_id"), "text")),
-    "c7_merge_obligations": lambda s, sf: c.merge_obligations(table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("facet"), "text", (F.col("doc_id") % 10 / 10).alias("confidence")), F.lower(F.left("text", F.lit(40)))),
+    "c7_merge_obligations": lambda s, sf: c.merge_obligations(table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("facet"), "text", (F.col("doc_id") % 10 / 10).alias("confidence")), F.sha2(F.lower(F.trim("text")), 256)),
     "c8_flag_stale": lambda s, sf: c.flag_stale(table(s, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("retrieved")), "retrieved", 365, "1999-01-01").groupBy("stale").agg(F.count("*").alias("n")),
     "c9_corpus_changes": lambda s, sf: c.corpus_changes(*_split(s, sf)),
     "c10_exclusion_summary": lambda s, sf: c.exclusion_summary(c.build_obligations(_raw(s, sf)).where("reason is not null")),
@@ -115,11 +115,12 @@ SQL = {
     "c4_trap_gate": "WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events GROUP BY ALL HAVING count(*) FILTER (event_type = 'error') >= 2) SELECT event_id, CASE WHEN b.user_id IS NOT NULL THEN 'fabrication_suspected' END AS exclusion FROM events e LEFT JOIN b ON e.user_id = b.user_id AND CAST(ts AS DATE) = day",
     "c5_apply_verification": f"""WITH d AS (SELECT doc_id AS id, (doc_id % 11) / 10 AS c, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
       SELECT id, {_STATE} AS verification, round(CASE WHEN toxic = 1 THEN c WHEN quality = 1 THEN least(1.0, c + 0.1) WHEN quality = 0 THEN greatest(0.0, c - 0.15) ELSE c END, 6) AS confidence, coalesce(toxic <> 1 AND quality = 1, false) AS keeps_penalty FROM d""",
-    "c6_verify_quotes": f"""WITH q AS (SELECT item_id, {_COLLAPSE} AS quote FROM benchmark), d AS (SELECT {_COLLAPSE} AS body FROM documents)
-      SELECT item_id, CASE WHEN length(any_value(quote)) >= 24 AND len(string_split(any_value(quote), ' ')) > 7 THEN count(body) END AS n_sources FROM q LEFT JOIN d ON contains(body, quote) GROUP BY item_id""",
-    "c7_merge_obligations": "SELECT lower(left(text, 40)) AS key, count(*) AS n, min(doc_id) AS first_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS facets, max((doc_id % 10) / 10) AS confidence FROM documents GROUP BY 1",
+    "c6_verify_quotes": f"""WITH q AS (SELECT item_id, quote, list_filter(string_split(quote, ' '), lambda x: length(x) > 3) AS w FROM (SELECT item_id, {_COLLAPSE} AS quote FROM benchmark)),
+      r AS (SELECT item_id, quote, CASE WHEN len(w) >= 6 THEN array_to_string(w[3:8], ' ') ELSE quote END AS run FROM q), d AS (SELECT {_COLLAPSE} AS body FROM documents)
+      SELECT item_id, CASE WHEN length(any_value(quote)) >= 24 THEN count(body) END AS n_sources FROM r LEFT JOIN d ON contains(body, quote) OR contains(body, run) GROUP BY item_id""",
+    "c7_merge_obligations": "SELECT sha256(lower(trim(text))) AS key, count(*) AS n, min(doc_id) AS first_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS facets, max((doc_id % 10) / 10) AS confidence FROM documents GROUP BY 1",
     "c8_flag_stale": "SELECT CASE WHEN o_orderkey % 9 = 0 THEN true ELSE date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01') > 365 END AS stale, count(*) AS n FROM orders GROUP BY 1",
-    "c9_corpus_changes": "WITH p AS (SELECT doc_id AS id, text FROM documents WHERE doc_id % 3 <> 0), c AS (SELECT doc_id AS id, text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END AS text FROM documents WHERE doc_id % 5 <> 0) SELECT id, CASE WHEN p.text IS NULL THEN 'new' WHEN c.text IS NULL THEN 'removed' WHEN p.text = c.text THEN 'unchanged' ELSE 'changed' END AS status FROM p FULL JOIN c USING (id)",
+    "c9_corpus_changes": "WITH p AS (SELECT doc_id AS id, text FROM documents), c AS (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS id, text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END AS text FROM documents) SELECT id, CASE WHEN p.text IS NULL THEN 'new' WHEN c.text IS NULL THEN 'removed' WHEN p.text = c.text THEN 'unchanged' ELSE 'changed' END AS status FROM p FULL JOIN c USING (id)",
     "c10_exclusion_summary": f"WITH {_RAW} SELECT reason, count(*) AS n, min(id) AS first_id FROM r WHERE reason IS NOT NULL GROUP BY 1",
     "c11_citation_inventory": f"SELECT host, count(*) AS n, count(*) FILTER ({_IS}) AS n_primary FROM (SELECT {_PRIMARY} FROM pages) GROUP BY host",
     "c12_region_summary": f"SELECT source AS region, count(*) AS n, count(*) FILTER ({_STATE} = 'double_sourced') AS double_sourced, count(*) FILTER ({_STATE} = 'disputed') AS disputed FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",

@@ -22,12 +22,12 @@ def _words(spark, sf):
 
 
 def _names(spark, sf):
-    return r.mint_pseudonyms(_words(spark, sf).where("real rlike '^[a-c]'"), SALT)
+    return r.mint_pseudonyms(_words(spark, sf), SALT)
 
 
 def _payloads(spark, sf):
     sealed = r.seal_payloads(table(spark, sf, "conversations"))
-    a = assets(spark, sf).select(F.col("doc_id").alias("conv_id"), "path", F.left("content", F.lit(500)).alias("head"))
+    a = assets(spark, sf).select(F.col("doc_id").alias("conv_id"), "path", F.col("content").alias("head"))
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("conv_id"), "url")
     text = F.concat_ws("\n", "payload", "head").alias("payload")
     return sealed.join(a, "conv_id").join(pages, "conv_id").select(F.col("conv_id").alias("payload_id"), "path", "url", text)
@@ -48,21 +48,21 @@ def _round_trip(spark, sf):
 
 
 QUERIES = {
-    "r1_classify_literals": lambda s, sf: r.classify_literals(table(s, sf, "pages").select(F.col("url").alias("v")).unionAll(table(s, sf, "events").select("props")).unionAll(table(s, sf, "customer").select("c_name")).unionAll(table(s, sf, "documents").select(F.left("text", F.lit(70)))), "v"),
+    "r1_classify_literals": lambda s, sf: r.classify_literals(table(s, sf, "pages").select(F.col("url").alias("v")).unionAll(table(s, sf, "events").select("props")).unionAll(table(s, sf, "customer").select("c_name")).unionAll(table(s, sf, "documents").select("text")), "v"),
     "r2_bucket_numbers": lambda s, sf: r.bucket_numbers(table(s, sf, "orders").select(F.col("o_totalprice").alias("v")).unionAll(table(s, sf, "lineitem").select("l_extendedprice")), "v"),
     "r3_mint_pseudonyms": lambda s, sf: r.mint_pseudonyms(_words(s, sf), SALT).agg(F.count("*").alias("n"), F.count_distinct("pseudonym").alias("n_names"), F.count_distinct("real").alias("n_real")),
     "r4_pseudonymise_columns": _joined,
     "r5_pseudonymise_paths": lambda s, sf: r.pseudonymise_paths(assets(s, sf), SALT),
     "r6_tokenise_terms": lambda s, sf: r.tokenise_terms(assets(s, sf), _names(s, sf)).select("path", "n"),
-    "r7_redact_text": lambda s, sf: r.redact_text(assets(s, sf)).select("path", "n_dropped", F.length("released").alias("chars")),
+    "r7_redact_text": lambda s, sf: r.redact_text(assets(s, sf)).select("path", "n_dropped", "n_placeheld", F.sha2("released", 256).alias("sha256")),
     "r8_structural_outline": lambda s, sf: r.outline_edges(table(s, sf, "pages"), "page_id", "html"),
-    "r9_release_verbatim": lambda s, sf: r.release_verbatim(assets(s, sf), ALLOWED).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.size(F.split("released", "\n"))).alias("lines")),
+    "r9_release_verbatim": lambda s, sf: r.release_verbatim(assets(s, sf), ALLOWED).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.size(F.split("released", "\n"))).alias("lines"), F.sum(F.conv(F.substring(F.sha2("released", 256), 1, 12), 16, 10).cast("long")).alias("digest")),
     "r10_rehydrate": _round_trip,
-    "r11_residual_pseudonyms": lambda s, sf: r.residual_pseudonyms(r.tokenise_terms(assets(s, sf), _names(s, sf)), _names(s, sf).where("real rlike '^[ab]'"), ["term"]).agg(F.count("*").alias("n")),
+    "r11_residual_pseudonyms": lambda s, sf: r.residual_pseudonyms(r.tokenise_terms(assets(s, sf), _names(s, sf)), _names(s, sf).where("length(real) <= 9"), ["term"]).agg(F.count("*").alias("n")),
     "r12_deny_verdicts": lambda s, sf: r.deny_verdicts(assets(s, sf), GLOBS),
     "r13_gate_payloads": lambda s, sf: r.gate_payloads(_payloads(s, sf), GLOBS, HOSTS),
     "r14_pin_hosts": lambda s, sf: r.pin_hosts(table(s, sf, "pages"), HOSTS),
-    "r15_release_preview": lambda s, sf: r.release_preview(assets(s, sf), GLOBS).select("status", "n", "bytes_before"),
+    "r15_release_preview": lambda s, sf: r.release_preview(assets(s, sf), GLOBS),
     "r16_seal_payloads": lambda s, sf: r.seal_payloads(table(s, sf, "conversations")).select("conv_id", "sha256", "bytes"),
     "r17_pack_batches": lambda s, sf: r.pack_batches(assets(s, sf)),
     "r18_chunk_rows": lambda s, sf: r.chunk_rows(table(s, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey"),
@@ -82,30 +82,36 @@ _B36 = "left(lower(to_base(CAST('0x' || left(sha256('{salt}:{kind}:' || {v} || '
 _MOD, _SVC = ("'{k}_' || " + _B36).format(k="mod", salt=SALT, kind="mod", v="x"), ("'{k}_' || " + _B36).format(k="svc", salt=SALT, kind="svc", v="regexp_replace(list_last(p), '\\.[^.]*$', '')")
 _WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(content, '[A-Za-z]{4,}')) AS real FROM a)"
 _RUNS = "unnest(regexp_extract_all(content, '[A-Za-z0-9_$]+'))"
-_N = f"n AS (SELECT path, count(*) AS n FROM (SELECT path, {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w WHERE regexp_matches(real, '^[a-c]')) GROUP BY path)"
-_DROPPED = " + ".join(f"len(regexp_extract_all(content, {quoted(p)}))" for _, k, _, p in DETECTORS if k == "secret")
+_N = f"n AS (SELECT path, count(*) AS n FROM (SELECT path, {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w) GROUP BY path)"
 
 
 def _redacted() -> str:
-    text = "content"
-    for name, kind, _, pattern in DETECTORS:
-        mark = "<dropped:secret>" if kind == "secret" else f"<str:{name}>"
-        text = f"regexp_replace({text}, {quoted('[0-9]{13,19}' if name == 'card_number' else pattern)}, '{mark}', 'g')"
-    return text
+    """z: path, content, text redacted rule by rule, and the two counts, from the assets a."""
+    steps = ["z0 AS (SELECT path, content, content AS t, 0 AS nd, 0 AS nh FROM a)"]
+    for k, (name, kind, _, pattern) in enumerate(DETECTORS):
+        real = "NOT (" + SUPPRESSED_SQL.replace("(value,", "(v,") + ")" + (f" AND length(v) BETWEEN 13 AND 19 AND {LUHN.format(v='v')}" if name == "card_number" else "")
+        mark = ("<dropped:secret>" if kind == "secret" else f"<str:{name}>")
+        put = f"CASE WHEN {real} THEN '{mark}' || repeat(chr(10), length(v) - length(replace(v, chr(10), ''))) ELSE v END"
+        found = f"SELECT *, regexp_extract_all(t, {quoted(pattern)}) AS f, string_split_regex(t, {quoted(pattern)}) AS g FROM z{k}"
+        told = f"SELECT *, list_transform(f, lambda v: {put}) AS p, len(list_filter(f, lambda v: {real})) AS n FROM ({found})"
+        steps.append(f"z{k + 1} AS (SELECT path, content, CASE WHEN len(f) > 0 THEN array_to_string(list_transform(range(1, len(g) + 1), lambda j: g[j] || coalesce(p[j], '')), '') ELSE t END AS t, nd + {'n' if kind == 'secret' else '0'} AS nd, nh + {'0' if kind == 'secret' else 'n'} AS nh FROM ({told}))")
+    return ", ".join([*steps, f"z AS (SELECT * FROM z{len(DETECTORS)})"])
 
 
 SQL = {
-    "r1_classify_literals": f"""WITH x AS (SELECT url AS v FROM pages UNION ALL SELECT props FROM events UNION ALL SELECT c_name FROM customer UNION ALL SELECT left(text, 70) FROM documents),
-      c AS (SELECT CASE WHEN regexp_matches(v, {_SECRET}) AND NOT ({_NOT}) THEN '<dropped:secret>' WHEN v IN {r.PASSED} OR v = '' THEN v WHEN regexp_matches(v, {_EMAIL}) AND NOT ({_NOT}) THEN '<str:email>'
-      WHEN regexp_matches(v, {_PII}) OR len(list_filter(regexp_extract_all(v, '[0-9]+'), lambda x: length(x) BETWEEN 13 AND 19 AND {LUHN.format(v='x')})) > 0 THEN '<str:pii>'
-      WHEN regexp_matches(v, '^https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0)') THEN '<str:url:internal>' WHEN regexp_matches(v, '^https?://') THEN '<str:url:external>'
-      WHEN regexp_matches(v, '^(postgres|postgresql|mysql|mongodb|redis|amqp|s3|gs)://') THEN '<str:connection_string>'
-      WHEN regexp_matches(upper(v), '^ *(SELECT|INSERT INTO|UPDATE|DELETE FROM|CREATE TABLE|ALTER TABLE|DROP TABLE|GRANT|REVOKE) ') THEN '<str:sql:len:' || length(v) || '>'
-      WHEN length(v) > 60 AND regexp_matches(lower(v), 'you are|your task|system prompt|respond with|do not|must not') THEN '<str:prompt:len:' || length(v) || '>'
-      WHEN regexp_matches(v, '^/[A-Za-z0-9_/:.\\[\\]{{}}-]*$') AND length(v) < 80 THEN '<str:path:segments:' || (len(string_split(v, '/')) - 1) || '>' WHEN regexp_matches(v, '^\\.{{1,2}}/') THEN '<str:relpath>'
-      WHEN regexp_matches(lower(v), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') THEN '<str:uuid>' WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '<str:date>'
-      WHEN regexp_matches(lower(v), '^[a-z0-9-]+\\.(com|org|net|io|dev|app|ai|co|gh|ng|ke|za|eu|uk)(\\.[a-z]{{2}})?$') THEN '<str:domain>' ELSE '<str:len:' || length(v) || '>' END AS placeholder FROM x WHERE v IS NOT NULL)
-      SELECT placeholder, count(*) AS n FROM c GROUP BY 1""",
+    "r1_classify_literals": f"""WITH x AS (SELECT url AS v FROM pages UNION ALL SELECT props FROM events UNION ALL SELECT c_name FROM customer UNION ALL SELECT text FROM documents),
+      y AS (SELECT v, lower(v) AS l, trim(regexp_replace(lower(v), '[ \\t\\r\\n]+', ' ', 'g')) AS s, string_split(lower(v), '.') AS d FROM x WHERE v IS NOT NULL),
+      c AS (SELECT CASE WHEN regexp_matches(v, {_SECRET}) AND NOT ({_NOT}) THEN '<dropped:secret>'
+      WHEN v IN {r.PASSED} OR v = '' OR regexp_full_match(l, '({"|".join(r.MODELS)})[a-z0-9_.:-]*') OR regexp_full_match(l, '({"|".join(r.VENDORS)})/[a-z0-9_.:-]+') THEN v
+      WHEN regexp_matches(v, {_EMAIL}) AND NOT ({_NOT}) THEN '<str:email>'
+      WHEN regexp_matches(v, {_PII}) OR len(list_filter(regexp_extract_all(v, '[0-9]{{13,}}'), lambda x: length(x) BETWEEN 13 AND 19 AND {LUHN.format(v='x')})) > 0 THEN '<str:pii>'
+      WHEN regexp_matches(l, '^https?://(localhost|127[.]0[.]0[.]1|0[.]0[.]0[.]0)([/:?#]|$)') THEN '<str:url:internal>' WHEN regexp_matches(l, '^https?://') THEN '<str:url:external>'
+      WHEN regexp_matches(l, '^({"|".join(r.STORES)})://') THEN '<str:connection_string>' WHEN regexp_matches(s, '^({"|".join(r.STATEMENTS)}) ') THEN '<str:sql:len:' || length(v) || '>'
+      WHEN length(v) > 60 AND regexp_matches(l, '{"|".join(r.PROMPTS)}') THEN '<str:prompt:len:' || length(v) || '>'
+      WHEN length(v) < 80 AND regexp_full_match(v, '/[A-Za-z0-9_/:.\\[\\]{{}}-]*') THEN '<str:path:segments:' || (len(string_split(v, '/')) - 1) || '>' WHEN starts_with(v, './') OR starts_with(v, '../') THEN '<str:relpath>'
+      WHEN regexp_full_match(l, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') THEN '<str:uuid>' WHEN try_cast(left(v, 10) AS DATE) IS NOT NULL AND regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '<str:date>'
+      WHEN len(d) BETWEEN 2 AND 6 AND regexp_full_match(d[-1], '[a-z]{{2,18}}') AND len(list_filter(d, lambda x: NOT regexp_full_match(x, '[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?'))) = 0 THEN '<str:domain>' ELSE '<str:len:' || length(v) || '>' END AS placeholder FROM y)
+      SELECT placeholder, placeholder = '<dropped:secret>' AS dropped, count(*) AS n FROM c GROUP BY 1, 2""",
     "r2_bucket_numbers": f"""WITH x AS (SELECT o_totalprice AS v FROM orders UNION ALL SELECT l_extendedprice FROM lineitem), d AS (SELECT v, length(CAST(CAST(trunc(abs(v)) AS BIGINT) AS VARCHAR)) AS k FROM x)
       SELECT CASE WHEN abs(v) >= 1000 AND abs(v) NOT IN {r.PLAIN_NUMBERS} THEN '<num:' || rpad('1', CAST(k AS INT), '0') || '..' || rpad('1', CAST(k AS INT), '0') || '0>' END AS bucket, count(*) AS n FROM d GROUP BY 1""",
     "r3_mint_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT count(*) AS n, count(*) AS n_names, count(*) AS n_real FROM w",
@@ -113,21 +119,24 @@ SQL = {
     "r5_pseudonymise_paths": rf"""WITH {ASSETS}, s AS (SELECT path, string_split(path, '/') AS p FROM a)
       SELECT path, array_to_string(list_concat(list_transform(p[1:len(p) - 1], lambda x: {_MOD}), [{_SVC} || regexp_extract(list_last(p), '(\.[^.]*)$', 1)]), '/') AS released FROM s""",
     "r6_tokenise_terms": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (path)",
-    "r7_redact_text": f"WITH {ASSETS} SELECT path, {_DROPPED} AS n_dropped, length({_redacted()}) AS chars FROM a",
+    "r7_redact_text": f"WITH {ASSETS}, {_redacted()} SELECT path, nd AS n_dropped, nh AS n_placeheld, sha256(t) AS sha256 FROM z",
     "r8_structural_outline": """WITH e AS (SELECT page_id, list_concat(list_transform(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1)), lambda t: 'tag ' || t), list_transform(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1)), lambda t: 'link ' || t)) AS l FROM pages),
       u AS (SELECT page_id, split_part(e, ' ', 1) AS edge, substr(e, instr(e, ' ') + 1) AS target FROM (SELECT page_id, unnest(l) AS e FROM e))
       SELECT page_id, edge, target FROM u QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY edge, target) <= 80""",
-    "r9_release_verbatim": f"WITH {ASSETS} SELECT CASE WHEN regexp_matches(path, {quoted('|'.join(glob_regex(g) for g in ALLOWED))}) THEN 2 ELSE 1 END AS level, count(*) AS n, sum(len(string_split(content, chr(10)))) AS lines FROM a GROUP BY 1",
+    "r9_release_verbatim": f"""WITH {ASSETS}, {_redacted()}, v AS (SELECT *, regexp_matches(path, {quoted('|'.join(glob_regex(g) for g in ALLOWED))}) AS o FROM z),
+      w AS (SELECT CASE WHEN o THEN 2 ELSE 1 END AS level, CASE WHEN o THEN array_to_string(list_transform(string_split(content, chr(10)), lambda x: CASE WHEN regexp_matches(x, {_SECRET}) THEN '<line removed>' ELSE x END), chr(10)) ELSE t END AS r FROM v)
+      SELECT level, count(*) AS n, sum(len(string_split(r, chr(10)))) AS lines, sum(CAST('0x' || left(sha256(r), 12) AS BIGINT)) AS digest FROM w GROUP BY 1""",
     "r10_rehydrate": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, true AS same, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (path)",
-    "r11_residual_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT count(DISTINCT t) AS n FROM (SELECT {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w WHERE regexp_matches(real, '^c'))",
+    "r11_residual_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT count(DISTINCT t) AS n FROM (SELECT {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w WHERE length(real) > 9)",
     "r12_deny_verdicts": f"WITH {ASSETS} SELECT path, {_DENY.format(c='path')} AS reason, {_PATTERN} AS pattern, reason IS NOT NULL AS denied FROM a",
-    "r13_gate_payloads": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, left(content, 500)) AS payload FROM s JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id),
+    "r13_gate_payloads": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id),
       h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, count(*) AS n_hits FROM h WHERE NOT ({SUPPRESSED_SQL}) GROUP BY 1)
       SELECT payload_id, CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN n_hits > 0 THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'pass' END AS verdict,
       coalesce(n_hits, 0) AS n_hits FROM q LEFT JOIN k USING (payload_id)""",
     "r14_pin_hosts": f"""WITH p AS (SELECT url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS h FROM pages)
       SELECT url, CASE WHEN h = '' THEN 'malformed' WHEN NOT starts_with(url, 'https://') THEN 'not_https' WHEN h NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'ok' END AS verdict FROM p""",
-    "r15_release_preview": f"WITH {ASSETS}, s AS (SELECT CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied' WHEN content IS NULL THEN 'unreadable' ELSE 'sent' END AS status, strlen(content) AS b FROM a) SELECT status, count(*) AS n, sum(b) AS bytes_before FROM s GROUP BY ROLLUP (status)",
+    "r15_release_preview": f"""WITH {ASSETS}, {_redacted()}, s AS (SELECT CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied' WHEN content IS NULL THEN 'unreadable' ELSE 'sent' END AS status, strlen(content) AS b, strlen(t) AS e FROM z)
+      SELECT status, count(*) AS n, sum(b) AS bytes_before, sum(CASE WHEN status = 'sent' THEN e ELSE 0 END) AS bytes_after FROM s GROUP BY ROLLUP (status)""",
     "r16_seal_payloads": f"WITH {_SEALED} SELECT conv_id, sha256(payload) AS sha256, strlen(payload) AS bytes FROM s",
     "r17_pack_batches": f"""WITH RECURSIVE {ASSETS}, o AS (SELECT project, path, length(content) + length(path) + 64 AS size, row_number() OVER (PARTITION BY project ORDER BY doc_id) AS i FROM a),
       p AS (SELECT project, path, i, size AS used, 0 AS batch FROM o WHERE i = 1 UNION ALL SELECT o.project, o.path, o.i, CASE WHEN p.used + o.size > 60000 THEN o.size ELSE p.used + o.size END, CASE WHEN p.used + o.size > 60000 THEN p.batch + 1 ELSE p.batch END

@@ -37,12 +37,12 @@ def _latest(s, sf):
 
 def _changed(s, sf):
     a = assets(s, sf)
-    now = a.where("doc_id % 5 <> 0").withColumn("content", F.concat("content", F.when(F.col("doc_id") % 7 == 0, "!").otherwise("")))
-    return f.changed_since(a.where("doc_id % 3 <> 0"), now)
+    now = a.withColumn("content", F.concat("content", F.when(F.col("doc_id") % 7 == 0, "!").otherwise("")))
+    return f.changed_since(a, now.withColumn("path", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))))
 
 
 def _payload_stream(s, sf):
-    a = assets(s, sf).select(F.col("doc_id").alias("conv_id"), "path", F.left("content", F.lit(500)).alias("head"))
+    a = assets(s, sf).select(F.col("doc_id").alias("conv_id"), "path", F.col("content").alias("head"))
     pages = table(s, sf, "pages").select(F.col("page_id").alias("conv_id"), "url")
     turns = _stream(s, sf, "conversations").join(a, "conv_id").join(pages, "conv_id")
     text = F.concat(F.lit("["), F.col("role"), F.lit("]\n"), F.col("text"), F.lit("\n"), F.col("head"))
@@ -53,7 +53,18 @@ def _call_stream(s, sf):
     return _stream(s, sf, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("run_id"), (F.col("user_id") % 3).alias("seat"), "ts", F.col("value").alias("cost"), (F.col("event_type") == "view").alias("cached"))
 
 
+def _manifests(s, sf):
+    """Each part as the manifest of a project: one of four dialects by its number."""
+    p = table(s, sf, "part")
+    name, version = F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", "-"), F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0"))
+    kind = F.col("p_partkey") % 4
+    path = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("package.json", "requirements.txt", "pyproject.toml", "go.mod"))), (kind + 1).cast("int")))
+    bodies = [F.concat(F.lit('{"dependencies": {"'), name, F.lit('": "^'), version, F.lit('"}, "devDependencies": {"jest": ""}}')), F.concat(name, F.lit("=="), version, F.lit("\n# note\nrequests\n")), F.concat(F.lit('[project]\ndependencies = [\n  "'), name, F.lit(">="), version, F.lit('",\n]\n')), F.concat(F.lit("module m\nrequire x.org/"), name, F.lit(" v"), version, F.lit("\n"))]
+    return p.select(path.alias("path"), F.when(kind == 0, bodies[0]).when(kind == 1, bodies[1]).when(kind == 2, bodies[2]).otherwise(bodies[3]).alias("content"))
+
+
 QUERIES = {
+    "s9_component_inventory": lambda s, sf: f.component_inventory(_manifests(s, sf)),
     "s2_ledger": _ledger,
     "s3_latest_run": _latest,
     "s6_changed_since": _changed,
@@ -62,7 +73,7 @@ QUERIES = {
     "t1_stream_gate": lambda s, sf: t.drained(t.stream_gate(_payload_stream(s, sf), GLOBS, HOSTS)),
     "t2_stream_budget": lambda s, sf: t.drained(t.stream_budget(_call_stream(s, sf), CAP)),
     "t3_stream_changes": lambda s, sf: t.drained(t.stream_changes(_stream(s, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text")))),
-    "t4_run_progress": lambda s, sf: t.run_progress(table(s, sf, "events").where("value > 40").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), F.lit("done").alias("event")), PHASES),
+    "t4_run_progress": lambda s, sf: t.run_progress(table(s, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), F.when(F.col("value") > 40, "done").otherwise("begun").alias("event")), PHASES),
     "t5_egress_windows": lambda s, sf: t.drained(t.egress_windows(_stream(s, sf, "events").select("ts", F.col("event_type").alias("destination"), F.length("props").alias("bytes"))), "complete").withColumn("window_start", F.col("window_start").cast("string")),
     "t6_first_sightings": lambda s, sf: t.drained(t.first_sightings(_stream(s, sf, "events"), ["user_id", "event_type"])),
 }
@@ -70,15 +81,18 @@ QUERIES = {
 _H = f"WITH {ASSETS}, h AS ({hits_sql()}), k AS (SELECT * FROM h WHERE NOT ({SUPPRESSED_SQL}))"
 _GATE = REDACT_SQL["r13_gate_payloads"]
 SQL = {
+    "s9_component_inventory": """WITH p AS (SELECT 'p' || p_partkey || '/' || ['package.json', 'requirements.txt', 'pyproject.toml', 'go.mod'][p_partkey % 4 + 1] AS path, p_partkey % 4 AS k, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS n, '1.' || p_size || '.0' AS version FROM part),
+      c AS (SELECT path, ['npm', 'pypi', 'pypi', 'go'][k + 1] AS ecosystem, CASE WHEN k = 3 THEN 'x.org/' ELSE '' END || n AS name, version FROM p UNION ALL SELECT path, 'npm', 'jest', '*' FROM p WHERE k = 0 UNION ALL SELECT path, 'pypi', 'requests', '*' FROM p WHERE k = 1)
+      SELECT *, 'pkg:' || ecosystem || '/' || name || '@' || version AS purl FROM c""",
     "s2_ledger": "SELECT event_id, user_id, event_type, value FROM events",
     "s3_latest_run": "SELECT user_id % 7 AS project, event_id AS run_id, ts FROM events WHERE event_type <> 'error' AND event_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, event_id DESC) = 1",
-    "s6_changed_since": f"WITH {ASSETS} SELECT path FROM a WHERE doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR doc_id % 7 = 0)",
+    "s6_changed_since": f"WITH {ASSETS} SELECT CASE WHEN doc_id % 5 = 0 THEN 'moved/' || path ELSE path END AS path FROM a WHERE doc_id % 5 = 0 OR doc_id % 7 = 0",
     "s7_export_manifest": f"WITH {ASSETS} SELECT path, sha256(content) AS sha256, strlen(content) AS bytes FROM a",
     "s8_export_findings": f"""{_H}, x AS (SELECT 'evidence/' || rule AS rule_id, CASE WHEN kind = 'secret' OR severity = 'critical' THEN 'error' ELSE 'warning' END AS level, path AS uri, line, left(sha256(path || ':' || rule || ':' || pos), 12) AS snippet_hash FROM k
       WHERE rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), '\\bphone|tel|mobile|msisdn')))
       SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY uri, line, snippet_hash) = 1 AS first FROM x""",
     "t1_stream_gate": _GATE[: _GATE.index("q AS (")].replace(", s AS (SELECT conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS payload FROM conversations GROUP BY conv_id)", "")
-    + "q AS (SELECT conv_id * 1000 + turn AS payload_id, path, url, '[' || role || ']' || chr(10) || text || chr(10) || left(content, 500) AS payload FROM conversations JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id)"
+    + "q AS (SELECT conv_id * 1000 + turn AS payload_id, path, url, '[' || role || ']' || chr(10) || text || chr(10) || content AS payload FROM conversations JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id)"
     + _GATE[_GATE.index(",\n      h AS (") :],
     "t2_stream_budget": f"""WITH b AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'view' THEN 0 ELSE value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events)
       SELECT event_id AS call_id, max(CASE WHEN event_type <> 'view' AND spent + value > {CAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AND event_type <> 'view' AS refused FROM b""",

@@ -82,6 +82,6 @@ def egress_windows(ledger: DataFrame, size: str = "1 day", late: str = "1 hour")
     return out.select(F.col("window.start").alias("window_start"), "destination", "calls", "bytes")
 
 
-def first_sightings(hits: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """One row per key: the first sighting on a stream."""
-    return hits.select(*keys, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).dropDuplicates(keys).select(*keys)
+def first_sightings(hits: DataFrame, keys: list[str], late: str = "3650 days") -> DataFrame:
+    """One row per key within `late` of its first sighting on a stream; then its state goes, and a later sighting counts anew."""
+    return hits.select(*keys, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).select(*keys)

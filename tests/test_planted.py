@@ -136,3 +136,38 @@ def test_nested_leaves_are_scanned(spark):
     df = spark.sql("select 1 id, 'ok' plain, named_struct('a', array('kofi@corp.gh', 'x'), 'n', 2) s, map('GHA-123456789-0', array(named_struct('v', 'a@corp.gh'))) m")
     assert {(r["column"], r.n) for r in detect.assert_clean(df).collect()} == {("s.a", 1), ("m.key", 1), ("m.value.v", 1)}
     assert detect.assert_clean(df.select("id")).count() == 0
+
+
+def test_quotes_short_cut_and_in_pages(spark):
+    from govlake.operators.corpus import verify_quotes
+
+    quotes = rows(spark, [(1, "The  controller SHALL notify"), (2, "xlongwordindeed yetanotherone"), (3, "too short"), (4, "one omitted part here; controllers must always keep written records thereof"), (5, "never to be found in anything"), (6, None)], "item_id int, text string")
+    sources = rows(spark, [(10, "<p>Art 1. the controller\n shall <b>notify</b></p><script>if (a < b) {}</script>"), (11, "zxlongwordindeed yetanotheronex"), (12, "(...) part here; controllers must always keep written notes"), (13, None)], "source_id int, text string")
+    got = {r.item_id: r.n_sources for r in verify_quotes(quotes, sources, pages=True).collect()}
+    assert got == {1: 1, 2: 1, 3: None, 4: 1, 5: 0, 6: None}
+    more = sources.union(rows(spark, [(14, "omitted here; controllers must always keep"), (15, "x here; controllers must always keep written y")], "source_id int, text string"))
+    assert {r.item_id: r.n_sources for r in verify_quotes(quotes, more).collect()}[4] == sum("here; controllers must always keep written" in (r.text or "") for r in more.collect())
+
+
+def test_budget_without_cap_and_prices_without_star(spark):
+    from govlake.operators.ledgers import enforce_budget, price_calls
+
+    calls = rows(spark, [(1, 1, 0, 1, 5.0, False), (2, 1, 0, 2, 9.0, False)], "call_id int, run_id int, seat int, ts int, cost double, cached boolean")
+    assert not any(r.refused for r in enforce_budget(calls, 0.0).collect()) and [r.refused for r in enforce_budget(calls, 6.0).orderBy("call_id").collect()] == [False, True]
+    priced = rows(spark, [(1, "m", 1_000_000, 0, None, False), (2, "other", 1_000_000, 0, None, False)], "call_id int, model string, tokens_in long, tokens_out long, reported double, cached boolean")
+    prices = rows(spark, [("m", 2.0, 1.0)], "model string, price_in double, price_out double")
+    assert {r.call_id: r.cost for r in price_calls(priced, prices).collect()} == {1: 2.0, 2: 3.0}
+
+
+def test_more_denied_files_and_models(spark):
+    more = ["bun.lockb", "a/x.ods", "a/__fixtures__/p.py", "a/test-data/x", "a/x.seed.ts", "x/a.tgz", "x/a.7z", "p/a.jpeg", "p/a.webp", "f/a.woff2", "lib/a.dylib", "A.class", "a.min.css"]
+    assert redact.deny_verdicts(rows(spark, [(p,) for p in more], "path string")).where("not denied").count() == 0
+    values = ["gpt-4o-mini", "anthropic/claude-3", "api.corp.org", "2024-02-30", "2024-02-28T1", "123e4567-e89b-12d3-a456-426614174000", "/api/v1/users", "../x", "SELECT  *\nFROM t", "http://localhost:3000", "mysql://h/d", "plain", "4111111111111112", "4111111111111111"]
+    got = {r.v: r.p for r in rows(spark, [(v,) for v in values], "v string").selectExpr("v").withColumn("p", redact.placeholder_of(__import__("pyspark.sql.functions").sql.functions.col("v"))).collect()}
+    assert [got[v] for v in values] == ["gpt-4o-mini", "anthropic/claude-3", "<str:domain>", "<str:len:10>", "<str:date>", "<str:uuid>", "<str:path:segments:3>", "<str:relpath>", "<str:sql:len:16>", "<str:url:internal>", "<str:connection_string>", "<str:len:5>", "<str:len:16>", "<str:pii>"]
+
+
+def test_redaction_keeps_documentation_addresses_and_failing_cards(spark):
+    text = "user@example.com 4111111111111112 a@corp.gh\nBVN:\n12345678901"
+    got = redact.redact_text(rows(spark, [("f", text), ("g", None)], "path string, content string")).collect()
+    assert {r.path: (r.released, r.n_dropped, r.n_placeheld) for r in got} == {"f": ("user@example.com 4111111111111112 <str:email>\n<str:bank_number>\n", 0, 2), "g": (None, 0, 0)}
