@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from govlake.functions.folders import checkpointed
 from govlake.functions.rules import DETECTORS, NEEDED, any_glob, detected, glob_regex, host_of, suppression
@@ -152,20 +155,40 @@ def pseudonymise_paths(paths: DataFrame, salt: str, col: str = "path", size: int
     return paths.select(F.col(col).alias("path"), F.array_join(F.concat(dirs, F.array(F.concat(pseudonym(F.lit("svc"), stem, salt, F.lit(0), size), ext))), "/").alias("released"))
 
 
+_TOKEN = re.compile(r"[A-Za-z0-9_$]+")
+
+
+@F.pandas_udf(StructType().add("released", "string").add("n", "long"))
+def _put_in(content: pd.Series, real: pd.Series, pseudonym: pd.Series) -> pd.DataFrame:
+    """Each text with its known tokens replaced, and how many: one look-up in a hash table per token, whatever the number of terms."""
+    out = []
+    for text, was, now in zip(content, real, pseudonym, strict=True):
+        if text is None or was is None:
+            out.append((text, 0))
+            continue
+        table, n = dict(zip(was, now, strict=True)), 0
+        parts, at = [], 0
+        for m in _TOKEN.finditer(text):
+            name = table.get(m.group())
+            if name is not None:
+                parts += [text[at : m.start()], name]
+                at, n = m.end(), n + 1
+        out.append(("".join([*parts, text[at:]]), n))
+    return pd.DataFrame(out, columns=["released", "n"])
+
+
 def tokenise_terms(assets: DataFrame, names: DataFrame) -> DataFrame:
     """(path, released, n): whole tokens that have a pseudonym are replaced; n counts them.
 
-    Each text's different tokens are looked up once, so the shuffle holds no separators, repeats or texts; the pseudonyms found come back as one
-    map per text and are put in where the text stands. Texts are known by path and a hash; a null content is released as null with n 0.
+    Each text's different tokens are looked up once, so the shuffle holds no separators, repeats or texts; the pseudonyms found come back as
+    one list per text and are put in where the text stands. Texts are known by path and a hash; a null content is released as null with n 0.
     """
     texts = assets.select("path", F.xxhash64("content").alias("at"), "content")
-    words = texts.select("path", "at", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_$]+"), F.lit(0)))).alias("real"))
-    known = words.join(names.select("real", "pseudonym").dropDuplicates(["real"]), "real").groupBy("path", "at").agg(F.map_from_entries(F.collect_set(F.struct("real", "pseudonym"))).alias("map"))
-    runs = F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+"), F.lit(0))
-    both = texts.join(known, ["path", "at"], "left").withColumn("told", F.transform(runs, lambda r: F.struct(r.alias("was"), F.try_element_at("map", r).alias("now"))))
-    text = F.when(F.col("map").isNull(), F.col("content")).otherwise(F.array_join(F.transform("told", lambda x: F.coalesce(x.now, x.was)), ""))
-    n = F.when(F.col("map").isNull(), 0).otherwise(F.size(F.filter("told", lambda x: x.now.isNotNull())))
-    return both.select("path", text.alias("released"), n.cast("long").alias("n"))
+    words = texts.select("path", "at", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_TOKEN.pattern), F.lit(0)))).alias("real"))
+    found = words.join(names.select("real", "pseudonym").dropDuplicates(["real"]), "real").distinct()
+    known = found.groupBy("path", "at").agg(F.collect_list(F.struct("real", "pseudonym")).alias("known"))
+    both = texts.join(known, ["path", "at"], "left").withColumn("out", _put_in("content", F.col("known.real"), F.col("known.pseudonym")))
+    return both.select("path", "out.released", "out.n")
 
 
 def rehydrate(released: DataFrame, names: DataFrame) -> DataFrame:
