@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CHARS_PER_TOKEN = 3.6
 CALL_CHARS = 60000
@@ -34,20 +39,41 @@ def project_spend(assets: DataFrame, project: str = "project") -> DataFrame:
     return sized.withColumn("cost", F.round(F.col("tokens") / 1e6 * PRICE_IN + F.col("calls") * 2000 / 1e6 * PRICE_OUT, 6))
 
 
-def enforce_budget(calls: DataFrame, cap: float, order: str = "ts") -> DataFrame:
-    """calls with spent_before and refused: in time order per (run_id, seat) a call is refused from the first on that would
-    exceed the cap; cached calls cost nothing and are never refused. A cap of 0 or less is none."""
+def enforce_budget(calls: DataFrame, caps: dict | float, mode: str = "degrade", order: str = "ts", run_phases: tuple[str, ...] = ()) -> DataFrame:
+    """calls with spent_before, refused, warned and ends, in time order per (run_id, seat).
+
+    caps: highest spend of every seat, or by seat; a seat without one, or with 0 or less, has none. From the first call that would exceed its cap, calls are
+    refused in the modes degrade and stop, where ends tells what the first refusal ends in stop mode (run for run_phases, else phase);
+    in the mode warn no call is refused and those beyond the cap are marked. Cached calls cost nothing and are neither refused nor warned of.
+    """
     seat = W.partitionBy("run_id", "seat").orderBy(order, "call_id")
+    cap = F.lit(None).cast("double")
+    for name, most in (caps if isinstance(caps, dict) else {None: caps}).items():
+        own = F.lit(True) if name is None else F.col("seat") == name
+        cap = F.when(own, float(most) if most > 0 else None).otherwise(cap)
     before = F.coalesce(F.sum(F.when(F.col("cached"), 0.0).otherwise(F.col("cost"))).over(seat.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    breach = ~F.col("cached") & (F.col("spent_before") + F.col("cost") > (cap if cap > 0 else float("inf")))
-    over = F.max(breach.cast("int")).over(seat.rowsBetween(W.unboundedPreceding, W.currentRow)) == 1
-    return calls.withColumn("spent_before", F.round(before, 6)).withColumn("refused", over & ~F.col("cached"))
+    breach = F.coalesce(~F.col("cached") & (before + F.col("cost") > cap), F.lit(False))
+    marked = calls.withColumn("spent_before", before).withColumn("breach", breach)
+    n = F.sum(F.col("breach").cast("int")).over(seat.rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = marked.withColumn("nth", n)
+    refused, warned, ends = F.lit(False), F.lit(False), F.lit(None).cast("string")
+    if mode == "warn":
+        warned = F.col("breach")
+    else:
+        refused = (F.col("nth") > 0) & ~F.col("cached")
+        if mode == "stop":
+            ends = F.when(F.col("breach") & (F.col("nth") == 1), F.when(F.col("phase").isin(*run_phases), "run").otherwise("phase"))
+    return out.withColumns({"spent_before": F.round("spent_before", 6), "refused": refused, "warned": warned, "ends": ends}).drop("breach", "nth")
 
 
 def spend_rollup(calls: DataFrame) -> DataFrame:
-    """(seat, phase, level, calls, cached, cost) by seat, by phase and in all."""
-    out = calls.groupingSets([["seat"], ["phase"], []], "seat", "phase").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("calls"), F.count_if("cached").alias("cached"), F.round(F.sum("cost"), 4).alias("cost"))
-    return out.select("seat", "phase", "level", "calls", "cached", "cost")
+    """(seat, phase, run_id, level, calls, cached, tokens_in, tokens_out, cost, reported_share) by seat, by phase, by run and in all.
+
+    reported_share is the share of calls whose cost is the vendor's own figure.
+    """
+    sums = [F.count("*").alias("calls"), F.count_if("cached").alias("cached"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 4).alias("cost"), F.round(F.count_if("reported") / F.count("*"), 6).alias("reported_share")]
+    out = calls.groupingSets([["seat"], ["phase"], ["run_id"], []], "seat", "phase", "run_id").agg(F.grouping_id().cast("int").alias("level"), *sums)
+    return out.select("seat", "phase", "run_id", "level", "calls", "cached", "tokens_in", "tokens_out", "cost", "reported_share")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_days: float) -> DataFrame:
@@ -68,9 +94,26 @@ def cache_stats(cache: DataFrame, value: str, created: str, as_of: Column) -> Da
     return cache.agg(F.count("*").alias("entries"), F.sum(F.octet_length(value)).alias("bytes"), F.round(F.max((F.unix_micros(as_of) - F.unix_micros(F.col(created).cast("timestamp"))) / 8.64e10), 6).alias("oldest_days"))
 
 
+@F.pandas_udf(StringType())
+def _first_json(text: pd.Series) -> pd.Series:
+    """The JSON object or array that begins at a text's first brace or bracket, whatever follows it; null where it has none."""
+    read, out = json.JSONDecoder().raw_decode, []
+    for t in text:
+        found = t is not None and re.search(r"[\[{]", t)
+        try:
+            out.append(t[found.start() : read(t, found.start())[1]] if found else None)
+        except (ValueError, RecursionError):
+            out.append(None)
+    return pd.Series(out, dtype="object")
+
+
 def parse_responses(responses: DataFrame, schema: str, text: str = "text") -> DataFrame:
-    """responses with parsed: the fenced block of a text, else from its first brace to its last; null where that's no JSON of the schema."""
-    fence = F.regexp_extract(text, "```[a-z]*\\s*([\\s\\S]*?)```", 1)
-    brace = F.regexp_extract(text, "(\\{[\\s\\S]*\\})", 1)
-    body = F.when(fence != "", fence).when(brace != "", brace)
-    return responses.withColumn("parsed", F.from_json(body, schema))
+    """responses with parsed (array of the schema's rows) and quarantined: the first JSON value of the first fenced block, else of the text.
+
+    An object is one row, an array one per element. A text without a whole object or array, a null one included, is in quarantine with
+    parsed null; fields that the schema names and a value lacks are null.
+    """
+    fence = F.nullif(F.regexp_extract(text, "```[a-z]*\\s*([\\s\\S]*?)```", 1), F.lit(""))
+    body = F.coalesce(_first_json(fence), _first_json(F.col(text)))
+    rows = F.from_json(F.when(body.startswith("{"), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body), f"array<struct<{schema}>>")
+    return responses.withColumn("parsed", rows).withColumn("quarantined", F.col("parsed").isNull())

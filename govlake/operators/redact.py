@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from govlake.functions.folders import checkpointed
+from govlake.functions.folders import bounded, checkpointed
 from govlake.functions.rules import DETECTORS, NEEDED, any_glob, detected, glob_regex, host_of, suppression
 
 _SECRETS = "|".join(p for _, kind, _, p in DETECTORS if kind == "secret")
@@ -146,13 +146,28 @@ def pseudonymise_column(df: DataFrame, col: str, names: DataFrame) -> DataFrame:
     return df.join(real, F.col(col).cast("string") == F.col("__real"), "left").withColumn(col, F.coalesce("__name", F.col(col).cast("string"))).drop("__real", "__name")
 
 
-def pseudonymise_paths(paths: DataFrame, salt: str, col: str = "path", size: int = 8) -> DataFrame:
-    """(path, released): directories become mod_, the stem svc_, the extension stays."""
-    parts = F.split(col, "/")
-    dirs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: pseudonym(F.lit("mod"), p, salt, F.lit(0), size))
+def path_names(paths: DataFrame, salt: str, col: str = "path", size: int = 8) -> DataFrame:
+    """(kind, real, pseudonym) of the different parts of paths: directories are of kind mod, stems of kind svc; no two have the same name."""
+    parts = paths.select(F.explode(_parts(F.col(col))).alias("p")).select("p.kind", "p.real").distinct()
+    return mint_pseudonyms(parts, salt, size)
+
+
+def _parts(path: Column) -> Column:
+    """array<struct<pos, kind, real, ext>> of a path's parts; ext is empty but for the last."""
+    parts = F.split(path, "/")
     last = F.element_at(parts, -1)
-    stem, ext = F.regexp_replace(last, r"\.[^.]*$", ""), F.regexp_extract(last, r"(\.[^.]*)$", 1)
-    return paths.select(F.col(col).alias("path"), F.array_join(F.concat(dirs, F.array(F.concat(pseudonym(F.lit("svc"), stem, salt, F.lit(0), size), ext))), "/").alias("released"))
+    dirs = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.struct(i.alias("pos"), F.lit("mod").alias("kind"), p.alias("real"), F.lit("").alias("ext")))
+    stem = F.struct((F.size(parts) - 1).alias("pos"), F.lit("svc").alias("kind"), F.regexp_replace(last, r"\.[^.]*$", "").alias("real"), F.regexp_extract(last, r"(\.[^.]*)$", 1).alias("ext"))
+    return F.concat(dirs, F.array(stem))
+
+
+def pseudonymise_paths(paths: DataFrame, names: DataFrame, col: str = "path") -> DataFrame:
+    """(path, released) of the different paths: each part by its name from `path_names`, so the map turns released paths back; the
+    extension stays. Null paths are none; a path with a part that the map lacks isn't released."""
+    parts = paths.where(F.col(col).isNotNull()).select(F.col(col).alias("path")).distinct().select("path", F.explode(_parts(F.col("path"))).alias("p")).select("path", "p.*")
+    named = parts.join(bounded(names.select("kind", "real", "pseudonym")), ["kind", "real"], "left")
+    whole = named.groupBy("path").agg(F.bool_and(F.col("pseudonym").isNotNull()).alias("whole"), F.array_sort(F.collect_list(F.struct("pos", F.concat("pseudonym", "ext").alias("name")))).alias("p"))
+    return whole.where("whole").select("path", F.array_join(F.col("p.name"), "/").alias("released"))
 
 
 _TOKEN = re.compile(r"[A-Za-z0-9_$]+")
@@ -281,13 +296,27 @@ def seal_payloads(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     return sealed.select(key, "payload", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("bytes"))
 
 
-def gate_payloads(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
-    """(payload_id, verdict, n_hits) of payloads (payload_id, path, url, payload): blocked, never cleaned; the first failure wins."""
+def _gate(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
+    """payloads with found (real hits) and verdict. All files that a payload stands for are checked: path, and those of the array represents if it has one."""
     found = F.filter(detected(F.col("payload")), lambda h: suppression(h.value).isNull())
-    denied = any_glob(F.col("path"), [*user_globs, *[g for _, globs in DENIED for g in globs]])
+    globs = [*user_globs, *[g for _, gs in DENIED for g in gs]]
+    denied = F.coalesce(any_glob(F.col("path"), globs), F.lit(False))
+    if "represents" in payloads.columns:
+        denied = denied | F.coalesce(F.exists("represents", lambda p: any_glob(p, globs)), F.lit(False))
     host = F.lower(F.regexp_extract("url", r"^https://([^/:?#]+)", 1))
-    verdict = F.when(denied, "denied_path").when(F.size(found) > 0, "forbidden_pattern").when(~host.isin(*hosts), "host_not_pinned").otherwise("pass")
-    return payloads.select("payload_id", verdict.alias("verdict"), F.size(found).cast("long").alias("n_hits"))
+    verdict = F.when(denied, "denied_path").when(F.size(found) > 0, "forbidden_pattern").when(host.isin(*hosts), "pass").otherwise("host_not_pinned")
+    return payloads.withColumn("found", found).withColumn("verdict", verdict)
+
+
+def gate_payloads(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
+    """(payload_id, verdict, n_hits) of payloads (payload_id, path, url, payload): blocked, never cleaned; the first failure wins. A null url isn't pinned."""
+    return _gate(payloads, user_globs, hosts).select("payload_id", "verdict", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_hits"))
+
+
+def quarantine_payloads(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
+    """(payload_id, verdict, rule, pos, line): each blocked payload with the places of its hits, never their values; one row with null places where it has none."""
+    blocked = _gate(payloads, user_globs, hosts).where("verdict <> 'pass'")
+    return blocked.select("payload_id", "verdict", F.explode_outer("found").alias("h")).select("payload_id", "verdict", "h.rule", "h.pos", "h.line")
 
 
 def release_preview(assets: DataFrame, user_globs: list[str]) -> DataFrame:

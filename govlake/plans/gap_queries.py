@@ -35,12 +35,12 @@ def _hits(s, sf):
 
 def _evidence(s, sf):
     n = lambda c: F.count_if(c)
-    return assets(s, sf).groupBy("project").agg(n(F.col("content").contains("@")).alias("n_personal"), n(F.col("content").contains("with")).alias("n_vendor"), n(F.col("content").contains("reserved")).alias("n_deletion"))
+    return assets(s, sf).groupBy("project").agg(n(F.col("content").contains("@")).alias("n_personal"), n(F.col("content").contains("with")).alias("n_vendor"), n(F.col("content").contains("reserved")).alias("n_deletion"), n(F.col("content").contains("health")).alias("n_special"), n(F.col("content").contains("model")).alias("n_ai"), n(F.col("content").contains("http")).alias("n_plain"))
 
 
 def _claims(s, sf):
     has = lambda w: F.max(F.col("content").contains(w))
-    return assets(s, sf).groupBy("project").agg(has("und").alias("no_personal"), has("dans").alias("no_vendor"), has("the").alias("deletable"))
+    return assets(s, sf).groupBy("project").agg(has("und").alias("no_personal"), has("dans").alias("no_vendor"), has("the").alias("deletable"), has("que").alias("no_sensitive"), has("for").alias("no_ai"), has("with").alias("encrypted"))
 
 
 def _adversary(s, sf):
@@ -84,6 +84,34 @@ def _spend(s, sf):
     return v.spend_vs_value(e, _ranges(s, sf).where("key = 'total'").select(F.col("project").alias("run_id"), F.col("low").alias("hours_low"), F.col("high").alias("hours_high")))
 
 
+def _merging(s, sf):
+    """documents as gaps with evidence, edges between them, and the merged gaps."""
+    d = table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), "text", F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("severity"), F.array("lang", (F.col("n_chars") % 100).cast("string")).alias("evidence"))
+    key = F.sha2(F.lower(F.trim("text")), 256)
+    return d, d.select("project", "id", (F.col("id") - 1).alias("needs")).unionByName(d.select("project", "id", F.floor(F.col("id") / 2).alias("needs"))), g.merge_gaps(d, key), key
+
+
+def _evidence_of_merged(s, sf):
+    d, _, merged, key = _merging(s, sf)
+    return g.merged_evidence(d, merged, key)
+
+
+def _needs_of_merged(s, sf):
+    return g.merged_dependencies(*_merging(s, sf))
+
+
+def _prose(s, sf):
+    """documents as gaps: each sentence a part."""
+    p = F.split("text", "[.]")
+    parts = {n: F.get(p, F.lit(i)) for i, n in enumerate(("what", "legal", "engineering", "residual", "if_unfixed", "if_fixed"))}
+    lists = {"how": F.filter(p, lambda x: F.length(x) >= 50), "citations": F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), "prompt": F.col("text")}
+    return table(s, sf, "documents").select("doc_id", *[c.alias(n) for n, c in (parts | lists).items()])
+
+
+def _related(s, sf):
+    return table(s, sf, "events").select((F.col("event_id") % 997).alias("id"), F.when(F.col("event_type") == "error", "critical").otherwise("low").alias("severity"))
+
+
 def _checks():
     text = F.col("text")
     low = F.lower(text)
@@ -103,7 +131,10 @@ QUERIES = {
     "g3_evidence_digest": lambda s, sf: g.evidence_digest(table(s, sf, "events"), "event_type", "event_id"),
     "g4_reconcile": lambda s, sf: g.reconcile(*_adversary(s, sf)),
     "g5_complete_adjudications": lambda s, sf: g.complete_adjudications(_obligations(s, sf), _answers(s, sf)),
-    "g6_build_gaps": lambda s, sf: g.build_gaps(g.complete_adjudications(_obligations(s, sf), _answers(s, sf)), _obligations(s, sf)),
+    "g6_build_gaps": lambda s, sf: g.build_gaps(g.complete_adjudications(_obligations(s, sf), _answers(s, sf)), _obligations(s, sf), _related(s, sf)),
+    "g7_gap_checks": lambda s, sf: g.validate_gaps(_prose(s, sf), g.gap_checks(), "doc_id"),
+    "g8_merged_evidence": _evidence_of_merged,
+    "g8_merged_dependencies": _needs_of_merged,
     "g7_validate_gaps": lambda s, sf: g.validate_gaps(table(s, sf, "documents"), _checks(), "doc_id"),
     "g8_merge_gaps": lambda s, sf: g.merge_gaps(table(s, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("project"), "text", F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("severity")), F.sha2(F.lower(F.trim("text")), 256)),
     "g9_remediation_order": lambda s, sf: g.remediation_order(*_nodes(s, sf)),
@@ -132,20 +163,44 @@ _AD = "j AS (SELECT b.id, CASE WHEN l.doc_id IS NULL THEN 'indeterminate' WHEN t
 _R = f"{_O}, n AS (SELECT project, count(*) AS gaps, count(*) FILTER (severity = 'critical') AS critical FROM o GROUP BY project), c AS (SELECT project, 'gaps' AS key, gaps AS n FROM n UNION ALL SELECT project, 'critical', critical FROM n), r AS (SELECT project, key, n * low / divisor AS low, n * high / divisor AS high, source IS NULL AS unsourced FROM c JOIN (SELECT * FROM {sql_values(BANDS, 'key, low, high, divisor, source')}) USING (key)), t AS (SELECT project, 'total' AS key, sum(low) AS low, sum(high) AS high, bool_or(unsourced) AS unsourced FROM r GROUP BY project)"
 _CHECKS = {"short": "length(text) < 200", "no_link": "NOT contains(text, 'http')", "no_number": "NOT regexp_matches(text, '[0-9]')", "one_line": "NOT contains(text, chr(10))", "vague": "regexp_matches(lower(text), 'improve|consider|ensure') AND NOT regexp_matches(lower(text), 'table|column|file')", "dangling": "regexp_matches(lower(text), 'see above|the report')"}
 
+_ELEVEN = ", ".join(
+    f"CASE WHEN {q} THEN '{n}' END"
+    for n, q in {
+        "what_short": "length(p[1]) < 20",
+        "what_vague": f"length(p[1]) >= 20 AND regexp_matches(w, '^(?:{g.VAGUE})\\b') AND NOT regexp_matches(w, '[./_]|\\b(?:{g.CONCRETE})\\b')",
+        "legal": "coalesce(length(p[2]), 0) < 10",
+        "engineering": "coalesce(length(p[3]), 0) < 10",
+        "citations": "NOT regexp_matches(text, '[0-9]')",
+        "how": "len(list_filter(p, lambda x: length(x) >= 50)) = 0",
+        "residual": "coalesce(trim(p[4]), '') = ''",
+        "if_unfixed": "coalesce(length(p[5]), 0) < 20",
+        "if_fixed": "coalesce(length(p[6]), 0) < 10",
+        "prompt_short": "length(text) < 200",
+        "prompt_dangling": "regexp_matches(lower(text), '\\bthe (?:report|gap above|previous|earlier)\\b')",
+    }.items()
+)
+_MERGED = "d AS (SELECT doc_id AS id, source AS project, sha256(lower(trim(text))) AS key, lang, n_chars FROM documents), m AS (SELECT project, key, min(id) AS first_id, min(CASE WHEN id % 3 = 0 THEN 1 ELSE 3 END) AS rank FROM d GROUP BY 1, 2), o AS (SELECT project, key, 'GAP-' || lpad(CAST(row_number() OVER (PARTITION BY project ORDER BY rank, first_id) AS VARCHAR), 6, '0') AS gap FROM m), i AS (SELECT d.*, gap FROM d JOIN o USING (project, key))"
+
 SQL = {
     "g1_derive_profile": f"""WITH {ASSETS}, h AS ({hits_sql(key='path, project')}), k AS (SELECT project, array_to_string(list_sort(list(DISTINCT rule)), ',') AS categories, count(*) AS n_hits FROM h WHERE NOT ({SUPPRESSED_SQL}) GROUP BY project)
       SELECT project, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, coalesce(any_value(categories), '') AS categories, coalesce(any_value(n_hits), 0) AS n_hits FROM a LEFT JOIN k USING (project) GROUP BY project""",
-    "g2_contradictions": f"""WITH {ASSETS}, x AS (SELECT project, bool_or(contains(content, 'und')) AS a1, bool_or(contains(content, 'dans')) AS a2, bool_or(contains(content, 'the')) AS a3, count(*) FILTER (contains(content, '@')) AS p, count(*) FILTER (contains(content, 'with')) AS v, count(*) FILTER (contains(content, 'reserved')) AS e FROM a GROUP BY project)
-      SELECT project, 'no_personal' AS claim, true AS blocking FROM x WHERE a1 AND p > 0 UNION ALL SELECT project, 'no_vendor', false FROM x WHERE a2 AND v > 0 UNION ALL SELECT project, 'deletable', false FROM x WHERE a3 AND e = 0""",
+    "g2_contradictions": f"""WITH {ASSETS}, x AS (SELECT project, bool_or(contains(content, 'und')) AS a1, bool_or(contains(content, 'dans')) AS a2, bool_or(contains(content, 'the')) AS a3, count(*) FILTER (contains(content, '@')) AS p, count(*) FILTER (contains(content, 'with')) AS v, count(*) FILTER (contains(content, 'reserved')) AS e, bool_or(contains(content, 'que')) AS a4, bool_or(contains(content, 'for')) AS a5, bool_or(contains(content, 'with')) AS a6,
+      count(*) FILTER (contains(content, 'health')) AS h, count(*) FILTER (contains(content, 'model')) AS ai, count(*) FILTER (contains(content, 'http')) AS pl FROM a GROUP BY project)
+      SELECT project, 'no_personal' AS claim, p AS n, true AS blocking FROM x WHERE a1 AND p > 0 UNION ALL SELECT project, 'no_vendor', v, false FROM x WHERE a2 AND v > 0 UNION ALL SELECT project, 'deletable', e, false FROM x WHERE a3 AND e = 0
+      UNION ALL SELECT project, 'no_sensitive', h, true FROM x WHERE a4 AND h > 0 UNION ALL SELECT project, 'no_ai', ai, true FROM x WHERE a5 AND ai > 0 UNION ALL SELECT project, 'encrypted', pl, false FROM x WHERE a6 AND pl > 0""",
     "g3_evidence_digest": "SELECT event_type, event_id, nth, n, greatest(n - 40, 0) AS overflow FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS nth, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE nth <= 40",
     "g4_reconcile": """WITH a AS (SELECT * FROM events WHERE event_type = 'error'), s AS (SELECT * FROM events WHERE event_type = 'signup' AND user_id % 3 = 0),
       m AS (SELECT a.event_id AS id, count(DISTINCT s.event_id) AS n FROM a JOIN s ON s.event_id IN (a.event_id - 1, a.event_id + 7) OR s.user_id = a.user_id GROUP BY 1)
       SELECT event_id AS id, coalesce(n, 0) AS n_anchors, CASE WHEN n > 0 THEN 'confirmed' ELSE 'unconfirmed' END AS status, CASE WHEN event_id % 2 <> 0 THEN 'low' WHEN n > 0 THEN 'critical' ELSE 'high' END AS severity FROM a LEFT JOIN m ON id = event_id""",
     "g5_complete_adjudications": f"WITH {_OB}, {_AD} SELECT * FROM j",
-    "g6_build_gaps": f"""WITH {_OB}, {_AD} SELECT id, CASE WHEN given = 'low' THEN 'low' WHEN criminal THEN 'critical' WHEN maximum IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
-      concat_ws(',', CASE WHEN given = 'low' THEN 'given' END, CASE WHEN criminal THEN 'criminal' END, CASE WHEN maximum IS NOT NULL THEN 'maximum' END) AS basis, CAST(maximum AS DECIMAL(18,2)) AS maximum FROM j JOIN b USING (id) WHERE status IN ('partial', 'unsatisfied')""",
+    "g6_build_gaps": f"""WITH {_OB}, {_AD}, c AS (SELECT DISTINCT event_id % 997 AS r FROM events WHERE event_type = 'error') SELECT id, CASE WHEN given = 'low' THEN 'low' WHEN criminal OR r IS NOT NULL THEN 'critical' WHEN maximum IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
+      concat_ws(',', CASE WHEN given = 'low' THEN 'given' END, CASE WHEN r IS NOT NULL THEN 'adversary' END, CASE WHEN criminal THEN 'criminal' END, CASE WHEN maximum IS NOT NULL THEN 'maximum' END) AS basis, CAST(maximum AS DECIMAL(18,2)) AS maximum FROM j JOIN b USING (id) LEFT JOIN c ON r = id WHERE status IN ('partial', 'unsatisfied')""",
     "g7_validate_gaps": "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {q} THEN '{n}' END" for n, q in _CHECKS.items()) + ") AS problems, " + " + ".join(f"CAST({q} AS INT)" for q in _CHECKS.values()) + " AS n FROM documents",
     "g8_merge_gaps": "WITH m AS (SELECT source AS project, sha256(lower(trim(text))) AS key, min(doc_id) AS first_id, count(*) AS n, min(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 3 END) AS rank FROM documents GROUP BY 1, 2) SELECT *, 'GAP-' || lpad(CAST(row_number() OVER (PARTITION BY project ORDER BY rank, first_id) AS VARCHAR), 6, '0') AS gap FROM m",
+    "g7_gap_checks": f"""WITH p AS (SELECT doc_id, text, string_split(text, '.') AS p, lower(string_split(text, '.')[1]) AS w FROM documents),
+      c AS (SELECT doc_id, [{_ELEVEN}] AS c FROM p), d AS (SELECT doc_id, list_filter(c, lambda x: x IS NOT NULL) AS c FROM c) SELECT doc_id, array_to_string(c, ',') AS problems, len(c) AS n FROM d""",
+    "g8_merged_evidence": f"WITH {_MERGED} SELECT DISTINCT project, gap, unnest([lang, CAST(n_chars % 100 AS VARCHAR)]) AS evidence FROM i",
+    "g8_merged_dependencies": f"WITH {_MERGED}, e AS (SELECT project, id, id - 1 AS needs FROM i UNION ALL SELECT project, id, id // 2 FROM i) SELECT DISTINCT e.project, a.gap, b.gap AS needs FROM e JOIN i a ON a.project = e.project AND a.id = e.id JOIN i b ON b.project = e.project AND b.id = e.needs WHERE a.gap <> b.gap",
     "g9_remediation_order": """WITH RECURSIVE c AS (SELECT count(*) AS c FROM part), p AS (SELECT p_partkey AS id, p_partkey // 2 AS needs FROM part UNION SELECT * FROM (VALUES (11, 13), (13, 17), (17, 11))),
       e AS (SELECT DISTINCT id, needs FROM p WHERE id <> needs AND id IN (SELECT p_partkey FROM part) AND needs IN (SELECT p_partkey FROM part)),
       w AS (SELECT id, needs AS at, 1 AS n FROM e UNION SELECT w.id, e.needs, n + 1 FROM w JOIN e ON e.id = w.at WHERE n < (SELECT c FROM c))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlake.operators import corpus as c
@@ -10,6 +13,8 @@ from govlake.plans.tables import ASSETS, assets, rows, sql_values, table
 
 PRICES = [("*", 3.0, 15.0), ("purchase", 1.0, 2.0), ("error", 10.0, 30.0)]
 CAP = 500.0
+CAPS = {0: 500.0, 1: 300.0, 2: 0.0}
+RUN_PHASES = ("purchase", "error")
 FACETS = [("lawful_basis", None), ("breach", None), ("children", "HOUSEHOLD"), ("credit", "AUTOMOBILE"), ("transfer", "MACHINERY")]
 HINTS = ["breach", "children"]
 DOMAINS = [("example.org",), ("therin.example.net",), ("therha.example.com",)]
@@ -17,7 +22,20 @@ DOMAINS = [("example.org",), ("therin.example.net",), ("therha.example.com",)]
 
 def _calls(s, sf):
     e = table(s, sf, "events")
-    return e.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("run_id"), (F.col("user_id") % 3).alias("seat"), F.col("event_type").alias("phase"), "ts", F.col("value").alias("cost"), (F.col("event_type") == "view").alias("cached"))
+    return e.select(F.col("event_id").alias("call_id"), F.col("user_id").alias("run_id"), (F.col("user_id") % 3).alias("seat"), F.col("event_type").alias("phase"), "ts", F.col("value").alias("cost"), (F.col("event_type") == "view").alias("cached"), (F.col("event_id") % 4 == 0).alias("reported"), F.length("props").alias("tokens_in"), (F.col("event_id") % 100).alias("tokens_out"))
+
+
+def _budgets(s, sf):
+    modes = [m.enforce_budget(_calls(s, sf), CAPS, mode, run_phases=RUN_PHASES).withColumn("mode", F.lit(mode)) for mode in ("degrade", "stop", "warn")]
+    return reduce(DataFrame.unionByName, modes).select("mode", "call_id", "spent_before", "refused", "warned", "ends")
+
+
+def _responses(s, sf):
+    """Event properties in prose, in fenced arrays and cut short."""
+    k = F.col("event_id") % 3
+    text = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("Sure: "), F.expr("left(props, length(props) - 1)"))).when(k == 0, F.concat(F.lit("Sure: "), "props", F.lit("} done"))).when(k == 1, F.concat(F.lit("See\n```json\n["), "props", F.lit(", "), "props", F.lit("]\n``` {"))).otherwise(F.col("props"))
+    out = m.parse_responses(table(s, sf, "events").select("event_id", text.alias("text")), "k int")
+    return out.select("event_id", F.array_join(F.transform("parsed", lambda x: x.k.cast("string")), ",").alias("ks"), "quarantined")
 
 
 def _priced(s, sf):
@@ -65,11 +83,11 @@ def _profiles(s, sf):
 QUERIES = {
     "l1_price_calls": lambda s, sf: m.price_calls(_priced(s, sf), rows(s, PRICES, "model string, price_in double, price_out double")),
     "l2_project_spend": lambda s, sf: m.project_spend(assets(s, sf)),
-    "l3_enforce_budget": lambda s, sf: m.enforce_budget(_calls(s, sf), CAP).select("call_id", "spent_before", "refused"),
+    "l3_enforce_budget": _budgets,
     "l4_spend_rollup": lambda s, sf: m.spend_rollup(_calls(s, sf)),
     "l5_cache_lookup": _lookup,
     "l6_cache_stats": lambda s, sf: m.cache_stats(table(s, sf, "events"), "props", "ts", F.lit("2024-02-01 00:00:00").cast("timestamp")),
-    "l7_parse_responses": lambda s, sf: m.parse_responses(table(s, sf, "events").select("event_id", F.concat(F.lit("Sure: "), "props", F.when(F.col("event_id") % 5 == 0, "}").otherwise(" done")).alias("text")), "k int").select("event_id", F.col("parsed.k").alias("k")),
+    "l7_parse_responses": _responses,
     "c1_plan_queries": lambda s, sf: c.plan_queries(_profiles(s, sf), _packs(s, sf), rows(s, FACETS, "facet string, trigger string")),
     "c2_mark_primary": lambda s, sf: c.mark_primary(table(s, sf, "pages").select(F.col("page_id").alias("id"), "url"), rows(s, DOMAINS, "domain string")),
     "c3_build_obligations": lambda s, sf: c.build_obligations(_raw(s, sf)),
@@ -99,15 +117,20 @@ SQL = {
     "l1_price_calls": f"""WITH e AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN value END AS reported FROM events), p AS (SELECT * FROM {sql_values(PRICES, 'model, i, o')})
       SELECT event_id AS call_id, event_type AS model, round(CASE WHEN event_type = 'view' THEN 0 WHEN reported >= 0 THEN reported ELSE user_id * 100 / 1e6 * coalesce(i, 3) + length(props) / 1e6 * coalesce(o, 15) END, 9) AS cost FROM e LEFT JOIN p ON event_type = model""",
     "l2_project_spend": f"WITH {ASSETS}, s AS (SELECT project, sum(ceil(length(content) / 3.6)) AS tokens, greatest(1, ceil(sum(length(content)) / 60000)) AS calls FROM a GROUP BY project) SELECT project, tokens, calls, round(tokens / 1e6 * 3 + calls * 2000 / 1e6 * 15, 6) AS cost FROM s",
-    "l3_enforce_budget": f"""WITH b AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'view' THEN 0 ELSE value END) OVER (PARTITION BY user_id, user_id % 3 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events),
-      f AS (SELECT *, max(CASE WHEN event_type <> 'view' AND spent + value > {CAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS o FROM b)
-      SELECT event_id AS call_id, round(spent, 6) AS spent_before, o = 1 AND event_type <> 'view' AS refused FROM f""",
-    "l4_spend_rollup": "SELECT user_id % 3 AS seat, event_type AS phase, CAST(grouping_id(user_id % 3, event_type) AS INT) AS level, count(*) AS calls, count(*) FILTER (event_type = 'view') AS cached, round(sum(value), 4) AS cost FROM events GROUP BY GROUPING SETS ((user_id % 3), (event_type), ())",
+    "l3_enforce_budget": """WITH c AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 500 WHEN 1 THEN 300 END AS cap FROM events),
+      b AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'view' THEN 0 ELSE value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM c),
+      x AS (SELECT *, coalesce(event_type <> 'view' AND spent + value > cap, false) AS over FROM b),
+      f AS (SELECT *, sum(CAST(over AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM x)
+      SELECT mode, event_id AS call_id, round(spent, 6) AS spent_before, mode <> 'warn' AND n > 0 AND event_type <> 'view' AS refused, mode = 'warn' AND over AS warned,
+      CASE WHEN mode = 'stop' AND over AND n = 1 THEN CASE WHEN event_type IN ('purchase', 'error') THEN 'run' ELSE 'phase' END END AS ends FROM f, (VALUES ('degrade'), ('stop'), ('warn')) AS m(mode)""",
+    "l4_spend_rollup": """SELECT user_id % 3 AS seat, event_type AS phase, user_id AS run_id, CAST(grouping_id(user_id % 3, event_type, user_id) AS INT) AS level, count(*) AS calls, count(*) FILTER (event_type = 'view') AS cached,
+      sum(length(props)) AS tokens_in, sum(event_id % 100) AS tokens_out, round(sum(value), 4) AS cost, round(count(*) FILTER (event_id % 4 = 0) / count(*), 6) AS reported_share FROM events GROUP BY GROUPING SETS ((user_id % 3), (event_type), (user_id), ())""",
     "l5_cache_lookup": """WITH r AS (SELECT * FROM events WHERE event_type NOT IN ('purchase', 'view')), c AS (SELECT * FROM events WHERE event_type IN ('purchase', 'view')),
       j AS (SELECT r.event_id, (epoch_us(r.ts) - max(epoch_us(c.ts))) / 8.64e10 AS age FROM r LEFT JOIN c ON r.user_id = c.user_id AND c.ts <= r.ts GROUP BY r.event_id, r.ts)
       SELECT event_id AS request_id, CASE WHEN age IS NULL THEN 'miss' WHEN round(age, 6) <= 0.5 THEN 'hit' ELSE 'stale' END AS verdict, round(age, 6) AS age_days FROM j""",
     "l6_cache_stats": "SELECT count(*) AS entries, sum(strlen(props)) AS bytes, round(max(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 8.64e10, 6) AS oldest_days FROM events",
-    "l7_parse_responses": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
+    "l7_parse_responses": """WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)
+      SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 1 THEN k || ',' || k ELSE k END AS ks, event_id % 11 = 0 AS quarantined FROM p""",
     "c1_plan_queries": f"""WITH p AS (SELECT c_custkey AS project, n_name AS pack, c_mktsegment AS t, false AS f FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, r_name, c_mktsegment, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
       SELECT DISTINCT project, pack, facet FROM p JOIN (SELECT * FROM {_FACETS}) ON (needs IS NULL OR needs = t) WHERE NOT f OR facet IN {tuple(HINTS)}""",
     "c2_mark_primary": f"SELECT id, url, ({_IS}) AS \"primary\" FROM (SELECT page_id AS id, url, {_PRIMARY} FROM pages)",

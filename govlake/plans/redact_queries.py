@@ -52,7 +52,7 @@ QUERIES = {
     "r2_bucket_numbers": lambda s, sf: r.bucket_numbers(table(s, sf, "orders").select(F.col("o_totalprice").alias("v")).unionAll(table(s, sf, "lineitem").select("l_extendedprice")), "v"),
     "r3_mint_pseudonyms": lambda s, sf: r.mint_pseudonyms(_words(s, sf), SALT).agg(F.count("*").alias("n"), F.count_distinct("pseudonym").alias("n_names"), F.count_distinct("real").alias("n_real")),
     "r4_pseudonymise_columns": _joined,
-    "r5_pseudonymise_paths": lambda s, sf: r.pseudonymise_paths(assets(s, sf), SALT),
+    "r5_pseudonymise_paths": lambda s, sf: r.pseudonymise_paths(assets(s, sf), r.path_names(assets(s, sf), SALT)),
     "r6_tokenise_terms": lambda s, sf: r.tokenise_terms(assets(s, sf), _names(s, sf)).select("path", "n"),
     "r7_redact_text": lambda s, sf: r.redact_text(assets(s, sf)).select("path", "n_dropped", "n_placeheld", F.sha2("released", 256).alias("sha256")),
     "r8_structural_outline": lambda s, sf: r.outline_edges(table(s, sf, "pages"), "page_id", "html"),
@@ -61,6 +61,7 @@ QUERIES = {
     "r11_residual_pseudonyms": lambda s, sf: r.residual_pseudonyms(r.tokenise_terms(assets(s, sf), _names(s, sf)), _names(s, sf).where("length(real) <= 9"), ["term"]).agg(F.count("*").alias("n")),
     "r12_deny_verdicts": lambda s, sf: r.deny_verdicts(assets(s, sf), GLOBS),
     "r13_gate_payloads": lambda s, sf: r.gate_payloads(_payloads(s, sf), GLOBS, HOSTS),
+    "r13_quarantine": lambda s, sf: r.quarantine_payloads(_payloads(s, sf), GLOBS, HOSTS),
     "r14_pin_hosts": lambda s, sf: r.pin_hosts(table(s, sf, "pages"), HOSTS),
     "r15_release_preview": lambda s, sf: r.release_preview(assets(s, sf), GLOBS),
     "r16_seal_payloads": lambda s, sf: r.seal_payloads(table(s, sf, "conversations")).select("conv_id", "sha256", "bytes"),
@@ -133,6 +134,10 @@ SQL = {
       h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, count(*) AS n_hits FROM h WHERE NOT ({SUPPRESSED_SQL}) GROUP BY 1)
       SELECT payload_id, CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN n_hits > 0 THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'pass' END AS verdict,
       coalesce(n_hits, 0) AS n_hits FROM q LEFT JOIN k USING (payload_id)""",
+    "r13_quarantine": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id),
+      h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, rule, pos, line FROM h WHERE NOT ({SUPPRESSED_SQL})),
+      v AS (SELECT payload_id, rule, pos, line, CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN rule IS NOT NULL THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'pass' END AS verdict FROM q LEFT JOIN k USING (payload_id))
+      SELECT payload_id, verdict, rule, pos, line FROM v WHERE verdict <> 'pass'""",
     "r14_pin_hosts": f"""WITH p AS (SELECT url, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS h FROM pages)
       SELECT url, CASE WHEN h = '' THEN 'malformed' WHEN NOT starts_with(url, 'https://') THEN 'not_https' WHEN h NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'ok' END AS verdict FROM p""",
     "r15_release_preview": f"""WITH {ASSETS}, {_redacted()}, s AS (SELECT CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied' WHEN content IS NULL THEN 'unreadable' ELSE 'sent' END AS status, strlen(content) AS b, strlen(t) AS e FROM z)
