@@ -100,7 +100,7 @@ def tree(rows: DataFrame, depth: int) -> list[DataFrame]:
     """Levels of nodes (bucket, file, idx, start, end, hash), from those over records to the root of all files.
 
     The first level joins the records of a file whose keys lie in the same range of FAN, each further one FAN
-    neighbours, so each node covers an unbroken range of offsets, and the same keys in every replica. Above
+    neighbours and is written once, so each node covers an unbroken range of offsets, and the same keys in every replica. Above
     them stand the files, 256 buckets of file names and one root.
     """
     bucket, none, zero = F.substring(F.sha2("file", 256), 1, 2), F.lit("").alias("file"), F.lit(0).cast("long").alias("idx")
@@ -108,10 +108,10 @@ def tree(rows: DataFrame, depth: int) -> list[DataFrame]:
     levels = []
     for k in range(depth):
         up = level.withColumn("up", _up(F.col("idx")))
-        level = parents(up, ["bucket", "file", "up"], *(["idx", "hash"] if k == 0 else ["idx"])).withColumnRenamed("up", "idx")
+        level = saved(parents(up, ["bucket", "file", "up"], *(["idx", "hash"] if k == 0 else ["idx"])).withColumnRenamed("up", "idx"), "level")
         levels.append(level)
-    levels.append(parents(level, ["bucket", "file"], "idx").select("bucket", "file", zero, "start", "end", "hash"))
-    levels.append(parents(levels[-1], ["bucket"], "file").select("bucket", none, zero, "start", "end", "hash"))
+    levels.append(saved(parents(level, ["bucket", "file"], "idx").select("bucket", "file", zero, "start", "end", "hash"), "level"))
+    levels.append(saved(parents(levels[-1], ["bucket"], "file").select("bucket", none, zero, "start", "end", "hash"), "level"))
     levels.append(parents(levels[-1], [], "bucket").select(F.lit("").alias("bucket"), none, zero, "start", "end", "hash"))
     return levels
 
@@ -165,9 +165,16 @@ def damaged(records: DataFrame, every: int = 97) -> DataFrame:
     return records.withColumn("record", F.when(F.pmod(F.col("key"), F.lit(every)) == 5, hurt).otherwise(F.col("record")))
 
 
+def shifted(records: DataFrame, every: int = 97) -> DataFrame:
+    """A replica in which one of `every` keys has lost its record and one has a second one, so that all later offsets move. Null keys keep theirs."""
+    k, record = F.pmod(F.col("key"), F.lit(every)), F.col("record")
+    held = F.when(k == 11, F.array().cast("array<string>")).when(k == 23, F.array(record, F.concat(record, F.lit("+")))).otherwise(F.array(record))
+    return records.withColumn("record", F.explode(held))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return audit(records, damaged(records))
+    return audit(records, shifted(damaged(records)))
 
 
 SQL = f"""
@@ -178,6 +185,12 @@ WITH r AS (SELECT 'pages-' || lpad(CAST(page_id // {PER_FILE} AS VARCHAR), 8, '0
 h AS (SELECT file, key, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS hash_a,
   sha256(CASE WHEN key % 97 = 5 THEN left(record, length(record) - 1) || '#' ELSE record END) AS hash_b FROM r),
 o AS (SELECT file, row_number() OVER w - 1 AS seq, key, CAST(coalesce(sum(length + 4) OVER (PARTITION BY file ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
-  length, hash_a, hash_b FROM h WINDOW w AS (PARTITION BY file ORDER BY key))
+  length, hash_a, hash_b FROM h WINDOW w AS (PARTITION BY file ORDER BY key)),
+s AS (SELECT file, key, record, false AS more FROM r WHERE key % 97 <> 11 UNION ALL SELECT file, key, record || '+', true FROM r WHERE key % 97 = 23),
+t AS (SELECT file, key, more, sha256(record) AS hash, CAST(strlen(record) AS BIGINT) AS length FROM s),
+e AS (SELECT file, row_number() OVER w - 1 AS seq, key, CAST(coalesce(sum(length + 4) OVER (PARTITION BY file ORDER BY key, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  length, hash, more FROM t WINDOW w AS (PARTITION BY file ORDER BY key, hash))
 SELECT file, seq, key, "offset", length, hash_a, hash_b, 'changed' AS status FROM o WHERE hash_a <> hash_b
+UNION ALL SELECT file, seq, key, "offset", length, hash_a, NULL, 'missing' FROM o WHERE key % 97 = 11
+UNION ALL SELECT file, seq, key, "offset", length, NULL, hash, 'extra' FROM e WHERE more
 """

@@ -575,3 +575,10 @@ def test_queries_give_the_contract(spark):
     assert out == {i: hashlib.sha256(t.encode()).hexdigest() for i, _, _, t in brute.without_repeats(docs.items())}
     limits = {r.doc_id: r.over_limit for r in QUERIES["op5_token_counts"](spark, SF).collect()}
     assert set(limits) == set(docs) and any(limits.values())
+
+
+def test_audit_finds_lost_and_second_records_in_mid_file(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "x" * (i % 7)) for i in range(130)] + [(None, None, None)], "page_id long, url string, html string")
+    records = op3_warc.warc_records(pages)
+    found = {(r.key, r.status) for r in op3_warc.audit(records, op3_warc.shifted(records)).collect()}
+    assert found == {(11, "missing"), (108, "missing"), (23, "extra"), (120, "extra")}
