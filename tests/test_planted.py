@@ -171,3 +171,25 @@ def test_redaction_keeps_documentation_addresses_and_failing_cards(spark):
     text = "user@example.com 4111111111111112 a@corp.gh\nBVN:\n12345678901"
     got = redact.redact_text(rows(spark, [("f", text), ("g", None)], "path string, content string")).collect()
     assert {r.path: (r.released, r.n_dropped, r.n_placeheld) for r in got} == {"f": ("user@example.com 4111111111111112 <str:email>\n<str:bank_number>\n", 0, 2), "g": (None, 0, 0)}
+
+
+def test_responses_with_odd_shapes(spark):
+    from govlake.operators.ledgers import parse_responses
+
+    texts = ['so {"k": 1} and {"k": 2}', 'see [{"k": 3}, {"j": "}"}] }', "```json\n{\"k\": 4}\n``` {", '{"k": "a } b', "none", "", None]
+    rows = parse_responses(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "k int").orderBy("id").collect()
+    assert [None if r.parsed is None else [x.k for x in r.parsed] for r in rows] == [[1], [3, None], [4], None, None, None, None]
+    assert [r.quarantined for r in rows] == [False] * 3 + [True] * 4
+
+
+def test_claims_and_terms(spark):
+    from govlake.operators.gaps import read_claims
+    from govlake.operators.redact import tokenise_terms
+
+    says = spark.createDataFrame([("a", "We never store personal data. No AI."), ("a", None), ("b", "Not so. Health is encrypted"), ("c", None)], "project string, text string")
+    got = {r.project: {c for c, v in r.asDict().items() if v is True} for r in read_claims(says).collect()}
+    assert got == {"a": {"no_personal", "no_ai"}, "b": {"encrypted"}, "c": set()}
+    texts = spark.createDataFrame([("p", "foo foobar, foo"), ("p", "foo foobar, foo"), ("q", None), ("r", "")], "path string, content string")
+    names = spark.createDataFrame([("foo", "t_1")], "real string, pseudonym string")
+    out = sorted((r.path, r.released or "", r.n) for r in tokenise_terms(texts, names).collect())
+    assert out == [("p", "t_1 foobar, t_1", 2), ("p", "t_1 foobar, t_1", 2), ("q", "", 0), ("r", "", 0)]
