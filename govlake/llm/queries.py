@@ -13,6 +13,7 @@ from govlake.llm.op7_repair import op7_repair
 from govlake.llm.op8_benchmark import op8_benchmark
 from govlake.llm.op9_cotraining import op9_cotraining
 from govlake.llm.op10_substrings import op10_substrings
+from govlake.llm.op13_transducer import op13_transducer
 
-QUERIES = {f.__name__: f for f in (op1_lines, op2_sentencepiece, op3_warc, op4_quality_rules, op5_token_counts, op6_minhash, op7_repair, op8_benchmark, op9_cotraining, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_lines, op2_sentencepiece, op3_warc, op4_quality_rules, op5_token_counts, op6_minhash, op7_repair, op8_benchmark, op9_cotraining, op10_substrings, op13_transducer)}
 ORACLE_SQL = {"op1_lines": lines.SQL, "op3_warc": warc.SQL, "op8_benchmark": benchmark.SQL}
