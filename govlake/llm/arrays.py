@@ -114,9 +114,9 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-def words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> Words:
-    """The words of texts that lie one after another in `data`, from at[i] to at[i + 1]. lower: hash A-Z as a-z."""
-    solid = ~SPACES[data]
+def words(data: np.ndarray, at: np.ndarray, lower: bool = False, gaps: np.ndarray = SPACES) -> Words:
+    """The words of texts that lie one after another in `data`, from at[i] to at[i + 1]. lower: hash A-Z as a-z. gaps: bytes that part words."""
+    solid = ~gaps[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]

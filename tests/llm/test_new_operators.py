@@ -1,13 +1,18 @@
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from govlake.llm import op13_transducer
+from govlake.llm import op11_resampling, op12_divergence, op13_transducer
 from govlake.llm.op5_token_counts import classes, vocabulary_path
 from govlake.llm.queries import QUERIES
+from tests.llm.brute import LOWER
 from tests.llm.test_operators import SF, frame
 
 PIECES = ["a", "b", "e", "the", "ing", "'s", "'re", "'", "''", " ", "  ", "\n", "\t", "1", "23", "é", "É", "é", "́", "ß", "İ", "ﬁ", "中", "文", "-", "--", "!", "<|endoftext|>", "<|startoftext|>", "<|end", "😀", "̧", "K", "Å", "x" * 70, "=" * 90, "가", "각", "٣", "\x1c", "\x85", "　", "’s", "ǅ", "\0"]
@@ -99,3 +104,128 @@ def test_transducer_query_on_every_document(spark):
     want = {r.doc_id: digests(own, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op13_transducer"](spark, SF).collect()}
     assert got == want
+
+
+def odd_texts():
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdeéßЖ中XY0") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    return [" ".join(r.choice(vocabulary) for _ in range(r.randint(1, 90))) for _ in range(70)] + [None, "", " ,.; ", "one", "One", "ÀÉ éÀ", "a_b-c'd", "x" * 5000, "same words " * 400, "\0a\0b", "z9 " * 30]
+
+
+def plain_draw(docs, target, ngram, buckets, least, percent):
+    def runs(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, ngram + 1) for i in range(len(w) - n + 1)]
+
+    s, t = (Counter(b for x in texts for b in runs(x)[1]) for texts in ([x for _, x in docs], target))
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets)))) for b in {*s, *t}}
+    rows = []
+    for i, x in docs:
+        n, f = runs(x)
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append((i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    order = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0]))
+    return rows, [r[:1] + r[3:] for r in order[: percent * len(order) // 100]]
+
+
+@pytest.mark.parametrize("ngram,percent", [(1, 10), (3, 55), (2, 100), (1, 0)])
+def test_resampling_against_a_plain_version(spark, ngram, percent):
+    docs = [*enumerate(odd_texts()), (3, "again " * 25), (3, "again " * 25), (-5, "minus " * 21)]
+    target = [t for t in odd_texts() if t and len(t) < 90]
+    rows, best = plain_draw(docs, target, ngram, 97, 20, percent)
+    got = op11_resampling.resampled(frame(spark, docs).repartition(3), frame(spark, list(enumerate(target))), ngram=ngram, buckets=97, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_features, r.weight, r.score) for r in got) == sorted(rows)
+    assert [(r.doc_id, r.weight, r.score) for r in sorted(got, key=lambda r: r.rank or 0) if r.rank] == best
+    assert sorted(r.rank for r in got if r.rank) == list(range(1, len(best) + 1))
+
+
+def test_resampling_of_null_ids_and_empty_tables(spark):
+    none = frame(spark, [])
+    assert op11_resampling.resampled(none, none).count() == 0
+    got = op11_resampling.resampled(frame(spark, [(None, "word " * 30), (4, None)]), none, percent=100).collect()
+    assert sorted((r.rank or 0, r.n_features) for r in got) == [(0, 0), (1, 30)]
+
+
+def test_checksums_compose():
+    r = random.Random(1)
+    pairs = [("".join(r.choices("aé中 ", k=r.randint(0, 9))).encode(), bytes(r.choices(range(256), k=r.choice([0, 1, 7, 300, 70_000])))) for _ in range(40)]
+    got = op11_resampling.composed(*(np.array(x, k) for x, k in (([zlib.crc32(a) for a, _ in pairs], np.uint32), ([zlib.crc32(b) for _, b in pairs], np.uint32), ([len(b) for _, b in pairs], np.int64))))
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in pairs]
+
+
+def test_a_small_dictionary_gives_the_same_payloads():
+    data = " ".join(x or "" for x in odd_texts() * 3).encode()
+    at = np.array([0, 100, 100, len(data)])
+    want = op11_resampling.features(data := np.frombuffer(data, np.uint8), at, op11_resampling.Dictionary(), 2, 1000)
+    small = op11_resampling.Dictionary(limit=7, first=3)
+    for _ in range(3):
+        for a, b in zip(op11_resampling.features(data, at, small, 2, 1000), want, strict=True):
+            assert a.tolist() == b.tolist()
+    assert len(small.known) == 7 and small.automaton is not None
+
+
+def plain_divergences(rows, least=3, top=200, one=10**9):
+    rows = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))) for lang, source, text in rows]
+    out = []
+    for lang in {x[0] for x in rows}:
+        df = Counter(t for x, _, w in rows if x == lang for t in set(w))
+        kept = sorted(t for t, n in df.items() if n >= least)
+        count = {s: Counter(t for x, s2, w in rows if (x, s2) == (lang, s) for t in w if df[t] >= least) for s in {s for x, s, _ in rows if x == lang}}
+        all_ = Counter()
+        for c in count.values():
+            all_ += c
+        share = {s: {t: 1 + one * (c[t] + 1) // (c.total() + len(kept)) for t in kept} for s, c in [*count.items(), (None, all_)]}
+        for s in count:
+            pairs = [(sum((share[s][t] - share[o][t]) ** 2 // share[o][t] for t in kept), o) for o in count if o != s]
+            terms = [((p - q) ** 2 // q, t) for t in kept if count[s][t] and (p := share[s][t]) > (q := share[None][t])]
+            for part, found in (("pair", pairs), ("term", terms)):
+                found = sorted(found, key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, v, n + 1) for n, (v, item) in enumerate(found[:top] if part == "term" else found)]
+    return sorted(out)
+
+
+def corpus_rows():
+    r = random.Random(6)
+    return [(r.choice(["en", "de", None]), r.choice(["a", "b", "c", "é", "s5", None]), x) for x in odd_texts() * 4] + [("xx", "only", "lone words"), ("xx", "other", None), ("yy", "q", "one one one one")]
+
+
+def test_divergences_against_a_plain_version(spark, monkeypatch):
+    df = spark.createDataFrame([(*x, 1, "t") for x in corpus_rows()], "lang string, source string, text string, count long, term string").repartition(5)
+    want = plain_divergences(corpus_rows(), top=15)
+    got = op12_divergence.divergences(df, top=15)
+    assert sorted(tuple(x) for x in got.select("lang", "source", "part", "item", "value", "rank").collect()) == want
+    assert op12_divergence.divergences(df.limit(0)).count() == 0
+
+
+def test_stripes_spilled_early_are_the_same():
+    rows, r = corpus_rows(), random.Random(3)
+
+    def folded(most):
+        held, out = op12_divergence.Stripes(), []
+        for i in range(0, len(rows), 7):
+            some = rows[i : i + 7]
+            texts = [(t or "").encode() for _, _, t in some]
+            held.fold(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), [x or "" for x, _, _ in some], [x or "" for _, x, _ in some])
+            if held.terms.n > most:
+                out += list(held.spill(rows=5))
+        return [*out, *held.spill(rows=5)]
+
+    def merged(batches, cut):
+        table = op12_divergence.pa.Table.from_batches(batches).sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks()
+        found = [x for b in op12_divergence._merged(table.to_batches(max_chunksize=cut)) for x in b.to_pylist()]
+        return [(x["lang"], x["term"], x["df"], sorted(zip(x["sources"], x["counts"], strict=True))) for x in found]
+
+    want = merged(folded(10**9), 1000)
+    assert len({x[:2] for x in want}) == len(want)
+    for most, cut in ((0, 1), (40, 3), (40, 1000)):
+        assert merged(folded(most), cut) == want
+
+
+def test_large_counts_stay_exact():
+    r = random.Random(9)
+    totals = [r.randint(1, 9 * 10**15) for _ in range(300)] + [1, 2, 10**15]
+    counts = [r.randint(0, t) - (r.random() < 0.5) for t in totals]
+    counts = [max(0, min(c, t - 1)) for c, t in zip(counts, totals, strict=True)]
+    got = op12_divergence.probability(np.array(counts), np.array(totals)).tolist()
+    assert got == [1 + 10**9 * (c + 1) // t for c, t in zip(counts, totals, strict=True)]
