@@ -272,8 +272,8 @@ def release_verbatim(assets: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def deny_verdicts(paths: DataFrame, user_globs: list[str] = (), col: str = "path") -> DataFrame:
-    """(path, denied, reason, pattern): the user's globs first, then the reasons in their order."""
-    reason = pattern = F.lit(None).cast("string")
+    """(path, denied, reason, pattern): the user's globs first, then the reasons in their order. A null path is denied as unknown_path."""
+    reason, pattern = F.when(F.col(col).isNull(), "unknown_path"), F.lit(None).cast("string")
     for name, globs in reversed((("user_never_send", tuple(user_globs)), *DENIED)):
         for g in reversed(globs):
             hit = F.col(col).rlike(glob_regex(g))
@@ -296,27 +296,34 @@ def seal_payloads(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     return sealed.select(key, "payload", F.sha2("payload", 256).alias("sha256"), F.octet_length("payload").cast("long").alias("bytes"))
 
 
-def _gate(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
-    """payloads with found (real hits) and verdict. All files that a payload stands for are checked: path, and those of the array represents if it has one."""
+def gated(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
+    """payloads with found (real hits) and verdict. All files that a payload stands for are checked: path, and those of the array represents if it has one; a payload
+    that names no file is denied like a forbidden one."""
     found = F.filter(detected(F.col("payload")), lambda h: suppression(h.value).isNull())
     globs = [*user_globs, *[g for _, gs in DENIED for g in gs]]
-    denied = F.coalesce(any_glob(F.col("path"), globs), F.lit(False))
+    denied, named = any_glob(F.col("path"), globs), F.col("path").isNotNull()
     if "represents" in payloads.columns:
-        denied = denied | F.coalesce(F.exists("represents", lambda p: any_glob(p, globs)), F.lit(False))
+        denied = F.coalesce(denied, F.lit(False)) | F.coalesce(F.exists("represents", lambda p: p.isNull() | any_glob(p, globs)), F.lit(False))
+        named = named | F.coalesce(F.size("represents") > 0, F.lit(False))
     host = F.lower(F.regexp_extract("url", r"^https://([^/:?#]+)", 1))
-    verdict = F.when(denied, "denied_path").when(F.size(found) > 0, "forbidden_pattern").when(host.isin(*hosts), "pass").otherwise("host_not_pinned")
+    verdict = F.when(~named | F.coalesce(denied, F.lit(True)), "denied_path").when(F.size(found) > 0, "forbidden_pattern").when(host.isin(*hosts), "pass").otherwise("host_not_pinned")
     return payloads.withColumn("found", found).withColumn("verdict", verdict)
 
 
 def gate_payloads(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
     """(payload_id, verdict, n_hits) of payloads (payload_id, path, url, payload): blocked, never cleaned; the first failure wins. A null url isn't pinned."""
-    return _gate(payloads, user_globs, hosts).select("payload_id", "verdict", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_hits"))
+    return gated(payloads, user_globs, hosts).select("payload_id", "verdict", F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_hits"))
+
+
+def quarantined(checked: DataFrame) -> DataFrame:
+    """(payload_id, verdict, rule, pos, line) of the blocked rows of `gated`: the places of the hits, never their values; one row with null places where there's none."""
+    rows = checked.where("verdict <> 'pass'").select("payload_id", "verdict", F.explode_outer("found").alias("h"))
+    return rows.select("payload_id", "verdict", "h.rule", "h.pos", "h.line")
 
 
 def quarantine_payloads(payloads: DataFrame, user_globs: list[str], hosts: list[str]) -> DataFrame:
     """(payload_id, verdict, rule, pos, line): each blocked payload with the places of its hits, never their values; one row with null places where it has none."""
-    blocked = _gate(payloads, user_globs, hosts).where("verdict <> 'pass'")
-    return blocked.select("payload_id", "verdict", F.explode_outer("found").alias("h")).select("payload_id", "verdict", "h.rule", "h.pos", "h.line")
+    return quarantined(gated(payloads, user_globs, hosts))
 
 
 def release_preview(assets: DataFrame, user_globs: list[str]) -> DataFrame:

@@ -25,12 +25,19 @@ def _names(spark, sf):
     return r.mint_pseudonyms(_words(spark, sf), SALT)
 
 
+def bound_to_files(spark, sf, rows):
+    """rows (conv_id, ...) with path and head of a document and url of a page, by their number modulo the tables' sizes."""
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    a = assets(spark, sf).select(F.col("doc_id").alias("d"), "path", F.col("content").alias("head"))
+    p = pages.select(F.col("page_id").alias("p"), "url")
+    numbered = rows.withColumns({"d": F.col("conv_id") % docs.count(), "p": F.col("conv_id") % pages.count()})
+    return numbered.join(a, "d", "left").join(p, "p", "left")
+
+
 def _payloads(spark, sf):
     sealed = r.seal_payloads(table(spark, sf, "conversations"))
-    a = assets(spark, sf).select(F.col("doc_id").alias("conv_id"), "path", F.col("content").alias("head"))
-    pages = table(spark, sf, "pages").select(F.col("page_id").alias("conv_id"), "url")
     text = F.concat_ws("\n", "payload", "head").alias("payload")
-    return sealed.join(a, "conv_id").join(pages, "conv_id").select(F.col("conv_id").alias("payload_id"), "path", "url", text)
+    return bound_to_files(spark, sf, sealed).select(F.col("conv_id").alias("payload_id"), "path", "url", text)
 
 
 def _joined(spark, sf):
@@ -130,11 +137,11 @@ SQL = {
     "r10_rehydrate": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, true AS same, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (path)",
     "r11_residual_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT count(DISTINCT t) AS n FROM (SELECT {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w WHERE length(real) > 9)",
     "r12_deny_verdicts": f"WITH {ASSETS} SELECT path, {_DENY.format(c='path')} AS reason, {_PATTERN} AS pattern, reason IS NOT NULL AS denied FROM a",
-    "r13_gate_payloads": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id),
+    "r13_gate_payloads": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s LEFT JOIN a ON conv_id % (SELECT count(*) FROM documents) = doc_id LEFT JOIN pages ON conv_id % (SELECT count(*) FROM pages) = page_id),
       h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, count(*) AS n_hits FROM h WHERE NOT ({SUPPRESSED_SQL}) GROUP BY 1)
       SELECT payload_id, CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN n_hits > 0 THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'pass' END AS verdict,
       coalesce(n_hits, 0) AS n_hits FROM q LEFT JOIN k USING (payload_id)""",
-    "r13_quarantine": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id),
+    "r13_quarantine": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s LEFT JOIN a ON conv_id % (SELECT count(*) FROM documents) = doc_id LEFT JOIN pages ON conv_id % (SELECT count(*) FROM pages) = page_id),
       h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, rule, pos, line FROM h WHERE NOT ({SUPPRESSED_SQL})),
       v AS (SELECT payload_id, rule, pos, line, CASE WHEN {_DENY.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN rule IS NOT NULL THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({_HOSTS}) THEN 'host_not_pinned' ELSE 'pass' END AS verdict FROM q LEFT JOIN k USING (payload_id))
       SELECT payload_id, verdict, rule, pos, line FROM v WHERE verdict <> 'pass'""",

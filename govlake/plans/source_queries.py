@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from govlake.functions.folders import work_folder
 from govlake.operators import detect as d
-from govlake.plans.ledger_queries import CAP
-from govlake.plans.redact_queries import GLOBS, HOSTS
-from govlake.plans.redact_queries import SQL as REDACT_SQL
+from govlake.plans.ledger_queries import CAPS, RUN_PHASES
+from govlake.plans.ledger_queries import SQL as LEDGER_SQL
+from govlake.plans.redact_queries import GLOBS, HOSTS, bound_to_files
+from govlake.plans.redact_queries import _DENY as DENY_SQL
+from govlake.plans.redact_queries import _HOSTS as HOSTS_SQL
 from govlake.plans.tables import ASSETS, SUPPRESSED_SQL, assets, hits_sql, table
 from govlake.sources import files as f
 from govlake.streaming import jobs as t
@@ -42,15 +44,27 @@ def _changed(s, sf):
 
 
 def _payload_stream(s, sf):
-    a = assets(s, sf).select(F.col("doc_id").alias("conv_id"), "path", F.col("content").alias("head"))
-    pages = table(s, sf, "pages").select(F.col("page_id").alias("conv_id"), "url")
-    turns = _stream(s, sf, "conversations").join(a, "conv_id").join(pages, "conv_id")
     text = F.concat(F.lit("["), F.col("role"), F.lit("]\n"), F.col("text"), F.lit("\n"), F.col("head"))
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), "path", "url", text.alias("payload"))
+    return bound_to_files(s, sf, _stream(s, sf, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), "path", "url", text.alias("payload"))
+
+
+def _gate_table(s, sf, name):
+    folder = work_folder(s, "gate")
+    t.gate_to_tables(_payload_stream(s, sf), folder, GLOBS, HOSTS).awaitTermination()
+    return t.gate_table(s, folder, name)
 
 
 def _call_stream(s, sf):
-    return _stream(s, sf, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("run_id"), (F.col("user_id") % 3).alias("seat"), "ts", F.col("value").alias("cost"), (F.col("event_type") == "view").alias("cached"))
+    return _stream(s, sf, "events").select(F.col("event_id").alias("call_id"), F.col("user_id").alias("run_id"), (F.col("user_id") % 3).alias("seat"), F.col("event_type").alias("phase"), "ts", F.col("value").alias("cost"), (F.col("event_type") == "view").alias("cached"))
+
+
+def _egress(s, sf):
+    return _stream(s, sf, "events").select("ts", F.col("event_type").alias("destination"), F.length("props").alias("bytes"))
+
+
+def _times(df):
+    """df with its times as strings."""
+    return df.withColumns({f.name: F.col(f.name).cast("string") for f in df.schema if f.dataType.simpleString() == "timestamp"})
 
 
 def _manifests(s, sf):
@@ -71,15 +85,22 @@ QUERIES = {
     "s7_export_manifest": lambda s, sf: f.export_manifest(assets(s, sf)),
     "s8_export_findings": lambda s, sf: f.export_findings(d.scan_pii(assets(s, sf)).unionByName(d.scan_secrets(assets(s, sf)))),
     "t1_stream_gate": lambda s, sf: t.drained(t.stream_gate(_payload_stream(s, sf), GLOBS, HOSTS)),
-    "t2_stream_budget": lambda s, sf: t.drained(t.stream_budget(_call_stream(s, sf), CAP)),
-    "t3_stream_changes": lambda s, sf: t.drained(t.stream_changes(_stream(s, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text")))),
+    "t1_passed": lambda s, sf: _gate_table(s, sf, "passed").select("payload_id", "url", F.sha2("payload", 256).alias("sha256")),
+    "t1_quarantine": lambda s, sf: _gate_table(s, sf, "quarantine"),
+    "t1_ledger": lambda s, sf: _gate_table(s, sf, "ledger"),
+    "t2_stream_budget": lambda s, sf: t.finished(_call_stream(s, sf), lambda x: t.stream_budget(x, CAPS, "stop", RUN_PHASES)).select("call_id", "spent_before", "refused", "warned", "ends"),
+    "t3_stream_changes": lambda s, sf: t.finished(_stream(s, sf, "events").select("ts", F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text")), t.stream_changes),
     "t4_run_progress": lambda s, sf: t.run_progress(table(s, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("phase"), F.when(F.col("value") > 40, "done").otherwise("begun").alias("event")), PHASES),
-    "t5_egress_windows": lambda s, sf: t.drained(t.egress_windows(_stream(s, sf, "events").select("ts", F.col("event_type").alias("destination"), F.length("props").alias("bytes"))), "complete").withColumn("window_start", F.col("window_start").cast("string")),
-    "t6_first_sightings": lambda s, sf: t.drained(t.first_sightings(_stream(s, sf, "events"), ["user_id", "event_type"])),
+    "t5_egress_windows": lambda s, sf: _times(t.finished(_egress(s, sf), t.egress_windows)),
+    "t5_sliding_windows": lambda s, sf: _times(t.finished(_egress(s, sf), lambda x: t.egress_windows(x, "2 hours", slide="30 minutes"))),
+    "t5_egress_sessions": lambda s, sf: _times(t.finished(_egress(s, sf), lambda x: t.egress_sessions(x, "20 minutes"))),
+    "t6_first_sightings": lambda s, sf: t.drained(t.first_sightings(_stream(s, sf, "events"), ["user_id", "event_type"], "31 days")),
 }
 
 _H = f"WITH {ASSETS}, h AS ({hits_sql()}), k AS (SELECT * FROM h WHERE NOT ({SUPPRESSED_SQL}))"
-_GATE = REDACT_SQL["r13_gate_payloads"]
+_PAYLOADS = f"{ASSETS}, q AS (SELECT conv_id * 1000 + turn AS payload_id, path, url, '[' || role || ']' || chr(10) || text || chr(10) || content AS payload FROM conversations LEFT JOIN a ON conv_id % (SELECT count(*) FROM documents) = doc_id LEFT JOIN pages ON conv_id % (SELECT count(*) FROM pages) = page_id)"
+_GATED = f"h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, rule, pos, line FROM h WHERE NOT ({SUPPRESSED_SQL})), n AS (SELECT payload_id, count(*) AS n_hits FROM k GROUP BY 1)"
+_VERDICT = f"CASE WHEN {DENY_SQL.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN n_hits > 0 THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({HOSTS_SQL}) THEN 'host_not_pinned' ELSE 'pass' END"
 SQL = {
     "s9_component_inventory": """WITH p AS (SELECT 'p' || p_partkey || '/' || ['package.json', 'requirements.txt', 'pyproject.toml', 'go.mod'][p_partkey % 4 + 1] AS path, p_partkey % 4 AS k, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS n, '1.' || p_size || '.0' AS version FROM part),
       c AS (SELECT path, ['npm', 'pypi', 'pypi', 'go'][k + 1] AS ecosystem, CASE WHEN k = 3 THEN 'x.org/' ELSE '' END || n AS name, version FROM p UNION ALL SELECT path, 'npm', 'jest', '*' FROM p WHERE k = 0 UNION ALL SELECT path, 'pypi', 'requests', '*' FROM p WHERE k = 1)
@@ -91,13 +112,18 @@ SQL = {
     "s8_export_findings": f"""{_H}, x AS (SELECT 'evidence/' || rule AS rule_id, CASE WHEN kind = 'secret' OR severity = 'critical' THEN 'error' ELSE 'warning' END AS level, path AS uri, line, left(sha256(path || ':' || rule || ':' || pos), 12) AS snippet_hash FROM k
       WHERE rule <> 'phone_e164' OR path IN (SELECT path FROM a WHERE regexp_matches(lower(content), '\\bphone|tel|mobile|msisdn')))
       SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY uri, line, snippet_hash) = 1 AS first FROM x""",
-    "t1_stream_gate": _GATE[: _GATE.index("q AS (")].replace(", s AS (SELECT conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS payload FROM conversations GROUP BY conv_id)", "")
-    + "q AS (SELECT conv_id * 1000 + turn AS payload_id, path, url, '[' || role || ']' || chr(10) || text || chr(10) || content AS payload FROM conversations JOIN a ON conv_id = doc_id JOIN pages ON conv_id = page_id)"
-    + _GATE[_GATE.index(",\n      h AS (") :],
-    "t2_stream_budget": f"""WITH b AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'view' THEN 0 ELSE value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events)
-      SELECT event_id AS call_id, max(CASE WHEN event_type <> 'view' AND spent + value > {CAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 AND event_type <> 'view' AS refused FROM b""",
+    "t1_stream_gate": f"""WITH {_PAYLOADS}, {_GATED}
+      SELECT payload_id, {_VERDICT} AS verdict, coalesce(n_hits, 0) AS n_hits FROM q LEFT JOIN n USING (payload_id)""",
+    "t1_passed": f"WITH {_PAYLOADS}, {_GATED} SELECT payload_id, url, sha256(payload) AS sha256 FROM q LEFT JOIN n USING (payload_id) WHERE {_VERDICT} = 'pass'",
+    "t1_quarantine": f"WITH {_PAYLOADS}, {_GATED} SELECT payload_id, {_VERDICT} AS verdict, rule, pos, line FROM q LEFT JOIN n USING (payload_id) LEFT JOIN k USING (payload_id) WHERE {_VERDICT} <> 'pass'",
+    "t1_ledger": f"WITH {_PAYLOADS}, {_GATED} SELECT payload_id, lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) AS destination, strlen(payload) AS bytes, sha256(payload) AS sha256, path FROM q LEFT JOIN n USING (payload_id) WHERE {_VERDICT} = 'pass'",
+    "t2_stream_budget": f"SELECT call_id, spent_before, refused, warned, ends FROM ({LEDGER_SQL['l3_enforce_budget']}) WHERE mode = 'stop'",
     "t3_stream_changes": "WITH l AS (SELECT user_id AS id, event_id AS seq, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT id, seq, CASE WHEN p IS NULL THEN 'NEW' ELSE 'CHANGED' END AS status FROM l WHERE p IS NULL OR p <> event_type",
     "t4_run_progress": "WITH s AS (SELECT user_id AS run_id, list_sort(list(DISTINCT event_type)) AS s FROM events WHERE value > 40 GROUP BY 1) SELECT run_id, array_to_string(s, ',') AS done, list_filter(['click', 'view', 'signup', 'purchase', 'error'], lambda x: NOT list_contains(s, x))[1] AS next FROM s",
     "t5_egress_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS destination, count(*) AS calls, sum(length(props)) AS bytes FROM events GROUP BY 1, 2",
+    "t5_sliding_windows": "WITH w AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * unnest(range(4))) AS w FROM events) SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type AS destination, count(*) AS calls, sum(length(props)) AS bytes FROM w GROUP BY 1, 2",
+    "t5_egress_sessions": """WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) >= 1200000000, true) AS cut FROM events), i AS (SELECT *, sum(cut::INT) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g),
+      s AS (SELECT event_type AS destination, min(ts) AS a, max(ts) + INTERVAL 20 MINUTE AS b, count(*) AS calls, sum(length(props)) AS bytes FROM i GROUP BY event_type, n)
+      SELECT rtrim(rtrim(strftime(a, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS session_start, rtrim(rtrim(strftime(b, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS session_end, destination, calls, bytes FROM s""",
     "t6_first_sightings": "SELECT DISTINCT user_id, event_type FROM events",
 }
