@@ -11,10 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from govlake.functions.blocks import Blocks
+
 CHARS_PER_TOKEN = 3.6
 CALL_CHARS = 60000
 #: Fallback prices per million tokens, in and out. Fixed values.
 PRICE_IN, PRICE_OUT = 3.0, 15.0
+#: Spend is summed in exact decimals, so that no order of rows changes a comparison with a cap.
+MONEY = "decimal(28,9)"
 
 
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -44,26 +48,32 @@ def enforce_budget(calls: DataFrame, caps: dict | float, mode: str = "degrade",
 
     caps: highest spend of every seat, or by seat; a seat without one, or with 0 or less, has none. From the first call that would exceed its cap, calls are
     refused in the modes degrade and stop, where ends tells what the first refusal ends in stop mode (run for run_phases, else phase);
-    in the mode warn no call is refused and those beyond the cap are marked. Cached calls cost nothing and are neither refused nor warned of.
+    in the mode warn no call is refused and those beyond the cap are marked. Cached calls cost nothing and are neither refused nor warned of. Sums are exact
+    decimals; a run and seat of any weight is scanned by blocks.
     """
-    seat = W.partitionBy("run_id", "seat").orderBy(order, "call_id")
-    cap = F.lit(None).cast("double")
+    cap = F.lit(None).cast(MONEY)
     for name, most in (caps if isinstance(caps, dict) else {None: caps}).items():
-        own = F.lit(True) if name is None else F.col("seat") == name
-        cap = F.when(own, float(most) if most > 0 else None).otherwise(cap)
-    before = F.coalesce(F.sum(F.when(F.col("cached"), 0.0).otherwise(F.col("cost"))).over(seat.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    breach = F.coalesce(~F.col("cached") & (before + F.col("cost") > cap), F.lit(False))
-    marked = calls.withColumn("spent_before", before).withColumn("breach", breach)
-    n = F.sum(F.col("breach").cast("int")).over(seat.rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = marked.withColumn("nth", n)
+        own = F.lit(True) if name is None else F.col("row.seat") == name
+        cap = F.when(own, F.lit(float(most) if most > 0 else None).cast(MONEY)).otherwise(cap)
+    blocks = Blocks(calls, ["run_id", "seat"], [order, "call_id"])
+    cached, cost = F.coalesce("row.cached", F.lit(False)), F.coalesce(F.col("row.cost").cast(MONEY), F.lit(0).cast(MONEY))
+    rows = blocks.rows.withColumn("spent", F.when(cached, F.lit(0).cast(MONEY)).otherwise(cost))
+    rows = rows.withColumn("own", F.sum("spent").over(blocks.run.rowsBetween(W.unboundedPreceding, -1)))
+    rows = blocks.with_carry(rows, F.sum("spent"), lambda a, b: a + b, "carried")
+    before = F.coalesce("own", F.lit(0)) + F.coalesce("carried", F.lit(0))
+    rows = rows.withColumn("before", before).withColumn("breach", F.coalesce(~cached & (F.col("before") + cost > cap), F.lit(False)))
+    rows = rows.withColumn("n", F.count_if("breach").over(blocks.run.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = blocks.with_carry(rows, F.count_if("breach"), lambda a, b: a + b, "earlier")
+    nth = F.col("n") + F.coalesce("earlier", F.lit(0))
     refused, warned, ends = F.lit(False), F.lit(False), F.lit(None).cast("string")
     if mode == "warn":
         warned = F.col("breach")
     else:
-        refused = (F.col("nth") > 0) & ~F.col("cached")
+        refused = (nth > 0) & ~cached
         if mode == "stop":
-            ends = F.when(F.col("breach") & (F.col("nth") == 1), F.when(F.col("phase").isin(*run_phases), "run").otherwise("phase"))
-    return out.withColumns({"spent_before": F.round("spent_before", 6), "refused": refused, "warned": warned, "ends": ends}).drop("breach", "nth")
+            ends = F.when(F.col("breach") & (nth == 1), F.when(F.col("row.phase").isin(*run_phases), "run").otherwise("phase"))
+    out = {"spent_before": F.round(F.col("before").cast("double"), 6), "refused": refused, "warned": warned, "ends": ends}
+    return rows.select(*[F.col("row")[c].alias(c) for c in calls.columns if c not in out], *[c.alias(k) for k, c in out.items()])
 
 
 def spend_rollup(calls: DataFrame) -> DataFrame:
@@ -76,16 +86,29 @@ def spend_rollup(calls: DataFrame) -> DataFrame:
     return out.select("seat", "phase", "run_id", "level", "calls", "cached", "tokens_in", "tokens_out", "cost", "reported_share")
 
 
+def cache_key(version: Column, input_hash: Column, model: Column, params: Column) -> Column:
+    """Key of a model call: the hash of its prompt's version, its input's hash, its model and its parameters, a map, in the order of their names. A null part counts as empty."""
+    entries = F.array_sort(F.map_entries(F.coalesce(params, F.create_map().cast("map<string,string>"))))
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (version, input_hash, model)], F.to_json(entries)), 256)
+
+
 def cache_lookup(requests: DataFrame, cache: DataFrame, ttl_days: float) -> DataFrame:
-    """(request_id, verdict, age_days): the newest entry of a request's key that isn't newer than it: hit, stale or miss.
+    """(request_id, verdict, age_days): the newest entry of a request's key that isn't newer than it: hit, stale or miss; bypass, without an age, where a boolean column bypass of
+    requests says so or ttl_days is 0 or less.
 
-    Both sides meet in one sorted run per key and the last entry is carried forward, so no request is joined with all entries of its key.
+    Both sides meet in one sorted run per key, cut into blocks, and the last entry is carried forward, so no request is joined with all entries of its key and no
+    key is one task.
     """
-    both = requests.select("key", "ts", F.lit(1).alias("kind"), "request_id").unionByName(cache.select("key", "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("request_id")))
-    last = F.last(F.when(F.col("kind") == 0, F.col("ts")), True).over(W.partitionBy("key").orderBy("ts", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
-    age = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("entry").cast("timestamp"))) / 8.64e10
-    rows = both.withColumn("entry", last).where("kind = 1").withColumn("age_days", F.round(age, 6))
-    verdict = F.when(F.col("age_days").isNull(), "miss").when(F.col("age_days") <= ttl_days, "hit").otherwise("stale")
+    skipped = F.coalesce("bypass", F.lit(False)) if "bypass" in requests.columns else F.lit(False)
+    asked = requests.select("key", "ts", F.lit(1).alias("kind"), "request_id", (skipped | F.lit(ttl_days <= 0)).alias("bypass"))
+    both = asked.unionByName(cache.select("key", "ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("request_id"), F.lit(False).alias("bypass")))
+    blocks, entry = Blocks(both, ["key"], ["ts", "kind"]), F.when(F.col("row.kind") == 0, F.col("row.ts"))
+    rows = blocks.rows.withColumn("entry", F.last(entry, True).over(blocks.run.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = blocks.with_carry(rows, F.max(entry), lambda a, b: b).where("row.kind = 1")
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = F.round((micros(F.col("row.ts")) - micros(F.coalesce("entry", "carry"))) / 8.64e10, 6)
+    rows = rows.select("row.request_id", "row.bypass", F.when(~F.col("row.bypass"), age).alias("age_days"))
+    verdict = F.when(F.col("bypass"), "bypass").when(F.col("age_days").isNull(), "miss").when(F.col("age_days") <= ttl_days, "hit").otherwise("stale")
     return rows.select("request_id", verdict.alias("verdict"), "age_days")
 
 

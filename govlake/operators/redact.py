@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from govlake.functions.blocks import numbered
 from govlake.functions.folders import bounded, checkpointed
 from govlake.functions.rules import DETECTORS, NEEDED, any_glob, detected, glob_regex, host_of, suppression
 
@@ -362,8 +363,9 @@ def pack_batches(assets: DataFrame, max_chars: int = 60000, project: str = "proj
 
 
 def chunk_rows(df: DataFrame, key: str, order: str, n: int = 12) -> DataFrame:
-    """df with chunk: rows of a key in order, n to a chunk."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(key).orderBy(order)) - 1) / n))
+    """df with chunk: rows of a key in order, n to a chunk; a key of any weight is numbered by blocks."""
+    rows = numbered(df, [key], [order], "chunk")
+    return rows.withColumn("chunk", F.floor((F.col("chunk") - 1) / n))
 
 
 def egress_rollup(ledger: DataFrame) -> DataFrame:

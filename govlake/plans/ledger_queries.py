@@ -44,9 +44,18 @@ def _priced(s, sf):
 
 
 def _lookup(s, sf):
-    e = table(s, sf, "events").withColumn("key", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), (F.col("user_id") % 5).cast("string")), 256))
+    e = table(s, sf, "events")
+    params = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("group"), (F.col("user_id") % 5).cast("string"))
+    e = e.withColumn("key", m.cache_key(F.lit("v1"), F.lit("input"), F.lit("model"), params))
     kept = F.col("event_type").isin("purchase", "view")
-    return m.cache_lookup(e.where(~kept).select("key", "ts", F.col("event_id").alias("request_id")), e.where(kept).select("key", "ts"), 0.5)
+    return m.cache_lookup(e.where(~kept).select("key", "ts", F.col("event_id").alias("request_id"), (F.col("event_id") % 10 == 0).alias("bypass")), e.where(kept).select("key", "ts"), 0.5)
+
+
+def _cache_keys(s, sf):
+    """Keys of the events, their parameters in two orders."""
+    user, k, parts = F.col("user_id").cast("string"), F.get_json_object("props", "$.k"), (F.lit("v2"), F.sha2("props", 256), F.col("event_type"))
+    orders = [F.create_map(F.lit("user"), user, F.lit("k"), k), F.create_map(F.lit("k"), k, F.lit("user"), user)]
+    return table(s, sf, "events").select("event_id", *[m.cache_key(*parts, p).alias(f"key{i}") for i, p in enumerate(orders)])
 
 
 def _split(s, sf):
@@ -86,6 +95,7 @@ QUERIES = {
     "l3_enforce_budget": _budgets,
     "l4_spend_rollup": lambda s, sf: m.spend_rollup(_calls(s, sf)),
     "l5_cache_lookup": _lookup,
+    "l5_cache_keys": _cache_keys,
     "l6_cache_stats": lambda s, sf: m.cache_stats(table(s, sf, "events"), "props", "ts", F.lit("2024-02-01 00:00:00").cast("timestamp")),
     "l7_parse_responses": _responses,
     "c1_plan_queries": lambda s, sf: c.plan_queries(_profiles(s, sf), _packs(s, sf), rows(s, FACETS, "facet string, trigger string")),
@@ -127,7 +137,8 @@ SQL = {
       sum(length(props)) AS tokens_in, sum(event_id % 100) AS tokens_out, round(sum(value), 4) AS cost, round(count(*) FILTER (event_id % 4 = 0) / count(*), 6) AS reported_share FROM events GROUP BY GROUPING SETS ((user_id % 3), (event_type), (user_id), ())""",
     "l5_cache_lookup": """WITH r AS (SELECT * FROM events WHERE event_type NOT IN ('purchase', 'view')), c AS (SELECT * FROM events WHERE event_type IN ('purchase', 'view')),
       j AS (SELECT r.event_id, (epoch_us(r.ts) - max(epoch_us(c.ts))) / 8.64e10 AS age FROM r LEFT JOIN c ON r.user_id = c.user_id AND c.ts <= r.ts GROUP BY r.event_id, r.ts)
-      SELECT event_id AS request_id, CASE WHEN age IS NULL THEN 'miss' WHEN round(age, 6) <= 0.5 THEN 'hit' ELSE 'stale' END AS verdict, round(age, 6) AS age_days FROM j""",
+      SELECT event_id AS request_id, CASE WHEN event_id % 10 = 0 THEN 'bypass' WHEN age IS NULL THEN 'miss' WHEN round(age, 6) <= 0.5 THEN 'hit' ELSE 'stale' END AS verdict, CASE WHEN event_id % 10 > 0 THEN round(age, 6) END AS age_days FROM j""",
+    "l5_cache_keys": """WITH k AS (SELECT event_id, sha256('v2|' || sha256(props) || '|' || event_type || '|[{"key":"k","value":"' || json_extract_string(props, '$.k') || '"},{"key":"user","value":"' || user_id || '"}]') AS k FROM events) SELECT event_id, k AS key0, k AS key1 FROM k""",
     "l6_cache_stats": "SELECT count(*) AS entries, sum(strlen(props)) AS bytes, round(max(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 8.64e10, 6) AS oldest_days FROM events",
     "l7_parse_responses": """WITH p AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)
       SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 1 THEN k || ',' || k ELSE k END AS ks, event_id % 11 = 0 AS quarantined FROM p""",
