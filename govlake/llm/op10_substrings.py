@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from govlake.llm.arrays import U, chunks, mix64, prefix, spans, words
-from govlake.llm.store import small_batches
+from govlake.llm.store import bounded, saved, small_batches
 
 WINDOW = 35
 #: Perfect difference covers (fixed values): each residue modulo the period is a difference of two members.
@@ -161,11 +161,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The kept words are joined by one space. Null, empty and short texts keep what words they have.
     Windows are judged on the input; a window that repeats within one text counts. A row repeated
-    with its id is a repeat like any other; an id must not stand for different texts. A null id stays null, and
-    such rows are told apart by a hash of their text. Other columns aren't read.
+    with its id is a repeat like any other; rows that share an id but not a text are told apart by a hash of both, rows
+    without an id, which stays null, by one of their text. Other columns aren't read.
     """
     own, text = F.col(id_col).cast("long"), F.col(text_col)
     texts = small_batches(docs).select(F.coalesce(own, F.xxhash64(text)).alias("id"), text.alias("text"), own.alias("own"))
+    twice = saved(texts.select("id").groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("twice")), "twice")
+    if not twice.isEmpty():  # a number of their own for each id and text
+        texts = texts.join(bounded(twice), "id", "left").select(F.when(F.col("twice"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("id"), "text", "own")
     anchors = _repeated(texts.select("id", "text").mapInArrow(_anchors(window), _ROWS), tagged=False)
     copy = F.max(F.when(F.col("pos") == WHOLE, F.when(F.col("id") == F.col("least"), 1).otherwise(2)).otherwise(0))
     places = anchors.groupBy("id").agg(copy.alias("copy"), F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"))

@@ -43,6 +43,20 @@ def _keys(lines: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: k.isNotNull()))
 
 
+def _slot(key: Column, slots: Column) -> Column:
+    return F.pmod(F.xxhash64(key), slots).cast("int")
+
+
+def _hashed(rare: DataFrame) -> DataFrame:
+    """(host, drop): the keys of each host as a hash table, an array of about a slot for four keys, so that a look-up costs the same whatever their number."""
+    sized = rare.groupBy("host").agg(F.ceil(F.count("*") / 4).cast("int").alias("slots"))
+    held = rare.join(sized, "host").select("host", _slot(F.col("key"), F.col("slots")).alias("slot"), "key")
+    every = sized.select("host", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    filled = every.join(held, ["host", "slot"], "left").groupBy("host", "slot").agg(F.collect_list("key").alias("keys"))
+    table = F.transform(F.array_sort(F.collect_list(F.struct("slot", "keys"))), lambda x: x["keys"])
+    return filled.groupBy("host").agg(table.alias("drop"))
+
+
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = 1, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(page, text, n_lines, n_dropped): page is the row as it was, text without boilerplate lines.
 
@@ -56,17 +70,17 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", host_col: str =
     pages = docs.select(F.struct(*docs.columns).alias("page"))
     text, host = F.col("page")[text_col], F.coalesce(F.col("page")[host_col], F.lit(""))
     if rare.count() <= broadcast_lines:
-        drops = F.broadcast(rare.groupBy("host").agg(F.collect_list("key").alias("drop")))
-        joined = pages.join(drops, host == drops["host"], "left")
+        joined = pages.join(F.broadcast(_hashed(rare)), host == F.col("host"), "left")
     else:
         salted = rare.select("host", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.xxhash64(text_col).alias("at"), F.col(text_col).alias("text"))
         entries = rows.select("id", "host", "at", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(_keys(lines_of(F.col("text")))).alias("key"))
         hits = entries.join(salted, ["host", "key", "salt"], "left_semi")
-        drops = hits.groupBy("id", "host", "at").agg(F.collect_set("key").alias("drop")).hint("merge")
+        drops = hits.groupBy("id", "host", "at").agg(F.array(F.collect_set("key")).alias("drop")).hint("merge")
         joined = pages.join(drops, F.col("page")[id_col].eqNullSafe(drops["id"]) & (host == drops["host"]) & (F.xxhash64(text) == drops["at"]), "left")
     lines = lines_of(text)
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains("drop", line_key(line)), F.lit(False)))
+    keyed = F.transform(lines, lambda line: F.struct(line.alias("line"), line_key(line).alias("key")))
+    kept = F.transform(F.filter(keyed, lambda x: ~F.coalesce(F.array_contains(F.get(F.col("drop"), _slot(x.key, F.size("drop"))), x.key), F.lit(False))), lambda x: x.line)
     return joined.select(
         "page",
         F.when(F.col("drop").isNull(), text).otherwise(F.when(text.isNotNull(), F.array_join(kept, "\n"))).alias("text"),

@@ -148,10 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(bounded(wanted), "id", "left_semi")
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"])
     sets = saved(sets_of(texts), "sets")
-    parts = spokes.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
-    ends = sets.select(F.col("id").alias("hub"), F.col("shingles").alias("other")).join(parts, "hub").select("hub", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = spokes.where("id <> hub").join(parts, "hub").select("id", "hub", part).join(sets, "id").join(ends, ["hub", "part"])
+    sized = spokes.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    hubs = sized.select(F.col("hub").alias("id"))
+    large = saved(sized.where("parts > 1"), "large")  # at most one for each BLOCK spokes; a spoke meets its hub's number of parts without a shuffle by hub
+    part = F.coalesce(F.pmod(F.xxhash64("id"), "parts"), F.lit(0)).cast("int").alias("part")
+    ends = sets.join(hubs, "id", "left_semi").select(F.col("id").alias("hub"), F.col("shingles").alias("other")).join(bounded(large), "hub", "left")
+    ends = ends.select("hub", "other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    pairs = spokes.where("id <> hub").join(bounded(large), "hub", "left").select("id", "hub", part).join(sets, "id").join(ends, ["hub", "part"])
     both = F.size(F.array_intersect("shingles", "other"))
     stars = pairs.where(_is_link(both, F.size("shingles"), F.size("other"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     if not several.isEmpty():
@@ -162,8 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     counts = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
     apart = counts.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    apart = apart.select("hub", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows_ = placed.join(apart, "hub").join(sets, "id")
+    apart = saved(apart.select("hub", F.col("top.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "apart")
+    rows_ = placed.join(bounded(apart), "hub").join(sets, "id")
     block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
     numbers = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     right = rows_.select("hub", numbers.alias("i"), block.alias("j"), F.lit(False).alias("left"), "component", "shingles")
@@ -182,14 +185,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the smallest id of each component. Of rows that repeat an id the one of the smallest text stays; rows
-    without an id all stay. Columns stay as they are."""
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", all_texts: bool = False) -> DataFrame:
+    """docs without all but the smallest id of each component. Of rows that repeat an id the one of the smallest text stays, or with all_texts one of each of its texts.
+    Rows without an id all stay. Columns stay as they are, whatever their names."""
     gone = saved(near_duplicates(docs, id_col, text_col).where("not kept").select(id_col).distinct(), "gone")
-    nth = F.row_number().over(W.partitionBy(id_col).orderBy(text_col))
-    named = docs.where(F.col(id_col).isNotNull()).join(gone.hint("merge"), id_col, "left_anti")
-    first = named.withColumn("__nth", nth).where("__nth = 1").select(docs.columns)
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    left = docs.join(gone.hint("merge"), id_col, "left_anti").select(docs.columns)
+    again = saved(docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).select(id_col), "again")
+    if again.isEmpty():
+        return left
+    rows = left.join(bounded(again), id_col, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = W.partitionBy(f"row.{id_col}", f"row.{text_col}").orderBy(F.xxhash64("row")) if all_texts else W.partitionBy(f"row.{id_col}").orderBy(f"row.{text_col}")
+    rows = rows.select("row", F.row_number().over(order).alias("nth"))
+    first = rows.where("nth = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return left.join(bounded(again), id_col, "left_anti").select(docs.columns).unionByName(first)
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

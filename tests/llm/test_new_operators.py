@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from govlake.llm import op11_resampling, op12_divergence, op13_transducer
@@ -229,3 +230,76 @@ def test_large_counts_stay_exact():
     counts = [max(0, min(c, t - 1)) for c, t in zip(counts, totals, strict=True)]
     got = op12_divergence.probability(np.array(counts), np.array(totals)).tolist()
     assert got == [1 + 10**9 * (c + 1) // t for c, t in zip(counts, totals, strict=True)]
+
+
+def warc(n, body):
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+    return head + body + b"\r\n\r\n"
+
+
+def test_audit_of_damaged_warc_files(spark, tmp_path):
+    import gzip
+
+    from govlake.llm.op3_warc import audit, read_warc
+
+    good = [warc(i, bytes([255, i]) + b" body \r\n\r\n " * i) for i in range(40)]
+    bad = list(good)
+    bad[3] = bad[3].replace(b"\xff", b"\xfe", 1)  # both would decode to the same character
+    bad[7] = bad[7].replace(b"Content-Length", b"Content-Langth")
+    bad[11] = warc(11, b"x" * 5).replace(b"Content-Length: 5", b"Content-Length: 99999")
+    bad[20] = b""
+    bad[30] = bad[30] * 2
+    bad[39] = bad[39][:-20]
+    for name, parts in (("a", good), ("b", bad)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "one.warc").write_bytes(b"".join(parts))
+        (tmp_path / name / "two.warc.gz").write_bytes(b"".join(map(gzip.compress, good[:6])) + (b"" if name == "a" else b"\x1f\x8bbroken"))
+        (tmp_path / name / "none.warc").write_bytes(b"")
+    a, b = (read_warc(spark, f"file://{tmp_path}/{n}") for n in "ab")
+    assert {r.status for r in a.collect()} == {"whole"} and a.count() == 46
+    assert [(r.file, r.key) for r in b.where("status <> 'whole'").orderBy("file", "seq").collect()] == [("one.warc", 7), ("one.warc", 11), ("one.warc", 39), ("two.warc.gz", None)]
+    assert b"".join(bytes(r.raw) + b"\r\n\r\n" for r in a.where("file = 'one.warc'").orderBy("seq").collect()) == b"".join(good)
+    got = {(r.file, r.key, r.status) for r in audit(a, b).collect()}
+    assert got == {("one.warc", k, "changed") for k in (3, 7, 11, 39)} | {("one.warc", 20, "missing"), ("one.warc", 30, "extra"), ("two.warc.gz", None, "extra")}
+    assert audit(a, a).count() == 0 and audit(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_audit_of_many_files_and_repeated_keys(spark):
+    from govlake.llm.op3_warc import audit
+
+    rows = [(f"f{i % 300}", None if i % 3 == 0 else i % 7, f"r{i}") for i in range(3000)]
+    other = [r for i, r in enumerate(rows) if i != 1500] + [("f9", None, "new")]
+    other[10] = (other[10][0], other[10][1], "changed")
+    a, b = (spark.createDataFrame(x, "file string, key long, record string") for x in (rows, other))
+    got = sorted((r.file, str(r.key), r.status) for r in audit(a, b).collect())
+    assert got == sorted([(rows[1500][0], str(rows[1500][1]), "missing"), ("f9", "None", "extra"), (rows[10][0], str(rows[10][1]), "changed")])
+
+
+def test_one_id_with_two_texts(spark):
+    from govlake.llm import op6_minhash, op10_substrings
+    from tests.llm import brute
+
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, "a b c " + passage), (1, passage + " d"), (1, passage + " d"), (2, "other words " * 5), (2, "x"), (3, None), (3, passage[:150]), (None, "n"), (None, passage)]
+    got = op10_substrings.remove_repeats(frame(spark, docs)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in got) == sorted((str(i), *x) for i, *x in brute.without_repeats(docs))
+    table = frame(spark, [(1, "one two three"), (1, "four five"), (1, "four five"), (2, "one two three"), (5, "six")]).withColumnRenamed("key", "__nth")
+    kept = op6_minhash.drop_near_duplicates(table, all_texts=True)
+    assert sorted((r.doc_id, r.text, r["__nth"]) for r in kept.collect()) == [(1, "four five", "k"), (1, "one two three", "k"), (5, "six", "k")]
+
+
+def test_many_boilerplate_lines_cost_in_proportion(spark):
+    import time
+
+    from govlake.llm.op1_lines import without_boilerplate
+
+    took = []
+    for n in (1500, 6000):
+        page = "\n".join(f"line {i}" for i in range(n))
+        docs = spark.range(60).selectExpr("id doc_id", "'h' source").withColumn("text", F.concat(F.lit(page), F.lit("\nown "), F.col("doc_id").cast("string")))
+        without_boilerplate(docs).count()
+        began = time.time()
+        out = without_boilerplate(docs).select("text", "n_dropped").collect()
+        took.append(time.time() - began)
+        assert {r.n_dropped for r in out} == {n} and {r.text for r in out} == {f"own {i}" for i in range(60)}
+    assert took[1] < 4 * took[0] + 2
