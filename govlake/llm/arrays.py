@@ -8,6 +8,8 @@ than the six ASCII spaces. Hashes of words and of runs of words come from prefix
 
 from __future__ import annotations
 
+import ctypes
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,14 @@ SPACES[[9, 10, 11, 12, 13, 32]] = True
 
 
 _state: dict = {}
+_turn = itertools.count(1)
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system; allocators keep it otherwise, and what a worker kept from each operator added up."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def worker_state(key, make: Callable):
@@ -30,6 +40,7 @@ def worker_state(key, make: Callable):
     if key not in _state:
         _state.clear()
         _state[key] = make()
+        give_back()
     return _state[key]
 
 
@@ -97,6 +108,8 @@ class Words:
 
 def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets into the bytes). A null is an empty text."""
+    if next(_turn) % 8 == 0:
+        give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
