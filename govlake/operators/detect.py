@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,29 +146,72 @@ def outbound_hosts(pages: DataFrame, key: str, text: str, ignore: str) -> DataFr
     return hosts.groupBy(key).agg(F.array_join(F.slice(F.sort_array(F.collect_set("host")), 1, 10), ",").alias("hosts"), F.count("*").alias("n_hosts"))
 
 
-#: (rule, severity, path pattern, pattern that must be found, pattern that must not). Fixed values.
-MISCONFIG = (
-    ("privileged_key_in_client", "critical", r"(^|/)(app|pages|components|client|public|web)/", r"service_role|SERVICE_ROLE|SECRET_KEY", None),
-    ("permissive_cors", "medium", r"", r"Access-Control-Allow-Origin[\"' :=]+\*", None),
-    ("public_bucket", "high", r"", r"public-read|allUsers", None),
-    ("missing_security_headers", "low", r"next\.config|middleware\.(ts|js)|nginx\.conf", None, r"Content-Security-Policy"),
-    ("container_runs_as_root", "medium", r"(^|/)Dockerfile", None, r"(^|\n) *USER +[^r]"),
-    ("debug_enabled", "medium", r"", r"(DEBUG|debug) *[=:] *(True|true|1)", None),
-    ("tls_verification_disabled", "high", r"", r"verify *= *False|rejectUnauthorized *: *false|InsecureSkipVerify *: *true", None),
-)
-
-
-def scan_misconfig(assets: DataFrame, rules=MISCONFIG) -> DataFrame:
-    """(path, rule, severity): rules by path, by what a text holds and by what it lacks; and CI actions without a commit."""
-    cases = []
-    for rule, severity, path, present, absent in rules:
-        ok = F.col("path").rlike(path) if path else F.lit(True)
-        ok = ok & F.col("content").rlike(present) if present else ok
-        ok = ok & ~F.col("content").rlike(absent) if absent else ok
-        cases.append(F.when(ok, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))))
-    refs = F.regexp_extract_all("content", F.lit(r"uses: *[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+@([^ \n]+)"), F.lit(1))
-    loose = F.size(F.filter(refs, lambda r: ~r.rlike("^[0-9a-f]{40}$"))) > 0
-    cases.append(F.when(F.col("path").contains(".github/workflows/") & loose, F.struct(F.lit("unpinned_action").alias("rule"), F.lit("medium").alias("severity"))))
+#: Severity of each rule. Names are fixed values.
+MISCONFIG = {
+    "privileged_key_in_client": "critical",
+    "permissive_cors": "medium",
+    "public_bucket": "high",
+    "unpinned_action": "medium",
+    "missing_security_headers": "low",
+    "container_runs_as_root": "medium",
+    "debug_enabled": "medium",
+    "tls_verification_disabled": "high",
+}
+#: Settings that a rule looks for, as (name, value) in the spellings of the tools that know them.
+SETTINGS = {
+    "permissive_cors": ((r"access-control-allow-origin", r"\*"), (r"(?:allow_?)?origins?", r"\[?\s*[\"']\*[\"']")),
+    "public_bucket": ((r"acl", r"[\"']?public-read(?:-write)?"), (r"(?:public_?access_?block|block_?public_?(?:acls|policy)|restrict_?public_?buckets)", r"false"), (r"[\"']public[\"']", r"true")),
+    "tls_verification_disabled": ((r"(?:ssl_?)?verify", r"(?:False|ssl\.CERT_NONE)"), (r"rejectUnauthorized", r"false"), (r"NODE_TLS_REJECT_UNAUTHORIZED", r"[\"']?0\b"), (r"InsecureSkipVerify", r"true")),
+    "debug_enabled": ((r"\b(?:DEBUG|debug)", r"(?:True|true|1)\b"),),
+}
+#: Prefixes of variables that build tools put into browser code, and what marks a variable as not for browsers.
+PUBLIC_PREFIXES = ("NEXT_PUBLIC", "VITE", "REACT_APP", "EXPO_PUBLIC", "PUBLIC", "GATSBY", "NUXT_PUBLIC")
+PRIVILEGED = ("SERVICE_ROLE", "SECRET", "ADMIN", "PRIVATE")
+#: Folders of code that ships to browsers, and those below them that stay on the server.
+CLIENT_FOLDERS = ("app", "pages", "components", "client", "public", "web")
+SERVER_FOLDERS = ("api", "server", "actions")
+#: Files that set the headers of a web application, and the headers they should set.
+HEADER_FILES = ("next.config", "middleware.ts", "middleware.js", "helmet", "nginx.conf", "vercel.json")
+HEADERS = ("Content-Security-Policy", "Strict-Transport-Security")
+
+
+def setting_pattern(rule: str) -> str:
+    """Finds one of a rule's settings with its value: the name, in quotes or not, then a colon, equal sign or comma among blanks, then the value."""
+    loose = "(?i)" if rule in ("permissive_cors", "public_bucket") else ""
+    return loose + "|".join(rf"{name}[\"']?[\s:=,]*[:=,]\s*[\"']?{value}" if value != r"\*" else rf"{name}[\"'\s:=,]+{value}" for name, value in SETTINGS[rule])
+
+
+def _sets(text: Column, rule: str) -> Column:
+    return text.rlike(setting_pattern(rule))
+
+
+def _in_folder(path: Column, folders: tuple[str, ...]) -> Column:
+    return F.size(F.array_intersect(F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), F.array(*map(F.lit, folders)))) > 0
+
+
+def scan_misconfig(assets: DataFrame) -> DataFrame:
+    """(path, rule, severity): settings by path, by what a text holds and by what it lacks. Null texts hold and lack nothing.
+
+    A privileged key counts where its variable has a prefix for browsers, or where code for browsers names it; a container runs as root unless some USER names another; headers
+    are missing where one of the two is; CI actions are loose unless pinned to a commit; debug settings of tests don't count.
+    """
+    path, text = F.col("path"), F.coalesce("content", F.lit(""))
+    public = text.rlike(rf"\b(?:{'|'.join(PUBLIC_PREFIXES)})_\w*(?:{'|'.join(PRIVILEGED)})")
+    named = text.rlike(r"(?i)service_role|supabase_service|admin[_-]?key") | text.contains("SECRET_KEY")
+    users = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(?:USER|user)[ \t]+([^\s:]+)"), F.lit(1)), F.lower)
+    refs = F.regexp_extract_all(text, F.lit(r"uses:\s*[\w.-]+/[\w./-]+@(\S+)"), F.lit(1))
+    test = path.rlike(r"[.](?:test|spec)[.]")
+    found = {
+        "privileged_key_in_client": public | (_in_folder(path, CLIENT_FOLDERS) & ~_in_folder(path, SERVER_FOLDERS) & named),
+        "permissive_cors": _sets(text, "permissive_cors") | text.rlike(r"(?i)cors\(\s*[{]\s*origin\s*:\s*true"),
+        "public_bucket": _sets(text, "public_bucket") | text.contains("allUsers"),
+        "unpinned_action": path.contains(".github/workflows/") & F.exists(refs, lambda r: ~r.rlike("^[0-9a-f]{40}$")),
+        "missing_security_headers": reduce(lambda a, b: a | b, [path.contains(f) for f in HEADER_FILES]) & reduce(lambda a, b: a | b, [~F.contains(F.lower(text), F.lit(h.lower())) for h in HEADERS]),
+        "container_runs_as_root": F.element_at(F.split(path, "/"), -1).startswith("Dockerfile") & ~F.exists(users, lambda u: ~u.isin("root", "0")),
+        "debug_enabled": _sets(text, "debug_enabled") & ~test,
+        "tls_verification_disabled": _sets(text, "tls_verification_disabled"),
+    }
+    cases = [F.when(found[rule] & F.col("content").isNotNull(), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, severity in MISCONFIG.items()]
     return assets.select("path", F.explode(F.array_compact(F.array(*cases))).alias("m")).select("path", "m.*")
 
 
@@ -193,7 +237,8 @@ def version_parts(version: Column) -> Column:
 def dependency_vulns(components: DataFrame, advisories: DataFrame) -> DataFrame:
     """Components below the fixed version of an advisory (ecosystem, package, fixed, advisory, severity). Versions compare as zero-padded integer arrays; * is skipped."""
     pair = components.where("version <> '*'").join(advisories, ["ecosystem", "package"])
-    pad = lambda c: F.slice(F.concat(version_parts(F.col(c)), F.array_repeat(F.lit(0), 6)), 1, 6)
+    most = F.greatest(F.size(version_parts(F.col("version"))), F.size(version_parts(F.col("fixed"))))
+    pad = lambda c: F.concat(version_parts(F.col(c)), F.array_repeat(F.lit(0), most - F.size(version_parts(F.col(c)))))
     return pair.where(pad("version") < pad("fixed")).select("component", "version", "advisory", "severity")
 
 

@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from govlake.functions.blocks import numbered
 from govlake.functions.folders import bounded, checkpointed
 from govlake.functions.rules import DETECTORS, NEEDED, any_glob, detected, glob_regex, host_of, suppression
+from govlake.functions.sql import register
 
 _SECRETS = "|".join(p for _, kind, _, p in DETECTORS if kind == "secret")
-_EMAIL = next(p for n, _, _, p in DETECTORS if n == "email")
-_PERSONAL = "|".join(p for n, kind, _, p in DETECTORS if kind == "personal" and n not in ("email", "card_number"))
-#: Values of protocols that stay as they are. Fixed values.
-PASSED = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "utf-8", "json", "application/json", "text/html", "true", "false", "null", "asc", "desc", "id", "uuid", "system", "user", "assistant", "tool")
 #: Ports, sizes and durations that stay as they are. Fixed values.
 PLAIN_NUMBERS = (1000, 1024, 3000, 3306, 3600, 5432, 6379, 8000, 8080, 8443, 27017, 65535, 86400, 604800, 2592000)
 #: (reason, globs), first match wins. Fixed values.
@@ -33,64 +31,10 @@ DENIED = (
 )
 
 
-#: Model names and vendors' model names, which stay as they are. Fixed values.
-MODELS = ("gpt", "o1", "o3", "o4", "claude", "gemini", "llama", "mistral", "mixtral", "command", "sonar", "deepseek", "qwen", "grok", "phi", "nova", "titan", "jamba")
-VENDORS = ("openai", "anthropic", "google", "meta-llama", "mistralai", "perplexity", "cohere", "deepseek", "qwen", "x-ai", "amazon", "microsoft")
-#: First words of SQL statements, and what prompts hold. Fixed values.
-STATEMENTS = ("select", "insert into", "update", "delete from", "create table", "create index", "create policy", "create view", "create schema", "create function", "alter table", "drop table", "grant", "revoke")
-PROMPTS = ("you are", "your task", "assistant", "system prompt", "respond with", "do not", "must not", "instructions", "answer the")
-#: Schemes of connection strings, and host names of the own machine. Fixed values.
-STORES = ("postgres", "postgresql", "mysql", "mongodb", "redis", "amqp", "s3", "gs")
-LOOPBACK = ("localhost", "127.0.0.1", "0.0.0.0")
-
-
-def _sized(kind: str, n: Column) -> Column:
-    return F.concat(F.lit(f"<str:{kind}:"), n.cast("string"), F.lit(">"))
-
-
-def literal_classes(value: Column) -> list[tuple[str, Column, Column]]:
-    """(class, whether a value is of it, what stands for it) in the order in which classes are tried."""
-    low, n = F.lower(value), F.length(value)
-    scheme, rest = F.substring_index(low, "://", 1), F.substring_index(low, "://", -1)
-    linked = F.locate("://", low) > 1
-    host = F.regexp_substr(rest, F.lit("^[^/:?#]*"))
-    labels = F.split(low, "[.]")
-    public = F.forall(labels, lambda x: x.rlike("^[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?$")) & (F.size(labels).between(2, 6)) & F.element_at(labels, -1).rlike("^[a-z]{2,18}$")
-    cards = F.filter(F.regexp_extract_all(value, F.lit("[0-9]{13,}"), F.lit(0)), lambda v: F.length(v).between(13, 19) & F.call_function("luhn_check", v))
-    statement = F.regexp_replace(F.trim(low), "[ \t\r\n]+", " ")
-    speaks, opens = F.lit(False), F.lit(False)
-    for x in PROMPTS:
-        speaks = speaks | low.contains(x)
-    for x in STATEMENTS:
-        opens = opens | statement.startswith(x + " ")
-    model = F.lit(False)
-    for x in MODELS:
-        model = model | low.startswith(x)
-    model = (model & low.rlike("^[a-z0-9_.:-]+$")) | (F.substring_index(low, "/", 1).isin(*VENDORS) & low.rlike("^[a-z-]+/[a-z0-9_.:-]+$"))
-    return [
-        ("secret", value.rlike(_SECRETS) & suppression(value).isNull(), F.lit("<dropped:secret>")),
-        ("protocol", value.isin(*PASSED) | (value == "") | model, value),
-        ("email", value.rlike(_EMAIL) & suppression(value).isNull(), F.lit("<str:email>")),
-        ("pii", value.rlike(_PERSONAL) | (F.size(cards) > 0), F.lit("<str:pii>")),
-        ("url:internal", linked & scheme.isin("http", "https") & host.isin(*LOOPBACK), F.lit("<str:url:internal>")),
-        ("url:external", linked & scheme.isin("http", "https"), F.lit("<str:url:external>")),
-        ("connection_string", linked & scheme.isin(*STORES), F.lit("<str:connection_string>")),
-        ("sql", opens, _sized("sql:len", n)),
-        ("prompt", (n > 60) & speaks, _sized("prompt:len", n)),
-        ("path", value.startswith("/") & (n < 80) & ~value.rlike(r"[^A-Za-z0-9_/:.\[\]{}-]"), _sized("path:segments", F.size(F.split(value, "/")) - 1)),
-        ("relpath", value.startswith("./") | value.startswith("../"), F.lit("<str:relpath>")),
-        ("uuid", (n == 36) & F.translate(low, "0123456789abcdef", "0" * 16).eqNullSafe("00000000-0000-0000-0000-000000000000"), F.lit("<str:uuid>")),
-        ("date", F.try_to_timestamp(F.left(value, F.lit(10)), F.lit("yyyy-MM-dd")).isNotNull(), F.lit("<str:date>")),
-        ("domain", public, F.lit("<str:domain>")),
-    ]
-
-
 def placeholder_of(value: Column) -> Column:
-    """The typed placeholder of a literal: that of the first class it belongs to, else its length."""
-    out = _sized("len", F.length(value))
-    for _, belongs, mark in reversed(literal_classes(value)):
-        out = F.when(belongs, mark).otherwise(out)
-    return out
+    """The typed placeholder of a literal: that of the first class it belongs to, else its length. The SQL function of that name, for columns outside of lambdas."""
+    register(SparkSession.active())
+    return F.call_function("placeholder_of", value)
 
 
 def classify_literals(values: DataFrame, col: str) -> DataFrame:
@@ -214,6 +158,67 @@ def rehydrate(released: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("path", F.col("released").alias("content"), "n")
 
 
+_NO_STRINGS = "cast(array() as array<string>)"
+
+
+def _strings(value: Column, kind: DataType) -> Column:
+    """All strings in a value of any type, map keys too, as one array."""
+    none = F.expr(_NO_STRINGS)
+    if isinstance(kind, StringType):
+        out = F.array(value)
+    elif isinstance(kind, StructType):
+        out = F.concat(none, *[_strings(value[f.name], f.dataType) for f in kind.fields])
+    elif isinstance(kind, ArrayType):
+        out = F.flatten(F.transform(value, lambda x: _strings(x, kind.elementType)))
+    elif isinstance(kind, MapType):
+        out = F.concat(_strings(F.map_keys(value), ArrayType(kind.keyType)), _strings(F.map_values(value), ArrayType(kind.valueType)))
+    else:
+        return none
+    return F.coalesce(F.filter(out, lambda x: x.isNotNull()), none)
+
+
+def _rewritten(value: Column, kind: DataType, put: Callable[[Column], Column]) -> Column:
+    """value with put applied to each string in it. Of map keys that become equal the first stays."""
+    if isinstance(kind, StringType):
+        return put(value)
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[_rewritten(value[f.name], f.dataType, put).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _rewritten(x, kind.elementType, put))
+    if isinstance(kind, MapType):
+        values = F.transform_values(value, lambda k, x: _rewritten(x, kind.valueType, put))
+        pairs = F.transform(F.map_entries(values), lambda e: F.struct(_rewritten(e.key, kind.keyType, put).alias("key"), e.value.alias("value")))
+        first = F.filter(pairs, lambda e, i: F.array_position(F.transform(pairs, lambda x: x.key), e.key) == i + 1)
+        return F.map_from_entries(first)
+    return value
+
+
+def rewrite_nested(df: DataFrame, names: DataFrame) -> DataFrame:
+    """df with every whole token of its strings that is a `real` of names as its `pseudonym`: in structs, arrays, map keys and map values of any depth.
+
+    The different tokens of a row are looked up by a shuffle that holds no texts; rows meet what was found by a hash of their strings. Numbers, times and other values stay, nulls too.
+    """
+    names_ = names.select("real", "pseudonym").dropDuplicates(["real"])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(row.alias("row")).withColumn("strings", _strings(F.col("row"), df.schema))
+    rows = rows.select("row", F.sha2(F.to_json("strings"), 256).alias("at"), F.array_distinct(F.flatten(F.transform("strings", lambda t: F.regexp_extract_all(t, F.lit(_TOKEN.pattern), F.lit(0))))).alias("tokens"))
+    found = rows.select("at", F.explode("tokens").alias("real")).distinct().join(names_, "real")
+    known = found.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("real", "pseudonym"))).alias("known"))
+    both = rows.select("row", "at").join(known, "at", "left")
+
+    def put(text: Column) -> Column:
+        tokens, gaps = F.regexp_extract_all(text, F.lit(_TOKEN.pattern), F.lit(0)), F.split(text, _TOKEN.pattern, -1)
+        named = F.transform(tokens, lambda t: F.coalesce(F.element_at("known", t), t))
+        return F.when(F.col("known").isNull(), text).otherwise(F.array_join(F.zip_with(gaps, named, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), ""))
+
+    return both.select(*[_rewritten(F.col("row")[f.name], f.dataType, put).alias(f.name) for f in df.schema.fields])
+
+
+def rehydrate_nested(df: DataFrame, names: DataFrame) -> DataFrame:
+    """df with pseudonyms back as real names, wherever they stand in it: the inverse of rewrite_nested."""
+    return rewrite_nested(df, names.select(F.col("pseudonym").alias("real"), F.col("real").alias("pseudonym")))
+
+
 def residual_pseudonyms(released: DataFrame, names: DataFrame, kinds: list[str]) -> DataFrame:
     """Tokens that look like pseudonyms but aren't in the map."""
     shape = r"(?:" + "|".join(kinds) + r")_[0-9a-z]+"

@@ -29,9 +29,10 @@ def _found(spark, sf):
 
 
 def _misconfig(spark, sf):
-    pages = table(spark, sf, "pages").select(F.concat(F.lit("web/page_"), F.col("page_id").cast("string"), F.lit("/next.config")).alias("path"), F.col("html").alias("content"))
-    rules = (("inline_script", "medium", "^web/", "<script>", None), ("missing_description", "low", r"next\.config", None, "name=.description"), ("tracking", "high", "", r"track\(", None))
-    return d.scan_misconfig(pages, rules)
+    """pages behind one of eight paths and one of thirteen settings."""
+    one = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    path = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("/"), one(MISCONFIG_PATHS, 8))
+    return d.scan_misconfig(table(spark, sf, "pages").select(path.alias("path"), F.concat(one(MISCONFIG_TEXTS, 13), F.lit("\n"), "html").alias("content")))
 
 
 def _with_examples(spark, sf):
@@ -41,6 +42,10 @@ def _with_examples(spark, sf):
     return a.withColumn("content", F.concat("content", more))
 
 
+MISCONFIG_PATHS = ("web/p.tsx", "web/api/p.ts", "Dockerfile", "x/.github/workflows/a.yml", "next.config.js", "cfg.py", "a.test.py", "infra/main.tf")
+MISCONFIG_TEXTS = ("x", "const k = process.env.SERVICE_ROLE_KEY", "NEXT_PUBLIC_ADMIN_TOKEN=1", "res.set('Access-Control-Allow-Origin', '*')", "cors({ origin: true })", "acl = \"public-read\"", "public_access_block = false", "uses: actions/checkout@v4", "USER redis", "USER root", "DEBUG = True", "requests.get(u, verify=False)", "Content-Security-Policy Strict-Transport-Security")
+
+
 QUERIES = {
     "d16_schema_protection": lambda s, sf: d.schema_protection(table(s, sf, "part").select(F.concat(F.lit("db/"), F.col("p_partkey").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("CREATE TABLE t"), F.col("p_partkey").cast("string"), F.lit(" (x int);"), F.when(F.col("p_size") % 3 > 0, "\nALTER TABLE t ENABLE  ROW LEVEL SECURITY;").otherwise(""), F.when(F.col("p_size") % 3 == 2, "\ncreate policy p;").otherwise("")).alias("content"))),
     "d1_scan_secrets": lambda s, sf: d.scan_secrets(assets(s, sf)),
@@ -77,6 +82,19 @@ _MORE = """CASE doc_id % 5 WHEN 0 THEN ' u' || doc_id || '@example.com' WHEN 1 T
 _EXAMPLES = ASSETS.replace("text AS content", f"text || {_MORE} AS content")
 _LEX = sql_values(LEXICON, "category, special, term, ord")
 
+_TEXTS = "[" + ", ".join(quoted(x) for x in MISCONFIG_TEXTS) + "]"
+_FOUND = {
+    "privileged_key_in_client": r"regexp_matches(content, '\b(NEXT_PUBLIC|VITE|REACT_APP|EXPO_PUBLIC|PUBLIC|GATSBY|NUXT_PUBLIC)_\w*(SERVICE_ROLE|SECRET|ADMIN|PRIVATE)') OR (regexp_matches(path, '(^|/)(app|pages|components|client|public|web)/') AND NOT regexp_matches(path, '(^|/)(api|server|actions)/') AND regexp_matches(content, '(?i:service_role|supabase_service|admin[_-]?key)|SECRET_KEY'))",
+    "permissive_cors": f"regexp_matches(content, {quoted(d.setting_pattern('permissive_cors'))}) OR contains(content, 'cors({{ origin: true')",
+    "public_bucket": f"regexp_matches(content, {quoted(d.setting_pattern('public_bucket'))}) OR contains(content, 'allUsers')",
+    "unpinned_action": r"contains(path, '.github/workflows/') AND len(list_filter(regexp_extract_all(content, 'uses:\s*[\w.-]+/[\w./-]+@(\S+)', 1), lambda x: NOT regexp_full_match(x, '[0-9a-f]{40}'))) > 0",
+    "missing_security_headers": r"regexp_matches(path, 'next[.]config|middleware[.](ts|js)|helmet|nginx[.]conf|vercel[.]json') AND NOT (contains(lower(content), 'content-security-policy') AND contains(lower(content), 'strict-transport-security'))",
+    "container_runs_as_root": r"regexp_matches(path, '/Dockerfile') AND len(list_filter(regexp_extract_all(content, '(?m)^[ \t]*(USER|user)[ \t]+([^\s:]+)', 2), lambda x: lower(x) NOT IN ('root', '0'))) = 0",
+    "debug_enabled": f"regexp_matches(content, {quoted(d.setting_pattern('debug_enabled'))}) AND NOT regexp_matches(path, '[.](test|spec)[.]')",
+    "tls_verification_disabled": f"regexp_matches(content, {quoted(d.setting_pattern('tls_verification_disabled'))})",
+}
+_RULES = "list_filter([" + ", ".join(f"CASE WHEN {q} THEN '{n}' END" for n, q in _FOUND.items()) + "], lambda x: x IS NOT NULL)"
+
 SQL = {
     "d1_scan_secrets": f"{H} SELECT path, rule, CASE WHEN severity = 'critical' THEN 'critical' ELSE 'high' END AS severity, line, {_HASH} FROM k WHERE kind = 'secret'",
     "d2_scan_pii": f"{H} SELECT path, rule, CASE WHEN severity = 'critical' THEN 'high' ELSE 'medium' END AS severity, line, {_HASH} FROM k WHERE kind = 'personal' AND {_PHONE}",
@@ -102,9 +120,8 @@ SQL = {
     "d14_outbound_hosts": rf"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html), 'https?://[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')) AS url FROM pages),
       h AS (SELECT DISTINCT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\.', '') AS host FROM u)
       SELECT page_id, array_to_string(list_sort(list(host))[1:10], ',') AS hosts, count(*) AS n_hosts FROM h WHERE NOT regexp_matches(host, {quoted(IGNORED_HOSTS)}) GROUP BY page_id""",
-    "d15_scan_misconfig": r"""WITH p AS (SELECT 'web/page_' || page_id || '/next.config' AS path, html AS content FROM pages)
-      SELECT path, 'inline_script' AS rule, 'medium' AS severity FROM p WHERE regexp_matches(content, '<script>')
-      UNION ALL SELECT path, 'missing_description', 'low' FROM p WHERE NOT regexp_matches(content, 'name=.description') UNION ALL SELECT path, 'tracking', 'high' FROM p WHERE regexp_matches(content, 'track\(')""",
+    "d15_scan_misconfig": f"""WITH p AS (SELECT 'p' || page_id || '/' || {list(MISCONFIG_PATHS)}[page_id % 8 + 1] AS path, {_TEXTS}[page_id % 13 + 1] || chr(10) || html AS content FROM pages)
+      SELECT path, rule, severity FROM (SELECT path, unnest({_RULES}) AS rule FROM p) JOIN (SELECT * FROM {sql_values(list(d.MISCONFIG.items()), 'rule, severity')}) USING (rule)""",
     "d17_injection_lines": f"""WITH {ASSETS}, l AS (SELECT path, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS line FROM (SELECT path, string_split(content, chr(10)) AS l FROM a))
       SELECT path, line, left(trim(t), 200) AS text FROM l WHERE regexp_matches(lower(t), '{INJECTION}')""",
     "d18_dependency_vulns": f"""WITH c AS (SELECT p_partkey AS component, p_brand AS ecosystem, string_split(p_type, ' ')[1] AS package, (p_size // 10) || '.' || (p_size % 10) || '.' || (p_partkey % 7) AS version FROM part)

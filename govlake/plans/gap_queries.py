@@ -176,7 +176,7 @@ _ELEVEN = ", ".join(
         "if_unfixed": "coalesce(length(p[5]), 0) < 20",
         "if_fixed": "coalesce(length(p[6]), 0) < 10",
         "prompt_short": "length(text) < 200",
-        "prompt_dangling": "regexp_matches(lower(text), '\\bthe (?:report|gap above|previous|earlier)\\b')",
+        "prompt_dangling": f"regexp_matches(lower(text), '{g.LEANING}')",
     }.items()
 )
 _MERGED = "d AS (SELECT doc_id AS id, source AS project, sha256(lower(trim(text))) AS key, lang, n_chars FROM documents), m AS (SELECT project, key, min(id) AS first_id, min(CASE WHEN id % 3 = 0 THEN 1 ELSE 3 END) AS rank FROM d GROUP BY 1, 2), o AS (SELECT project, key, 'GAP-' || lpad(CAST(row_number() OVER (PARTITION BY project ORDER BY rank, first_id) AS VARCHAR), 6, '0') AS gap FROM m), i AS (SELECT d.*, gap FROM d JOIN o USING (project, key))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from govlake.functions import sql as q
 from govlake.functions.rules import DETECTORS, glob_regex
 from govlake.operators import redact as r
 from govlake.plans.tables import ASSETS, LUHN, SUPPRESSED_SQL, assets, hits_sql, quoted, table
@@ -51,21 +52,41 @@ def _joined(spark, sf):
 def _round_trip(spark, sf):
     a, names = assets(spark, sf), _names(spark, sf)
     back = r.rehydrate(r.tokenise_terms(a, names), names).join(a.select("path", F.col("content").alias("was")), "path")
-    return back.select("path", (F.col("content") == F.col("was")).alias("same"), "n")
+    return back.select("path", F.sha2("content", 256).alias("sha256"), F.sha2("was", 256).alias("was"), "n")
+
+
+def _nested(spark, sf):
+    """Documents as nested rows, their words of four letters or more replaced in structs, arrays, map keys and map values, and put back."""
+    a = assets(spark, sf)
+    lines = F.split("content", "\n")
+    rows = a.select("doc_id", F.struct(F.col("content").alias("what"), F.struct(lines.alias("refs"), F.length("content").alias("n")).alias("why")).alias("fix"), F.create_map(F.concat(F.lit("f "), F.get(lines, F.lit(0))), F.array(F.struct(F.get(lines, F.lit(1)).alias("v")))).alias("per_file"))
+    names = _names(spark, sf)
+    out = r.rewrite_nested(rows, names)
+    back = r.rehydrate_nested(out, names)
+    told = lambda df: df.select("doc_id", F.sha2("fix.what", 256).alias("what"), F.sha2(F.array_join("fix.why.refs", "\n"), 256).alias("refs"), F.sha2(F.map_keys("per_file")[0], 256).alias("key"), F.sha2(F.coalesce(F.map_values("per_file")[0][0]["v"], F.lit("")), 256).alias("value"), F.col("fix.why.n").alias("n"))
+    return told(out).withColumn("side", F.lit("released")).unionByName(told(back).withColumn("side", F.lit("back")))
+
+
+def _sql_functions(spark, sf):
+    q.register(spark)
+    return spark.sql(f"""SELECT page_id, mask_value(url) AS masked, placeholder_of(url) AS placeholder, severity_rank(element_at(array('critical', 'high', 'medium', 'low', 'info', 'odd'), CAST(page_id % 6 + 1 AS INT))) AS rank,
+      glob_like(concat('src', page_id % 5, '/de/doc_', page_id, '.txt'), element_at(array('src3/**', '**/doc_1?.txt', '*.txt', 'src1/*/doc_*.txt', 'doc_*', 'a.b'), CAST(page_id % 7 % 6 + 1 AS INT))) AS hit FROM parquet.`{sf}/pages.parquet`""")
 
 
 QUERIES = {
     "r1_classify_literals": lambda s, sf: r.classify_literals(table(s, sf, "pages").select(F.col("url").alias("v")).unionAll(table(s, sf, "events").select("props")).unionAll(table(s, sf, "customer").select("c_name")).unionAll(table(s, sf, "documents").select("text")), "v"),
     "r2_bucket_numbers": lambda s, sf: r.bucket_numbers(table(s, sf, "orders").select(F.col("o_totalprice").alias("v")).unionAll(table(s, sf, "lineitem").select("l_extendedprice")), "v"),
-    "r3_mint_pseudonyms": lambda s, sf: r.mint_pseudonyms(_words(s, sf), SALT).agg(F.count("*").alias("n"), F.count_distinct("pseudonym").alias("n_names"), F.count_distinct("real").alias("n_real")),
+    "r3_mint_pseudonyms": lambda s, sf: r.mint_pseudonyms(_words(s, sf), SALT).select("kind", "real", "pseudonym"),
     "r4_pseudonymise_columns": _joined,
     "r5_pseudonymise_paths": lambda s, sf: r.pseudonymise_paths(assets(s, sf), r.path_names(assets(s, sf), SALT)),
-    "r6_tokenise_terms": lambda s, sf: r.tokenise_terms(assets(s, sf), _names(s, sf)).select("path", "n"),
+    "r6_tokenise_terms": lambda s, sf: r.tokenise_terms(assets(s, sf), _names(s, sf)).select("path", "n", F.sha2("released", 256).alias("sha256")),
     "r7_redact_text": lambda s, sf: r.redact_text(assets(s, sf)).select("path", "n_dropped", "n_placeheld", F.sha2("released", 256).alias("sha256")),
     "r8_structural_outline": lambda s, sf: r.outline_edges(table(s, sf, "pages"), "page_id", "html"),
     "r9_release_verbatim": lambda s, sf: r.release_verbatim(assets(s, sf), ALLOWED).groupBy("level").agg(F.count("*").alias("n"), F.sum(F.size(F.split("released", "\n"))).alias("lines"), F.sum(F.conv(F.substring(F.sha2("released", 256), 1, 12), 16, 10).cast("long")).alias("digest")),
+    "r1_sql_functions": _sql_functions,
     "r10_rehydrate": _round_trip,
-    "r11_residual_pseudonyms": lambda s, sf: r.residual_pseudonyms(r.tokenise_terms(assets(s, sf), _names(s, sf)), _names(s, sf).where("length(real) <= 9"), ["term"]).agg(F.count("*").alias("n")),
+    "r10_nested": _nested,
+    "r11_residual_pseudonyms": lambda s, sf: r.residual_pseudonyms(r.tokenise_terms(assets(s, sf), _names(s, sf)), _names(s, sf).where("length(real) <= 9"), ["term"]).select("pseudonym"),
     "r12_deny_verdicts": lambda s, sf: r.deny_verdicts(assets(s, sf), GLOBS),
     "r13_gate_payloads": lambda s, sf: r.gate_payloads(_payloads(s, sf), GLOBS, HOSTS),
     "r13_quarantine": lambda s, sf: r.quarantine_payloads(_payloads(s, sf), GLOBS, HOSTS),
@@ -93,6 +114,11 @@ _RUNS = "unnest(regexp_extract_all(content, '[A-Za-z0-9_$]+'))"
 _N = f"n AS (SELECT path, count(*) AS n FROM (SELECT path, {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w) GROUP BY path)"
 
 
+_NAME = "'term_' || " + _B36.format(salt=SALT, kind="term", v="x")
+#: {c} with its tokens of four letters or more replaced.
+_PUT = f"array_to_string(list_transform(list_zip(string_split_regex({{c}}, '[A-Za-z0-9_$]+'), list_transform(regexp_extract_all({{c}}, '[A-Za-z0-9_$]+'), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z]{{{{4,}}}}') THEN {_NAME} ELSE x END)), lambda z: z[1] || coalesce(z[2], '')), '')"
+
+
 def _redacted() -> str:
     """z: path, content, text redacted rule by rule, and the two counts, from the assets a."""
     steps = ["z0 AS (SELECT path, content, content AS t, 0 AS nd, 0 AS nh FROM a)"]
@@ -110,23 +136,23 @@ SQL = {
     "r1_classify_literals": f"""WITH x AS (SELECT url AS v FROM pages UNION ALL SELECT props FROM events UNION ALL SELECT c_name FROM customer UNION ALL SELECT text FROM documents),
       y AS (SELECT v, lower(v) AS l, trim(regexp_replace(lower(v), '[ \\t\\r\\n]+', ' ', 'g')) AS s, string_split(lower(v), '.') AS d FROM x WHERE v IS NOT NULL),
       c AS (SELECT CASE WHEN regexp_matches(v, {_SECRET}) AND NOT ({_NOT}) THEN '<dropped:secret>'
-      WHEN v IN {r.PASSED} OR v = '' OR regexp_full_match(l, '({"|".join(r.MODELS)})[a-z0-9_.:-]*') OR regexp_full_match(l, '({"|".join(r.VENDORS)})/[a-z0-9_.:-]+') THEN v
+      WHEN v IN {q.PASSED} OR v = '' OR regexp_full_match(l, '({"|".join(q.MODELS)})[a-z0-9_.:-]*') OR regexp_full_match(l, '({"|".join(q.VENDORS)})/[a-z0-9_.:-]+') THEN v
       WHEN regexp_matches(v, {_EMAIL}) AND NOT ({_NOT}) THEN '<str:email>'
       WHEN regexp_matches(v, {_PII}) OR len(list_filter(regexp_extract_all(v, '[0-9]{{13,}}'), lambda x: length(x) BETWEEN 13 AND 19 AND {LUHN.format(v='x')})) > 0 THEN '<str:pii>'
-      WHEN regexp_matches(l, '^https?://(localhost|127[.]0[.]0[.]1|0[.]0[.]0[.]0)([/:?#]|$)') THEN '<str:url:internal>' WHEN regexp_matches(l, '^https?://') THEN '<str:url:external>'
-      WHEN regexp_matches(l, '^({"|".join(r.STORES)})://') THEN '<str:connection_string>' WHEN regexp_matches(s, '^({"|".join(r.STATEMENTS)}) ') THEN '<str:sql:len:' || length(v) || '>'
-      WHEN length(v) > 60 AND regexp_matches(l, '{"|".join(r.PROMPTS)}') THEN '<str:prompt:len:' || length(v) || '>'
+      WHEN regexp_matches(l, '^https?://(localhost|127[.]0[.]0[.]1|0[.]0[.]0[.]0|\\[::1\\]|host[.]docker[.]internal)([/:?#]|$)') THEN '<str:url:internal>' WHEN regexp_matches(l, '^https?://') THEN '<str:url:external>'
+      WHEN regexp_matches(l, '^({"|".join(q.STORES).replace("+", "[+]")})://') THEN '<str:connection_string>' WHEN regexp_matches(s, '^({"|".join(q.STATEMENTS)}) ') THEN '<str:sql:len:' || length(v) || '>'
+      WHEN length(v) > 60 AND regexp_matches(l, '{"|".join(q.PROMPTS)}') THEN '<str:prompt:len:' || length(v) || '>'
       WHEN length(v) < 80 AND regexp_full_match(v, '/[A-Za-z0-9_/:.\\[\\]{{}}-]*') THEN '<str:path:segments:' || (len(string_split(v, '/')) - 1) || '>' WHEN starts_with(v, './') OR starts_with(v, '../') THEN '<str:relpath>'
       WHEN regexp_full_match(l, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') THEN '<str:uuid>' WHEN try_cast(left(v, 10) AS DATE) IS NOT NULL AND regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN '<str:date>'
       WHEN len(d) BETWEEN 2 AND 6 AND regexp_full_match(d[-1], '[a-z]{{2,18}}') AND len(list_filter(d, lambda x: NOT regexp_full_match(x, '[a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?'))) = 0 THEN '<str:domain>' ELSE '<str:len:' || length(v) || '>' END AS placeholder FROM y)
       SELECT placeholder, placeholder = '<dropped:secret>' AS dropped, count(*) AS n FROM c GROUP BY 1, 2""",
     "r2_bucket_numbers": f"""WITH x AS (SELECT o_totalprice AS v FROM orders UNION ALL SELECT l_extendedprice FROM lineitem), d AS (SELECT v, length(CAST(CAST(trunc(abs(v)) AS BIGINT) AS VARCHAR)) AS k FROM x)
       SELECT CASE WHEN abs(v) >= 1000 AND abs(v) NOT IN {r.PLAIN_NUMBERS} THEN '<num:' || rpad('1', CAST(k AS INT), '0') || '..' || rpad('1', CAST(k AS INT), '0') || '0>' END AS bucket, count(*) AS n FROM d GROUP BY 1""",
-    "r3_mint_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT count(*) AS n, count(*) AS n_names, count(*) AS n_real FROM w",
+    "r3_mint_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT 'term' AS kind, real, {_NAME.replace("|| x ||", "|| real ||")} AS pseudonym FROM w",
     "r4_pseudonymise_columns": "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey",
     "r5_pseudonymise_paths": rf"""WITH {ASSETS}, s AS (SELECT path, string_split(path, '/') AS p FROM a)
       SELECT path, array_to_string(list_concat(list_transform(p[1:len(p) - 1], lambda x: {_MOD}), [{_SVC} || regexp_extract(list_last(p), '(\.[^.]*)$', 1)]), '/') AS released FROM s""",
-    "r6_tokenise_terms": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (path)",
+    "r6_tokenise_terms": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, coalesce(n, 0) AS n, sha256({_PUT.format(c='content')}) AS sha256 FROM a LEFT JOIN n USING (path)",
     "r7_redact_text": f"WITH {ASSETS}, {_redacted()} SELECT path, nd AS n_dropped, nh AS n_placeheld, sha256(t) AS sha256 FROM z",
     "r8_structural_outline": """WITH e AS (SELECT page_id, list_concat(list_transform(list_distinct(regexp_extract_all(html, '<([a-z0-9]+)', 1)), lambda t: 'tag ' || t), list_transform(list_distinct(regexp_extract_all(html, 'href="([^"]+)"', 1)), lambda t: 'link ' || t)) AS l FROM pages),
       u AS (SELECT page_id, split_part(e, ' ', 1) AS edge, substr(e, instr(e, ' ') + 1) AS target FROM (SELECT page_id, unnest(l) AS e FROM e))
@@ -134,8 +160,12 @@ SQL = {
     "r9_release_verbatim": f"""WITH {ASSETS}, {_redacted()}, v AS (SELECT *, regexp_matches(path, {quoted('|'.join(glob_regex(g) for g in ALLOWED))}) AS o FROM z),
       w AS (SELECT CASE WHEN o THEN 2 ELSE 1 END AS level, CASE WHEN o THEN array_to_string(list_transform(string_split(content, chr(10)), lambda x: CASE WHEN regexp_matches(x, {_SECRET}) THEN '<line removed>' ELSE x END), chr(10)) ELSE t END AS r FROM v)
       SELECT level, count(*) AS n, sum(len(string_split(r, chr(10)))) AS lines, sum(CAST('0x' || left(sha256(r), 12) AS BIGINT)) AS digest FROM w GROUP BY 1""",
-    "r10_rehydrate": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, true AS same, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (path)",
-    "r11_residual_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT count(DISTINCT t) AS n FROM (SELECT {_RUNS} AS t FROM a) WHERE t IN (SELECT real FROM w WHERE length(real) > 9)",
+    "r10_rehydrate": f"WITH {ASSETS}, {_WORDS}, {_N} SELECT path, sha256(content) AS sha256, sha256(content) AS was, coalesce(n, 0) AS n FROM a LEFT JOIN n USING (path)",
+    "r10_nested": f"""WITH {ASSETS}, l AS (SELECT doc_id, content, string_split(content, chr(10)) AS l FROM a), b AS (SELECT doc_id, content AS w, 'f ' || l[1] AS k, coalesce(l[2], '') AS v, length(content) AS n FROM l)
+      SELECT doc_id, sha256({_PUT.format(c='w')}) AS what, sha256({_PUT.format(c='w')}) AS refs, sha256({_PUT.format(c='k')}) AS key, sha256({_PUT.format(c='v')}) AS value, n, 'released' AS side FROM b UNION ALL SELECT doc_id, sha256(w), sha256(w), sha256(k), sha256(v), n, 'back' FROM b""",
+    "r1_sql_functions": """SELECT page_id, left(url, 4) || '…' AS masked, CASE WHEN regexp_matches(url, '^https?://') THEN '<str:url:external>' END AS placeholder, CASE WHEN page_id % 6 = 5 THEN 99 ELSE page_id % 6 END::INT AS rank,
+      CASE page_id % 7 % 6 WHEN 0 THEN page_id % 5 = 3 WHEN 1 THEN regexp_full_match(CAST(page_id AS VARCHAR), '1.') WHEN 2 THEN true WHEN 3 THEN page_id % 5 = 1 WHEN 4 THEN true ELSE false END AS hit FROM pages""",
+    "r11_residual_pseudonyms": f"WITH {ASSETS}, {_WORDS} SELECT DISTINCT {_NAME} AS pseudonym FROM (SELECT {_RUNS} AS x FROM a) WHERE x IN (SELECT real FROM w WHERE length(real) > 9)",
     "r12_deny_verdicts": f"WITH {ASSETS} SELECT path, {_DENY.format(c='path')} AS reason, {_PATTERN} AS pattern, reason IS NOT NULL AS denied FROM a",
     "r13_gate_payloads": f"""WITH {ASSETS}, {_SEALED}, q AS (SELECT conv_id AS payload_id, path, url, concat_ws(chr(10), payload, content) AS payload FROM s LEFT JOIN a ON conv_id % (SELECT count(*) FROM documents) = doc_id LEFT JOIN pages ON conv_id % (SELECT count(*) FROM pages) = page_id),
       h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, count(*) AS n_hits FROM h WHERE NOT ({SUPPRESSED_SQL}) GROUP BY 1)

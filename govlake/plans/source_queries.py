@@ -23,6 +23,36 @@ def _stream(s, sf, name):
     return s.readStream.schema(table(s, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
+def _file_tree(s, sf):
+    """documents as files, one each, in a source, a vendored and a build folder, some with a NUL, scanned up to 4 KB."""
+    root, docs = work_folder(s, "tree"), table(s, sf, "documents")
+    text = F.concat("text", F.when(F.col("doc_id") % 12 == 2, F.lit("\0")).otherwise(F.lit("")))
+    for k, folder in enumerate(("src", "node_modules/p", "lib/deep", "dist")):
+        docs.where(F.col("doc_id") % 4 == k).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/{folder}")
+    return f.scan_files(s, root, max_kb=4).select(F.split("path", "/")[0].alias("folder"), "ext", "size", F.sha2("content", 256).alias("sha256"))
+
+
+def _scanning(s, sf):
+    """Orders as gaps, errors as adversary findings and the hits in documents, by run."""
+    gaps = table(s, sf, "orders").select((F.col("o_orderkey") % 3).cast("string").alias("run_id"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 5 > 0, F.concat(F.lit("ob-"), (F.col("o_custkey") % 40).cast("string"))).alias("obligation"), F.when(F.col("o_orderstatus") == "F", "critical").when(F.col("o_orderstatus") == "O", "medium").otherwise("info").alias("severity"), F.when(F.col("o_orderkey") % 7 > 0, F.concat(F.lit("src/f"), (F.col("o_custkey") % 9).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(".ts:"), (F.col("o_orderkey") % 90 + 1).cast("string"))).otherwise(".ts"))).alias("anchor"), F.col("o_orderstatus").alias("fix"))
+    adversary = table(s, sf, "events").where("event_type = 'error'").select((F.col("user_id") % 3).cast("string").alias("run_id"), F.col("event_id").alias("id"), F.col("props").alias("title"), F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("category"), F.lit("high").alias("severity"), F.when(F.col("event_id") % 2 == 0, "unconfirmed").otherwise("confirmed").alias("status"), F.concat(F.lit("api/u"), F.col("user_id").cast("string"), F.lit(".py:7-9")).alias("location"))
+    found = d.scan_secrets(assets(s, sf)).select(F.lit("0").alias("run_id"), "rule", F.lit("secret").alias("kind"), "severity", "path", "line", "snippet_hash")
+    folder = work_folder(s, "scanning")
+    f.write_code_scanning(f.code_scanning(gaps, adversary, found), folder)
+    return f.read_code_scanning(s, folder)
+
+
+def _results(s, sf):
+    r = _scanning(s, sf).where("result is not null").select("run_id", "result.*")
+    props = F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat_ws("=", e.key, e.value))), ",")
+    place = F.col("locations")[0]["physical"]
+    return r.select("run_id", F.col("ruleId").alias("rule_id"), "level", place["artifact"].alias("uri"), place["region"]["start"].alias("line"), F.col("fingerprints.id").alias("fingerprint"), F.col("message.text").alias("message"), props.alias("properties"))
+
+
+def _rules(s, sf):
+    return _scanning(s, sf).where("rule is not null").select("run_id", "rule.*")
+
+
 def _ledger(s, sf):
     path = work_folder(s, "ledger")
     rows = table(s, sf, "events").select("event_id", "user_id", "event_type", "value")
@@ -78,6 +108,9 @@ def _manifests(s, sf):
 
 
 QUERIES = {
+    "s1_scan_files": _file_tree,
+    "s8_results": _results,
+    "s8_rules": _rules,
     "s9_component_inventory": lambda s, sf: f.component_inventory(_manifests(s, sf)),
     "s2_ledger": _ledger,
     "s3_latest_run": _latest,
@@ -101,7 +134,18 @@ _H = f"WITH {ASSETS}, h AS ({hits_sql()}), k AS (SELECT * FROM h WHERE NOT ({SUP
 _PAYLOADS = f"{ASSETS}, q AS (SELECT conv_id * 1000 + turn AS payload_id, path, url, '[' || role || ']' || chr(10) || text || chr(10) || content AS payload FROM conversations LEFT JOIN a ON conv_id % (SELECT count(*) FROM documents) = doc_id LEFT JOIN pages ON conv_id % (SELECT count(*) FROM pages) = page_id)"
 _GATED = f"h AS ({hits_sql('q', 'payload_id', 'payload')}), k AS (SELECT payload_id, rule, pos, line FROM h WHERE NOT ({SUPPRESSED_SQL})), n AS (SELECT payload_id, count(*) AS n_hits FROM k GROUP BY 1)"
 _VERDICT = f"CASE WHEN {DENY_SQL.format(c='path')} IS NOT NULL THEN 'denied_path' WHEN n_hits > 0 THEN 'forbidden_pattern' WHEN lower(regexp_extract(url, '^https://([^/:?#]+)', 1)) NOT IN ({HOSTS_SQL}) THEN 'host_not_pinned' ELSE 'pass' END"
+_SCAN = f"""WITH {ASSETS}, h AS ({hits_sql()}), k AS (SELECT * FROM h WHERE kind = 'secret' AND NOT ({SUPPRESSED_SQL})),
+      g AS (SELECT CAST(o_orderkey % 3 AS VARCHAR) AS run_id, 'gap/' || CASE WHEN o_orderkey % 5 > 0 THEN 'ob-' || o_custkey % 40 ELSE CAST(o_orderkey AS VARCHAR) END AS rule_id, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE 'note' END AS level,
+        CASE WHEN o_orderkey % 7 > 0 THEN 'src/f' || o_custkey % 9 || '.ts' ELSE '.' END AS uri, CASE WHEN o_orderkey % 7 > 0 AND o_orderkey % 2 = 0 THEN o_orderkey % 90 + 1 ELSE 1 END AS line, CAST(o_orderkey AS VARCHAR) AS fingerprint, o_orderpriority || chr(10) || chr(10) || o_orderstatus AS message,
+        concat_ws(',', CASE WHEN o_orderkey % 5 > 0 THEN 'obligation=ob-' || o_custkey % 40 END, 'severity=' || CASE o_orderstatus WHEN 'F' THEN 'critical' WHEN 'O' THEN 'medium' ELSE 'info' END) AS properties FROM orders),
+      v AS (SELECT CAST(user_id % 3 AS VARCHAR) AS run_id, 'security/c' || user_id % 5 AS rule_id, 'error' AS level, 'api/u' || user_id || '.py' AS uri, 7 AS line, CAST(event_id AS VARCHAR) AS fingerprint, props || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(10) || '(Unconfirmed: no local evidence anchor.)' ELSE '' END AS message,
+        'severity=high,status=' || CASE WHEN event_id % 2 = 0 THEN 'unconfirmed' ELSE 'confirmed' END AS properties FROM events WHERE event_type = 'error'),
+      e AS (SELECT '0' AS run_id, 'evidence/' || rule AS rule_id, 'error' AS level, path AS uri, line, left(sha256(path || ':' || rule || ':' || pos), 12) AS fingerprint, rule AS message, 'kind=secret,severity=' || severity AS properties FROM k),
+      r AS (SELECT * FROM g UNION ALL SELECT * FROM v UNION ALL SELECT * FROM e)"""
 SQL = {
+    "s1_scan_files": "WITH d AS (SELECT doc_id, text || chr(10) AS content FROM documents) SELECT CASE doc_id % 4 WHEN 0 THEN 'src' ELSE 'lib' END AS folder, 'txt' AS ext, strlen(content) AS size, sha256(content) AS sha256 FROM d WHERE doc_id % 4 IN (0, 2) AND strlen(content) <= 4096 AND doc_id % 12 <> 2",
+    "s8_results": f"{_SCAN} SELECT * FROM r",
+    "s8_rules": f"{_SCAN} SELECT run_id, rule_id AS id, left(min(message), 80) AS name, min(level) AS level FROM r GROUP BY run_id, rule_id",
     "s9_component_inventory": """WITH p AS (SELECT 'p' || p_partkey || '/' || ['package.json', 'requirements.txt', 'pyproject.toml', 'go.mod'][p_partkey % 4 + 1] AS path, p_partkey % 4 AS k, regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') AS n, '1.' || p_size || '.0' AS version FROM part),
       c AS (SELECT path, ['npm', 'pypi', 'pypi', 'go'][k + 1] AS ecosystem, CASE WHEN k = 3 THEN 'x.org/' ELSE '' END || n AS name, version FROM p UNION ALL SELECT path, 'npm', 'jest', '*' FROM p WHERE k = 0 UNION ALL SELECT path, 'pypi', 'requests', '*' FROM p WHERE k = 1)
       SELECT *, 'pkg:' || ecosystem || '/' || name || '@' || version AS purl FROM c""",

@@ -13,7 +13,8 @@ BINARY = ("png", "jpg", "gif", "ico", "pdf", "zip", "gz", "jar", "so", "dll", "e
 
 
 def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), max_kb: int = 512) -> DataFrame:
-    """(path, ext, size, content) of the text files under a root: no vendored folders, no binaries, nothing above the size cap or with a NUL in its first 8 KiB."""
+    """(path, ext, size, content) of the text files under a root: no vendored folders, no binaries, nothing above the size cap, which is
+    checked before a file is opened, or with a NUL in its first 8 KiB. Empty files hold nothing and are left out, as by Spark's reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_kb * 1024)
     base = root.rstrip("/").split("://")[-1] + "/"
     path = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
@@ -87,6 +88,56 @@ def export_findings(found: DataFrame) -> DataFrame:
     return rows.join(heads, "rule_id").withColumn("first", place == F.col("head")).drop("head")
 
 
+def _level(severity: Column) -> Column:
+    return F.when(severity.isin("critical", "high"), "error").when(severity == "medium", "warning").otherwise("note")
+
+
+RESULT = "rule_id string, level string, uri string, line long, fingerprint string, message string, properties map<string,string>"
+
+
+def code_scanning(gaps: DataFrame, adversary: DataFrame, found: DataFrame) -> DataFrame:
+    """RESULT rows with run_id of gaps (run_id, id, title, obligation, severity, anchor, fix), adversary findings (run_id, id, title, category, severity, status, location) and
+    evidence (run_id, rule, kind, severity, path, line, snippet_hash).
+
+    Rules are gap/OBLIGATION, or gap/ID without one, security/CATEGORY and evidence/RULE. An anchor PATH:LINE is split, line 1 without a number, uri . without an anchor. Of evidence, info and
+    low findings and artifacts stay out.
+    """
+    def place(anchor: Column) -> list[Column]:
+        line = F.regexp_extract(anchor, r":(\d{1,9})(?:-\d+)?$", 1)
+        uri = F.regexp_replace(anchor, r":\d{1,9}(?:-\d+)?$", "")
+        return [F.coalesce(F.nullif(uri, F.lit("")), F.lit(".")).alias("uri"), F.coalesce(F.nullif(line, F.lit("")).cast("long"), F.lit(1).cast("long")).alias("line")]
+
+    def told(**of: Column) -> Column:
+        return F.map_filter(F.create_map(*[x for k, v in of.items() for x in (F.lit(k), v.cast("string"))]), lambda k, v: v.isNotNull()).alias("properties")
+
+    col = F.col
+    own = gaps.select("run_id", F.concat(F.lit("gap/"), F.coalesce("obligation", col("id").cast("string"))).alias("rule_id"), _level(col("severity")).alias("level"), *place(col("anchor")), col("id").cast("string").alias("fingerprint"), F.concat_ws("\n\n", "title", "fix").alias("message"), told(severity=col("severity"), obligation=col("obligation")))
+    doubt = F.when(col("status") == "unconfirmed", "(Unconfirmed: no local evidence anchor.)")
+    adv = adversary.select("run_id", F.concat(F.lit("security/"), "category").alias("rule_id"), _level(col("severity")).alias("level"), *place(col("location")), col("id").cast("string").alias("fingerprint"), F.concat_ws("\n\n", "title", doubt).alias("message"), told(severity=col("severity"), status=col("status")))
+    kept = found.where(~col("severity").isin("info", "low") & ~F.coalesce(col("kind"), F.lit("")).startswith("artifact_"))
+    evidence = kept.select("run_id", F.concat(F.lit("evidence/"), "rule").alias("rule_id"), _level(col("severity")).alias("level"), col("path").alias("uri"), col("line").cast("long").alias("line"), col("snippet_hash").alias("fingerprint"), col("rule").alias("message"), told(severity=col("severity"), kind=col("kind")))
+    return own.unionByName(adv).unionByName(evidence)
+
+
+def write_code_scanning(results: DataFrame, folder: str) -> None:
+    """A folder run_id=RUN per run of JSON lines: a nested document {rule} for each different rule, the one of the smallest message telling what it is, and one {result} for each row. No run has to
+    fit in a task; the lines of a run joined give its document."""
+    place = F.struct(F.struct(F.col("uri").alias("artifact"), F.struct(F.col("line").alias("start")).alias("region")).alias("physical"))
+    result = F.struct(F.lit(None).cast("struct<id:string,name:string,level:string>").alias("rule"), F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("id")).alias("fingerprints"), "properties").alias("result"))
+    rules = results.groupBy("run_id", "rule_id").agg(F.min("message").alias("name"), F.min("level").alias("level"))
+    rule = F.struct(F.struct(F.col("rule_id").alias("id"), F.left("name", F.lit(80)).alias("name"), "level").alias("rule"))
+    lines = results.select("run_id", F.to_json(result).alias("value")).unionByName(rules.select("run_id", F.to_json(rule).alias("value")))
+    lines.write.partitionBy("run_id").text(folder)
+
+
+DOCUMENT = "rule struct<id:string,name:string,level:string>, result struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physical:struct<artifact:string,region:struct<start:long>>>>,fingerprints:struct<id:string>,properties:map<string,string>>"
+
+
+def read_code_scanning(spark: SparkSession, folder: str) -> DataFrame:
+    """(rule, result, run_id) of what write_code_scanning wrote, one of rule and result null."""
+    return spark.read.schema(DOCUMENT + ", run_id string").json(folder)
+
+
 def purl(ecosystem: Column, name: Column, version: Column) -> Column:
     return F.concat(F.lit("pkg:"), F.lower(ecosystem), F.lit("/"), name, F.lit("@"), version)
 
