@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-from govlake.functions.blocks import numbered
+from govlake.functions.blocks import Blocks, numbered
 from govlake.functions.folders import bounded, checkpointed
 from govlake.functions.rules import DETECTORS, NEEDED, any_glob, detected, glob_regex, host_of, suppression
 from govlake.functions.sql import register
@@ -193,6 +194,15 @@ def _rewritten(value: Column, kind: DataType, put: Callable[[Column], Column]) -
     return value
 
 
+def _hash_tables(found: DataFrame) -> DataFrame:
+    """(at, known) of (at, real, pseudonym): for each `at` an array of about a slot for four names, so that a look-up costs the same however many there are."""
+    sized = found.groupBy("at").agg(F.ceil(F.count("*") / 4).cast("int").alias("slots"))
+    held = found.join(sized, "at").select("at", F.pmod(F.xxhash64("real"), "slots").cast("int").alias("slot"), F.struct("real", "pseudonym").alias("e"))
+    every = sized.select("at", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    filled = every.join(held, ["at", "slot"], "left").groupBy("at", "slot").agg(F.collect_list("e").alias("es"))
+    return filled.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "es"))), lambda x: x.es).alias("known"))
+
+
 def rewrite_nested(df: DataFrame, names: DataFrame) -> DataFrame:
     """df with every whole token of its strings that is a `real` of names as its `pseudonym`: in structs, arrays, map keys and map values of any depth.
 
@@ -203,12 +213,12 @@ def rewrite_nested(df: DataFrame, names: DataFrame) -> DataFrame:
     rows = df.select(row.alias("row")).withColumn("strings", _strings(F.col("row"), df.schema))
     rows = rows.select("row", F.sha2(F.to_json("strings"), 256).alias("at"), F.array_distinct(F.flatten(F.transform("strings", lambda t: F.regexp_extract_all(t, F.lit(_TOKEN.pattern), F.lit(0))))).alias("tokens"))
     found = rows.select("at", F.explode("tokens").alias("real")).distinct().join(names_, "real")
-    known = found.groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("real", "pseudonym"))).alias("known"))
-    both = rows.select("row", "at").join(known, "at", "left")
+    both = rows.select("row", "at").join(_hash_tables(found), "at", "left")
 
     def put(text: Column) -> Column:
         tokens, gaps = F.regexp_extract_all(text, F.lit(_TOKEN.pattern), F.lit(0)), F.split(text, _TOKEN.pattern, -1)
-        named = F.transform(tokens, lambda t: F.coalesce(F.element_at("known", t), t))
+        slot = lambda t: F.get(F.col("known"), F.pmod(F.xxhash64(t), F.size("known")).cast("int"))
+        named = F.transform(tokens, lambda t: F.coalesce(F.get(F.filter(slot(t), lambda e: e.real == t), F.lit(0))["pseudonym"], t))
         return F.when(F.col("known").isNull(), text).otherwise(F.array_join(F.zip_with(gaps, named, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), ""))
 
     return both.select(*[_rewritten(F.col("row")[f.name], f.dataType, put).alias(f.name) for f in df.schema.fields])
@@ -342,29 +352,81 @@ def release_preview(assets: DataFrame, user_globs: list[str]) -> DataFrame:
     return sized.rollup("status").agg(F.count("*").alias("n"), F.sum("before").alias("bytes_before"), F.sum("after").alias("bytes_after"))
 
 
-def pack_batches(assets: DataFrame, max_chars: int = 60000, project: str = "project", order: str = "doc_id") -> DataFrame:
-    """(project, path, batch): greedy packing in order within each project; a batch closes before it would exceed max_chars.
+def _next_starts(sized: DataFrame, max_chars: int) -> DataFrame:
+    """(k0, k1, at, next): for each row, numbered `at` in its project, where the next batch begins if one begins there.
 
-    The reset makes this no window. Sizes without texts are sorted within partitions and walked as a stream,
-    so a project of any size needs memory for one batch of rows.
+    The rows before that are those whose running sum stays within the sum before the row plus max_chars; how many, tells a count over both kinds of sums in one order.
     """
-
-    def greedy(frames):
-        at, batch, used = None, 0, 0
-        for pdf in frames:
-            out = []
-            for name, n in zip(pdf["project"], pdf["size"], strict=True):
-                if name != at:
-                    at, batch, used = name, 0, 0
-                if used and used + n > max_chars:
-                    batch, used = batch + 1, 0
-                used += n
-                out.append(batch)
-            yield pd.DataFrame({"project": pdf["project"], "path": pdf["path"], "batch": out})
-
-    size = F.length("content") + F.length("path") + 64
+    sums = sized.select("k0", "k1", F.col("total").alias("sum"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("at"))
+    asks = sized.select("k0", "k1", (F.col("total") - F.col("row.size") + max_chars).alias("sum"), F.lit(1).alias("kind"), "at")
+    both = Blocks(sums.unionByName(asks), ["k0", "k1"], ["sum", "kind"])
+    own = F.count_if(F.col("row.kind") == 0)
+    rows = both.rows.withColumn("fit", own.over(both.run.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = both.with_carry(rows, own, lambda a, b: a + b).where("row.kind = 1")
+    return rows.select("k0", "k1", F.col("row.at").alias("at"), F.greatest(F.col("row.at") + 1, F.col("fit") + F.coalesce("carry", F.lit(0)) + 1).alias("next"))
+
+
+def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each place of a piece of a project: where the chain of a batch that begins there, and those after it, leaves the piece."""
+    pdf = pdf.sort_values("at")
+    first, following = int(pdf["at"].iloc[0]), pdf["next"].to_numpy()
+    out = following.copy()
+    for i in range(len(pdf) - 1, -1, -1):
+        j = following[i] - first
+        if j < len(pdf):
+            out[i] = out[j]
+    return pdf.assign(exit=out)[["k0", "k1", "piece", "at", "next", "exit"]]
+
+
+def _starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each place of a piece, and whether a batch begins there, from the place where the first one does."""
+    pdf = pdf.sort_values("at")
+    first, following = int(pdf["at"].iloc[0]), pdf["next"].to_numpy()
+    starts, entry = np.zeros(len(pdf), bool), pdf["entry"].iloc[0]
+    i = len(pdf) if pd.isna(entry) else int(entry) - first
+    while i < len(pdf):
+        starts[i] = True
+        i = following[i] - first
+    return pdf.assign(starts=starts)[["k0", "k1", "at", "starts"]]
+
+
+#: Rows of a project that are one piece of work.
+PIECE_ROWS = 1 << 16
+
+
+def pack_batches(assets: DataFrame, max_chars: int = 60000, project: str = "project", order: str = "doc_id", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(project, path, batch): greedy packing in order within each project; a batch closes before it would exceed max_chars, and one that exceeds it alone is a batch.
+
+    Where a batch that began at a row would end follows from running sums, for every row at once. Pieces of piece_rows rows then tell where the chain of batches from
+    each of their rows leaves them; the chain of a whole project is followed from piece to piece in steps that double, and at last each piece marks its batches. So many tasks pack
+    a project of any size. A null content or path counts as empty.
+    """
+    size = F.coalesce(F.length("content"), F.lit(0)) + F.coalesce(F.length("path"), F.lit(0)) + 64
     sized = assets.select(F.col(project).alias("project"), "path", F.col(order).alias("o"), size.cast("long").alias("size"))
-    return sized.repartition("project").sortWithinPartitions("project", "o").mapInPandas(greedy, "project string, path string, batch long")
+    blocks = Blocks(sized, [F.col("project").isNull(), F.coalesce(F.col("project").cast("string"), F.lit(""))], ["o"])
+    rows = blocks.rows.withColumns({"own": F.sum("row.size").over(blocks.run), "n": F.row_number().over(blocks.run)})
+    rows = blocks.with_carry(rows, F.struct(F.sum("row.size").alias("size"), F.count("*").alias("n")), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    placed = checkpointed(rows.select("row", "k0", "k1", (F.col("own") + F.coalesce("carry.size", F.lit(0))).alias("total"), (F.col("n") + F.coalesce("carry.n", F.lit(0))).alias("at")))
+    chain = _next_starts(placed, max_chars).withColumn("piece", F.floor((F.col("at") - 1) / piece_rows).cast("long"))
+    exits = checkpointed(chain.groupBy("k0", "k1", "piece").applyInPandas(_exits, "k0 boolean, k1 string, piece long, at long, next long, exit long"))
+    entries = exits.where("at = 1").select("k0", "k1", "at").unionByName(exits.select("k0", "k1", F.col("exit").alias("at"))).distinct()
+    steps = [checkpointed(exits.join(entries, ["k0", "k1", "at"], "left_semi").select("k0", "k1", "at", "exit"))]
+    while True:
+        ahead = steps[-1].select("k0", "k1", F.col("at").alias("exit"), F.col("exit").alias("then"))
+        doubled = checkpointed(steps[-1].join(ahead, ["k0", "k1", "exit"]).select("k0", "k1", "at", F.col("then").alias("exit")))
+        if doubled.isEmpty():
+            break
+        steps.append(doubled)
+    reached = steps[0].where("at = 1").select("k0", "k1", "at")
+    for step in reversed(steps):
+        reached = checkpointed(reached.unionByName(step.join(reached, ["k0", "k1", "at"], "left_semi").select("k0", "k1", F.col("exit").alias("at"))).distinct())
+    piece = F.floor((F.col("at") - 1) / piece_rows).cast("long").alias("piece")
+    first = reached.select("k0", "k1", piece, "at").groupBy("k0", "k1", "piece").agg(F.min("at").alias("entry"))
+    marked = exits.join(first, ["k0", "k1", "piece"], "left").groupBy("k0", "k1", "piece").applyInPandas(_starts, "k0 boolean, k1 string, at long, starts boolean")
+    begun = Blocks(placed.join(marked, ["k0", "k1", "at"]).select("row", "k0", "k1", "at", "starts"), ["k0", "k1"], ["at"])
+    own = F.count_if("row.starts")
+    told = begun.with_carry(begun.rows.withColumn("n", own.over(begun.run.rowsBetween(W.unboundedPreceding, W.currentRow))), own, lambda a, b: a + b)
+    return told.select("row.row.project", "row.row.path", (F.col("n") + F.coalesce("carry", F.lit(0)) - 1).cast("long").alias("batch"))
 
 
 def chunk_rows(df: DataFrame, key: str, order: str, n: int = 12) -> DataFrame:

@@ -84,3 +84,23 @@ def test_a_payload_without_a_file_is_denied(spark):
     df = spark.createDataFrame([(i, p, f, "https://a.org", "x") for i, p, f in rows], "payload_id long, path string, represents array<string>, url string, payload string")
     got = {x.payload_id: x.verdict for x in gate_payloads(df, [], ["a.org"]).collect()}
     assert got == {1: "denied_path", 2: "denied_path", 3: "pass", 4: "denied_path", 5: "denied_path", 6: "pass"}
+
+
+def test_batches_of_one_large_project(spark):
+    from govlake.operators.redact import pack_batches
+
+    r = random.Random(8)
+    docs = [("hot" if i % 4 else r.choice(["b", None]), f"p{i}", i, None if r.random() < 0.05 else "x" * r.choice([1, 30, 300, 900, 2500])) for i in range(700)]
+    df = spark.createDataFrame(docs, "project string, path string, doc_id long, content string").repartition(5)
+    want = {}
+    for project in ("hot", "b", None):
+        batch, used = 0, 0
+        for _, path, _, content in (d for d in docs if d[0] == project):
+            n = len(content or "") + len(path) + 64
+            if used and used + n > 2000:
+                batch, used = batch + 1, 0
+            used += n
+            want[path] = (project, batch)
+    for rows in (16, 50, 10_000):
+        assert {x.path: (x.project, x.batch) for x in pack_batches(df, 2000, piece_rows=rows).collect()} == want
+    assert pack_batches(df.limit(0)).count() == 0
