@@ -9,6 +9,7 @@ than the six ASCII spaces. Hashes of words and of runs of words come from prefix
 from __future__ import annotations
 
 import ctypes
+import gc
 import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -39,6 +40,7 @@ def worker_state(key, make: Callable):
     """What a Python worker keeps from task to task. Only the last one asked for stays, so that the caches of operators that follow each other don't add up."""
     if key not in _state:
         _state.clear()
+        gc.collect()  # what an operator kept may hold itself in a ring
         _state[key] = make()
         give_back()
     return _state[key]
