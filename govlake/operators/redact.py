@@ -440,6 +440,20 @@ def egress_rollup(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("phase").agg(F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.count_distinct("destination").alias("destinations"), F.count_distinct("run_id").alias("runs"))
 
 
+def egress_levels(ledger: DataFrame) -> DataFrame:
+    """(run_id, destination, level, requests, bytes): by run, by destination, by both and in all; level has a bit for each of the two that is summed over."""
+    sums = [F.count("*").alias("requests"), F.sum("bytes").alias("bytes")]
+    out = ledger.cube("run_id", "destination").agg(F.grouping_id().cast("int").alias("level"), *sums)
+    return out.select("run_id", "destination", "level", "requests", "bytes")
+
+
+def last_requests(ledger: DataFrame, run_id: Column | None = None, most: int = 40) -> DataFrame:
+    """The `most` newest rows of the ledger, or of one run, newest first by nth: each task keeps its newest, so none sorts the ledger. Ties go by sha256."""
+    own = ledger if run_id is None else ledger.where(F.col("run_id") == run_id)
+    newest = own.orderBy(F.desc("ts"), "sha256").limit(most)
+    return newest.withColumn("nth", F.row_number().over(W.orderBy(F.desc("ts"), "sha256")))
+
+
 def detect_terms(pages: DataFrame, stop: list[str]) -> DataFrame:
     """(term, n): candidate names from hosts and titles, 3 to 64 characters, without stop words."""
     host = F.split(host_of(F.col("url")), "\\.")[0]

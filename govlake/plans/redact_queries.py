@@ -68,6 +68,11 @@ def _nested(spark, sf):
     return told(out).withColumn("side", F.lit("released")).unionByName(told(back).withColumn("side", F.lit("back")))
 
 
+def _egress(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("ts", (F.col("user_id") % 7).alias("run_id"), F.col("event_type").alias("destination"), F.length("props").alias("bytes"), F.sha2(F.concat_ws(":", F.col("event_id").cast("string"), "props"), 256).alias("sha256"))
+
+
 def _sql_functions(spark, sf):
     q.register(spark)
     return spark.sql(f"""SELECT page_id, mask_value(url) AS masked, placeholder_of(url) AS placeholder, severity_rank(element_at(array('critical', 'high', 'medium', 'low', 'info', 'odd'), CAST(page_id % 6 + 1 AS INT))) AS rank,
@@ -97,6 +102,8 @@ QUERIES = {
     "r17_pack_batches": lambda s, sf: r.pack_batches(assets(s, sf)),
     "r18_chunk_rows": lambda s, sf: r.chunk_rows(table(s, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey"),
     "r19_egress_rollup": lambda s, sf: r.egress_rollup(table(s, sf, "events").select(F.col("event_type").alias("phase"), F.length("props").alias("bytes"), F.col("user_id").alias("destination"), (F.col("user_id") % 7).alias("run_id"))),
+    "r19_egress_levels": lambda s, sf: r.egress_levels(_egress(s, sf)),
+    "r19_last_requests": lambda s, sf: r.last_requests(_egress(s, sf), F.lit(3)).select("sha256", "destination", "bytes", "nth"),
     "r20_detect_terms": lambda s, sf: r.detect_terms(table(s, sf, "pages"), STOP),
 }
 
@@ -186,6 +193,8 @@ SQL = {
       FROM p JOIN o ON o.project = p.project AND o.i = p.i + 1) SELECT project, path, batch FROM p""",
     "r18_chunk_rows": "SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 12 AS chunk FROM orders",
     "r19_egress_rollup": "SELECT event_type AS phase, count(*) AS requests, sum(length(props)) AS bytes, count(DISTINCT user_id) AS destinations, count(DISTINCT user_id % 7) AS runs FROM events GROUP BY 1",
+    "r19_egress_levels": "SELECT user_id % 7 AS run_id, event_type AS destination, CAST(grouping_id(user_id % 7, event_type) AS INT) AS level, count(*) AS requests, sum(length(props)) AS bytes FROM events GROUP BY CUBE (user_id % 7, event_type)",
+    "r19_last_requests": "SELECT sha256(event_id || ':' || props) AS sha256, event_type AS destination, length(props) AS bytes, row_number() OVER (ORDER BY ts DESC, sha256(event_id || ':' || props)) AS nth FROM events WHERE user_id % 7 = 3 QUALIFY nth <= 40",
     "r20_detect_terms": r"""WITH t AS (SELECT unnest(list_concat([string_split(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)), '^www\.', ''), '.')[1]], string_split_regex(regexp_replace(lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))), '[^a-z ]', '', 'g'), ' +'))) AS term FROM pages)
       SELECT term, count(*) AS n FROM t WHERE length(term) BETWEEN 3 AND 64 AND term NOT IN ('the', 'and', 'for', 'der', 'die', 'les') GROUP BY term""",
 }
