@@ -36,6 +36,16 @@ def give_back() -> None:
         trim(0)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow; what it has freed goes back when the task ends, as a worker waits for its next task beside stages that need none."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def worker_state(key, make: Callable):
     """What a Python worker keeps from task to task. Only the last one asked for stays, so that the caches of operators that follow each other don't add up."""
     if key not in _state:
@@ -56,7 +66,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int, which: str) -> np.ndarray:
     """B**0 .. B**(n-1) ("up") or the inverses ("down")."""
     if len(_power[which]) < n:
-        size = max(n, 1 << 20)
+        size = max(n + n // 4, 1 << 16)
         step = np.full(size, _BASE if which == "up" else _INVERSE, U)
         step[0] = 1
         _power[which] = np.multiply.accumulate(step)

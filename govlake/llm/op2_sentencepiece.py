@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import chunks, list_array, worker_state
+from govlake.llm.arrays import chunks, lean, list_array, worker_state
 from govlake.llm.op5_token_counts import vocabulary_path
 from govlake.llm.segments import SegmentCache, decoded, segment_hashes
 from govlake.llm.store import small_batches
 
 CACHE = 1 << 18
+CHUNK = 1 << 18  # bytes of text at once: their code points, hashes and prefix sums take some forty times as much
 MARK = "▁"
 # Kinds of pieces and models in the model file.
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
@@ -111,11 +112,10 @@ class Codec:
     def __init__(self, path: str, limit: int):
         import sentencepiece
 
-        self.model = read_model(path)
-        self.backend = build_tokenizer(self.model)
+        m = read_model(path)
+        self.backend = build_tokenizer(m)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cache = SegmentCache(self.encode, -1, limit)
-        m = self.model
         #: Texts may be encoded in parts if no piece holds a mark behind anything else and the normaliser only marks spaces.
         self.parts = m.byte_fallback and m.model_type == BPE and not m.charsmap and not m.remove_extra_whitespaces and m.add_dummy_prefix and not any(MARK in p.lstrip(MARK) for p in m.pieces)
 
@@ -163,7 +163,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         own = codec(path, cache_limit)
         for batch in batches:
-            for lo, hi, data, at in chunks(batch.column(1)):
+            for lo, hi, data, at in chunks(batch.column(1), CHUNK):
                 if own.parts:
                     _, points, rows = decoded(data, at)
                     begin, end = _segments(points, rows)
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"id {kind}, n_tokens int, ids array<int>, round_trip boolean, parity boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, n_tokens int, ids array<int>, round_trip boolean, parity boolean").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

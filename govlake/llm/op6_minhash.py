@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import U, chunks, list_array, mix64, words, worker_state
+from govlake.llm.arrays import U, chunks, lean, list_array, mix64, words, worker_state
 from govlake.llm.store import bounded, components, saved, small_batches
 
 SHINGLE = 5
@@ -18,6 +18,7 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 PLACES = 1 << 22
 BLOCK = 512
+CHUNK = 1 << 18  # bytes of text at once: their words' hashes and prefix sums take some forty times as much
 
 
 def _second_permutation(coordinates: int) -> np.ndarray:
@@ -26,8 +27,14 @@ def _second_permutation(coordinates: int) -> np.ndarray:
 
 
 def _shifts(coordinates: int) -> np.ndarray:
-    pi = np.argsort(mix64(np.arange(PLACES, dtype=U) + U(0x51ED270B)), kind="stable").astype(np.uint32)
-    ring = np.concatenate([pi, pi[: coordinates - 1]])
+    order, low, part = np.empty(PLACES, U), U(PLACES - 1), 1 << 16
+    for i in range(0, PLACES, part):  # in parts and in place: each worker makes this beside what others need
+        place = np.arange(i, i + part, dtype=U)
+        order[i : i + part] = (mix64(place + U(0x51ED270B)) & ~low) | place
+    order.sort()
+    order &= low
+    ring = np.empty(PLACES + coordinates - 1, np.uint32)
+    ring[:PLACES], ring[PLACES:] = order, order[: coordinates - 1]
     return np.lib.stride_tricks.sliding_window_view(ring, coordinates)
 
 
@@ -44,7 +51,7 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct 64-bit hashes of the row's shingles): `size` words each, the whole text if it has fewer."""
-    for lo, hi, data, at in chunks(column):
+    for lo, hi, data, at in chunks(column, CHUNK):
         w = words(data, at, lower=True)
         hashes = w.windows(size)
         for row in range(lo, hi):
@@ -77,7 +84,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), list_array(flat, lengths, pa.int64())], ["id", "n_shingles", "k1", "k2", "bands"])
 
     kept = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return kept.mapInArrow(lean(run), "id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(found) if found else np.zeros(0, U)
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat.view(np.int64), np.array([len(s) for s in found], np.int64), pa.int64())], ["id", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, shingles array<long>")
 
 
 def _is_link(both, a, b, percent: int):

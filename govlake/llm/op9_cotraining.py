@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from govlake.llm.arrays import U, chunks, list_array, ragged, words, worker_state
-from govlake.llm.store import saved, small_batches
+from govlake.llm.arrays import U, chunks, lean, list_array, ragged, words, worker_state
+from govlake.llm.store import numbers, saved, small_batches
 
 #: Bound of the labelled rows that the driver fits on.
 LABELLED = 4000
@@ -86,7 +86,7 @@ class Rows:
 def view_rows(text: pa.Array, source: list, lang: list):
     """(first row, row after the last, Rows) chunk by chunk."""
     worker_state("co-training", lambda: None)
-    for lo, hi, data, at in chunks(text, 1 << 19):
+    for lo, hi, data, at in chunks(text, 1 << 18):
         w = words(data, at, lower=True)
         hashes = np.concatenate([w.hash, *[w.heads(k, lower=True) for k in STEMS]])
         row = np.tile(np.repeat(np.arange(hi - lo), w.counts), 1 + len(STEMS))
@@ -109,7 +109,7 @@ def features(rows: DataFrame) -> DataFrame:
                 columns = [batch.column(0).slice(lo, hi - lo), *r.columns(), batch.column(4).slice(lo, hi - lo)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "words", "meta", "key"])
 
-    return rows.withColumn("key", F.xxhash64("text", "source", "lang")).mapInArrow(run, _FEATURES)
+    return rows.withColumn("key", F.xxhash64("text", "source", "lang")).mapInArrow(lean(run), _FEATURES)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -221,12 +221,12 @@ class Pool:
                         take = batch.select(["id", "key"]).take(pa.array(at))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * i + label, np.int32)), *take.columns, pa.array(sure[at].astype(np.float64))], ["kind", "id", "key", "sure"])
 
-        scored = self.rows.select("id", "words", "meta", "key").mapInArrow(run, "kind int, id long, key long, sure double")
+        scored = self.rows.select("id", "words", "meta", "key").mapInArrow(lean(run), "kind int, id long, key long, sure double")
         scored = scored.join(self.known.select("id").hint("merge"), "id", "left_anti").groupBy("kind", "key").agg(F.max("sure").alias("sure"))
         nth = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("sure"), "key"))
         best = scored.withColumn("nth", nth).where(F.col("nth") <= most).select("kind", "key").toArrow().sort_by([("kind", "ascending"), ("key", "ascending")])
         kind, keys = best["kind"].to_numpy(), best["key"].to_numpy()
-        wanted = self.rows.sparkSession.createDataFrame([(x,) for x in {*keys.tolist()}], "key long")  # 4 * most rows at most
+        wanted = numbers(self.rows.sparkSession, {*keys.tolist()}, "key")  # 4 * most rows at most
         table = self.rows.join(F.broadcast(wanted), "key", "left_semi").dropDuplicates(["key"]).select("words", "meta", "key").toArrow().sort_by("key")
         at, found = table["key"].to_numpy(), Rows.of(table)
         sent.destroy()
@@ -289,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     known = good_rows(labels, id_col, label_col)
     picked = known.orderBy(F.xxhash64("id"), "id").limit(labelled).toArrow().to_pydict()
     y_of = dict(zip(picked["id"], picked["y"], strict=True))
-    wanted = docs.sparkSession.createDataFrame([(x,) for x in y_of], "id long")  # labelled rows at most
+    wanted = numbers(docs.sparkSession, y_of, "id")  # labelled rows at most
     rows = saved(features(_inputs(docs, id_col)), "features")
     table = rows.join(F.broadcast(wanted), "id", "left_semi").groupBy("id").agg(F.min_by(F.struct("words", "meta"), "key").alias("x")).select("id", "x.*").toArrow().sort_by("id")
     y, found = np.array([float(y_of[x] > 0) for x in table["id"].to_pylist()]), Rows.of(table)
@@ -332,7 +332,7 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> Da
             for lo, hi, scores, kept in _scored(sent.value, *batch.columns[1:4]):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *[pa.array(np.round(s, 6).astype(np.float64)) for s in scores], pa.array(kept)], ["id", "text_score", "meta_score", "score", "kept"])
 
-    return _inputs(docs, id_col, cast=None).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return _inputs(docs, id_col, cast=None).mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, text_score double, meta_score double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -349,7 +349,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             for lo, hi, _, kept in _scored(sent.value, views[0], *(c.cast(pa.string()) for c in views[1:])):
                 yield batch.slice(lo, hi - lo).filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op9_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def small_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def numbers(spark: SparkSession, values: Iterable[int], name: str) -> DataFrame:
+    """A column of whole numbers of the driver's. As Arrow: a list of Python's would pass through workers of their own, a daemon and two of them left on each executor."""
+    return spark.createDataFrame(pa.table({name: pa.array(list(values), pa.int64())}))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read from there: lost executors don't cause it to be made again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
