@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from govlake.functions.blocks import Blocks, numbered
 from govlake.functions.folders import bounded, checkpointed
 from govlake.functions.rules import DETECTORS, NEEDED, any_glob, detected, glob_regex, host_of, suppression
 from govlake.functions.sql import register
+from govlake.functions.tokens import looked_up, replaced, rewritten
 
 _SECRETS = "|".join(p for _, kind, _, p in DETECTORS if kind == "secret")
 #: Ports, sizes and durations that stay as they are. Fixed values.
@@ -116,40 +115,18 @@ def pseudonymise_paths(paths: DataFrame, names: DataFrame, col: str = "path") ->
     return whole.where("whole").select("path", F.array_join(F.col("p.name"), "/").alias("released"))
 
 
-_TOKEN = re.compile(r"[A-Za-z0-9_$]+")
-
-
-@F.pandas_udf(StructType().add("released", "string").add("n", "long"))
-def _put_in(content: pd.Series, real: pd.Series, pseudonym: pd.Series) -> pd.DataFrame:
-    """Each text with its known tokens replaced, and how many: one look-up in a hash table per token, whatever the number of terms."""
-    out = []
-    for text, was, now in zip(content, real, pseudonym, strict=True):
-        if text is None or was is None:
-            out.append((text, 0))
-            continue
-        table, n = dict(zip(was, now, strict=True)), 0
-        parts, at = [], 0
-        for m in _TOKEN.finditer(text):
-            name = table.get(m.group())
-            if name is not None:
-                parts += [text[at : m.start()], name]
-                at, n = m.end(), n + 1
-        out.append(("".join([*parts, text[at:]]), n))
-    return pd.DataFrame(out, columns=["released", "n"])
-
-
 def tokenise_terms(assets: DataFrame, names: DataFrame) -> DataFrame:
     """(path, released, n): whole tokens that have a pseudonym are replaced; n counts them.
 
-    Each text's different tokens are looked up once, so the shuffle holds no separators, repeats or texts; the pseudonyms found come back as
-    one list per text and are put in where the text stands. Texts are known by path and a hash; a null content is released as null with n 0.
+    Texts move once, packed, and with them each block's different tokens. A null content is released as null with n 0; rows that repeat a path are released each.
     """
-    texts = assets.select("path", F.xxhash64("content").alias("at"), "content")
-    words = texts.select("path", "at", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_TOKEN.pattern), F.lit(0)))).alias("real"))
-    found = words.join(names.select("real", "pseudonym").dropDuplicates(["real"]), "real").distinct()
-    known = found.groupBy("path", "at").agg(F.collect_list(F.struct("real", "pseudonym")).alias("known"))
-    both = texts.join(known, ["path", "at"], "left").withColumn("out", _put_in("content", F.col("known.real"), F.col("known.pseudonym")))
-    return both.select("path", "out.released", "out.n")
+    def put(rows: pa.RecordBatch, known: dict[str, str]) -> pa.RecordBatch:
+        out = [replaced(text, known) for text in rows["released"].to_pylist()]
+        texts, n = pa.array([x for x, _ in out], rows["released"].type), pa.array([n for _, n in out], pa.int64())
+        return pa.RecordBatch.from_arrays([rows["path"], texts, n], ["path", "released", "n"])
+
+    texts = assets.select("path", F.col("content").alias("released"))
+    return looked_up(texts, names, put, StructType([*texts.schema.fields, StructField("n", LongType())]), ["released"])
 
 
 def rehydrate(released: DataFrame, names: DataFrame) -> DataFrame:
@@ -159,69 +136,15 @@ def rehydrate(released: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("path", F.col("released").alias("content"), "n")
 
 
-_NO_STRINGS = "cast(array() as array<string>)"
-
-
-def _strings(value: Column, kind: DataType) -> Column:
-    """All strings in a value of any type, map keys too, as one array."""
-    none = F.expr(_NO_STRINGS)
-    if isinstance(kind, StringType):
-        out = F.array(value)
-    elif isinstance(kind, StructType):
-        out = F.concat(none, *[_strings(value[f.name], f.dataType) for f in kind.fields])
-    elif isinstance(kind, ArrayType):
-        out = F.flatten(F.transform(value, lambda x: _strings(x, kind.elementType)))
-    elif isinstance(kind, MapType):
-        out = F.concat(_strings(F.map_keys(value), ArrayType(kind.keyType)), _strings(F.map_values(value), ArrayType(kind.valueType)))
-    else:
-        return none
-    return F.coalesce(F.filter(out, lambda x: x.isNotNull()), none)
-
-
-def _rewritten(value: Column, kind: DataType, put: Callable[[Column], Column]) -> Column:
-    """value with put applied to each string in it. Of map keys that become equal the first stays."""
-    if isinstance(kind, StringType):
-        return put(value)
-    if isinstance(kind, StructType):
-        return F.when(value.isNotNull(), F.struct(*[_rewritten(value[f.name], f.dataType, put).alias(f.name) for f in kind.fields]))
-    if isinstance(kind, ArrayType):
-        return F.transform(value, lambda x: _rewritten(x, kind.elementType, put))
-    if isinstance(kind, MapType):
-        values = F.transform_values(value, lambda k, x: _rewritten(x, kind.valueType, put))
-        pairs = F.transform(F.map_entries(values), lambda e: F.struct(_rewritten(e.key, kind.keyType, put).alias("key"), e.value.alias("value")))
-        first = F.filter(pairs, lambda e, i: F.array_position(F.transform(pairs, lambda x: x.key), e.key) == i + 1)
-        return F.map_from_entries(first)
-    return value
-
-
-def _hash_tables(found: DataFrame) -> DataFrame:
-    """(at, known) of (at, real, pseudonym): for each `at` an array of about a slot for four names, so that a look-up costs the same however many there are."""
-    sized = found.groupBy("at").agg(F.ceil(F.count("*") / 4).cast("int").alias("slots"))
-    held = found.join(sized, "at").select("at", F.pmod(F.xxhash64("real"), "slots").cast("int").alias("slot"), F.struct("real", "pseudonym").alias("e"))
-    every = sized.select("at", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    filled = every.join(held, ["at", "slot"], "left").groupBy("at", "slot").agg(F.collect_list("e").alias("es"))
-    return filled.groupBy("at").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "es"))), lambda x: x.es).alias("known"))
-
-
 def rewrite_nested(df: DataFrame, names: DataFrame) -> DataFrame:
     """df with every whole token of its strings that is a `real` of names as its `pseudonym`: in structs, arrays, map keys and map values of any depth.
 
-    The different tokens of a row are looked up by a shuffle that holds no texts; rows meet what was found by a hash of their strings. Numbers, times and other values stay, nulls too.
+    Rows move once, packed, and with them each block's different tokens. Numbers, times and other values stay, nulls too. Of map keys that become equal the first stays.
     """
-    names_ = names.select("real", "pseudonym").dropDuplicates(["real"])
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(row.alias("row")).withColumn("strings", _strings(F.col("row"), df.schema))
-    rows = rows.select("row", F.sha2(F.to_json("strings"), 256).alias("at"), F.array_distinct(F.flatten(F.transform("strings", lambda t: F.regexp_extract_all(t, F.lit(_TOKEN.pattern), F.lit(0))))).alias("tokens"))
-    found = rows.select("at", F.explode("tokens").alias("real")).distinct().join(names_, "real")
-    both = rows.select("row", "at").join(_hash_tables(found), "at", "left")
-
-    def put(text: Column) -> Column:
-        tokens, gaps = F.regexp_extract_all(text, F.lit(_TOKEN.pattern), F.lit(0)), F.split(text, _TOKEN.pattern, -1)
-        slot = lambda t: F.get(F.col("known"), F.pmod(F.xxhash64(t), F.size("known")).cast("int"))
-        named = F.transform(tokens, lambda t: F.coalesce(F.get(F.filter(slot(t), lambda e: e.real == t), F.lit(0))["pseudonym"], t))
-        return F.when(F.col("known").isNull(), text).otherwise(F.array_join(F.zip_with(gaps, named, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), ""))
-
-    return both.select(*[_rewritten(F.col("row")[f.name], f.dataType, put).alias(f.name) for f in df.schema.fields])
+    def put(rows: pa.RecordBatch, known: dict[str, str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rewritten(c, known) for c in rows.columns], schema=rows.schema)
+
+    return looked_up(df, names, put, df.schema)
 
 
 def rehydrate_nested(df: DataFrame, names: DataFrame) -> DataFrame:

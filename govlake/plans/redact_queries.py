@@ -59,8 +59,9 @@ def _verbatim(spark, sf):
 
 def _round_trip(spark, sf):
     a, names = assets(spark, sf), _names(spark, sf)
-    back = r.rehydrate(r.tokenise_terms(a, names), names).join(a.select("path", F.col("content").alias("was")), "path")
-    return back.select("path", F.sha2("content", 256).alias("sha256"), F.sha2("was", 256).alias("was"), "n")
+    told = lambda df, name: df.withColumn(name, F.sha2("content", 256)).drop("content")
+    back = told(r.rehydrate(r.tokenise_terms(a, names), names), "sha256").join(told(a.select("path", "content"), "was"), "path")
+    return back.select("path", "sha256", "was", "n")
 
 
 def _nested(spark, sf):

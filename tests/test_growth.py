@@ -1,10 +1,17 @@
 """Queries on tables of more rows than the given ones."""
 
+import datetime
+import decimal
 import hashlib
+import random
+import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from govlake.functions import tokens
+from govlake.operators import redact
 
 
 def test_the_digest_of_many_documents_is_whole(spark, tmp_path):
@@ -15,3 +22,59 @@ def test_the_digest_of_many_documents_is_whole(spark, tmp_path):
     digest = sum(int(hashlib.sha256(f"a\nb{i}".encode()).hexdigest()[:12], 16) for i in range(n))
     assert digest > 1 << 63
     assert [(r.level, r.n, r.lines, int(r.digest)) for r in found] == [(2, n, 2 * n, digest)]
+
+
+def shuffled(spark, run) -> int:
+    """Bytes that the stages of run write for shuffles."""
+    context = spark.sparkContext
+    store, none = context._jsc.sc().statusStore(), context._gateway.new_array(context._jvm.double, 0)
+    stages = lambda: store.stageList(None, False, False, none, None)
+    last = max([stages().apply(i).stageId() for i in range(stages().size())], default=-1)
+    run()
+    found = stages()
+    return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()) if found.apply(i).stageId() > last)
+
+
+def texts_of_few_words(spark):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=8)) for _ in range(400)]
+    return spark.createDataFrame([(f"p{i}", " ".join(r.choices(words, k=250)), r.choice(words)) for i in range(2000)], "path string, content string, word string"), words
+
+
+def test_a_text_is_shuffled_once_and_a_word_once_for_many_texts(spark):
+    texts, words = texts_of_few_words(spark)
+    names = spark.createDataFrame([(w, f"t_{i}") for i, w in enumerate(sorted(set(words)))], "real string, pseudonym string")
+    table, size = {r.real: r.pseudonym for r in names.collect()}, texts.select(F.sum(F.octet_length("content"))).first()[0]
+    found = []
+    assert shuffled(spark, lambda: found.extend(redact.tokenise_terms(texts, names).collect())) < size
+    want = {r.path: (" ".join(table[w] for w in r.content.split()), 250) for r in texts.collect()}
+    assert {r.path: (r.released, r.n) for r in found} == want
+
+
+def test_values_of_all_types_come_back_from_blocks_of_a_few_rows(spark):
+    r, stamp = random.Random(4), datetime.datetime(2024, 3, 31, 2, 30, 0, 123456)
+    text = lambda: r.choice([None, "", "kofi", "kofi ama", "éama é", "a-kofi_", "x$kofi"])
+    def row(i):
+        keyed = {(text(), j): [text(), text()][: j % 3] for j in range(i % 4)}
+        return (i, keyed or None, [{text() or "k": text(), "ama": "1"}, None, {}][: i % 4], decimal.Decimal("1.50"), stamp, b"kofi", r.choice([None, (None, [None, text()])]))
+
+    rows = [row(i) for i in range(60)]
+    schema = "id int, keyed map<struct<a:string,b:int>,array<string>>, l array<map<string,string>>, d decimal(9,2), ts timestamp, b binary, s struct<x:date,t:array<string>>"
+    df = spark.createDataFrame(rows, schema).repartition(7)
+    names = spark.createDataFrame([("kofi", "p_1"), ("ama", "p_2")], "real string, pseudonym string")
+    put = lambda t: t and re.sub("[A-Za-z0-9_$]+", lambda m: {"kofi": "p_1", "ama": "p_2"}.get(m.group(), m.group()), t)
+    out = redact.rewrite_nested(df, names)
+    assert out.schema.simpleString() == df.schema.simpleString()
+    for got, was in zip(out.orderBy("id").collect(), df.orderBy("id").collect(), strict=True):
+        assert (got.id, got.d, got.ts, bytes(got.b)) == (was.id, was.d, was.ts, b"kofi")
+        assert got.keyed == (was.keyed if was.keyed is None else {type(k)(put(k.a), k.b): [put(x) for x in v] for k, v in was.keyed.items()})
+        assert got.l == [m if m is None else {put(k): put(v) for k, v in m.items()} for m in was.l]
+        assert got.s == was.s or got.s.t == [put(x) for x in was.s.t]
+    assert redact.rehydrate_nested(out, names).orderBy("id").collect() == df.orderBy("id").collect()
+
+
+def test_blocks_hold_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 600)
+    batches = [pa.RecordBatch.from_pydict({"t": [f"{i} " * (i % 90) for i in range(a, a + 40)]}) for a in (0, 40, 80)]
+    blocks = [tokens._unpacked(b["rows"][0]) for b in tokens._packed(iter(batches))]
+    assert len(blocks) > 10 and [x for b in blocks for x in b["t"].to_pylist()] == [x for b in batches for x in b["t"].to_pylist()]
