@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from govlake.functions import sql as q
-from govlake.functions.folders import checkpointed
 from govlake.functions.rules import DETECTORS, glob_regex
 from govlake.operators import redact as r
 from govlake.plans.tables import ASSETS, LUHN, SUPPRESSED_SQL, assets, hits_sql, quoted, table
@@ -69,11 +68,14 @@ def _nested(spark, sf):
     a = assets(spark, sf)
     lines = F.split("content", "\n")
     rows = a.select("doc_id", F.struct(F.col("content").alias("what"), F.struct(lines.alias("refs"), F.length("content").alias("n")).alias("why")).alias("fix"), F.create_map(F.concat(F.lit("f "), F.get(lines, F.lit(0))), F.array(F.struct(F.get(lines, F.lit(1)).alias("v")))).alias("per_file"))
-    names = checkpointed(_names(spark, sf))
-    out = checkpointed(r.rewrite_nested(rows, names))
-    back = r.rehydrate_nested(out, names)
-    told = lambda df: df.select("doc_id", F.sha2("fix.what", 256).alias("what"), F.sha2(F.array_join("fix.why.refs", "\n"), 256).alias("refs"), F.sha2(F.map_keys("per_file")[0], 256).alias("key"), F.sha2(F.coalesce(F.map_values("per_file")[0][0]["v"], F.lit("")), 256).alias("value"), F.col("fix.why.n").alias("n"))
-    return told(out).withColumn("side", F.lit("released")).unionByName(told(back).withColumn("side", F.lit("back")))
+    names = _names(spark, sf)
+    # Hashes of what is released go with it as bytes, which aren't rewritten, so the texts in between are never kept.
+    hashes = {"what": F.col("fix.what"), "refs": F.array_join("fix.why.refs", "\n"), "key": F.map_keys("per_file")[0], "value": F.coalesce(F.map_values("per_file")[0][0]["v"], F.lit(""))}
+    told = lambda: F.struct(*[F.unhex(F.sha2(c, 256)).alias(k) for k, c in hashes.items()], F.col("fix.why.n").alias("n"))
+    back = r.rehydrate_nested(r.rewrite_nested(rows, names).withColumn("released", told()), names)
+    sides = F.array(F.struct(F.lit("released").alias("side"), F.col("released").alias("of")), F.struct(F.lit("back").alias("side"), told().alias("of")))
+    out = back.select("doc_id", F.explode(sides).alias("x")).select("doc_id", "x.side", "x.of.*")
+    return out.select("doc_id", *[F.lower(F.hex(c)).alias(c) for c in hashes], "n", "side")
 
 
 def _egress(spark, sf):

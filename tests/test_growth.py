@@ -51,6 +51,18 @@ def test_a_text_is_shuffled_once_and_a_word_once_for_many_texts(spark):
     assert {r.path: (r.released, r.n) for r in found} == want
 
 
+def test_nested_rows_are_shuffled_once(spark):
+    texts, words = texts_of_few_words(spark)
+    names = spark.createDataFrame([(w, f"t_{i}") for i, w in enumerate(sorted(set(words)))], "real string, pseudonym string")
+    rows = texts.select(F.col("path").alias("id"), F.struct(F.split("content", " ").alias("l")).alias("s"), F.create_map("word", "content").alias("m"))
+    size, found = 2 * texts.select(F.sum(F.octet_length("content"))).first()[0], []
+    assert shuffled(spark, lambda: found.extend(redact.rewrite_nested(rows, names).collect())) < size
+    table = {r.real: r.pseudonym for r in names.collect()}
+    told = lambda text: " ".join(table[w] for w in text.split())
+    want = {r.path: (told(r.content), {told(r.word): told(r.content)}) for r in texts.collect()}
+    assert {r.id: (" ".join(r.s.l), r.m) for r in found} == want
+
+
 def test_values_of_all_types_come_back_from_blocks_of_a_few_rows(spark):
     r, stamp = random.Random(4), datetime.datetime(2024, 3, 31, 2, 30, 0, 123456)
     text = lambda: r.choice([None, "", "kofi", "kofi ama", "éama é", "a-kofi_", "x$kofi"])
