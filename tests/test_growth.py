@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 from govlake.functions import tokens
 from govlake.operators import redact
 from govlake.operators.gaps import remediation_order
+from govlake.sources.files import scan_files, write_files
 from tests.test_scale import plain_levels
 
 
@@ -118,3 +119,27 @@ def test_a_small_graph_takes_few_jobs(spark):
 def test_names_of_an_id_may_be_strings(spark):
     got = remediation_order(spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "id string"), spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "d")], "id string, needs string"))
     assert {x.id: x.level for x in got.collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
+
+
+def test_files_that_go_by_place_or_size_make_no_tasks(spark, tmp_path):
+    root = tmp_path / "vendor" / "a b" / "té%20s+t"
+    kept = ["src/a b.ts", "src/é%.md", "q/#h?.txt", "q/a+b%41.txt", "vendor x/k.txt"]
+    for name, size in [*[(n, 5) for n in kept], *[(f"node_modules/x/{i}.ts", 5) for i in range(300)], *[(f"q/{i}.txt", 5000) for i in range(100)], *[(f"q/{i}.png", 5) for i in range(100)]]:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x" * size)
+    found = scan_files(spark, str(root), max_kb=4)
+    assert {r.path for r in found.collect()} == set(kept) and found.rdd.getNumPartitions() <= len(kept)
+    assert {r.path for r in scan_files(spark, str(root), include=["**/a b.*", "**/*#*"]).collect()} == {"src/a b.ts", "q/#h?.txt"}
+    assert {r.path for r in scan_files(spark, str(root), exclude=["**/a b.*", "q/*"]).collect()} == {"src/é%.md", "vendor x/k.txt"}
+
+
+def test_rows_are_written_as_files_by_a_single_job(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b/c", "y\n"), ("b/c", ""), ("b/c", None)] * 40, "folder string, value string").repartition(3)
+    spark.sparkContext.setJobGroup("files", "files")
+    write_files(rows, f"file://{tmp_path}/t")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("files")
+    spark.sparkContext.setJobGroup(None, None)
+    held = sorted((p.parent.relative_to(tmp_path).as_posix(), p.read_text()) for p in tmp_path.rglob("*") if p.is_file())
+    assert held == sorted((f"t/{r.folder}", (r.value or "") + "\n") for r in rows.collect()) and len(jobs) <= 3
+    write_files(rows.where("value = 'x'"), f"{tmp_path}/u")
+    assert [p.read_text() for p in (tmp_path / "u").rglob("*.txt")] == ["x\n"] * 80
