@@ -6,6 +6,7 @@ block once, however many of its rows hold it. Memory in a task is a few times a
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -18,7 +19,9 @@ from pyspark.sql.types import StructType
 
 TOKEN = re.compile(r"([A-Za-z0-9_$]+)")
 #: Bytes of rows that make a block. Larger ones hold fewer different tokens in all, and take more memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes that pass from the executor to a worker at once.
+BATCH_BYTES = 4 << 20
 #: No token: its row tells that a block's tokens were looked up.
 _SEEN = ""
 
@@ -36,6 +39,15 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield _pack(held)
+    del held, batches
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns memory that this worker has freed to the system; it waits for its next task beside others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -83,9 +95,11 @@ def _tokens_of(columns: list[str] | None) -> Callable:
                             if text:
                                 found.update(TOKEN.findall(text))
                 real = pa.array(list(found), pa.string())
+                del held, found
                 for at in range(0, len(real), 1 << 16):
                     part = real[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), part], ["block", "real"])
+        _give_back()
 
     return run
 
@@ -148,7 +162,10 @@ def looked_up(df: DataFrame, names: DataFrame, put: Callable[[pa.RecordBatch, di
 
     The packed rows are dealt out once and read from there twice, for their tokens and to be rewritten; a block whose tokens weren't looked up is an error.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = df.mapInArrow(_packed, "block long, rows binary").repartition(n, "block")
     tokens = packed.mapInArrow(_tokens_of(columns), "block long, real string")
     known = tokens.join(names.select("real", "pseudonym"), "real", "left").where((F.col("real") == _SEEN) | F.col("pseudonym").isNotNull()).select("block", "real", "pseudonym")
@@ -158,6 +175,9 @@ def looked_up(df: DataFrame, names: DataFrame, put: Callable[[pa.RecordBatch, di
         if not rows.num_rows or _SEEN not in pseudonyms:
             raise ValueError("a block's rows changed between two readings of them")
         del pseudonyms[_SEEN]
-        return pa.Table.from_batches([put(_unpacked(x), pseudonyms) for x in rows["rows"]])
+        out = pa.Table.from_batches([put(_unpacked(x), pseudonyms) for x in rows["rows"]])
+        del rows, found, pseudonyms
+        _give_back()
+        return out
 
     return packed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(whole, schema)
